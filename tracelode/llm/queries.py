@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import fingerprints
+from tracelode.llm import fingerprints, repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_repeats": repeats.query,
     "op9_fingerprints": fingerprints.query,
 }
 
