@@ -63,6 +63,12 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % n, F.lit(0)).cast("int")
 
 
+def own_key(column: str) -> Column:
+    """A one-to-one image of a long column, as a join key: what was aggregated by the column is then dealt anew for the join,
+    so that Spark can split a skewed partition of either side."""
+    return F.col(column).bitwiseXOR(F.lit(0x5DEECE66D))
+
+
 # Arrow columns as numpy
 
 

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import fingerprints, repeats
+from tracelode.llm import fingerprints, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_repeats": repeats.query,
+    "op5_simhash": simhash.query,
     "op9_fingerprints": fingerprints.query,
 }
 

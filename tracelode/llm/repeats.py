@@ -144,7 +144,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     cells, bits = sketch(docs, window, gram)
     wins = candidates(docs, cells, docs.sparkSession.sparkContext.broadcast(bits), window, gram)
     least = wins.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    hit = wins.join(least.hint("merge"), ["h1", "h2"]).filter("doc_id > least")
+    hit = wins.withColumn("key", C.own_key("h1")).join(least.withColumn("key", C.own_key("h1")).drop("h1").hint("merge"), ["key", "h2"]).filter("doc_id > least")
     return hit.groupBy("doc_id", "row").agg(F.collect_list("place").alias("places"))
 
 
