@@ -1,0 +1,93 @@
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+from tracelode.llm import common as C
+from tracelode.llm import packing as P
+
+T = "doc_id long, text string, ids string, start string"
+WHOLE = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def ids_of(text):
+    return [*WHOLE.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def verify(rows, got):
+    want = {k: ids_of(t) for k, t in rows}
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r["doc_id"]].append(r)
+        by_seq[r["sequence_id"]].append(r)
+    assert set(by_doc) == set(want)
+    for k, pieces in by_doc.items():
+        pieces.sort(key=lambda r: r["start"])
+        joined = []
+        for r in pieces:
+            assert r["start"] == len(joined) and r["length"] > 0 and r["doc_tokens"] == len(want[k])
+            joined += np.frombuffer(r["ids"], "<u4").tolist()
+        assert joined == want[k]
+    for pieces in by_seq.values():
+        pieces.sort(key=lambda r: r["offset"])
+        at = 0
+        for r in pieces:
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048 and (at & (at - 1)) == 0  # no padding
+
+
+CASES = [[], [(1, None), (2, ""), (3, "a b  c\n\n d's 12³ é漢")], [(None, "x y z")], [(i, f"<|endoftext|> word{i} " * (i * 40)) for i in range(20)], [(1, " " * 5000 + "x" * 5000), (2, "w " * 40000), (3, "z" * 1500)]]
+
+
+@pytest.mark.parametrize("rows", CASES)
+def test_round_trip(spark, rows):
+    verify(rows, P.pack(spark.createDataFrame([(k, t, "", "") for k, t in rows], T)).collect())
+
+
+def test_small_blocks(spark):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["ab", "the", "ß", "longer"]) for _ in range(rng.randint(0, 3000)))) for i in range(100)]
+    verify(rows, P.pack(spark.createDataFrame([(k, t, "", "") for k, t in rows], T), block=20000).collect())
+
+
+def test_driver_table(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in C.table(spark, d, "documents").select("doc_id", "text").collect()]
+    verify(rows, P.pack(C.table(spark, d, "documents")).collect())
+    want = {k: ids_of(t) for k, t in rows}
+    for r in P.query(spark, d).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+
+
+def test_repeated_rows(spark):
+    got = P.pack(spark.createDataFrame([(1, "same text", "", "")] * 3000, T).coalesce(1)).collect()
+    assert sum(r.length for r in got) == 3000 * len(ids_of("same text"))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 5000), max_size=80))
+def test_plan_holds_every_token_once(lengths):
+    seen = [np.zeros(n, int) for n in lengths]
+    for row in P.plan(lengths):
+        n = sum(x[2] for x in row)
+        assert n <= 2048 and (n & (n - 1)) == 0
+        for i, s, k in row:
+            seen[i][s : s + k] += 1
+    assert all((x == 1).all() for x in seen)
+
+
+def test_counts_are_solved():
+    h = np.zeros(2049, int)
+    h[[1000, 1048, 24]] = 30, 40, 5
+    combos = P.combinations(np.flatnonzero(h), 2048)
+    x = P.repeat_counts(combos, h, 500)
+    made = np.zeros(2049)
+    for c, v in zip(combos, x):
+        np.add.at(made, c[c > 0], v)
+    assert (x >= 0).all() and 30 <= made[1000] <= 40
