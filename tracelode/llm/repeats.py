@@ -3,12 +3,15 @@
 A word is a run of [^\\x20\\x09-\\x0D]; a window is WINDOW consecutive words of one document. Windows are judged on the input.
 
 1. Count-min prefilter. Each window is counted under its anchor, the least hash among its GRAM-word runs: equal windows have
-   equal anchors, so an anchor's count is at least that of each of its windows, and one anchor serves some twenty windows.
+   equal anchors, so an anchor's count is at least that of each of its windows, and one anchor serves some thirteen windows.
+   Whole texts are counted in the same sketch, by their hash.
    Partitions make sketches of two rows of cells (per document each anchor counts once; counts stop at 2), which are merged
    shard by shard on the executors. The driver gets one bit per cell, "2 or more": at most 2 * MOST_CELLS bits, whatever the
    corpus. A sketch overestimates only, so no repeated window is lost; where it is too full it only filters less.
 2. Second pass. Only windows whose anchor is estimated as repeated leave the scan, as 128-bit hashes, and are grouped exactly:
    the least doc_id of each window is aggregated map-side first, and joined back by a join that Spark can split when skewed.
+   Texts estimated as repeated are grouped exactly first: of equal texts only that with the least doc_id has its windows taken,
+   and the others lose all words, since each of their windows is in it too.
 3. The places found are gathered per document and joined to its text; one text with all its places is the largest unit.
 
 Cases: null text has no words; fewer than WINDOW words: nothing is removed; rows with the same doc_id don't remove each other's
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 
 from tracelode.llm import common as C
 
-WINDOW, GRAM = 50, 12
+WINDOW, GRAM = 50, 25
 #: Cells of one of the sketch's two rows: CELLS_PER_BYTE times the corpus, a power of two within these bounds.
 LEAST_CELLS, MOST_CELLS, CELLS_PER_BYTE = 1 << 16, 1 << 28, 1 / 20
 SHARD = 1 << 20
@@ -55,6 +58,18 @@ def _cells(anchor: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
     return (anchor & low).astype(np.int64), (anchor >> np.uint64(32) & low).astype(np.int64) + cells
 
 
+def _text_anchor(row: np.ndarray) -> np.ndarray:
+    """What a whole text is counted under, from its hash."""
+    return C.mix(row.view(np.uint64) ^ np.uint64(0x6A09E667F3BCC908))
+
+
+def _twice(bits: np.ndarray, anchor: np.ndarray, cells: int) -> np.ndarray:
+    out = np.ones(len(anchor), bool)
+    for cell in _cells(anchor, cells):
+        out &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
 def _partial(anchors: list[np.ndarray], cells: int) -> pa.RecordBatch:
     """Cells with a count of 1, and of 2 or more, by shard; stored as 1-bit counts and places within the shard."""
     both = np.concatenate(_cells(np.concatenate(anchors), cells)) if anchors else np.zeros(0, np.int64)
@@ -93,6 +108,8 @@ def sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[int
         held, n = [], 0
         for batch in batches:
             data, offs = C.flat(batch["text"])
+            held.append(_text_anchor(batch["row"].to_numpy(zero_copy_only=False)))
+            n += len(held[-1])
             for i, j in C.groups(offs):
                 *_, doc, anchor = _anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window, gram)
                 once = np.ones(len(anchor), bool)
@@ -107,27 +124,28 @@ def sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[int
         yield _partial(held, cells)
 
     shards = max(1, 2 * cells // SHARD)
-    found = docs.select("text").mapInArrow(parts, "shard int, cells binary").repartition(min(shards, C.tasks(docs.sparkSession)), "shard").sortWithinPartitions("shard")
+    found = docs.select("row", "text").mapInArrow(parts, "shard int, cells binary").repartition(min(shards, C.tasks(docs.sparkSession)), "shard").sortWithinPartitions("shard")
     bits = np.zeros(shards * SHARD // 8, np.uint8)
     for shard, b in found.mapInArrow(_merged, "shard int, bits binary").collect():  # at most 2 * MOST_CELLS bits
         bits[shard * (SHARD // 8) : (shard + 1) * (SHARD // 8)] = np.frombuffer(b, np.uint8)
     return cells, bits
 
 
-def candidates(docs: DataFrame, cells: int, bits, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(h1, h2, doc_id, row, place) of each window estimated as repeated. bits: a broadcast of sketch()'s bits."""
+def candidates(docs: DataFrame, cells: int, bits, window: int = WINDOW, gram: int = GRAM, copies: bool = False) -> DataFrame:
+    """(h1, h2, doc_id, row, place) of each window estimated as repeated; of texts that are estimated as repeated themselves only
+    with `copies`. bits: a broadcast of sketch()'s bits."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = bits.value
         for batch in batches:
+            if not copies:
+                batch = batch.filter(pa.array(~_twice(on, _text_anchor(batch["row"].to_numpy(zero_copy_only=False)), cells)))
             data, offs = C.flat(batch["text"])
             ids, rows = batch["doc_id"].to_numpy(zero_copy_only=False), batch["row"].to_numpy(zero_copy_only=False)
             for i, j in C.groups(offs):
                 body = data[offs[i] : offs[j]]
                 starts, ends, at, h, place, doc, anchor = _anchors(body, offs[i : j + 1] - offs[i], window, gram)
-                twice = np.ones(len(anchor), bool)
-                for cell in _cells(anchor, cells):
-                    twice &= (on[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+                twice = _twice(on, anchor, cells)
                 if twice.any():
                     place, doc = place[twice], doc[twice]
                     other = C.word_hashes(body, starts, ends, _SECOND)
@@ -137,15 +155,32 @@ def candidates(docs: DataFrame, cells: int, bits, window: int = WINDOW, gram: in
     return docs.select("doc_id", "row", "text").mapInArrow(found, "h1 long, h2 long, doc_id long, row long, place int")
 
 
+def maybe_copies(docs: DataFrame, cells: int, bits) -> DataFrame:
+    """Those of docs whose whole text is estimated as repeated."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_twice(bits.value, _text_anchor(batch["row"].to_numpy(zero_copy_only=False)), cells)))
+
+    return docs.mapInArrow(found, docs.schema)
+
+
 def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, row, places) of the windows that also start in a document with a smaller doc_id; row is a hash of the text."""
+    """(doc_id, row, copy, places) of the windows that also start in a document with a smaller doc_id; row is a hash of the
+    text. copy: the whole text is that of a smaller doc_id; places are those of the other documents."""
     C.bounded_batches(docs.sparkSession)
-    docs = docs.select(_last_id().alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    docs = docs.filter("text <> ''").select(_last_id().alias("doc_id"), F.xxhash64("text").alias("row"), F.xxhash64(F.lit(1), "text").alias("row2"), "text")
     cells, bits = sketch(docs, window, gram)
-    wins = candidates(docs, cells, docs.sparkSession.sparkContext.broadcast(bits), window, gram)
+    bits = docs.sparkSession.sparkContext.broadcast(bits)
+    copies = maybe_copies(docs, cells, bits)
+    leaders = copies.groupBy("row", "row2").agg(F.min("doc_id").alias("least"), F.min_by("text", "doc_id").alias("text"))
+    wins = candidates(docs, cells, bits, window, gram).unionByName(candidates(leaders.withColumnRenamed("least", "doc_id"), cells, bits, window, gram, copies=True))
     least = wins.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     hit = wins.withColumn("key", C.own_key("h1")).join(least.withColumn("key", C.own_key("h1")).drop("h1").hint("merge"), ["key", "h2"]).filter("doc_id > least")
-    return hit.groupBy("doc_id", "row").agg(F.collect_list("place").alias("places"))
+    places = hit.groupBy("doc_id", "row").agg(F.collect_list("place").alias("places")).withColumn("copy", F.lit(False))
+    first = leaders.select(C.own_key("row").alias("key"), "row2", "least")
+    later = copies.drop("text").withColumn("key", C.own_key("row")).join(first.hint("merge"), ["key", "row2"]).filter("doc_id > least")
+    return places.unionByName(later.select("doc_id", "row").distinct().withColumn("copy", F.lit(True)), allowMissingColumns=True)
 
 
 def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -153,16 +188,20 @@ def remove_repeats(docs: DataFrame, keep: tuple[str, ...] = (), window: int = WI
     none are left)."""
     carried = [c for c in dict.fromkeys(("doc_id", "text", *keep))]
     base = docs.select(*carried, _last_id().alias("_id"), F.xxhash64("text").alias("_row"))
-    places = repeated(docs, window, gram).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "places")
-    both = base.join(places.hint("merge"), ["_id", "_row"], "left").select(*carried, "places")
+    places = repeated(docs, window, gram).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "copy", "places")
+    both = base.join(places.hint("merge"), ["_id", "_row"], "left").select(*(base[c] for c in carried), F.coalesce(places["copy"], F.lit(False)).alias("_copy"), places["places"].alias("_places"))
     out = T.StructType([both.schema[c] for c in carried] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, gone, kept = [], [], []
-            for text, places in zip(C.blobs(batch["text"]), batch["places"]):
+            for text, copy, places in zip(C.blobs(batch["text"]), batch["_copy"].to_pylist(), batch["_places"]):
                 w = text.split()
                 n.append(len(w))
+                if copy and len(w) >= window:
+                    gone.append(len(w))
+                    kept.append(b"")
+                    continue
                 p = np.asarray(places.values) if places.is_valid else ()
                 if len(p):
                     depth = np.zeros(len(w) + 1, np.int64)
