@@ -1,0 +1,59 @@
+import zlib
+
+import numpy as np
+import pytest
+from tracelode.llm import common as C
+from tracelode.llm import quality as Q
+
+D, L = "doc_id long, text string, quality string, lang string", "doc_id long, quality int, toxic int, text string"
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.1"
+    got = {r.doc_id: r for r in Q.query(spark, d).collect()}
+    labels = {r.doc_id: r.quality for r in C.table(spark, d, "labels").collect()}
+    assert len(got) == C.table(spark, d, "documents").count()
+    assert all(r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for k, r in got.items())
+    mine = [(got[k].predicted, y) for k, y in labels.items() if k in got and got[k].held_out]
+    assert len(mine) > 500 and np.mean([p == y for p, y in mine]) > 0.97
+
+
+def test_cases(spark, monkeypatch):
+    monkeypatch.setattr(Q, "EPOCHS", 1)
+    rows = [(None, "no id"), (1, None), (2, ""), (3, "x"), (4, "word " * 60000), (5, "same"), (5, "same"), (6, "é" * 511), (7, "漢字" * 300)]
+    docs = spark.createDataFrame([(k, t, "clash", None) for k, t in rows], D)
+    labels = spark.createDataFrame([(k, k % 2, None, "clash") for k in range(1, 8)] + [(None, 1, 0, ""), (8, None, 1, ""), (3, 1, 0, "")], L)
+    for known in (labels, labels.filter("quality = 1"), labels.limit(0)):
+        out = Q.scored(docs.select("doc_id", "text"), Q.fit(docs, known)).collect()
+        assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+        assert len({r.score for r in out if r.doc_id == 5}) == 1
+    assert Q.scored(docs.limit(0), 0.5).count() == 0
+
+
+def test_pooling_covers_the_whole_text():
+    net = Q.Network()
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 7, 8, 9, 511, 512, 513, 1500, (1 << 18) + 301):
+        text = bytes(rng.integers(0, 256, n, dtype=np.uint8))
+        y = net.convolve(np.frombuffer(text.ljust(Q.WIDTH, b"\0"), np.uint8))
+        top, size = net.pool(text)
+        step = Q.HOP // Q.STRIDE
+        want = [y[k : k + 2 * step].max(0) for k in range(0, max(1, len(y) - step), step)]
+        assert np.allclose(top, want) and size.max() <= 2 * step
+        plain = [[sum(net.p["filters"][k, text.ljust(Q.WIDTH, b"\0")[i + k], f] for k in range(Q.WIDTH)) for f in range(2)] for i in range(0, max(1, n - Q.WIDTH + 1), Q.STRIDE)] if n < 600 else None
+        assert plain is None or np.allclose(np.array(plain), y[:, :2], atol=1e-4)
+
+
+def test_a_junk_passage_deep_in_a_text_counts():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+    clean = lambda n: " ".join(rng.choice(words, n))
+    rows = [(1, clean(200).encode()) for _ in range(150)] + [(0, (clean(100) + " $$$ %%% &&& " * 60).encode()) for _ in range(150)]
+    net = Q.train(rows, 0.5)
+    good, bad = net.score([clean(3000).encode(), (clean(1500) + " $$$ %%% &&& " * 2000).encode()])
+    assert good > 0.5 > bad
+
+
+@pytest.mark.parametrize("share", [0.2, 0.9])
+def test_constant_without_both_classes(share):
+    assert Q.train([(1, b"a")], share) == share and Q.train([], share) == 0.5

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import fingerprints, packing, repeats, simhash
+from tracelode.llm import fingerprints, packing, quality, repeats, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.query,
     "op3_repeats": repeats.query,
     "op5_simhash": simhash.query,
     "op9_fingerprints": fingerprints.query,
+    "op10_quality": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
