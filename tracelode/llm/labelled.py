@@ -22,10 +22,10 @@ def excerpt(text: bytes, most: int = EXCERPT, pieces: int = PIECES) -> bytes:
     return b"".join(text[int(i * step) : int(i * step) + size] for i in range(pieces))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int = 5, held_out: int = 0) -> tuple[list[tuple[int, bytes]], float]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int = 5, held_out: int = 0, most: int = EXCERPT) -> tuple[list[tuple[int, bytes]], float]:
     """At most per_class (label, text excerpt) of each class 0 and 1, and the share of class 1. Rows of the held-out fold, null
     labels and null ids are left out; which rows are taken depends on a hash of the id only. The driver gets at most
-    2 * per_class * EXCERPT bytes."""
+    2 * per_class * most bytes."""
     C.bounded_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (C.fold("doc_id", folds) != held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     counts = dict(known.groupBy("label").count().collect())
@@ -35,7 +35,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array([excerpt(t) for t in C.blobs(batch["text"])], pa.binary())], ["doc_id", "label", "text"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array([excerpt(t, most) for t in C.blobs(batch["text"])], pa.binary())], ["doc_id", "label", "text"])
 
     # the chosen rows are bounded by per_class, so they may be broadcast; equal ids can't make the sample larger than its bound
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(cut, "doc_id long, label int, text binary")
