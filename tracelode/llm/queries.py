@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import fingerprints, language, packing, quality, repeats, simhash, toxicity
+from tracelode.llm import fingerprints, html, language, packing, quality, repeats, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": simhash.query,
     "op6_toxicity": toxicity.query,
     "op7_language": language.query,
+    "op8_html": html.query,
     "op9_fingerprints": fingerprints.query,
     "op10_quality": quality.query,
 }
