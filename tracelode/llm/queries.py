@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import fingerprints, html, language, packing, quality, repeats, simhash, toxicity
+from tracelode.llm import decontamination, fingerprints, html, language, packing, quality, repeats, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.query,
     "op3_repeats": repeats.query,
+    "op4_decontamination": decontamination.query,
     "op5_simhash": simhash.query,
     "op6_toxicity": toxicity.query,
     "op7_language": language.query,
