@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import decontamination, fingerprints, html, language, packing, quality, repeats, simhash, toxicity
+from tracelode.llm import decontamination, fingerprints, html, language, lm_scoring, packing, quality, repeats, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": lm_scoring.query,
     "op2_packing": packing.query,
     "op3_repeats": repeats.query,
     "op4_decontamination": decontamination.query,
