@@ -19,6 +19,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_cases(spark, monkeypatch):
+    monkeypatch.setattr(Q, "LEAST_STEPS", 2)
     monkeypatch.setattr(Q, "EPOCHS", 1)
     rows = [(None, "no id"), (1, None), (2, ""), (3, "x"), (4, "word " * 60000), (5, "same"), (5, "same"), (6, "é" * 511), (7, "漢字" * 300)]
     docs = spark.createDataFrame([(k, t, "clash", None) for k, t in rows], D)

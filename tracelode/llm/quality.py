@@ -27,7 +27,7 @@ from tracelode.llm import common as C
 from tracelode.llm.labelled import sample
 
 FILTERS, WIDTH, STRIDE, CHUNK, HOP, HIDDEN = 48, 8, 2, 512, 256, 16
-PER_CLASS, EPOCHS, BATCH, RATE = 2500, 14, 32, 0.004
+PER_CLASS, EPOCHS, LEAST_STEPS, BATCH, RATE = 2500, 14, 500, 32, 0.004
 THRESHOLD = 0.3
 #: Part of the good documents that a step sees as a short cut of random place and length, so that short texts aren't taken for bad.
 CUT, SHORTEST, LONGEST = 0.3, 16, 240
@@ -102,7 +102,7 @@ def train(rows: list[tuple[int, bytes]], share: float, seed: int = 7) -> Network
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
     step = 0
     places = CHUNK // STRIDE
-    total = EPOCHS * max(1, len(texts) // BATCH)
+    total = max(LEAST_STEPS, EPOCHS * len(texts) // BATCH)
     while step < total:
         some = rng.choice(len(texts), min(BATCH, len(texts)), replace=False)
         chunks, doc = [], []
