@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelode.llm import common as C
@@ -61,15 +61,15 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, row, fp): a hash of the text, and the fingerprint as a signed long."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, size) for t in C.blobs(batch["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(fp)], ["doc_id", "row", "fp"])
 
     C.bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").mapInArrow(each, "doc_id long, row long, fp long")
 
 
 def forest(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
@@ -122,14 +122,25 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """(doc_id, fp, component_id) of every document."""
+    """(doc_id, row, fp, root, component_id) of every document; root is the same in a whole component and differs between any two."""
     fps = C.stored(fingerprints(docs, size), "simhash")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(classes.select("fp"), bits))
     with_root = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = with_root.select("fp", C.own_key("root").alias("key")).join(ids.select(C.own_key("root").alias("key"), "component_id"), "key").select(C.own_key("fp").alias("key"), "component_id")
-    return fps.withColumn("key", C.own_key("fp")).join(members, "key").select("doc_id", "fp", "component_id")
+    members = with_root.select("fp", "root", C.own_key("root").alias("key")).join(ids.select(C.own_key("root").alias("key"), "component_id"), "key").select(C.own_key("fp").alias("key"), "root", "component_id")
+    return fps.withColumn("key", C.own_key("fp")).join(members, "key").select("doc_id", "row", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """docs, with one document of each component left: that of the smallest doc_id (of several texts with this id: the one with the
+    least hash; of equal rows: one)."""
+    near = near_duplicates(docs, size, bits)
+    stay = near.filter("doc_id <=> component_id").groupBy("root").agg(F.first("doc_id").alias("_id"), F.min("row").alias("_row")).select("_id", "_row")
+    names = docs.columns
+    kept = docs.withColumn("_own", F.xxhash64("text")).alias("d").join(stay.alias("s"), F.expr("d._own = s._row and cast(d.doc_id as long) <=> s._id"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("_own", "doc_id").orderBy(F.lit(1)))
+    return kept.withColumn("_n", first).filter("_n = 1").select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
