@@ -6,13 +6,13 @@ Python: the plan is a projection, a generator, a projection, a generator and a f
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
-from tracelode.plans.catalogue import DEFAULT, Detector, Options, active
+from tracelode.plans.catalogue import DEFAULT, GUARDS, Detector, Hit, Options, active
 
 HIT = "array<struct<det: int, n: int, m: string, at: int, extra: string>>"
 FINDING = "array<struct<type: string, payload: array<string>, certainty: int, details: string, keyword: string>>"
@@ -26,27 +26,37 @@ def confidence(certainty: Column) -> Column:
 
 def _hits(s: Column, i: int, d: Detector, options: Options, first: Column | None) -> Column:
     none = F.array().cast(HIT)
+    hit = lambda x, n, extra: F.struct(F.lit(i).alias("det"), n.cast("int").alias("n"), x["m"].alias("m"), x["at"].alias("at"), extra.alias("extra"))
     if d.hits is not None:
-        found = d.hits(s, options)
-        out = F.transform(found, lambda x, n: F.struct(F.lit(i).alias("det"), n.cast("int").alias("n"), x["m"].alias("m"), x["at"].alias("at"), x["extra"].alias("extra")))
+        out = F.transform(d.hits(s, options), lambda x, n: hit(x, n, x["extra"]))
     else:
-        out = F.transform(T.matches(s, d.pattern), lambda x, n: F.struct(F.lit(i).alias("det"), n.cast("int").alias("n"), x["m"].alias("m"), x["at"].alias("at"), F.lit("").alias("extra")))
+        found = T.fixed_matches(s, d.pattern, d.size) if d.size else T.matches(s, d.pattern)
+        out = F.transform(found, lambda x, n: hit(x, n, F.lit("")))
     if d.guard is not None:
-        out = F.when(d.guard(s), out)
+        out = F.when(F.col(f"_guards.`{d.guard}`"), out)
     if d.anchored and first is not None:
         out = F.when(first, out)
     return F.coalesce(out.cast(HIT), none)
 
 
-def _findings(i: int, d: Detector, options: Options) -> Column:
-    m, extra = F.col("_hit.m"), F.col("_hit.extra")
+def _findings(d: Detector, options: Options) -> Column:
+    x = Hit(F.col("_hit.m"), F.col("_hit.extra"), F.col("_part"), F.col("_random"), F.col("_upper"))
     each = []
-    for e in d.emits(m, extra, options):
+    for e in d.emits(x, options):
         one = F.struct(F.lit(e.type).alias("type"), F.array(*e.payload).alias("payload"), e.certainty.cast("int").alias("certainty"), e.details.alias("details"), (e.keyword if e.keyword is not None else F.lit(None).cast("string")).alias("keyword"))
         each.append(F.when(e.when, one) if e.when is not None else one)
     return F.filter(F.array(*each), lambda x: x.isNotNull()).cast(FINDING)
 
 
+def _by_detector(chosen: list[tuple[int, Detector]], value: Callable[[Detector], Column | None], otherwise: Column) -> Column:
+    out = None
+    for i, d in chosen:
+        v = value(d)
+        if v is not None:
+            out = F.when(F.col("_hit.det") == i, v) if out is None else out.when(F.col("_hit.det") == i, v)
+    return otherwise if out is None else out.otherwise(otherwise)
+
+
 def scan(
     df: DataFrame, text: str = "text", ids: Sequence[str] = (), filters: Sequence[str] = DEFAULT, min_certainty: int = 0, strict: bool = False, extended: bool = False,
     base_offset: str | None = None, detectors: Sequence[str] | None = None, created_on: bool = False,
@@ -64,16 +74,13 @@ def scan(
     base = F.col(base_offset).cast("bigint") if base_offset else F.lit(0).cast("bigint")
     first = base == 0 if base_offset and not strict else None
     carried = [F.col(c) for c in ids]
-    if not chosen:
-        hits = F.array().cast(HIT)
-    else:
-        hits = F.concat(*[_hits(s, i, d, options, first) for i, d in chosen]) if len(chosen) > 1 else _hits(s, *chosen[0], options, first)
-    rows = df.filter(s.isNotNull()).select(*carried, base.alias("_base"), F.explode(hits).alias("_hit"))
-    found = None
-    for i, d in chosen:
-        here = _findings(i, d, options)
-        found = F.when(F.col("_hit.det") == i, here) if found is None else found.when(F.col("_hit.det") == i, here)
-    found = F.array().cast(FINDING) if found is None else found
+    hits = [_hits(s, i, d, options, first) for i, d in chosen] or [F.array().cast(HIT)]
+    names = sorted({d.guard for _, d in chosen if d.guard})
+    guards = F.struct(*[GUARDS[g](s).alias(g) for g in names]) if names else F.lit(None)
+    rows = df.filter(s.isNotNull()).withColumn("_guards", guards).select(*carried, base.alias("_base"), F.explode(F.concat(*hits) if len(hits) > 1 else hits[0]).alias("_hit"))
+    rows = rows.withColumn("_part", _by_detector(chosen, lambda d: d.scored(F.col("_hit.m")) if d.scored else None, F.col("_hit.m")))
+    rows = rows.withColumn("_random", T.random_looking(F.col("_part"))).withColumn("_upper", T.upper_or_digits(F.col("_part")))
+    found = _by_detector(chosen, lambda d: _findings(d, options), F.array().cast(FINDING))
     out = rows.select(*carried, "_base", "_hit", F.explode(found).alias("_f")).filter(F.col("_f.certainty") >= min_certainty)
     shift = F.lit(0) if strict else F.col("_base")
     columns = [

@@ -1,7 +1,8 @@
 """The detectors: what each looks for, under which categories, and how its hits are scored.
 
-A detector is a pattern (or an expression for its hits), a cheap guard that spares texts without a trace of it, and the findings
-that a hit gives. Hits of all detectors are exploded once; findings are scored on the rows, so that only hits cost anything.
+A detector is a pattern (or an expression for its hits), the name of a cheap guard that spares texts without a trace of it, and the
+findings that a hit gives. Guards are worked out once per text for all detectors; hits of all detectors are exploded once; findings
+are scored on the rows, with one entropy per hit, so that only hits cost anything.
 """
 
 from __future__ import annotations
@@ -26,6 +27,17 @@ class Options:
     extended: bool = False
 
 
+@dataclass(frozen=True)
+class Hit:
+    """A match, what its hits expression adds, its scored part, whether that looks random, and whether it is upper case or digits."""
+
+    m: Column
+    extra: Column
+    part: Column
+    random: Column
+    upper: Column
+
+
 @dataclass(frozen=True)
 class Emit:
     """One finding of a hit: nothing if `when` is false."""
@@ -45,8 +57,10 @@ class Detector:
     categories: tuple[str, ...]
     most: int  # the largest certainty it can give
     pattern: str | None
-    emits: Callable[[Column, Column, Options], list[Emit]]  # (match, extra, options)
-    guard: Callable[[Column], Column] | None = None
+    emits: Callable[[Hit, Options], list[Emit]]
+    guard: str | None = None
+    scored: Callable[[Column], Column] | None = None  # the part of a match whose entropy counts; the whole if None
+    size: int | None = None  # of all matches, where it is fixed
     hits: Callable[[Column, Options], Column] | None = None  # array<struct<m, at, extra>>
     anchored: bool = False
     about: str = ""
@@ -74,33 +88,49 @@ def _scored(base: int, *rules: tuple[Column, int]) -> Column:
 
 
 def _digest(name: str, size: int, base: int, boosted: int, label: str) -> Detector:
-    def emits(m: Column, extra: Column, o: Options) -> list[Emit]:
-        return [Emit(name, [m], _scored(base, (T.random_looking(m), boosted)) if boosted > base else F.lit(base), _say(label + ": {}", m))]
+    def emits(x: Hit, o: Options) -> list[Emit]:
+        return [Emit(name, [x.m], _scored(base, (x.random, boosted)) if boosted > base else F.lit(base), _say(label + ": {}", x.m))]
 
-    return Detector(name, (name,), ("crypto", "other"), boosted, f"{_L}{H}{{{size}}}{_R}", emits, _long_hex(size), about=f"{size} hex digits")
+    return Detector(name, (name,), ("crypto", "other"), boosted, f"{_L}{H}{{{size}}}{_R}", emits, "hex", size=size, about=f"{size} hex digits")
+
+
+#: Words that make a line worth reading, and beginnings that speak against a secret.
+SECRET_WORDS = ("pass", "key", "security")
+SECRET_PITFALLS = ("/", "-", "keystore_", "{{", "$", "secret", "configmap", "[", "true", "false")
 
 
-def _long_hex(n: int) -> Callable[[Column], Column]:
-    return lambda s: s.rlike(f"{H}{{{n}}}")
+def any_case(word: str) -> str:
+    """A pattern for an ASCII word in upper or lower case."""
+    return "".join(f"[{c.upper()}{c}]" for c in word)
 
 
-def _contains(x: str) -> Callable[[Column], Column]:
-    return lambda s: s.contains(x)
+#: Guards by name; each is a test of the text that must hold if a detector with this guard can match.
+GUARDS: dict[str, Callable[[Column], Column]] = {
+    "hex": lambda s: s.rlike(f"{T.HEX}{{16}}"),
+    "run": lambda s: s.rlike(f"{T.CRYPT}{{31}}"),
+    "digits": lambda s: s.rlike("[0-9]"),
+    "secret": lambda s: s.rlike("|".join(map(any_case, SECRET_WORDS))),
+    "eyJ": lambda s: s.contains("eyJ"),
+    "=": lambda s: s.contains("="),
+    "://": lambda s: s.contains("://"),
+    "0x": lambda s: s.contains("0x"),
+    "$": lambda s: s.contains("$"),
+    "-": lambda s: s.contains("-") & s.rlike(f"-{T.HEX}{{4}}-"),
+    "sha": lambda s: s.startswith("sha"),
+    "base64": lambda s: s.rlike(r"\A[A-Za-z0-9+/]+={0,2}\n?\z"),
+}
 
 
 # Tokens, secrets, cookies
 
 
-def _jwt(m: Column, extra: Column, o: Options) -> list[Emit]:
-    parts = F.split(m, r"\.")
+def _jwt(x: Hit, o: Options) -> list[Emit]:
+    m, parts = x.m, F.split(x.m, r"\.")
     head, body = T.base64_text(parts[0]), T.base64_text(parts[1])
     ok = m.startswith("eyJ") & T.base64_length_ok(parts[0]) & T.base64_length_ok(parts[1]) & T.printable(F.coalesce(head, F.lit("\x00")))
     return [Emit("jwt", [m], F.lit(85), _say("JSON web token, header {}, payload {}, signature {}", parts[0], F.coalesce(body, F.lit("")), parts[2]), ok)]
 
 
-#: Words that make a line worth reading, and beginnings that speak against a secret.
-SECRET_WORDS = ("pass", "key", "security")
-SECRET_PITFALLS = ("/", "-", "keystore_", "{{", "$", "secret", "configmap", "[", "true", "false")
 #: A line ends at a line break or at a backslash followed by n.
 _LINE = r"(?:(?!\\n)[^\r\n])+"
 _SEGMENT = "[^=|:]+"
@@ -108,40 +138,41 @@ _SEGMENT = "[^=|:]+"
 
 def _secret_hits(s: Column, o: Options) -> Column:
     def of_line(line: Column) -> Column:
-        low = F.lower(line["m"])
-        words = F.concat_ws(",", *[F.when(low.contains(w), F.lit(w)) for w in SECRET_WORDS])
+        words = F.concat_ws(",", *[F.when(line["m"].rlike(any_case(w)), F.lit(w)) for w in SECRET_WORDS])
         shift = F.lit(0) if o.strict else line["at"]
-        return F.when(low.rlike("|".join(SECRET_WORDS)), F.transform(T.matches(line["m"], _SEGMENT), lambda x: F.struct(x["m"].alias("m"), (x["at"] + shift).alias("at"), words.alias("extra"))))
+        return F.when(words != "", F.transform(T.matches(line["m"], _SEGMENT), lambda x: F.struct(x["m"].alias("m"), (x["at"] + shift).alias("at"), words.alias("extra"))))
 
     none = F.array().cast("array<struct<m: string, at: int, extra: string>>")
     return F.flatten(F.transform(T.matches(s, _LINE), lambda line: F.coalesce(of_line(line), none)))
 
 
-def _secret(m: Column, extra: Column, o: Options) -> list[Emit]:
+def _secret(x: Hit, o: Options) -> list[Emit]:
+    m = x.m
     bare = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(m, r'\A"+|"+\z', ""), r"\A'+|'+\z", ""), r"\A[ \t-\r]+|[ \t-\r]+\z", ""))
     pitfall = F.lit(False)
     for p in SECRET_PITFALLS:
         pitfall = pitfall | bare.startswith(p)
-    certainty = F.lit(45) - F.when(pitfall, 25).otherwise(0) + F.when(T.random_looking(m), 40).otherwise(0)
-    return [Emit("secret", [m], certainty, _say("Secret near the word {}: {}", F.lit(w), m), F.array_contains(F.split(extra, ","), w), F.lit(w)) for w in SECRET_WORDS]
+    certainty = F.lit(45) - F.when(pitfall, 25).otherwise(0) + F.when(x.random, 40).otherwise(0)
+    return [Emit("secret", [m], certainty, _say("Secret near the word {}: {}", F.lit(w), m), F.array_contains(F.split(x.extra, ","), w), F.lit(w)) for w in SECRET_WORDS]
 
 
 #: Parts of names of known session cookies, in lower case.
 SESSION_COOKIES = ("_utm", "apsession", "sessionid", "web_session")
 
 
-def _cookie(m: Column, extra: Column, o: Options) -> list[Emit]:
-    name, value = _part(m, r"\A;?([^=]+)="), _part(m, r"\A[^=]+=([\s\S]*)\z")
-    known = F.lower(name).rlike("|".join(SESSION_COOKIES)) & T.random_looking(value)
+def _cookie(x: Hit, o: Options) -> list[Emit]:
+    name, value = _part(x.m, r"\A;?([^=]+)="), x.part
+    known = F.lower(name).rlike("|".join(SESSION_COOKIES)) & x.random
     return [Emit("web-cookie", [name, value], _scored(45, (known, 85)), _say("Cookie {} with value {}", name, value))]
 
 
-def _md5(m: Column, extra: Column, o: Options) -> list[Emit]:
-    r = T.random_looking(m)
+def _md5(x: Hit, o: Options) -> list[Emit]:
+    m, r = x.m, x.random
     return [Emit("md4", [m], _scored(10, (r, 30)), _say("MD4 digest: {}", m)), Emit("md5", [m], _scored(10, (r, 80)), _say("MD5 digest: {}", m))]
 
 
-def _url(m: Column, extra: Column, o: Options) -> list[Emit]:
+def _url(x: Hit, o: Options) -> list[Emit]:
+    m = x.m
     host, path = _part(m, r"://([^/]*)"), _part(m, r"://[^/]*(/[\s\S]*)\z")
     return [Emit("URL", [m], _scored(70, (path != "", 90)), _say("URL {}: scheme {}, host {}, path {}", m, F.lower(_part(m, r"\A([^:]+):")), host, path), host != "")]
 
@@ -149,8 +180,9 @@ def _url(m: Column, extra: Column, o: Options) -> list[Emit]:
 _SEP = r"[-.\s]?"
 
 
-def _phone(m: Column, extra: Column, o: Options) -> list[Emit]:
+def _phone(x: Hit, o: Options) -> list[Emit]:
     ten, seven, area = rf"[0-9]{{3}}{_SEP}[0-9]{{3}}{_SEP}[0-9]{{4}}", rf"[0-9]{{3}}{_SEP}[0-9]{{4}}", rf"\([0-9]{{3}}\)\s*[0-9]{{3}}{_SEP}[0-9]{{4}}"
+    m = x.m
     number = _part(m, f"{ten}|{area}|{seven}", 0)
     sure = m.rlike(rf"\A(?:\+{ten}|{area}|{seven}[^0-9])") if "personal" in o.filters else F.lit(False)
     return [Emit("phone", [number], _scored(40, (sure, 55)), _say("Phone number: {}", number))]
@@ -167,7 +199,8 @@ BRANDS = (
 )
 
 
-def _credit(m: Column, extra: Column, o: Options) -> list[Emit]:
+def _credit(x: Hit, o: Options) -> list[Emit]:
+    m = x.m
     number, brand = m, F.lit("unknown brand")
     for name, shape in reversed(BRANDS):
         number, brand = F.when(m.rlike(shape), _part(m, shape, 0)).otherwise(number), F.when(m.rlike(shape), F.lit(name)).otherwise(brand)
@@ -178,38 +211,38 @@ def _credit(m: Column, extra: Column, o: Options) -> list[Emit]:
 
 
 def _mssql(name: str, size: int, label: str) -> Detector:
-    def emits(m: Column, extra: Column, o: Options) -> list[Emit]:
-        body = F.regexp_replace(m, r"\A0x0100", "")
+    def emits(x: Hit, o: Options) -> list[Emit]:
+        m, body = x.m, x.part
         cuts = [F.substring(body, 1, 8), F.substring(body, 9, 40), *([F.substring(body, 49, 40)] if size == 88 else [])]
-        rules = [(m.startswith("0x"), 95), *([(T.random_looking(body), 75)] if size == 48 else [])]
+        rules = [(m.startswith("0x"), 95), *([(x.random, 75)] if size == 48 else [])]
         return [Emit(name, cuts, _scored(55, *rules), _say(label + ", salt {}, hashes {}", cuts[0], F.concat_ws(" ", *cuts[1:])))]
 
-    return Detector(name, (name,), ("db", "crypto", "secrets"), 95, f"{_L}(?:0x0100)?{H}{{{size}}}{_R if size == 48 else ''}", emits, _long_hex(size), about=f"optional 0x0100 header, {size} hex digits")
+    return Detector(name, (name,), ("db", "crypto", "secrets"), 95, f"{_L}(?:0x0100)?{H}{{{size}}}{_R if size == 48 else ''}", emits, "hex", lambda m: F.regexp_replace(m, r"\A0x0100", ""), about=f"optional 0x0100 header, {size} hex digits")
 
 
-def _lm(m: Column, extra: Column, o: Options) -> list[Emit]:
-    upper = T.upper_or_digits(m)
-    c = _scored(50, (upper & T.random_looking(m), 80), (upper, 60))
+def _lm(x: Hit, o: Options) -> list[Emit]:
+    m, c = x.m, _scored(50, (x.upper & x.random, 80), (x.upper, 60))
     return [Emit("lm", [m], c, _say("LM hash: {}", m)), Emit("ntlm", [m], c, _say("NTLM hash: {}", m))]
 
 
-def _mysql4(m: Column, extra: Column, o: Options) -> list[Emit]:
-    h = F.regexp_replace(m, r"\A\*", "")
-    return [Emit("MySQL4+", [h], _scored(50, (m.startswith("*") & T.upper_or_digits(h) & T.random_looking(h), 80)), _say("MySQL 4 or later: {}", h))]
+def _mysql4(x: Hit, o: Options) -> list[Emit]:
+    h = x.part
+    return [Emit("MySQL4+", [h], _scored(50, (x.m.startswith("*") & x.upper & x.random, 80)), _say("MySQL 4 or later: {}", h))]
 
 
-def _mysql323(m: Column, extra: Column, o: Options) -> list[Emit]:
+def _mysql323(x: Hit, o: Options) -> list[Emit]:
+    m = x.m
     return [Emit("MySQL323", [m], F.lit(40), _say("MySQL 3.23 or earlier: {}", m))]
 
 
 def _base64_hits(s: Column, o: Options) -> Column:
     """The whole text (without one final line break) is padded base64."""
     bare = F.regexp_replace(s, r"\n\z", "")
-    ok = bare.rlike(r"\A[A-Za-z0-9+/]+={0,2}\z") & (F.length(bare) % 4 == 0)
-    return F.when(ok, F.array(F.struct(bare.alias("m"), F.lit(0).alias("at"), F.lit("").alias("extra"))))
+    return F.when(F.length(bare) % 4 == 0, F.array(F.struct(bare.alias("m"), F.lit(0).alias("at"), F.lit("").alias("extra"))))
 
 
-def _base64(m: Column, extra: Column, o: Options) -> list[Emit]:
+def _base64(x: Hit, o: Options) -> list[Emit]:
+    m = x.m
     return [Emit("base64", [m], _scored(40, (m.endswith("="), 80)), _say("Base64 of: {}", F.coalesce(T.base64_text(m), F.lit(""))))]
 
 
@@ -217,26 +250,24 @@ _ACCOUNT = rf"(?:{W}+:[0-9]+:)?"
 _PREFIX = rf"\A{W}+:[0-9]+:"
 
 
-def _sam_ntlm(m: Column, extra: Column, o: Options) -> list[Emit]:
-    h = F.right(m, F.lit(32))
-    sure = T.upper_or_digits(h) & T.random_looking(h)
+def _sam_ntlm(x: Hit, o: Options) -> list[Emit]:
+    m, h, sure = x.m, x.part, x.upper & x.random
     return [Emit("SAM(*:ntlm)", [h], _scored(40, (sure & m.rlike(_PREFIX), 85), (sure, 70)), _say("SAM entry without LM hash, NTLM: {}", h), F.lit(not o.strict))]
 
 
-def _sam_lm(m: Column, extra: Column, o: Options) -> list[Emit]:
-    h = _part(m, rf"({H}{{32}}):\*\z")
-    r = T.random_looking(h)
-    return [Emit("SAM(lm:*)", [h], _scored(40, (T.upper_or_digits(h) & r, 70), (r, 85)), _say("SAM entry without NTLM hash, LM: {}", h))]
+def _sam_lm(x: Hit, o: Options) -> list[Emit]:
+    h = x.part
+    return [Emit("SAM(lm:*)", [h], _scored(40, (x.upper & x.random, 70), (x.random, 85)), _say("SAM entry without NTLM hash, LM: {}", h))]
 
 
-def _sam_both(m: Column, extra: Column, o: Options) -> list[Emit]:
-    lm, ntlm = _part(m, rf"({H}{{32}}):{H}{{32}}\z"), F.right(m, F.lit(32))
-    sure = m.rlike(_PREFIX) & T.random_looking(lm) & T.random_looking(ntlm)
+def _sam_both(x: Hit, o: Options) -> list[Emit]:
+    m, lm, ntlm = x.m, x.part, F.right(x.m, F.lit(32))
+    sure = m.rlike(_PREFIX) & x.random & T.random_looking(ntlm)
     return [Emit("SAM(lm:ntlm)", [lm, ntlm], _scored(50, (sure & T.upper_or_digits(F.concat(lm, ntlm)), 90), (sure, 80)), _say("SAM entry, LM: {}, NTLM: {}", lm, ntlm))]
 
 
-def _sha512(m: Column, extra: Column, o: Options) -> list[Emit]:
-    r = T.random_looking(m)
+def _sha512(x: Hit, o: Options) -> list[Emit]:
+    m, r = x.m, x.random
     return [Emit("sha512", [m], _scored(15, (r, 65)), _say("SHA-512 digest: {}", m)), Emit("whirlpool", [m], _scored(5, (r, 20)), _say("Whirlpool digest: {}", m))]
 
 
@@ -244,8 +275,8 @@ def _sha512(m: Column, extra: Column, o: Options) -> list[Emit]:
 CRC_FAMILIES = {1: "CRC-1 or CRC-4", 2: "CRC-4 to CRC-8", 3: "CRC-10, CRC-11 or CRC-12", 4: "CRC-15 or CRC-16", 6: "CRC-24", 8: "CRC-30 or CRC-32", 10: "CRC-40", 16: "CRC-64"}
 
 
-def _crc(m: Column, extra: Column, o: Options) -> list[Emit]:
-    digits = F.substring(m, 3, 16)
+def _crc(x: Hit, o: Options) -> list[Emit]:
+    digits = F.substring(x.m, 3, 16)
     n, family = F.length(digits), F.lit("of no known length")
     for k, name in CRC_FAMILIES.items():
         family = F.when(n == k, F.lit(name)).otherwise(family)
@@ -255,41 +286,47 @@ def _crc(m: Column, extra: Column, o: Options) -> list[Emit]:
 # Unix and web accounts
 
 
-def _des(m: Column, extra: Column, o: Options) -> list[Emit]:
-    salt, h = F.substring(m, 1, 2), F.substring(m, 3, 11)
+def _des_hits(s: Column, o: Options) -> Column:
+    """Runs of exactly 13 characters, no $ before: found with the character before them, which the text is given at its start too."""
+    found = T.fixed_matches(F.concat(F.lit(" "), s), f"[^A-Za-z0-9./$]{C}{{13}}(?!{C})", 14)
+    return F.transform(found, lambda x: F.struct(F.substring(x["m"], 2, 13).alias("m"), x["at"].alias("at"), F.lit("").alias("extra")))
+
+
+def _des(x: Hit, o: Options) -> list[Emit]:
+    salt, h = F.substring(x.m, 1, 2), F.substring(x.m, 3, 11)
     return [Emit("des-salt-unix", [salt, h], F.lit(80 if o.filters == ("unix",) else 55), _say("Unix DES, salt {}, hash {}", salt, h))]
 
 
 def _django(name: str, algorithm: str, salted: bool, salt: str, size: int) -> Detector:
     shape = rf"\A{algorithm}\${salt + '+' if salted else ''}\${C}{{{size}}}(?=\n?\z)"
 
-    def emits(m: Column, extra: Column, o: Options) -> list[Emit]:
-        s, h = _part(m, r"\A[^$]+\$([^$]*)\$"), F.right(m, F.lit(size))
+    def emits(x: Hit, o: Options) -> list[Emit]:
+        s, h = _part(x.m, r"\A[^$]+\$([^$]*)\$"), F.right(x.m, F.lit(size))
         when = ~s.contains("/") if o.strict and salted else None
         return [Emit(name, [s, h] if salted else [h], F.lit(65), _say("Django account, salt {}, hash {}", s, h), when)]
 
-    return Detector(name, (name,), ("crypto", "web"), 65, shape, emits, lambda s: s.startswith("sha"), anchored=True, about=f"the whole text is {algorithm}, a salt or none, and {size} characters")
+    return Detector(name, (name,), ("crypto", "web"), 65, shape, emits, "sha", anchored=True, about=f"the whole text is {algorithm}, a salt or none, and {size} characters")
 
 
 def _crypt(name: str, mark: str, salt: str, size: int, base: int, boosted: int, categories: tuple[str, ...], label: str, before: str = "") -> Detector:
-    def emits(m: Column, extra: Column, o: Options) -> list[Emit]:
-        s, h = _part(m, rf"({C}+)\${C}{{{size}}}\z"), F.right(m, F.lit(size))
-        return [Emit(name, [s, h], _scored(base, (T.random_looking(h), boosted)) if boosted > base else F.lit(base), _say(label + ", salt {}, hash {}", s, h))]
+    def emits(x: Hit, o: Options) -> list[Emit]:
+        s, h = _part(x.m, rf"({C}+)\${C}{{{size}}}\z"), x.part
+        return [Emit(name, [s, h], _scored(base, (x.random, boosted)) if boosted > base else F.lit(base), _say(label + ", salt {}, hash {}", s, h))]
 
-    return Detector(name, (name,), categories, boosted, rf"{before}{mark}{C}{{{salt}}}\${C}{{{size}}}(?!{C})", emits, _contains("$"), about=f"{label}: salt of {salt}, hash of {size}")
+    return Detector(name, (name,), categories, boosted, rf"{before}{mark}{C}{{{salt}}}\${C}{{{size}}}(?!{C})", emits, "$", lambda m: F.right(m, F.lit(size)), about=f"{label}: salt of {salt}, hash of {size}")
 
 
 _RUN = "(?<![A-Za-z0-9.])"
 
 
 def _run31(name: str, label: str) -> Detector:
-    return Detector(name, (name,), ("crypto", "web"), 45, f"{_RUN}{C}{{31}}(?![A-Za-z0-9.=/])", lambda m, extra, o: [Emit(name, [m], F.lit(45), _say(label + ": {}", m))], lambda s: s.rlike(f"{C}{{31}}"), about="31 characters of a crypt hash")
+    return Detector(name, (name,), ("crypto", "web"), 45, f"{_RUN}{C}{{31}}(?![A-Za-z0-9.=/])", lambda x, o: [Emit(name, [x.m], F.lit(45), _say(label + ": {}", x.m))], "run", size=31, about="31 characters of a crypt hash")
 
 
 def _joomla(version: int) -> Callable[[Column, Column, Options], list[Emit]]:
-    def emits(m: Column, extra: Column, o: Options) -> list[Emit]:
-        h, salt = F.substring(m, 1, 32), F.substring(m, 34, 32)
-        lower, salted = h.rlike(r"\A[a-z0-9./]*\z"), m.contains(":") if o.extended else F.lit(False)
+    def emits(x: Hit, o: Options) -> list[Emit]:
+        h, salt = F.substring(x.m, 1, 32), F.substring(x.m, 34, 32)
+        lower, salted = h.rlike(r"\A[a-z0-9./]*\z"), x.m.contains(":") if o.extended else F.lit(False)
         bare = Emit(f"md5-joomla{version}", [h], F.lit(45 if version == 1 else 50), _say("Joomla {} account, hash {}", F.lit(version), h), lower & ~salted & F.lit(version == 1 or o.extended))
         return [Emit(f"md5-salt-joomla{version}", [h, salt], F.lit(85), _say("Joomla {} account, hash {}, salt {}", F.lit(version), h, salt), lower & salted), bare]
 
@@ -300,7 +337,8 @@ def _joomla(version: int) -> Callable[[Column, Column, Options], list[Emit]]:
 UUID_VERSIONS = {"1": "from time and MAC address", "2": "DCE security", "3": "from an MD5 hash", "4": "random", "5": "from a SHA-1 hash"}
 
 
-def _uuid(m: Column, extra: Column, o: Options) -> list[Emit]:
+def _uuid(x: Hit, o: Options) -> list[Emit]:
+    m = x.m
     version, variant = F.substring(m, 15, 1), F.lower(F.substring(m, 20, 1))
     known = version.isin("1", "2", "3", "5") | (version == "4") & variant.isin("8", "9", "a", "b")
     kind = F.lit("of unknown version")
@@ -311,30 +349,30 @@ def _uuid(m: Column, extra: Column, o: Options) -> list[Emit]:
 
 _ID = "[A-Za-z0-9_-]"
 CATALOGUE: tuple[Detector, ...] = (
-    Detector("jwt", ("jwt",), ("web", "crypto", "secrets"), 85, rf"{_ID}++\.{_ID}++\.{_ID}*+", _jwt, _contains("eyJ"), about="three dotted base64url parts, the last may be empty"),
-    Detector("secret", ("secret",), ("crypto", "secrets"), 85, None, _secret, lambda s: F.lower(s).rlike("|".join(SECRET_WORDS)), _secret_hits, about="parts of lines that mention a password, key or security"),
-    Detector("web-cookie", ("web-cookie",), ("web", "crypto"), 85, r";?+[A-Za-z0-9_:|\-$&%#@]++=[^;\s]++", _cookie, _contains("="), about="name=value"),
-    Detector("md5", ("md4", "md5"), ("web", "unix", "crypto", "other"), 80, f"{H}{{32}}", _md5, _long_hex(32), about="32 hex digits, also within longer runs"),
-    Detector("URL", ("URL",), ("web", "personal", "other"), 90, rf"(?<![A-Za-z0-9])[A-Za-z0-9]++://{C}+{T.EDGE}", _url, _contains("://"), about="scheme://host/path"),
-    Detector("phone", ("phone",), ("web", "personal", "other"), 55, rf"[^0-9][0-9]{{3}}{_SEP}[0-9]{{3}}{_SEP}[0-9]{{4}}|\([0-9]{{3}}\)\s*[0-9]{{3}}{_SEP}[0-9]{{4}}|[0-9]{{3}}{_SEP}[0-9]{{4}}[^0-9]", _phone, lambda s: s.rlike("[0-9]{4}"), about="ten digits after, or seven before, something else; area code in brackets"),
-    Detector("credit", ("credit",), ("personal",), 45, rf"{_L}(?:[0-9][ -]*?){{13,16}}{T.EDGE}", _credit, lambda s: s.rlike("(?:[0-9][ -]*+){13}"), about="13 to 16 digits with blanks or dashes"),
+    Detector("jwt", ("jwt",), ("web", "crypto", "secrets"), 85, rf"{_ID}++\.{_ID}++\.{_ID}*+", _jwt, "eyJ", about="three dotted base64url parts, the last may be empty"),
+    Detector("secret", ("secret",), ("crypto", "secrets"), 85, None, _secret, "secret", hits=_secret_hits, about="parts of lines that mention a password, key or security"),
+    Detector("web-cookie", ("web-cookie",), ("web", "crypto"), 85, r";?+[A-Za-z0-9_:|\-$&%#@]++=[^;\s]++", _cookie, "=", lambda m: _part(m, r"\A[^=]+=([\s\S]*)\z"), about="name=value"),
+    Detector("md5", ("md4", "md5"), ("web", "unix", "crypto", "other"), 80, f"{H}{{32}}", _md5, "hex", size=32, about="32 hex digits, also within longer runs"),
+    Detector("URL", ("URL",), ("web", "personal", "other"), 90, rf"(?<![A-Za-z0-9])[A-Za-z0-9]++://{C}+{T.EDGE}", _url, "://", about="scheme://host/path"),
+    Detector("phone", ("phone",), ("web", "personal", "other"), 55, rf"[^0-9][0-9]{{3}}{_SEP}[0-9]{{3}}{_SEP}[0-9]{{4}}|\([0-9]{{3}}\)\s*[0-9]{{3}}{_SEP}[0-9]{{4}}|[0-9]{{3}}{_SEP}[0-9]{{4}}[^0-9]", _phone, "digits", about="ten digits after, or seven before, something else; area code in brackets"),
+    Detector("credit", ("credit",), ("personal",), 45, rf"{_L}(?:[0-9][ -]*?){{13,16}}{T.EDGE}", _credit, "digits", about="13 to 16 digits with blanks or dashes"),
     _mssql("mssql2005", 48, "Microsoft SQL Server 2005"),
     _mssql("mssql2000", 88, "Microsoft SQL Server 2000"),
-    Detector("lm", ("lm", "ntlm"), ("win", "crypto", "secrets"), 80, f"(?<!{H}){H}{{32}}(?!{H})", _lm, _long_hex(32), about="exactly 32 hex digits"),
-    Detector("MySQL4+", ("MySQL4+",), ("db", "crypto", "secrets"), 80, rf"(?:(?<={W})\*|{_L}){H}{{40}}{_R}", _mysql4, _long_hex(40), about="40 hex digits, optionally after *"),
-    Detector("MySQL323", ("MySQL323",), ("db", "crypto", "secrets"), 40, f"{_L}{H}{{16}}{_R}", _mysql323, _long_hex(16), about="16 hex digits"),
-    Detector("base64", ("base64",), ("other",), 80, None, _base64, None, _base64_hits, anchored=True, about="the whole text is padded base64"),
-    Detector("SAM(*:ntlm)", ("SAM(*:ntlm)",), ("win", "crypto"), 85, rf"\A{_ACCOUNT}\*?:{H}{{32}}(?!{H})", _sam_ntlm, _long_hex(32), anchored=True, about="account without LM hash"),
-    Detector("SAM(lm:*)", ("SAM(lm:*)",), ("win", "crypto", "secrets"), 85, rf"\A{_ACCOUNT}{H}{{32}}:\*", _sam_lm, _long_hex(32), anchored=True, about="account without NTLM hash"),
-    Detector("SAM(lm:ntlm)", ("SAM(lm:ntlm)",), ("win", "crypto", "secrets"), 90, rf"\A{_ACCOUNT}{H}{{32}}:{H}{{32}}{_R}", _sam_both, _long_hex(32), anchored=True, about="account with both hashes"),
+    Detector("lm", ("lm", "ntlm"), ("win", "crypto", "secrets"), 80, f"(?<!{H}){H}{{32}}(?!{H})", _lm, "hex", size=32, about="exactly 32 hex digits"),
+    Detector("MySQL4+", ("MySQL4+",), ("db", "crypto", "secrets"), 80, rf"(?:(?<={W})\*|{_L}){H}{{40}}{_R}", _mysql4, "hex", lambda m: F.regexp_replace(m, r"\A\*", ""), about="40 hex digits, optionally after *"),
+    Detector("MySQL323", ("MySQL323",), ("db", "crypto", "secrets"), 40, f"{_L}{H}{{16}}{_R}", _mysql323, "hex", size=16, about="16 hex digits"),
+    Detector("base64", ("base64",), ("other",), 80, None, _base64, "base64", hits=_base64_hits, anchored=True, about="the whole text is padded base64"),
+    Detector("SAM(*:ntlm)", ("SAM(*:ntlm)",), ("win", "crypto"), 85, rf"\A{_ACCOUNT}\*?:{H}{{32}}(?!{H})", _sam_ntlm, "hex", lambda m: F.right(m, F.lit(32)), anchored=True, about="account without LM hash"),
+    Detector("SAM(lm:*)", ("SAM(lm:*)",), ("win", "crypto", "secrets"), 85, rf"\A{_ACCOUNT}{H}{{32}}:\*", _sam_lm, "hex", lambda m: _part(m, rf"({H}{{32}}):\*\z"), anchored=True, about="account without NTLM hash"),
+    Detector("SAM(lm:ntlm)", ("SAM(lm:ntlm)",), ("win", "crypto", "secrets"), 90, rf"\A{_ACCOUNT}{H}{{32}}:{H}{{32}}{_R}", _sam_both, "hex", lambda m: _part(m, rf"({H}{{32}}):{H}{{32}}\z"), anchored=True, about="account with both hashes"),
     _digest("RipeMD320", 80, 10, 10, "RIPEMD-320 digest"),
     _digest("sha1", 40, 15, 65, "SHA-1 digest"),
     _digest("sha224", 56, 15, 65, "SHA-224 digest"),
     _digest("sha256", 64, 15, 65, "SHA-256 digest"),
     _digest("sha384", 96, 15, 65, "SHA-384 digest"),
-    Detector("sha512", ("sha512", "whirlpool"), ("crypto", "other"), 65, f"{_L}{H}{{128}}{_R}", _sha512, _long_hex(128), about="128 hex digits"),
-    Detector("CRC", ("CRC",), ("other",), 15, f"0x{H}{{1,16}}{_R}", _crc, _contains("0x"), about="0x and up to 16 hex digits"),
-    Detector("des-salt-unix", ("des-salt-unix",), ("crypto", "unix"), 80, f"(?<![A-Za-z0-9./$]){C}{{13}}(?!{C})", _des, about="exactly 13 characters of a crypt hash"),
+    Detector("sha512", ("sha512", "whirlpool"), ("crypto", "other"), 65, f"{_L}{H}{{128}}{_R}", _sha512, "hex", size=128, about="128 hex digits"),
+    Detector("CRC", ("CRC",), ("other",), 15, f"0x{H}{{1,16}}{_R}", _crc, "0x", about="0x and up to 16 hex digits"),
+    Detector("des-salt-unix", ("des-salt-unix",), ("crypto", "unix"), 80, None, _des, hits=_des_hits, about="exactly 13 characters of a crypt hash"),
     _django("sha256-salt-django", "(?:sha256|sha1)", True, "[A-Za-z0-9./]", 64),
     _django("sha256-django", "(?:sha256|sha1)", False, "", 64),
     _django("sha384-salt-django", "sha384", True, "[A-Za-z0-9.]", 96),
@@ -345,10 +383,10 @@ CATALOGUE: tuple[Detector, ...] = (
     _crypt("md5-salt-unix", "", "8", 22, 45, 80, ("crypto", "unix"), "Unix MD5 account", _RUN),
     _run31("md5-wordpress", "WordPress account, hash"),
     _run31("md5-phpBB3", "phpBB 3 account, hash"),
-    Detector("md5-joomla2", ("md5-salt-joomla2", "md5-joomla2"), ("crypto", "web"), 85, rf"{_RUN}{C}{{32}}(?::{C}{{32}})?(?!{C})", _joomla(2), lambda s: s.rlike(f"{C}{{32}}"), about="32 characters, optionally : and 32 more (extended only)"),
-    Detector("md5-joomla1", ("md5-salt-joomla1", "md5-joomla1"), ("crypto", "web"), 85, rf"{_RUN}{C}{{32}}(?::{C}{{16}})?(?!{C})", _joomla(1), lambda s: s.rlike(f"{C}{{32}}"), about="32 characters, optionally : and 16 more"),
+    Detector("md5-joomla2", ("md5-salt-joomla2", "md5-joomla2"), ("crypto", "web"), 85, rf"{_RUN}{C}{{32}}(?::{C}{{32}})?(?!{C})", _joomla(2), "run", about="32 characters, optionally : and 32 more (extended only)"),
+    Detector("md5-joomla1", ("md5-salt-joomla1", "md5-joomla1"), ("crypto", "web"), 85, rf"{_RUN}{C}{{32}}(?::{C}{{16}})?(?!{C})", _joomla(1), "run", about="32 characters, optionally : and 16 more"),
     _crypt("blowfish-salt-unix", "", "2", 53, 55, 85, ("crypto", "unix"), "Unix Blowfish account", r"(?<=\$2\$|\$2a\$)"),
-    Detector("uuid", ("uuid",), ("other",), 75, rf"(?<!{H}){H}{{8}}-{H}{{4}}-{H}{{4}}-{H}{{4}}-{H}{{12}}(?!{H})", _uuid, lambda s: s.rlike(f"-{H}{{4}}-"), about="8-4-4-4-12 hex digits"),
+    Detector("uuid", ("uuid",), ("other",), 75, rf"(?<!{H}){H}{{8}}-{H}{{4}}-{H}{{4}}-{H}{{4}}-{H}{{12}}(?!{H})", _uuid, "-", size=36, about="8-4-4-4-12 hex digits"),
 )
 
 

@@ -139,7 +139,7 @@ def _expression(spark_side: bool, template: str) -> str:
 
 
 def _derived_table(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
-    return _table(spark, sf_dir, "customer").select("c_custkey", F.expr(_expression(True, template)).alias("text"))
+    return readers.spread(_table(spark, sf_dir, "customer")).select("c_custkey", F.expr(_expression(True, template)).alias("text"))
 
 
 def _derived(name: str, template: str, *sql: str, detectors: Sequence[str] | None = None, **options) -> None:
@@ -315,12 +315,12 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("default_scan_documents")
 def default_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All default detectors over all documents."""
-    return _flat(scan(_table(spark, sf_dir, "documents"), ids=["doc_id"]), "doc_id")
+    return _flat(scan(readers.spread(_table(spark, sf_dir, "documents")), ids=["doc_id"]), "doc_id")
 
 
 @_query("default_scan_pages")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(scan(_table(spark, sf_dir, "pages"), "html", ["page_id"]), "page_id")
+    return _flat(scan(readers.spread(_table(spark, sf_dir, "pages")), "html", ["page_id"]), "page_id")
 
 
 @_query("negatives_conversations", "SELECT CAST(0 AS BIGINT) AS n_findings")

@@ -50,6 +50,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.input_file_name().alias("source"), F.lit(0).cast("long").alias("base_offset"), F.concat("value", F.lit("\n")).alias("text"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where the input has fewer partitions than that (a small file with much to scan); a large input
+    is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def pages(content: DataFrame, page: int = 0x1000, over_read: int = 0x30) -> DataFrame:
     """Mappings (pid, pname, vpage, content...) cut into pages, each with the first bytes of the next one."""
     starts = F.sequence(F.lit(0), F.greatest(F.length("content") - 1, F.lit(0)), F.lit(page))
