@@ -1,12 +1,12 @@
 """LM scoring by masked pseudo-likelihood: each word is masked and predicted from SIDE words on either side by a window network
 trained in numpy; a document's score is the sum of the conditional log-probabilities of all its words.
 
-1. Counts. All words of all documents are counted, per task first, then by a shuffle of the distinct words. The WORDS most frequent
-   go to the driver (a bound that doesn't depend on the corpus), with the totals of each class.
+1. Counts. All words of all documents are counted, per task first, then by a shuffle of the distinct words. The most frequent,
+   down to a count that at most WORDS words reach, go to the driver, with the totals of each class.
 2. Network. Each of the 2 * SIDE places around a word has a table of vectors (FREQUENT words, BUCKETS for all others, and the edge
    of the text); their sum gives a hidden layer, and a softmax over classes: OWN classes for the most frequent words, ENDINGS for
    the others by their last two bytes. p(word | both sides) = p(class | both sides) * p(word | class), the latter from the
-   counts; words beyond the WORDS most frequent share their part of a class equally.
+   counts; words that aren't listed share their part of a class equally.
 3. Training. Every document contributes, at every STEP-th word (from a place that depends on its text); each task trains a copy
    of the network on its windows by Adagrad, and the copies' blocks are averaged on the executors, weighed by windows, ROUNDS
    times. What is counted and trained on grows with the corpus; what the driver gets doesn't.
@@ -174,7 +174,14 @@ def _around(rows: np.ndarray, at: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     counts = C.stored(word_counts(docs), "words")
-    rows = [tuple(r) for r in counts.select("h", "ending", "n").orderBy(F.desc("n"), "h").limit(WORDS).collect()]
+    size = F.floor(F.log2("n") * 32)  # some thousand steps at most
+    cut, listed = None, 0
+    for step, words in sorted(counts.groupBy(size.alias("step")).count().collect(), reverse=True):
+        if listed + words > WORDS:
+            break
+        cut, listed = step, listed + words
+    rows = [tuple(r) for r in counts.filter(size >= cut).select("h", "ending", "n").collect()] if cut is not None else []
+    rows.sort(key=lambda r: (-r[2], r[0]))
     own = {h for h, _, _ in rows[:OWN]}
     totals = {r["ending"]: (r["n"], r["types"]) for r in counts.filter(~F.col("h").isin(list(own)) if own else F.lit(True)).groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
     C.drop_stored(counts)
