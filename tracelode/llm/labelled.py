@@ -30,7 +30,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (C.fold("doc_id", folds) != held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     counts = dict(known.groupBy("label").count().collect())
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    parts = [known.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    # of a large class, a hash below its part leaves some twice per_class rows, before the least are taken
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    part = lambda y: min(1.0, 2 * (per_class + 50) / max(1, counts.get(y, 0)))
+    parts = [known.filter((F.col("label") == y) & (order < int(part(y) * (1 << 30)))).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).dropDuplicates(["doc_id"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
