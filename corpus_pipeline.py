@@ -23,8 +23,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """One document of each component of near-duplicates: SimHash fingerprints at 3 bits or fewer, or a similarity of 0.8 or more of
+    5-word shingles."""
+    return simhash.one_of_each(docs.select(*COLUMNS), similar_too=True)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

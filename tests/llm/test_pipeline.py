@@ -6,6 +6,7 @@ import test_decontamination
 import test_packing
 import test_repeats
 import test_simhash
+import test_similar
 from pyspark.sql import functions as F
 from tracelode.llm import common as C
 from tracelode.llm import quality
@@ -30,7 +31,7 @@ def verify(spark, sf_dir, docs):
     assert key(d[1]) == key([r for r in d[0] if model.score([(r.text or "").encode()])[0] >= quality.THRESHOLD])
     # near-duplicates
     rows = [(r.doc_id, r.text) for r in d[1]]
-    roots = test_simhash.brute(rows)
+    roots = test_similar.brute(rows)
     want = sorted({(k, t) for (k, t), (_, _, c) in zip(rows, roots) if k == c}, key=str)
     got = key(d[2])
     assert len(got) == len(set(got)) and set(got) <= set(want) and {k for k, _ in got} == {k for k, _ in want}
@@ -70,6 +71,6 @@ def test_run(spark):
     assert P.run(spark, "/root/testdata/sf0.001").agg(F.count("*")).first()[0] > 0 and P.ORACLE_SQL is None
 
 
-@pytest.mark.parametrize("module", [test_decontamination, test_packing, test_repeats, test_simhash])
+@pytest.mark.parametrize("module", [test_decontamination, test_packing, test_repeats, test_simhash, test_similar])
 def test_brute_versions_are_there(module):
     assert hasattr(module, "brute") or hasattr(module, "verify")

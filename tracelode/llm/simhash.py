@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelode.llm import common as C
+from tracelode.llm import similar
 from tracelode.llm.components import components
 
 SHINGLE, SEED, BITS, BLOCK = 3, 42, 3, 1024
@@ -121,21 +122,28 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     return lists.mapInArrow(each, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """(doc_id, row, fp, root, component_id) of every document; root is the same in a whole component and differs between any two."""
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, similar_too: bool = False) -> DataFrame:
+    """(doc_id, row, fp, root, component_id) of every document; root is the same in a whole component and differs between any two.
+    similar_too: also links texts that share 0.8 of their 5-word shingles, of which most differ in more bits (similar.py)."""
     fps = C.stored(fingerprints(docs, size), "simhash")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp"), bits))
+    edges = links(classes.select("fp"), bits)
+    if similar_too:
+        of = fps.select("row", "fp").distinct()
+        more = similar.links(docs.select(F.xxhash64("text").alias("row"), "text"))
+        more = more.join(of.withColumnsRenamed({"row": "u", "fp": "a"}), "u").join(of.withColumnsRenamed({"row": "v", "fp": "b"}), "v")
+        edges = edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    roots = components(edges)
     with_root = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = with_root.groupBy("root").agg(F.min("least").alias("component_id"))
     members = with_root.select("fp", "root", C.own_key("root").alias("key")).join(ids.select(C.own_key("root").alias("key"), "component_id"), "key").select(C.own_key("fp").alias("key"), "root", "component_id")
     return fps.withColumn("key", C.own_key("fp")).join(members, "key").select("doc_id", "row", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int = SHINGLE, bits: int = BITS) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, similar_too: bool = False) -> DataFrame:
     """docs, with one document of each component left: that of the smallest doc_id (of several texts with this id: the one with the
     least hash; of equal rows: one)."""
-    near = near_duplicates(docs, size, bits)
+    near = near_duplicates(docs, size, bits, similar_too)
     stay = near.filter("doc_id <=> component_id").groupBy("root").agg(F.first("doc_id").alias("_id"), F.min("row").alias("_row")).select("_id", "_row")
     names = docs.columns
     kept = docs.withColumn("_own", F.xxhash64("text")).alias("d").join(stay.alias("s"), F.expr("d._own = s._row and cast(d.doc_id as long) <=> s._id"), "left_semi")
