@@ -49,6 +49,8 @@ def test_validator_combinations(findings):
 
 def test_reports(findings, spark):
     assert report.rollup(findings).agg(F.sum("n_findings")).first()[0] == findings.count()
+    report.as_view(findings, "found")
+    assert spark.sql("select count(distinct type) from found").first()[0] == len({r.type for r in findings.collect()})
     lines = [r.line for r in report.displayed(findings, details=True).collect()]
     assert all("[" in x and "%s" not in x for x in lines)
     assert report.catalogue(spark).count() == 38

@@ -26,6 +26,12 @@ def without_overlaps(findings: DataFrame, source: Sequence[str] = ("source",)) -
     return findings.dropDuplicates([*source, "type", "location", "size", "keyword"])
 
 
+def as_view(findings: DataFrame, name: str = "findings") -> DataFrame:
+    """Registers findings under a name, for SQL."""
+    findings.createOrReplaceTempView(name)
+    return findings
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
     """The detectors: place, name, types, categories, largest certainty, description."""
     rows = [(i, d.name, list(d.types), list(d.categories), d.most, d.about) for i, d in enumerate(CATALOGUE)]

@@ -332,10 +332,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("stream_findings", _rows(DOCUMENTS, "doc_id", _digests({"sha1": (40, _boosted(15, 65))})))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scan of documents as a stream into memory, run to its end."""
+    """The scan of documents as a stream, run to its end."""
     table = _table(spark, sf_dir, "documents")
     source = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir.rstrip('/')}/documents.parquet*")
-    name = "tracelode_stream_findings"
-    found = lines.findings(source, "text", ("doc_id",), detectors=["sha1"])
-    lines.start(_flat(found, "doc_id"), "memory", name=name, once=True).awaitTermination()
-    return spark.table(name)
+    return lines.run_through(_flat(lines.findings(source, "text", ("doc_id",), detectors=["sha1"]), "doc_id"), "stream_findings")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,6 +23,20 @@ def findings(stream: DataFrame, text: str = "text", ids: tuple[str, ...] = (), *
     return scan(stream, text, ids, **options)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir; beside the warehouse only where it is unset, as in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
+
+
+def run_through(found: DataFrame, name: str) -> DataFrame:
+    """Runs a stream of findings over what is there now, into a table in the shared folder, and reads it again."""
+    spark = found.sparkSession
+    home = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    start(found, "parquet", f"{home}/out", f"{home}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{home}/out")
+
+
 def start(found: DataFrame, sink: str, path: str | None = None, checkpoint: str | None = None, name: str | None = None, once: bool = False) -> StreamingQuery:
     """Writes a stream of findings to a file format or to memory; a checkpoint makes it go on where it was."""
     writer = found.writeStream.format(sink).outputMode("append")
