@@ -66,3 +66,14 @@ def test_driver_table(spark):
     d = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in C.table(spark, d, "documents").select("doc_id", "text").collect()]
     assert sorted(map(tuple, R.query(spark, d).collect())) == sorted(brute(rows))
+
+
+def test_sql_gives_the_same(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{d}/documents.parquet'")
+    want = con.sql(R.SQL)
+    got = R.query(spark, d).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
