@@ -7,8 +7,9 @@ line is inserted or deleted by adding or subtracting its vector, without the oth
 The vector has two parts:
 * EXACT lanes of 64 bits, from SHAKE-128 of the line: equality of multisets;
 * SKETCH lanes of 16 bits: each 3-word shingle of the line (its whole word sequence if it has fewer words) adds +1 or -1 to
-  one lane chosen by its hash. The squared distance of two sketches estimates how many shingles differ, so `likeness`
-  estimates the shared part (Jaccard) of the two multisets of shingles; equal fingerprints have likeness 1.
+  one lane chosen by its hash, and a shingle that repeats in its line to another lane each time. The squared distance of two
+  sketches estimates how many shingles differ, so `likeness` estimates the shared part (Jaccard) of the two multisets of
+  shingles; equal fingerprints have likeness 1.
 
 Cases: null text is the empty text (one empty line). Repeated rows get equal fingerprints. Equal doc_ids are ordered by text,
 a null doc_id comes after all others. An empty table gives no rows; other columns are ignored.
@@ -52,16 +53,32 @@ def _shingles(text: bytes) -> np.ndarray:
     h = C.word_hashes(data, starts, ends)
     at = np.searchsorted(starts, np.minimum(begins, len(data)))
     at[-1] = len(starts)
-    parts = [C.runs(h, SHINGLE)[C.within(at, SHINGLE)[0]]] if len(h) >= SHINGLE else []
+    place, line = C.within(at, SHINGLE)
+    parts, lines = ([C.runs(h, SHINGLE)[place]], [line]) if len(h) >= SHINGLE else ([], [])
     n = np.diff(at)
     for size in range(1, SHINGLE):
-        first = at[:-1][n == size]
-        if len(first):
+        few = np.flatnonzero(n == size)
+        if len(few):
+            first = at[few]
             x = h[first]
             for k in range(1, size):
                 x = C.join_hashes(x, h[first + k])
             parts.append(x ^ np.uint64(size))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            lines.append(few)
+    if not parts:
+        return np.zeros(0, np.uint64)
+    x, line = np.concatenate(parts), np.concatenate(lines)
+    # how often the shingle has come in its line before
+    key = C.join_hashes(x, line.astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    starts = np.flatnonzero(new)
+    again = np.empty(len(key), np.uint64)
+    again[order] = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
+    more = again > 0
+    x[more] = C.join_hashes(x[more], again[more])
+    return x
 
 
 def vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
