@@ -5,7 +5,7 @@ CHUNK bytes overlap by CHUNK - HOP; each filter is max-pooled over a chunk and r
 these and its length (so that few different responses in a short chunk aren't taken for repetition), and the means and maxima of all chunks' descriptions give one probability by logistic regression.
 
 Training uses at most PER_CLASS labelled documents of each class outside the held-out fold (crc32(doc_id as text) mod 5 = 0), drawn
-by a hash of the id; classes weigh the same and the probability is then corrected for their shares. lang, source and doc_id are no
+by a hash of the id; classes weigh the same. lang, source and doc_id are no
 inputs. Scoring covers every byte of every text.
 
 Cases: null text is empty; a text shorter than a filter is padded with zero bytes; repeated rows get equal scores; ids without a
@@ -46,7 +46,6 @@ class Network:
             "w2": rng.normal(0, 0.1, 2 * HIDDEN).astype(np.float32),
             "b2": np.zeros(1, np.float32),
         }
-        self.shift = 0.0  # log odds of the classes' shares
 
     def convolve(self, data: np.ndarray) -> np.ndarray:
         """Responses at every STRIDE-th place of padded bytes."""
@@ -74,7 +73,7 @@ class Network:
     def _score(self, texts: list[bytes]) -> np.ndarray:
         pooled, size = zip(*(self.pool(t) for t in texts))
         doc = np.cumsum([0, *map(len, pooled[:-1])])
-        z = self.head(np.concatenate(pooled), np.concatenate(size), doc)[-1] + self.shift
+        z = self.head(np.concatenate(pooled), np.concatenate(size), doc)[-1]
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -60, 60)))
 
     def pool(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -98,13 +97,13 @@ def train(rows: list[tuple[int, bytes]], share: float, seed: int = 7) -> Network
         return share if len(y) else 0.5
     net, rng = Network(seed), np.random.default_rng(seed)
     texts = [np.frombuffer(t.ljust(WIDTH, b"\0"), np.uint8) for _, t in rows]
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    by_class = [np.flatnonzero(y == k) for k in (0, 1)]
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
     step = 0
     places = CHUNK // STRIDE
     total = max(LEAST_STEPS, EPOCHS * len(texts) // BATCH)
     while step < total:
-        some = rng.choice(len(texts), min(BATCH, len(texts)), replace=False)
+        some = np.concatenate([rng.choice(k, min(BATCH // 2, len(k)), replace=False) for k in by_class])
         chunks, doc = [], []
         for i in some:
             doc.append(len(chunks))
@@ -126,7 +125,8 @@ def train(rows: list[tuple[int, bytes]], share: float, seed: int = 7) -> Network
             pooled[k] = r[where[k], np.arange(FILTERS)]
         a, h, n, mean, top, z = net.head(pooled, size, doc)
         p = 1 / (1 + np.exp(-z))
-        dz = ((p - y[some]) * weight[some] / len(some)).astype(np.float32)
+        weight = np.where(y[some] == 1, 0.5 / y[some].sum(), 0.5 / (1 - y[some]).sum())
+        dz = ((p - y[some]) * weight).astype(np.float32)
         both = np.concatenate([mean, top], axis=1)
         of = np.repeat(np.arange(len(doc)), n[:, 0])
         dboth = dz[:, None] * net.p["w2"]
@@ -144,7 +144,6 @@ def train(rows: list[tuple[int, bytes]], share: float, seed: int = 7) -> Network
             m[k] += 0.1 * (g[k] - m[k])
             v[k] += 0.01 * (g[k] ** 2 - v[k])
             x -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
-    net.shift = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     return net
 
 
