@@ -140,7 +140,9 @@ def links(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
                 out.append(np.unique(shingles(x, np.array([0, len(x)]), size)[0]).tobytes())
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(out, pa.binary())], ["row", "set"])
 
-    texts = docs.select("row", "text").join(rows, "row", "left_semi").mapInArrow(sets, "row long, set binary").groupBy("row").agg(F.first("set").alias("set"))
+    # by a key of its own, so that the texts of a row with very many copies can be split, and are grouped only after that
+    wanted = docs.select("row", "text", C.own_key("row").alias("key")).join(rows.select(C.own_key("row").alias("key")), "key", "left_semi")
+    texts = wanted.select("row", "text").mapInArrow(sets, "row long, set binary").groupBy("row").agg(F.first("set").alias("set"))
     texts = C.stored(texts, "sets")
     both = doubtful.join(texts.withColumnsRenamed({"row": "u", "set": "a"}), "u").join(texts.withColumnsRenamed({"row": "v", "set": "b"}), "v")
 
