@@ -6,8 +6,9 @@ matches guarantees). The inverted index keeps posting lists of four positional b
 bytes, and those with MATCHES or more are kept. A tally of SURE and more is a link. The others are verified exactly: their shingle
 sets are joined to the pairs and compared.
 
-Each list gives a spanning forest of its pairs, the largest tallies first, so that a group of many copies gives no more pairs than
-texts. A link can only be missing where texts were joined by larger tallies that failed verification, in every list that has both.
+Each list gives FORESTS spanning forests of its pairs that share no pair, the largest tallies first, so that a group of many copies
+gives a few pairs per text. A link can only be missing where its texts were joined by larger tallies in all forests of every list
+that has both, and all of these failed verification.
 Lists are dealt into blocks of about BLOCK texts, as those of simhash.py.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tracelode.llm import common as C
 
 SHINGLE, SIMILARITY = 5, 0.8
-POSITIONS, QUAD, BLOCK = 64, 4, 1024
+POSITIONS, QUAD, BLOCK, FORESTS = 64, 4, 1024, 4
 #: A pair at SIMILARITY shares 51 bytes on average, less than MATCHES once in some 100,000 times.
 MATCHES, SURE = 38, 61
 _RNG = np.random.default_rng(2024)
@@ -78,7 +79,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def pairs_of(sigs: np.ndarray) -> list[tuple[int, int, bool]]:
-    """(i, j, sure) of one list: a spanning forest, the largest tallies first."""
+    """(i, j, sure) of one list: FORESTS spanning forests without a common pair, the largest tallies first."""
     n = len(sigs)
     found = []
     for i in range(0, n, 64):
@@ -87,22 +88,24 @@ def pairs_of(sigs: np.ndarray) -> list[tuple[int, int, bool]]:
         found.append(np.stack([tally[a, b].astype(np.int64), a + i, b]))
     t, p, q = np.concatenate(found, axis=1)
     order = np.argsort(-t, kind="stable")
-    root, left, out = list(range(n)), n - 1, []
+    roots, left, out = [list(range(n)) for _ in range(FORESTS)], FORESTS * (n - 1), []
 
-    def find(i: int) -> int:
+    def find(root: list[int], i: int) -> int:
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
     for k in order:
-        u, v = find(int(p[k])), find(int(q[k]))
-        if u != v:
-            root[u] = v
-            out.append((int(p[k]), int(q[k]), bool(t[k] >= SURE)))
-            left -= 1
-            if not left:
+        for root in roots:
+            u, v = find(root, int(p[k])), find(root, int(q[k]))
+            if u != v:
+                root[u] = v
+                out.append((int(p[k]), int(q[k]), bool(t[k] >= SURE)))
+                left -= 1
                 break
+        if not left:
+            break
     return out
 
 
@@ -115,7 +118,7 @@ def links(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     held = held.withColumn("key", C.own_key("row")).drop("row").join(sigs.select("row", "sig", C.own_key("row").alias("key")), "key")
     dealt = held.withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("b", F.expr("cast(pmod(xxhash64(row), blocks) as int)"))
     dealt = dealt.select("posting", "row", "sig", "b", F.explode(F.expr("sequence(0, blocks - 1)")).alias("c"))
-    lists = dealt.groupBy("posting", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j")).agg(F.collect_list(F.struct("row", "sig")).alias("x")).filter("size(x) > 1").select("x.row", "x.sig")
+    lists = dealt.groupBy("posting", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j")).agg(F.sort_array(F.collect_list(F.struct("row", "sig"))).alias("x")).filter("size(x) > 1").select("x.row", "x.sig")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
