@@ -348,6 +348,7 @@ def _uuid(x: Hit, o: Options) -> list[Emit]:
 
 
 _ID = "[A-Za-z0-9_-]"
+#: Names, lengths, alphabets, marks, categories and certainties define the types; they are stated as they must be.
 CATALOGUE: tuple[Detector, ...] = (
     Detector("jwt", ("jwt",), ("web", "crypto", "secrets"), 85, rf"{_ID}++\.{_ID}++\.{_ID}*+", _jwt, "eyJ", about="three dotted base64url parts, the last may be empty"),
     Detector("secret", ("secret",), ("crypto", "secrets"), 85, None, _secret, "secret", hits=_secret_hits, about="parts of lines that mention a password, key or security"),

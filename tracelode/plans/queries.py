@@ -102,6 +102,7 @@ _documents("mysql4_documents", ["MySQL4+"], _digests({"MySQL4+": (40, "50")}))
 _documents("mysql323_documents", ["MySQL323"], _digests({"MySQL323": (16, "40")}))
 
 _CARD = r"\b(?:[0-9][ -]*?){13,16}\b"
+#: Fixed values, as in the catalogue.
 _BRANDS = ("4[0-9]{12}(?:[0-9]{3})?", "5[1-5][0-9]{14}", "3[47][0-9]{13}", "3(?:0[0-5]|[68][0-9])[0-9]{11}", "6(?:011|5[0-9]{2})[0-9]{12}", "(?:2131|1800|35[0-9]{3})[0-9]{11}")
 CREDIT_SQL = f"SELECT key, 'credit' AS type, CASE {' '.join(f"WHEN regexp_matches(x, '{b}') THEN regexp_extract(x, '{b}')" for b in _BRANDS)} ELSE x END AS payload, CASE WHEN regexp_matches(x, '{'|'.join(_BRANDS)}') THEN 45 ELSE 15 END AS certainty FROM (SELECT key, unnest(regexp_extract_all(t, '{_CARD}')) AS x FROM d)"
 _documents("credit_documents", ["credit"], CREDIT_SQL)
