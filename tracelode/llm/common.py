@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Arrow batches that reach Python hold at most so many rows and bytes, so that very long texts stay within memory.
 BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 #: Bytes of text that one vectorised step takes at once (one document at least).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
