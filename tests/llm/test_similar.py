@@ -103,6 +103,39 @@ def test_dense_groups_in_blocks(spark, monkeypatch, block):
     assert len(root) == texts and len({find(k) for k in list(root)}) == 1
 
 
+def test_dense_group_of_many_false_candidates(spark):
+    """Template texts with one of two words at each of 170 places: most pairs lie between 0.7 and 0.8, few reach 0.8."""
+    rng = np.random.default_rng(5)
+    words, n = 3000, 200
+    places = np.arange(170) * 17 + 10
+    filled = rng.integers(0, 2, (n // 2, len(places))).repeat(2, axis=0)
+    for i in range(1, n, 2):
+        filled[i, rng.choice(len(places), 65, replace=False)] ^= 1
+    apart = (filled[:, None, :] != filled[None, :, :]).sum(2)
+    close = (words - 4 - 5 * apart) / (words - 4 + 5 * apart)  # each place is in five shingles of its own
+    few = close[np.triu_indices(n, 1)]
+    assert (few >= 0.8).mean() < 0.02 and ((few > 0.7) & (few < 0.8)).mean() > 0.95
+    texts = []
+    for row in filled:
+        x = [f"w{k}" for k in range(words)]
+        for p, y in zip(places.tolist(), row.tolist()):
+            x[p] = f"{'ab'[y]}{p}"
+        texts.append(" ".join(x))
+    assert abs(jaccard(texts[0], texts[1]) - close[0, 1]) < 1e-9
+    docs = spark.createDataFrame(list(enumerate(texts)), T).select("doc_id", F.xxhash64("text").alias("row"), "text")
+    number = {r.row: r.doc_id for r in docs.select("row", "doc_id").collect()}
+
+    def groups(pairs):
+        root = np.arange(n)
+        for a, b in pairs:
+            root[root == root[b]] = root[a]
+        return root[:, None] == root[None, :]
+
+    found = [(number[r.u], number[r.v]) for r in S.links(docs.drop("doc_id")).collect()]
+    assert all(close[a, b] >= 0.8 for a, b in found)
+    assert (groups(found) == groups(zip(*np.nonzero(close >= 0.8)))).all()
+
+
 def test_shingles_of_short_texts():
     data = np.frombuffer("a b|a b|A B c|  |a b c d e f".replace("|", "\0").encode(), np.uint8)
     cuts = np.flatnonzero(data == 0)

@@ -3,12 +3,13 @@
 The signature of a text has POSITIONS bytes, each from the least of its shingles' hashes under another permutation, so two texts
 share a byte with the probability of their Jaccard similarity (SimHash bytes would share one in four at 0.8, which no number of
 matches guarantees). The inverted index keeps posting lists of four positional bytes each; pairs of a list are tallied over all
-bytes, and those with MATCHES or more are kept. A tally of SURE and more is a link. The others are verified exactly: their shingle
-sets are joined to the pairs and compared.
+bytes, and those with MATCHES or more are candidates. Every link is verified exactly: the shingle sets of its texts are joined to
+the pairs and compared.
 
-Each list gives FORESTS spanning forests of its pairs that share no pair, the largest tallies first, so that a group of many copies
-gives a few pairs per text. A link can only be missing where its texts were joined by larger tallies in all forests of every list
-that has both, and all of these failed verification.
+Candidates are handed on in rounds, so that a group of many copies gives a few pairs per text. First each list gives FORESTS
+spanning forests that share no pair, the largest tallies first. Where a pair of a list fails and candidates of it were held back,
+the list gives FORESTS * 4^r pairs per text in round r, of those that no verified links join yet, until none is held back. A list
+works out again what it gave in the rounds before, from the components after each of them.
 Lists are dealt into blocks of about BLOCK texts, as those of simhash.py.
 """
 
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm import common as C
+from tracelode.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 POSITIONS, QUAD, BLOCK, FORESTS = 64, 4, 1024, 4
 #: A pair at SIMILARITY shares 51 bytes on average, less than MATCHES once in some 100,000 times.
-MATCHES, SURE = 38, 61
+MATCHES = 38
 _RNG = np.random.default_rng(2024)
 _XOR = _RNG.integers(0, 2**63, POSITIONS, dtype=np.uint64)
 _MULTIPLY = _RNG.integers(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,16 +80,8 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select("row", "text").mapInArrow(each, "row long, sig binary, quads array<long>")
 
 
-def pairs_of(sigs: np.ndarray) -> list[tuple[int, int, bool]]:
-    """(i, j, sure) of one list: FORESTS spanning forests without a common pair, the largest tallies first."""
-    n = len(sigs)
-    found = []
-    for i in range(0, n, 64):
-        tally = (sigs[i : i + 64, None, :] == sigs[None, :, :]).sum(2, dtype=np.uint8)
-        a, b = np.nonzero(np.triu(tally >= MATCHES, i + 1))
-        found.append(np.stack([tally[a, b].astype(np.int64), a + i, b]))
-    t, p, q = np.concatenate(found, axis=1)
-    order = np.argsort(-t, kind="stable")
+def forests(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """Which of these pairs, in their order, make up FORESTS spanning forests without a common pair."""
     roots, left, out = [list(range(n)) for _ in range(FORESTS)], FORESTS * (n - 1), []
 
     def find(root: list[int], i: int) -> int:
@@ -96,44 +90,75 @@ def pairs_of(sigs: np.ndarray) -> list[tuple[int, int, bool]]:
             i = root[i]
         return i
 
-    for k in order:
+    for k, (a, b) in enumerate(zip(p.tolist(), q.tolist())):
         for root in roots:
-            u, v = find(root, int(p[k])), find(root, int(q[k]))
+            u, v = find(root, a), find(root, b)
             if u != v:
                 root[u] = v
-                out.append((int(p[k]), int(q[k]), bool(t[k] >= SURE)))
+                out.append(k)
                 left -= 1
                 break
         if not left:
             break
-    return out
+    return np.array(out, np.int64)
 
 
-def links(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(u, v) of rows: enough links to connect all texts that are linked. docs: row (a hash of the text) and text."""
-    sigs = C.stored(signatures(docs, size).groupBy("row").agg(F.first("sig").alias("sig"), F.first("quads").alias("quads")), "signatures")
+def pairs_of(sigs: np.ndarray, history: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The pairs i, j that one list gives in this round, and whether it holds others back. history: the components of its texts
+    after each round before, rounds x texts."""
+    n = len(sigs)
+    found = []
+    for i in range(0, n, 64):
+        tally = (sigs[i : i + 64, None, :] == sigs[None, :, :]).sum(2, dtype=np.uint8)
+        a, b = np.nonzero(np.triu(tally >= MATCHES, i + 1))
+        found.append(np.stack([tally[a, b].astype(np.int64), a + i, b]))
+    t, p, q = np.concatenate(found, axis=1)
+    order = np.lexsort((C.mix((p * n + q).astype(np.uint64)), -t))  # equal tallies in no order, so that no text gets most pairs
+    p, q = p[order], q[order]
+    given = forests(p, q, n)
+    left = np.ones(len(p), bool)
+    left[given] = False
+    for r, root in enumerate(history, 1):
+        left &= root[p] != root[q]
+        given = np.flatnonzero(left)[: FORESTS * 4**r * n]
+        left[given] = False
+    return p[given], q[given], bool(left.any())
+
+
+def _given(sigs: DataFrame, again: DataFrame | None, history: list[DataFrame]) -> DataFrame:
+    """(u, v, posting) of the pairs that the lists (again: only these) give in this round; posting is null where the list holds
+    nothing back."""
     postings = sigs.select("row", F.explode("quads").alias("posting"))
+    if again is not None:
+        postings = postings.join(again, "posting", "left_semi")
     counts = postings.groupBy("posting").agg(F.count("*").alias("n")).filter("n > 1")
     held = postings.withColumn("key", C.own_key("posting")).join(counts.withColumn("key", C.own_key("posting")).drop("posting"), "key").select("posting", "row", "n")
-    held = held.withColumn("key", C.own_key("row")).drop("row").join(sigs.select("row", "sig", C.own_key("row").alias("key")), "key")
+    texts = sigs.select("row", "sig", F.array().cast("array<bigint>").alias("roots"))
+    for nodes in history:
+        texts = texts.join(nodes.withColumnRenamed("node", "row"), "row", "left").select("row", "sig", F.concat("roots", F.array(F.coalesce("root", "row"))).alias("roots"))
+    held = held.withColumn("key", C.own_key("row")).drop("row").join(texts.withColumn("key", C.own_key("row")), "key")
     dealt = held.withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("b", F.expr("cast(pmod(xxhash64(row), blocks) as int)"))
-    dealt = dealt.select("posting", "row", "sig", "b", F.explode(F.expr("sequence(0, blocks - 1)")).alias("c"))
-    lists = dealt.groupBy("posting", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j")).agg(F.sort_array(F.collect_list(F.struct("row", "sig"))).alias("x")).filter("size(x) > 1").select("x.row", "x.sig")
+    dealt = dealt.select("posting", "row", "sig", "roots", "b", F.explode(F.expr("sequence(0, blocks - 1)")).alias("c"))
+    lists = dealt.groupBy("posting", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j")).agg(F.sort_array(F.collect_list(F.struct("row", "sig", "roots"))).alias("x")).filter("size(x) > 1").select("posting", "x.row", "x.sig", "x.roots")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, sure = [], [], []
-            for rows, sig in zip(batch["row"].to_pylist(), batch["sig"].to_pylist()):
+            u, v, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for posting, rows, sig, roots in zip(*(batch[c].to_pylist() for c in ("posting", "row", "sig", "roots"))):
                 x = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, POSITIONS)
-                for a, b, ok in pairs_of(x):
-                    u.append(min(rows[a], rows[b]))
-                    v.append(max(rows[a], rows[b]))
-                    sure.append(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sure, pa.bool_())], ["u", "v", "sure"])
+                a, b, more = pairs_of(x, np.array(roots, np.int64).reshape(len(rows), -1).T)
+                rows = np.array(rows, np.int64)
+                u.append(np.minimum(rows[a], rows[b]))
+                v.append(np.maximum(rows[a], rows[b]))
+                of += [posting if more else None] * len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v)), pa.array(of, pa.int64())], ["u", "v", "posting"])
+
+    return lists.mapInArrow(each, "u long, v long, posting long")
+
 
-    found = C.stored(lists.mapInArrow(each, "u long, v long, sure boolean").groupBy("u", "v").agg(F.max("sure").alias("sure")), "pairs")
-    doubtful = found.filter("not sure").select("u", "v")
-    rows = doubtful.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(u, v, ok) of pairs of rows, by their texts' whole sets of shingles."""
+    rows = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +172,7 @@ def links(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     wanted = docs.select("row", "text", C.own_key("row").alias("key")).join(rows.select(C.own_key("row").alias("key")), "key", "left_semi")
     texts = wanted.select("row", "text").mapInArrow(sets, "row long, set binary").groupBy("row").agg(F.first("set").alias("set"))
     texts = C.stored(texts, "sets")
-    both = doubtful.join(texts.withColumnsRenamed({"row": "u", "set": "a"}), "u").join(texts.withColumnsRenamed({"row": "v", "set": "b"}), "v")
+    both = pairs.join(texts.withColumnsRenamed({"row": "u", "set": "a"}), "u").join(texts.withColumnsRenamed({"row": "v", "set": "b"}), "v")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,6 +181,27 @@ def links(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"], pa.array(ok, pa.bool_())], ["u", "v", "ok"])
 
-    return found.filter("sure").select("u", "v").unionByName(both.select("u", "v", "a", "b").mapInArrow(compared, "u long, v long"))
+    out = C.stored(both.select("u", "v", "a", "b").mapInArrow(compared, "u long, v long, ok boolean"), "checked")
+    C.drop_stored(texts)
+    return out
+
+
+def links(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(u, v) of rows: enough links to connect all texts that are linked. docs: row (a hash of the text) and text."""
+    sigs = C.stored(signatures(docs, size).groupBy("row").agg(F.first("sig").alias("sig"), F.first("quads").alias("quads")), "signatures")
+    history, linked, again = [], None, None
+    while True:
+        given = C.stored(_given(sigs, again, history), "given")
+        pairs = C.stored(given.select("u", "v").distinct(), "pairs")
+        checked = _verified(docs, pairs, size, similarity)
+        ok = checked.filter("ok").select("u", "v")
+        linked = ok if linked is None else linked.unionByName(ok)
+        held_back = given.filter("posting is not null")
+        if not history:  # whatever forests hold back is joined by them, unless a pair of them has failed
+            held_back = held_back.join(checked.filter("not ok"), ["u", "v"], "left_semi")
+        again = C.stored(held_back.select("posting").distinct(), "again")
+        if again.isEmpty():
+            return linked
+        history.append(components(linked))
