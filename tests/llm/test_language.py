@@ -37,3 +37,17 @@ def test_dictionaries_never_see_the_held_out_fold(spark):
     docs = spark.createDataFrame([(i, f"text number {i}", "en", "") for i in range(200)], D)
     seen = b"\n".join(G.examples(docs)["en"]).split(b"\n")
     assert {int(t.split()[-1]) for t in seen} == {i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2}
+
+
+def test_the_smallest_size_decides_whatever_the_length(spark):
+    docs = C.table(spark, "/root/testdata/sf0.01", "documents")
+    z = G.Compressors(G.examples(docs))
+    for r in docs.filter("text <> ''").collect():
+        for t in (r.text.encode(), r.text[:40].encode()):
+            lang, _, rejected = z.best(t)
+            if lang == "und":
+                continue
+            t = G.letters_only(t)
+            pieces = [t[i : i + G.PIECE] for i in range(0, len(t), G.PIECE)]
+            size = [sum(len(c.compress(p)) for c in s for p in pieces) / G.DICTIONARIES for s in z.sets]
+            assert lang == z.langs[int(np.argmin(size))] and rejected == (np.diff(sorted(size)[:2])[0] / len(t) < G.MARGIN)

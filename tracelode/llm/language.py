@@ -1,9 +1,9 @@
 """Language ID by compression: each text is encoded with every language's zstandard raw-content dictionary; the smallest wins.
 
 Short texts give sizes that differ by a byte or two, so each language has several dictionaries (from different sample texts), whose
-sizes are averaged (SHORT bytes or more: two of them); narrow margins of short texts go to letter-pair counts of the same samples. The score is the share of the winner when the sizes
+sizes are averaged. The score is the share of the winner when the sizes
 saved over encoding without any dictionary are compared (0 to 1); a text whose margin over the second language is below MARGIN of
-its size is marked as rejected, and keeps its most likely language.
+its size is marked as rejected, and keeps the language of the smallest size.
 
 Dictionaries are made of at most PER_LANGUAGE sample texts per language, drawn by a hash of the id from documents with a language
 outside the held-out fold (crc32(doc_id as text) mod 4 = 2); source and doc_id are no inputs. The whole of every text is encoded, in lower
@@ -15,9 +15,7 @@ id aren't learnt from; without any, all texts get `und`; an empty table gives no
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +30,7 @@ from tracelode.llm import common as C
 from tracelode.llm.labelled import excerpt
 
 PER_LANGUAGE, EXCERPT, DICTIONARIES, DICTIONARY, LEVEL = 400, 1024, 4, 1 << 16, 3
-PIECE, SHORT, MARGIN = 512, 1024, 0.02
+PIECE, MARGIN = 512, 0.02
 LETTER, OTHER = regex.compile(r"\p{L}"), re.compile(r"[\W\d_]+")
 
 
@@ -72,15 +70,9 @@ class Compressors:
     def __init__(self, found: dict[str, list[bytes]]) -> None:
         self.langs = sorted(found)
         self.sets = []
-        self.pairs = []
         for lang in self.langs:
             texts = found[lang]
             self.sets.append([self._one(b"\n".join(letters_only(t) for t in texts[k::DICTIONARIES] or texts)[:DICTIONARY]) for k in range(DICTIONARIES)])
-            pairs: Counter[str] = Counter()
-            for t in texts:
-                s = t.decode(errors="ignore").lower()
-                pairs.update(a + b for a, b in zip(" " + s, s))
-            self.pairs.append((pairs, sum(pairs.values())))
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 
     @staticmethod
@@ -92,13 +84,7 @@ class Compressors:
     def sizes(self, text: bytes) -> tuple[float, np.ndarray]:
         """Encoded bytes without a dictionary, and by language the mean of its dictionaries."""
         pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
-        n = DICTIONARIES if len(text) < SHORT else 2
-        return sum(len(self.plain.compress(p)) for p in pieces), np.array([sum(len(z.compress(p)) for z in zs[:n] for p in pieces) / n for zs in self.sets])
-
-    def letters(self, text: bytes) -> np.ndarray:
-        """Nats of the text's letter pairs by language, for ties."""
-        s = text.decode(errors="ignore")
-        return np.array([-sum(math.log((pairs[a + b] + 0.1) / (n + 1000)) for a, b in zip(" " + s, s)) for pairs, n in self.pairs])
+        return sum(len(self.plain.compress(p)) for p in pieces), np.array([sum(len(z.compress(p)) for z in zs for p in pieces) / len(zs) for zs in self.sets])
 
     def best(self, text: bytes) -> tuple[str, float, bool]:
         if not self.langs or not LETTER.search(text.decode()):
@@ -108,10 +94,6 @@ class Compressors:
         order = np.argsort(size, kind="stable")
         margin = (size[order[1]] - size[order[0]]) / max(1, len(text)) if len(size) > 1 else 1.0
         k = int(order[0])
-        if margin < MARGIN and len(text) < SHORT:
-            near = np.flatnonzero(size - size[k] < MARGIN * max(1, len(text)))
-            nats = self.letters(text)[near]
-            k = int(near[np.argmin(nats)])
         saved = np.maximum(0, bare - size)
         score = float(saved[k] / saved.sum()) if saved.sum() > 0 else 1 / len(size)
         return self.langs[k], min(1.0, score), bool(margin < MARGIN)
