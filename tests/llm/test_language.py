@@ -14,9 +14,9 @@ def test_held_out_accuracy(spark):
     assert set(got) == set(true)
     assert all(r.held_out == (zlib.crc32(str(k).encode()) % 4 == 2) and 0 <= r.score <= 1 for k, r in got.items())
     mine = [(got[k].lang_pred == lang, got[k].rejected) for k, lang in true.items() if got[k].held_out]
-    assert np.mean([ok for ok, _ in mine]) > 0.96
+    assert np.mean([ok for ok, _ in mine]) > 0.985
     kept = [ok for ok, no in mine if not no]
-    assert np.mean(kept) > 0.98 and len(kept) > 0.85 * len(mine)
+    assert np.mean(kept) > 0.995 and len(kept) > 0.9 * len(mine)
 
 
 def test_cases(spark):
@@ -51,3 +51,34 @@ def test_the_smallest_size_decides_whatever_the_length(spark):
             pieces = [t[i : i + G.PIECE] for i in range(0, len(t), G.PIECE)]
             size = [sum(len(c.compress(p)) for c in s for p in pieces) / G.DICTIONARIES for s in z.sets]
             assert lang == z.langs[int(np.argmin(size))] and rejected == (np.diff(sorted(size)[:2])[0] / len(t) < G.MARGIN)
+
+
+def test_results_by_brute_force(spark):
+    """The query from the table's rows alone: which texts are learnt, their dictionaries, sizes, scores."""
+    import zstandard
+
+    d = "/root/testdata/sf0.001"
+    rows = C.table(spark, d, "documents").selectExpr("doc_id", "coalesce(text, '') as text", "lang", "xxhash64(doc_id) as h").collect()
+    known: dict = {}
+    for r in sorted((r for r in rows if r.lang is not None and r.text and zlib.crc32(str(r.doc_id).encode()) % 4 != 2), key=lambda r: (r.h, r.doc_id)):
+        known.setdefault(r.lang, []).append(r.text)
+    plain = zstandard.ZstdCompressor(level=G.LEVEL, write_content_size=False)
+    sets = {}
+    for lang, texts in known.items():
+        texts = [G.letters_only(t.encode()) for t in texts[: G.PER_LANGUAGE]]
+        content = [b"\n".join(texts[k :: G.DICTIONARIES]) for k in range(G.DICTIONARIES)]
+        sets[lang] = [zstandard.ZstdCompressor(level=G.LEVEL, dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for c in content]
+    got = {r.doc_id: r for r in G.query(spark, d).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        if not G.LETTER.search(r.text):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        t = G.letters_only(r.text.encode())
+        pieces = [t[i : i + G.PIECE] for i in range(0, len(t), G.PIECE)]
+        size = {lang: sum(len(z.compress(p)) for z in zs for p in pieces) / len(zs) for lang, zs in sets.items()}
+        bare = sum(len(plain.compress(p)) for p in pieces)
+        best = min(sorted(size), key=size.get)
+        saved = {lang: max(0, bare - n) for lang, n in size.items()}
+        assert got[r.doc_id].lang_pred == best
+        assert abs(got[r.doc_id].score - (saved[best] / sum(saved.values()) if sum(saved.values()) else 1 / len(size))) < 1e-9

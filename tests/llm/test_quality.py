@@ -1,8 +1,10 @@
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
 from tracelode.llm import common as C
+from tracelode.llm import labelled as S
 from tracelode.llm import quality as Q
 
 D, L = "doc_id long, text string, quality string, lang string", "doc_id long, quality int, toxic int, text string"
@@ -29,6 +31,9 @@ def test_cases(spark, monkeypatch):
         assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
         assert len({r.score for r in out if r.doc_id == 5}) == 1
     assert Q.scored(docs.limit(0), 0.5).count() == 0
+    both = labels.limit(0).unionByName(spark.createDataFrame([(5, 0, 0, ""), (5, 1, 0, ""), (7, 1, 0, ""), (7, 1, 0, "")], L))
+    assert S.sample(docs, both, "quality", 9) == ([(1, ("漢字" * 300).encode())], 0.75)
+    assert Q.scored(docs.withColumn("score", docs.text), 0.5).filter("score = 0.5").count() == len(rows)
 
 
 def test_pooling_covers_the_whole_text():
@@ -58,3 +63,46 @@ def test_a_junk_passage_deep_in_a_text_counts():
 @pytest.mark.parametrize("share", [0.2, 0.9])
 def test_constant_without_both_classes(share):
     assert Q.train([(1, b"a")], share) == share and Q.train([], share) == 0.5
+
+
+def plain_score(net, text):
+    """The network by loops over chunks, filters and hidden units."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    text = text.ljust(Q.WIDTH, b"\0")
+    y = [[sum(p["filters"][k, text[i + k], f] for k in range(Q.WIDTH)) for f in range(Q.FILTERS)] for i in range(0, len(text) - Q.WIDTH + 1, Q.STRIDE)]
+    step, told = Q.HOP // Q.STRIDE, []
+    for c in range(0, max(1, len(y) - step), step):
+        chunk = y[c : c + 2 * step]
+        a = [max(0.0, max(r[f] for r in chunk) + p["bias"][f]) for f in range(Q.FILTERS)] + [np.log2(len(chunk)) / 4]
+        told.append([np.tanh(sum(a[i] * p["w1"][i, j] for i in range(len(a))) + p["b1"][j]) for j in range(Q.HIDDEN)])
+    both = [sum(t[j] for t in told) / len(told) for j in range(Q.HIDDEN)] + [max(t[j] for t in told) for j in range(Q.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(b * w for b, w in zip(both, p["w2"])) + p["b2"][0])))
+
+
+def test_scores_by_brute_force():
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(32, 127, n, dtype=np.uint8)) for n in (0, 3, 8, 100, 600, 1301)]
+    net = Q.train([(k % 2, bytes(rng.integers(32, 100 + 27 * (k % 2), 300, dtype=np.uint8))) for k in range(40)], 0.5)
+    assert np.allclose(net.score(texts), [plain_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(5)
+    net, y = Q.Network(), np.array([0, 1, 1])
+    texts = [bytes(rng.integers(32, 127, n, dtype=np.uint8)) for n in (900, 40, 1500)]
+
+    def loss():
+        s = net.score(texts)
+        return -0.5 * np.log(1 - s[0]) - 0.25 * np.log(s[1:]).sum()
+
+    with ThreadPoolExecutor(2) as pool:
+        g = Q.gradients(net, [np.frombuffer(t, np.uint8) for t in texts], y, pool)
+    for k, x in net.p.items():
+        for i in np.argsort(-np.abs(g[k]).ravel())[:4]:
+            at, old = np.unravel_index(i, x.shape), x.ravel()[i]
+            x[at] = old + 1e-3
+            up = loss()
+            x[at] = old - 1e-3
+            down = loss()
+            x[at] = old
+            assert abs((up - down) / 2e-3 - g[k][at]) < 2e-3 + 0.03 * abs(g[k][at]), k

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,7 +114,9 @@ def groups(offs: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _U = np.uint64
-_TABLES: dict[tuple[int, int], np.ndarray] = {}
+#: Words above so many bytes are hashed one by one.
+LONG = 64
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -126,22 +129,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BY_LENGTH = mix(np.arange(1, LONG + 2, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
 def join_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The hash of a sequence from those of its two parts."""
     return mix(a * _U(0x9E3779B97F4A7C15) + (b ^ (b >> _U(29))) * _U(0xD6E8FEB86659FD93) + _U(0x165667B19E3779F9))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    size = 1 << max(6, (n - 1).bit_length())
-    if (base, size) not in _TABLES:
-        if size > 1 << 16:
-            _TABLES.clear()
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        _TABLES[base, size] = np.multiply.accumulate(p)
-    return _TABLES[base, size]
-
-
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of consecutive texts, and where each text's words begin (n + 1)."""
     inside = ~SPACE[data]
@@ -156,17 +151,22 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0x5851F42D4C957F2D) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial with odd random base, then mixed with the length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lo = starts[0]
-    span = np.diff(starts, append=len(data))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0x5851F42D4C957F2D) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: eight bytes at a time go into the state by a bijection that isn't linear, so that no
+    structure of words makes their hashes meet; words of more than LONG bytes by XXH64."""
     lens = ends - starts
-    place = np.arange(len(data) - lo) - np.repeat(starts - lo, span)
-    v = (data[lo:].astype(np.uint64) + _U(1)) * _powers(base, int(span.max()))[place]
-    v[place >= np.repeat(lens, span)] = 0
-    return mix(np.add.reduceat(v, starts - lo) ^ (lens.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
+    out = _BY_LENGTH[np.minimum(lens, LONG)] ^ mix(np.array([seed], np.uint64))
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    some, begin, left = slice(None), starts, lens
+    while True:
+        out[some] = mix(out[some] ^ (eight[begin] & _MASK[np.minimum(left, 8)]) * _U(0x9E3779B97F4A7C15))
+        more = np.flatnonzero((left > 8) & (lens[some] <= LONG))
+        if not len(more):
+            break
+        some, begin, left = more if isinstance(some, slice) else some[more], begin[more] + 8, left[more] - 8
+    for k in np.flatnonzero(lens > LONG).tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
+    return out
 
 
 def runs(h: np.ndarray, size: int) -> np.ndarray:

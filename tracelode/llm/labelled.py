@@ -1,47 +1,30 @@
-"""A bounded sample of labelled documents, on which the driver trains small models."""
+"""A bounded sample of labelled documents, on which the driver trains small models: so many rows, each with its whole text."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.llm import common as C
 
-#: Bytes of one text that training sees: the whole of most texts, evenly spread pieces of longer ones.
-EXCERPT, PIECES = 16384, 8
-
-
-def excerpt(text: bytes, most: int = EXCERPT, pieces: int = PIECES) -> bytes:
-    if len(text) <= most:
-        return text
-    size = most // pieces
-    step = (len(text) - size) / (pieces - 1)
-    return b"".join(text[int(i * step) : int(i * step) + size] for i in range(pieces))
 
-
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int = 5, held_out: int = 0, most: int = EXCERPT) -> tuple[list[tuple[int, bytes]], float]:
-    """At most per_class (label, text excerpt) of each class 0 and 1, and the share of class 1. Rows of the held-out fold, null
-    labels and null ids are left out; which rows are taken depends on a hash of the id only. The driver gets at most
-    2 * per_class * most bytes."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, folds: int = 5, held_out: int = 0) -> tuple[list[tuple[int, bytes]], float]:
+    """At most per_class (label, whole text) of each class 0 and 1, and the share of class 1. Rows of the held-out fold, null
+    labels and null ids are left out, and so are ids that are labelled both 0 and 1, which teach nothing; repeated equal labels
+    are one. Which rows are taken depends on a hash of the id only; of several documents with one id it is the least text. The
+    driver gets at most 2 * per_class texts."""
     C.bounded_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (C.fold("doc_id", folds) != held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     counts = dict(known.groupBy("label").count().collect())
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     # of a large class, a hash below its part leaves some twice per_class rows, before the least are taken
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    part = lambda y: min(1.0, 2 * (per_class + 50) / max(1, counts.get(y, 0)))
-    parts = [known.filter((F.col("label") == y) & (order < int(part(y) * (1 << 30)))).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
-    chosen = parts[0].unionByName(parts[1]).dropDuplicates(["doc_id"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array([excerpt(t, most) for t in C.blobs(batch["text"])], pa.binary())], ["doc_id", "label", "text"])
-
+    part = {y: min(1.0, 2 * (per_class + 50) / max(1, counts.get(y, 0))) for y in (0, 1)}
+    agreed = known.filter(order < int(max(part.values()) * (1 << 30))).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
+    parts = [agreed.filter((F.col("label") == y) & (order < int(part[y] * (1 << 30)))).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
+    chosen = parts[0].unionByName(parts[1])
     # the chosen rows are bounded by per_class, so they may be broadcast; equal ids can't make the sample larger than its bound
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(cut, "doc_id long, label int, text binary")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = joined.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"]))
-    return [(r["label"], bytes(r["text"])) for r in rows], share
+    rows.sort(key=lambda r: r["doc_id"])
+    return [(r["label"], r["text"].encode()) for r in rows], share

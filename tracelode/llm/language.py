@@ -1,16 +1,18 @@
-"""Language ID by compression: each text is encoded with every language's zstandard raw-content dictionary; the smallest wins.
+"""Language ID by compression: each text is encoded with every language's zstandard raw-content dictionaries; the smallest wins.
 
-Short texts give sizes that differ by a byte or two, so each language has several dictionaries (from different sample texts), whose
-sizes are averaged. The score is the share of the winner when the sizes
-saved over encoding without any dictionary are compared (0 to 1); a text whose margin over the second language is below MARGIN of
-its size is marked as rejected, and keeps the language of the smallest size.
+Sizes differ by a byte or two where texts are short, so each language has DICTIONARIES dictionaries (of different sample texts), whose
+sizes are averaged, at all lengths of text alike. The score is the share of the winner when the sizes saved over encoding without any
+dictionary are compared (0 to 1); a text whose margin over the second language is below MARGIN of its size is marked as rejected, and
+keeps the language of the smallest size.
 
-Dictionaries are made of at most PER_LANGUAGE sample texts per language, drawn by a hash of the id from documents with a language
-outside the held-out fold (crc32(doc_id as text) mod 4 = 2); source and doc_id are no inputs. The whole of every text is encoded, in lower
-case and with one blank for whatever isn't a letter, in pieces of PIECE bytes, each on its own, so that it is the dictionary that counts and not what the text repeats.
+Dictionaries are the whole texts of at most PER_LANGUAGE documents per language, drawn by a hash of the id from documents with a
+language outside the held-out fold (crc32(doc_id as text) mod 4 = 2); source and doc_id are no inputs. The whole of every text is
+encoded, in lower case and with one blank for whatever isn't a letter, in pieces of PIECE bytes, each on its own, so that it is the
+dictionary that counts and not what the text repeats.
 
-Cases: null texts and texts without a letter get `und` and score 0; repeated rows get equal results; rows without a language or an
-id aren't learnt from; without any, all texts get `und`; an empty table gives no rows; other columns are ignored.
+Cases: null texts and texts without a letter get `und` and score 0; repeated rows get equal results; of several documents with one
+id and language the least text is learnt; rows without a language or an id aren't learnt from; without any, all texts get `und`; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,35 +29,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelode.llm import common as C
-from tracelode.llm.labelled import excerpt
 
-PER_LANGUAGE, EXCERPT, DICTIONARIES, DICTIONARY, LEVEL = 400, 1024, 4, 1 << 16, 3
+PER_LANGUAGE, DICTIONARIES, LEVEL = 160, 2, 3
 PIECE, MARGIN = 512, 0.02
 LETTER, OTHER = regex.compile(r"\p{L}"), re.compile(r"[\W\d_]+")
 
 
 def examples(docs: DataFrame, folds: int = 4, held_out: int = 2) -> dict[str, list[bytes]]:
-    """At most PER_LANGUAGE excerpts of each language; the driver gets at most EXCERPT bytes of each. Languages are so many as
-    the table has."""
+    """At most PER_LANGUAGE whole texts of each language. Languages are so many as the table has."""
     C.bounded_batches(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (C.fold("doc_id", folds) != held_out) & (F.col("text") != "")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), "text")
-    counts = dict(known.groupBy("lang").count().collect())
-    if not counts:
-        return {}
-    # a hash below each language's share leaves some twice PER_LANGUAGE rows of it, before they are ranked
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * (PER_LANGUAGE + 50) / n)))])
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    few = known.filter(order < share[F.col("lang")] * (1 << 30))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lang"], pa.array([excerpt(t, EXCERPT, 4) for t in C.blobs(batch["text"])], pa.binary())], ["doc_id", "lang", "text"])
-
-    ranked = few.select("doc_id", "lang", "text").mapInArrow(cut, "doc_id long, lang string, text binary").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")))
-    rows = ranked.filter(F.col("n") <= PER_LANGUAGE).collect()
+    # only ids are ranked; each task keeps no more than PER_LANGUAGE of a language before the shuffle
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.select("doc_id", "lang").distinct().withColumn("n", first).filter(F.col("n") <= PER_LANGUAGE)
+    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "n").agg(F.min("text").alias("text")).collect()
     out: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["n"])):
-        out.setdefault(r["lang"], []).append(bytes(r["text"]))
+        out.setdefault(r["lang"], []).append(r["text"].encode())
     return out
 
 
@@ -72,7 +62,7 @@ class Compressors:
         self.sets = []
         for lang in self.langs:
             texts = found[lang]
-            self.sets.append([self._one(b"\n".join(letters_only(t) for t in texts[k::DICTIONARIES] or texts)[:DICTIONARY]) for k in range(DICTIONARIES)])
+            self.sets.append([self._one(b"\n".join(letters_only(t) for t in texts[k::DICTIONARIES] or texts)) for k in range(DICTIONARIES)])
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 
     @staticmethod
@@ -102,7 +92,7 @@ class Compressors:
 def identified(docs: DataFrame, found: dict[str, list[bytes]]) -> DataFrame:
     """doc_id, lang_pred, score, rejected of every document."""
     C.bounded_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(found)  # at most PER_LANGUAGE * EXCERPT bytes a language
+    sent = docs.sparkSession.sparkContext.broadcast(found)  # at most PER_LANGUAGE texts a language
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = Compressors(sent.value)

@@ -4,18 +4,19 @@ FILTERS filters of WIDTH bytes (one weight per place and byte value) slide over
 CHUNK bytes overlap by CHUNK - HOP; each filter is max-pooled over a chunk and rectified, a hidden layer describes the chunk from
 these and its length (so that few different responses in a short chunk aren't taken for repetition), and the means and maxima of all chunks' descriptions give one probability by logistic regression.
 
-Training uses at most PER_CLASS labelled documents of each class outside the held-out fold (crc32(doc_id as text) mod 5 = 0), drawn
-by a hash of the id; classes weigh the same. lang, source and doc_id are no
-inputs. Scoring covers every byte of every text.
+Training uses the whole texts of at most PER_CLASS labelled documents of each class outside the held-out fold (crc32(doc_id as text)
+mod 5 = 0), drawn by a hash of the id; classes weigh the same. lang, source and doc_id are no inputs. Scoring covers every byte of
+every text, as each training step does.
 
 Cases: null text is empty; a text shorter than a filter is padded with zero bytes; repeated rows get equal scores; ids without a
-label or with a null label aren't trained on; without labels of both classes the score is the share of class 1 (0.5 with none);
+label, with a null label or with both labels aren't trained on; without labels of both classes the score is the share of class 1 (0.5 with none);
 an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,12 @@ from tracelode.llm import common as C
 from tracelode.llm.labelled import sample
 
 FILTERS, WIDTH, STRIDE, CHUNK, HOP, HIDDEN = 48, 8, 2, 512, 256, 16
-PER_CLASS, EPOCHS, LEAST_STEPS, BATCH, RATE = 2500, 14, 500, 32, 0.004
+PER_CLASS, EPOCHS, LEAST_STEPS, BATCH, RATE = 2500, 7, 500, 32, 0.004
 THRESHOLD = 0.3
 #: Part of the good documents that a step sees as a short cut of random place and length, so that short texts aren't taken for bad.
 CUT, SHORTEST, LONGEST = 0.3, 16, 240
-#: Chunks of one document that one training step sees, drawn anew each time.
-STEP_CHUNKS = 12
+#: Threads that convolve the texts of one training step; the result doesn't depend on it.
+THREADS = 4
 
 
 class Network:
@@ -77,17 +78,54 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -60, 60)))
 
     def pool(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Each chunk's maxima and size; the text goes through in pieces of 1 << 18 bytes, which share their edges."""
+        """Each chunk's maxima and size."""
+        top, size, _ = self.pool_at(np.frombuffer(text.ljust(WIDTH, b"\0"), np.uint8), False)
+        return top, size
+
+    def pool_at(self, data: np.ndarray, places: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Each chunk's maxima and size, and where the maxima are; a chunk is two neighbouring steps, each worked out once. The
+        text goes through in pieces of 1 << 18 bytes, which share their edges."""
         step = HOP // STRIDE
-        tops, sizes = [], []
-        for i in range(0, max(1, len(text)), 1 << 18):
-            piece = text[i : i + (1 << 18) + WIDTH - STRIDE]
-            y = self.convolve(np.frombuffer(piece.ljust(WIDTH, b"\0"), np.uint8))
-            at = np.arange(0, len(y), step)
-            tops.append(np.maximum.reduceat(y, at))
-            sizes.append(np.diff(np.append(at, len(y))))
+        tops, sizes, at = [], [], []
+        for i in range(0, max(1, len(data) - WIDTH + STRIDE), 1 << 18):
+            y = self.convolve(data[i : i + (1 << 18) + WIDTH - STRIDE])
+            cuts = np.arange(0, len(y), step)
+            sizes.append(np.diff(np.append(cuts, len(y))))
+            if places:
+                where = np.stack([y[c : c + step].argmax(0) + c for c in cuts.tolist()])
+                tops.append(np.take_along_axis(y, where, axis=0))
+                at.append(where + i // STRIDE)
+            else:
+                tops.append(np.maximum.reduceat(y, cuts))
         top, size = np.concatenate(tops), np.concatenate(sizes)
-        return (np.maximum(top[:-1], top[1:]), size[:-1] + size[1:]) if len(top) > 1 else (top, size)
+        where = np.concatenate(at) if places else None
+        if len(top) > 1:
+            if places:
+                where = np.where(top[:-1] >= top[1:], where[:-1], where[1:])
+            top, size = np.maximum(top[:-1], top[1:]), size[:-1] + size[1:]
+        return top, size, where
+
+
+def gradients(net: Network, seen: list[np.ndarray], y: np.ndarray, pool: ThreadPoolExecutor) -> dict[str, np.ndarray]:
+    """Of the cross-entropy of these texts (bytes, padded to WIDTH at least), in which both classes weigh the same."""
+    tops, sizes, where = zip(*pool.map(net.pool_at, seen))
+    doc = np.cumsum([0, *map(len, tops[:-1])])
+    a, h, n, mean, top, z = net.head(np.concatenate(tops), np.concatenate(sizes), doc)
+    p = 1 / (1 + np.exp(-z))
+    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    dz = ((p - y) * weight).astype(np.float32)
+    both = np.concatenate([mean, top], axis=1)
+    of = np.repeat(np.arange(len(doc)), n[:, 0])
+    dboth = dz[:, None] * net.p["w2"]
+    dh = (dboth[:, :HIDDEN] / n)[of] + dboth[of, HIDDEN:] * (h == top[of])
+    dpre = dh * (1 - h * h)
+    da = ((dpre @ net.p["w1"].T) * (a > 0))[:, :FILTERS]
+    # the bytes under each maximum, all texts in a row
+    begin = np.cumsum([0, *map(len, seen[:-1])])
+    under = np.concatenate(where) * STRIDE + begin[of][:, None]
+    data, lane = np.concatenate(seen), np.arange(FILTERS)
+    filters = [np.bincount((data[under + k].astype(np.int64) * FILTERS + lane).ravel(), da.ravel(), 256 * FILTERS) for k in range(WIDTH)]
+    return {"w2": both.T @ dz, "b2": dz.sum(keepdims=True), "w1": a.T @ dpre, "b1": dpre.sum(0), "bias": da.sum(0), "filters": np.stack(filters).reshape(WIDTH, 256, FILTERS).astype(np.float32)}
 
 
 def train(rows: list[tuple[int, bytes]], share: float, seed: int = 7) -> Network | float:
@@ -99,51 +137,24 @@ def train(rows: list[tuple[int, bytes]], share: float, seed: int = 7) -> Network
     texts = [np.frombuffer(t.ljust(WIDTH, b"\0"), np.uint8) for _, t in rows]
     by_class = [np.flatnonzero(y == k) for k in (0, 1)]
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
-    step = 0
-    places = CHUNK // STRIDE
     total = max(LEAST_STEPS, EPOCHS * len(texts) // BATCH)
-    while step < total:
-        some = np.concatenate([rng.choice(k, min(BATCH // 2, len(k)), replace=False) for k in by_class])
-        chunks, doc = [], []
-        for i in some:
-            doc.append(len(chunks))
-            t = texts[i]
-            if y[i] and rng.random() < CUT:
-                length = int(rng.integers(SHORTEST, LONGEST))
-                at = int(rng.integers(0, max(1, len(t) - length)))
-                t = t[at : at + length]
-            starts = np.arange(0, max(1, len(t) - HOP), HOP)
-            if len(starts) > STEP_CHUNKS:
-                starts = rng.choice(starts, STEP_CHUNKS, replace=False)
-            chunks += [t[s : s + CHUNK + WIDTH - STRIDE] for s in starts]
-        doc = np.array(doc)
-        pooled, where = np.empty((len(chunks), FILTERS), np.float32), np.empty((len(chunks), FILTERS), np.int64)
-        size = np.empty(len(chunks), np.int64)
-        for k, c in enumerate(chunks):
-            r = net.convolve(c if len(c) >= WIDTH else np.concatenate([c, np.zeros(WIDTH - len(c), np.uint8)]))[:places]
-            where[k], size[k] = r.argmax(0), len(r)
-            pooled[k] = r[where[k], np.arange(FILTERS)]
-        a, h, n, mean, top, z = net.head(pooled, size, doc)
-        p = 1 / (1 + np.exp(-z))
-        weight = np.where(y[some] == 1, 0.5 / y[some].sum(), 0.5 / (1 - y[some]).sum())
-        dz = ((p - y[some]) * weight).astype(np.float32)
-        both = np.concatenate([mean, top], axis=1)
-        of = np.repeat(np.arange(len(doc)), n[:, 0])
-        dboth = dz[:, None] * net.p["w2"]
-        dh = (dboth[:, :HIDDEN] / n)[of] + dboth[of, HIDDEN:] * (h == top[of])
-        dpre = dh * (1 - h * h)
-        da = ((dpre @ net.p["w1"].T) * (a > 0))[:, :FILTERS]
-        g = {"w2": both.T @ dz, "b2": dz.sum(keepdims=True), "w1": a.T @ dpre, "b1": dpre.sum(0), "bias": da.sum(0), "filters": np.zeros_like(net.p["filters"])}
-        lane = np.broadcast_to(np.arange(FILTERS), da.shape)
-        padded = np.stack([np.pad(c, (0, CHUNK + WIDTH - len(c))) for c in chunks])
-        for k in range(WIDTH):
-            np.add.at(g["filters"][k], (np.take_along_axis(padded, where * STRIDE + k, axis=1), lane), da)
-        step += 1
-        rate = RATE * min(1, 2 * (1 - step / total) + 0.05)
-        for k, x in net.p.items():
-            m[k] += 0.1 * (g[k] - m[k])
-            v[k] += 0.01 * (g[k] ** 2 - v[k])
-            x -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
+    with ThreadPoolExecutor(THREADS) as pool:
+        for step in range(1, total + 1):
+            some = np.concatenate([rng.choice(k, min(BATCH // 2, len(k)), replace=False) for k in by_class])
+            seen = []
+            for i in some:
+                t = texts[i]
+                if y[i] and rng.random() < CUT:
+                    length = int(rng.integers(SHORTEST, LONGEST))
+                    at = int(rng.integers(0, max(1, len(t) - length)))
+                    t = t[at : at + length]
+                seen.append(t)
+            g = gradients(net, seen, y[some], pool)
+            rate = RATE * min(1, 2 * (1 - step / total) + 0.05)
+            for k, x in net.p.items():
+                m[k] += 0.1 * (g[k] - m[k])
+                v[k] += 0.01 * (g[k] ** 2 - v[k])
+                x -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)
     return net
 
 
@@ -153,9 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | float:
 
 
 def scored(docs: DataFrame, model: Network | float, column: str = "score") -> DataFrame:
-    """docs with the probability of good quality as a further column, which must not be one of theirs."""
+    """docs with the probability of good quality as a further column; one of this name is replaced."""
     C.bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some 300 KB
+    docs = docs.drop(column)
     names = docs.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
