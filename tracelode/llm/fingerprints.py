@@ -6,13 +6,17 @@ line is inserted or deleted by adding or subtracting its vector, without the oth
 
 The vector has two parts:
 * EXACT lanes of 64 bits, from SHAKE-128 of the line: equality of multisets;
-* SKETCH lanes of 16 bits: each 3-word shingle of the line (its whole word sequence if it has fewer words) adds +1 or -1 to
-  one lane chosen by its hash, and a shingle that repeats in its line to another lane each time. The squared distance of two
-  sketches estimates how many shingles differ, so `likeness` estimates the shared part (Jaccard) of the two multisets of
-  shingles; equal fingerprints have likeness 1.
+* SKETCH lanes of 32 bits, more than a text has shingles: each 3-word shingle of the line (its whole word sequence if it has fewer
+  words) adds +1 or -1 to one lane chosen by its hash, and a shingle that repeats in its line to another lane each time. Inner
+  products of sketches estimate those of the counts x and y of all shingles, so `likeness` estimates their Tanimoto coefficient
+  xy / (xx + yy - xy): the shared part (Jaccard) where no line repeats. Equal fingerprints have likeness 1.
 
-Cases: null text is the empty text (one empty line). Repeated rows get equal fingerprints. Equal doc_ids are ordered by text,
-a null doc_id comes after all others. An empty table gives no rows; other columns are ignored.
+Neighbours: rows are in falling order of doc_id (a null as the smallest), then of a hash of the text, then of the text. Ranges of this
+order are dealt to tasks, by cuts from a hash sample of ids and hashes; a range ends with the first row of the next one. So rows of
+one doc_id are split too, but not equal rows.
+
+Cases: null text is the empty text (one empty line). Repeated rows get equal fingerprints. An empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +34,8 @@ from pyspark.sql import functions as F
 from tracelode.llm import common as C
 
 EXACT, SKETCH, SHINGLE = 16, 512, 3
-WIDTH = EXACT * 8 + SKETCH * 2
+#: Sampled ids per range of the order.
+PER_RANGE = 100
 _PLACE, _SIGN = np.uint64(SKETCH - 1), np.uint64(40)
 
 
@@ -89,16 +95,16 @@ def vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     x = _shingles(text)
     lane, up = (x & _PLACE).astype(np.int64), (x >> _SIGN & np.uint64(1)).astype(bool)
     sketch = np.bincount(lane[up], minlength=SKETCH) - np.bincount(lane[~up], minlength=SKETCH)
-    return exact, sketch.astype(np.int16)
+    return exact, sketch.astype(np.int32)
 
 
 def pack(v: tuple[np.ndarray, np.ndarray]) -> str:
-    return base64.b64encode(v[0].astype("<u8").tobytes() + v[1].astype("<i2").tobytes()).decode()
+    return base64.b64encode(v[0].astype("<u8").tobytes() + v[1].astype("<i4").tobytes()).decode()
 
 
 def unpack(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(fingerprint)
-    return np.frombuffer(raw[: EXACT * 8], "<u8"), np.frombuffer(raw[EXACT * 8 :], "<i2")
+    return np.frombuffer(raw[: EXACT * 8], "<u8"), np.frombuffer(raw[EXACT * 8 :], "<i4")
 
 
 def combine(a: str, b: str, sign: int = 1) -> str:
@@ -108,37 +114,55 @@ def combine(a: str, b: str, sign: int = 1) -> str:
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The estimated part of shingles, counted with repeats, that both share; 1 exactly for equal fingerprints."""
+    """The estimated Tanimoto coefficient of the counts of shingles; 1 exactly for equal fingerprints."""
     if np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]):
         return 1.0
     p, q = a[1].astype(np.float64), b[1].astype(np.float64)
     n, m, both = float(p @ p), float(q @ q), float(p @ q)
-    apart = n + m - 2 * both
-    # squared norms estimate the sums of squared counts; both / (n + m - both) is the Jaccard value for counts of one
-    return min(1.0, max(0.0, both / (both + apart))) if both > 0 else 0.0
+    return min(1.0, both / (n + m - both)) if both > 0 else 0.0
 
 
 # The distributed operator: neighbours by doc_id without a global order in one task
 
 
-def _ordered(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows (bucket, last, doc_id, text): buckets are ranges of doc_id, the highest first; each bucket also has, marked as
-    last, the first rows of the next one (or of the first bucket, after the last). The driver sees a few rows per bucket."""
+def _cuts(keys: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where all ranges but the first begin (columns down, h); the driver gets some PER_RANGE sampled keys per range."""
+    share = min(1.0, PER_RANGE * ranges / max(1, keys.count()))
+    some = keys.filter(F.pmod(F.xxhash64("down", "h"), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("down", "h").count().collect()
+    some.sort()
+    upto = np.cumsum([r["count"] for r in some])
+    at = sorted({int(k) for k in np.searchsorted(upto, [upto[-1] * i / ranges for i in range(1, ranges)])}) if len(some) else []
+    return np.array([some[k]["down"] for k in at], np.int64), np.array([some[k]["h"] for k in at], np.int64)
+
+
+def range_of(down: np.ndarray, h: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many cuts are at or before each key."""
+    first, after = np.searchsorted(cuts[0], down, "left"), np.searchsorted(cuts[0], down, "right")
+    for i in np.flatnonzero(first < after).tolist():  # the cuts of the same doc_id
+        after[i] = first[i] + np.searchsorted(cuts[1][first[i] : after[i]], h[i], "right")
+    return after
+
+
+def _ordered(docs: DataFrame, ranges: int) -> tuple[DataFrame, int]:
+    """Rows (bucket, last, down, h, doc_id, text): buckets are ranges of the order; each also has, marked as last, the first rows of
+    the next one (or of the first bucket, after the last). The driver sees a row per bucket and the sampled keys."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    n = 3 * C.tasks(spark)
-    cuts = sorted({int(x) for x in docs.select(key.cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n) if abs(x) < 2**63})[::-1]
-    bucket = F.expr(f"coalesce({len(cuts)} - array_size(filter(cuts, c -> k >= c)), 0)") if cuts else F.lit(0)
-    rows = docs.withColumn("k", key).withColumn("cuts", F.array(*[F.lit(x) for x in cuts]) if cuts else F.lit(None).cast("array<bigint>")).withColumn("bucket", bucket.cast("int")).drop("cuts")
-    firsts = {r["bucket"]: r["k"] for r in rows.groupBy("bucket").agg(F.max("k").alias("k")).collect()}
-    order = sorted(firsts)
-    before = spark.createDataFrame([(firsts[b], order[i - 1]) for i, b in enumerate(order)] or [(0, -1)], "first_k long, before int")
-    dealt = rows.join(F.broadcast(before), F.col("k") == F.col("first_k"), "left")
-    both = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("last")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("last")))
-    one = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("last")))
-    out = dealt.withColumn("to", F.explode(F.when(F.col("before").isNull(), one).otherwise(both)))
-    return out.select("to.bucket", "to.last", "doc_id", "text"), max(1, len(order))
+    docs = docs.withColumn("down", F.bitwise_not(F.coalesce("doc_id", F.lit(-(1 << 63))))).withColumn("h", F.xxhash64("text"))
+    sent = spark.sparkContext.broadcast(_cuts(docs.select("down", "h"), ranges))
+
+    @F.pandas_udf("int")
+    def bucket(down: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(range_of(down.to_numpy(), h.to_numpy(), sent.value))
+
+    rows = docs.withColumn("bucket", bucket("down", "h"))
+    firsts = sorted((r["bucket"], *r["first"]) for r in rows.groupBy("bucket").agg(F.min(F.struct("down", "h")).alias("first")).collect())
+    before = spark.createDataFrame([(down, h, firsts[i - 1][0]) for i, (_, down, h) in enumerate(firsts)], "down long, h long, before int")
+    dealt = rows.join(F.broadcast(before), ["down", "h"], "left")
+    here = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("last"))
+    there = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("last"))
+    out = dealt.withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))))
+    return out.select("to.bucket", "to.last", "down", "h", "doc_id", "text"), len(sent.value[0]) + 1
 
 
 def _edit(text: bytes, nxt: bytes) -> tuple[int, bytes]:
@@ -172,12 +196,12 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """One row per document: its fingerprint, that of its edited text, and their likeness. See the module for all cases."""
     C.bounded_batches(docs.sparkSession)
-    rows, buckets = _ordered(docs)
-    dealt = rows.repartition(min(buckets, C.tasks(docs.sparkSession)), "bucket").sortWithinPartitions("bucket", "last", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.mapInArrow(_neighbours, SCHEMA)
+    rows, buckets = _ordered(docs, ranges or C.tasks(docs.sparkSession))
+    dealt = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("last", "down", "h", "text")
+    return dealt.select("bucket", "last", "doc_id", "text").mapInArrow(_neighbours, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
