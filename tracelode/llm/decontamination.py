@@ -2,18 +2,22 @@
 
 In documents and benchmark items alike, numbers, names (capitalised words) and units (after numbers) become typed placeholders, and
 all other words are lower-cased without outer punctuation. Windows of WINDOW template words (an item of fewer words is one window)
-with LITERAL words or more that are no placeholders are hash-joined. What stood in the slots is then compared: along one diagonal
-of an item in a document, each slot value of the item must always stand for the same value in the document, as it does in copies
-and in re-parameterised questions, but not in texts that share a phrase by chance. A document is contaminated by an item if such
-diagonals match COVERAGE of the item's windows.
+are hash-joined, once as templates, if LITERAL words or more are no placeholders, and once as they are (lower-cased, with numbers and
+names), so that no copy is missed for being full of numbers or in capitals, whose words all look like names.
+What stood in the slots is then compared: along one diagonal of an item in a document, each slot value of the item must always stand
+for the same value in the document, as it does in copies and in re-parameterised questions, but not in texts that share a phrase by
+chance. A document is contaminated by an item if such diagonals match COVERAGE of the item's windows, or as templates COVERAGE of those
+that are templates.
+An item of fewer than LEAST words is found where a document has it, as it is, as a whole line: such a phrase within a line says
+nothing.
 
 Before the join a bitmap of CELLS bits, filled with the benchmark's windows and of that size whatever the tables, keeps windows that
 no item has inside the scan. The join itself is a join of two tables that Spark can split when one item is in very many documents;
 what it adds up is at most one document's windows of one item.
 
-Cases: null texts have no words; items with fewer than LEAST words, or without a window with enough literal words, match nothing;
-repeated documents and items are matched each (rows with the same doc_id and text count as one); an empty table of either kind gives
-no rows; null ids are carried; only doc_id, item_id and text are read.
+Cases: null texts have no words; items without a word match nothing; repeated documents and items are matched each (rows with the
+same doc_id and text count as one); an empty table of either kind gives no rows; null ids are carried; only doc_id, item_id and text
+are read.
 """
 
 from __future__ import annotations
@@ -58,11 +62,21 @@ def code(word: bytes) -> int:
     return _UNIT_CODE.get(low) or max(16, xxhash.xxh64_intdigest(low.encode(), 11) % (FIRST_UNIT - 16) + 16)
 
 
+def plain(word: bytes) -> int:
+    """The code of a word as it is: lower case, without outer punctuation."""
+    return xxhash.xxh64_intdigest(core(word).lower().encode(), 12)
+
+
 class Codes(dict):
+    """word -> its code, while it is remembered."""
+
+    def __init__(self, of) -> None:
+        self.of = of
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO:
             self.clear()
-        v = self[word] = code(word)
+        v = self[word] = self.of(word)
         return v
 
 
@@ -77,56 +91,64 @@ def template(words: list[bytes], codes: Codes, begins: np.ndarray) -> np.ndarray
     return t
 
 
-def windows(words: list[bytes], at: np.ndarray, codes: Codes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows of this size with enough literal words: first word, text, hash; and all template words."""
-    t = template(words, codes, at)
+def windows(at: np.ndarray, t: np.ndarray, same: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """First word, text and hash of the windows of this size, and whether they are hashed as templates: those with enough literal
+    words, and again all of them as they are. t: the template words; same: the words as they are."""
     place, doc = C.within(at, size)
     literal = np.concatenate([[0], np.cumsum(t >= 16)])
-    ok = literal[place + size] - literal[place] >= LITERAL * size
-    place, doc = place[ok], doc[ok]
-    return place, doc, C.mix(C.runs(t, size)[place] ^ np.uint64(size)), t
+    enough = literal[place + size] - literal[place] >= LITERAL * size if size >= LEAST else np.zeros(len(place), bool)
+    as_template = C.mix(C.runs(t, size)[place[enough]] ^ np.uint64(size))
+    as_is = C.mix(C.runs(same, size)[place] ^ np.uint64(size + 64))
+    return np.concatenate([place[enough], place]), np.concatenate([doc[enough], doc]), np.concatenate([as_template, as_is]), np.arange(len(as_template) + len(place)) < len(as_template)
+
+
+def line_starts(text: bytes) -> dict[int, int]:
+    """Where lines of fewer than LEAST words begin: first word -> number of words."""
+    out, k = {}, 0
+    for line in text.split(b"\n"):
+        n = len(line.split())
+        if 0 < n < LEAST:
+            out[k] = n
+        k += n
+    return out
 
 
 def _found(docs: DataFrame, ids: list[str], sizes: list[int], bits=None) -> DataFrame:
-    """(ids, h, place, size, slots) of windows; with bits only of those that the bitmap has. Items: each its own size."""
-    schema = ", ".join(f"{c} long" for c in ids) + ", h long, place int, size int, slots array<string>"
-    small = set(sizes)
+    """(ids, h, place, size, slotted, slots) of windows (slotted: as a template); with bits only of those that the bitmap has. Items: each its own size."""
+    schema = ", ".join(f"{c} long" for c in ids) + ", h long, place int, size int, slotted boolean, slots array<string>"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
+        codes, plains = Codes(code), Codes(plain)
         on = bits.value if bits is not None else None
         for batch in batches:
             texts = C.blobs(batch["text"])
+            columns = [batch[k].to_pylist() for k in ids]
             offs = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
             for i, j in C.groups(offs):
                 split = [x.split() for x in texts[i:j]]
                 words = list(chain.from_iterable(split))
                 at = np.concatenate([[0], np.cumsum([len(x) for x in split])])
                 own = np.minimum(np.diff(at), WINDOW)
-                rows: list[list] = [[] for _ in range(4 + len(ids))]
-                for size in small:
-                    place, doc, h, t = windows(words, at, codes, size)
+                t, same = template(words, codes, at), np.fromiter(map(plains.__getitem__, words), np.uint64, len(words))
+                lines = [line_starts(x) for x in texts[i:j]] if on is not None and min(sizes, default=LEAST) < LEAST else None
+                rows: list[list] = [[] for _ in range(5 + len(ids))]
+                for size in sizes:
+                    place, doc, h, templates = windows(at, t, same, size)
                     if on is None:
                         ok = own[doc] == size
                     else:
                         cell = (h & np.uint64(CELLS - 1)).astype(np.int64)
                         ok = (on[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
-                    for p, d, x in zip(place[ok].tolist(), doc[ok].tolist(), h[ok].view(np.int64).tolist()):
-                        for c, k in zip(rows, ids):
-                            c.append(columns[k][i + d] if (columns := held(batch, ids)) else None)
-                        rows[-4].append(x)
-                        rows[-3].append(p - int(at[d]))
-                        rows[-2].append(size)
-                        rows[-1].append([core(words[q]) for q in range(p, p + size) if t[q] < 16])
-                kinds = [pa.int64()] * len(ids) + [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], [*ids, "h", "place", "size", "slots"])
-
-    cache: dict = {}
-
-    def held(batch: pa.RecordBatch, names: list[str]) -> dict[str, list]:
-        if cache.get("of") is not batch:
-            cache.update(of=batch, columns={k: batch[k].to_pylist() for k in names})
-        return cache["columns"]
+                        if size < LEAST:
+                            ok &= np.fromiter((lines[d].get(p) == size for d, p in zip(doc.tolist(), (place - at[doc]).tolist())), bool, len(doc))
+                    for p, d, x, slotted in zip(place[ok].tolist(), doc[ok].tolist(), h[ok].view(np.int64).tolist(), templates[ok].tolist()):
+                        for c, k in zip(rows, columns):
+                            c.append(k[i + d])
+                        for c, v in zip(rows[-5:], (x, p - int(at[d]), size, slotted)):
+                            c.append(v)
+                        rows[-1].append([core(words[q]) for q in range(p, p + size) if t[q] < 16] if slotted else [])
+                kinds = [pa.int64()] * len(ids) + [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], [*ids, "h", "place", "size", "slotted", "slots"])
 
     return docs.mapInArrow(each, schema)
 
@@ -161,19 +183,22 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     C.bounded_batches(spark)
     docs = docs.filter("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     items = items.filter("text <> ''").select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("item_row"), "text").dropDuplicates(["item_id", "item_row"])
-    theirs = C.stored(_found(items, ["item_id", "item_row"], list(range(LEAST, WINDOW + 1))), "windows")
-    sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # four values at most
+    theirs = C.stored(_found(items, ["item_id", "item_row"], list(range(1, WINDOW + 1))), "windows")
+    sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # WINDOW values at most
     bits = spark.sparkContext.broadcast(bitmap(theirs))
-    mine = _found(docs, ["doc_id", "row"], sizes, bits).drop("size").withColumnsRenamed({"place": "doc_place", "slots": "doc_slots"})
-    n = theirs.groupBy("item_id", "item_row").agg(F.count_distinct("place").alias("n_windows"))
+    mine = _found(docs, ["doc_id", "row"], sizes, bits).drop("size", "slotted").withColumnsRenamed({"place": "doc_place", "slots": "doc_slots"})
+    n = theirs.groupBy("item_id", "item_row").agg(F.count_distinct("place").alias("n_windows"), F.count_distinct(F.when(F.col("slotted"), F.col("place"))).alias("n_templates"))
     pairs = mine.join(theirs, "h").filter("size(slots) = size(doc_slots)").withColumn("diagonal", F.col("doc_place") - F.col("place"))
     pairs = pairs.withColumn("slots", F.expr("arrays_zip(slots, doc_slots)"))
     key = ["doc_id", "row", "item_id", "item_row"]
-    lines = pairs.groupBy(*key, "diagonal").agg(F.collect_set("place").alias("places"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
+    lines = pairs.groupBy(*key, "diagonal").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("slotted"), F.col("place"))).alias("templates"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     lines = lines.filter("size(slots) = size(array_distinct(slots.slots))").withColumn("changed", F.expr("exists(slots, x -> x.slots <> x.doc_slots)"))
-    sums = lines.groupBy(*key).agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"), F.every("changed").alias("reparameterised"))
+    distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    sums = lines.groupBy(*key).agg(distinct("places").alias("matched"), distinct("templates").alias("matched_templates"), F.every("changed").alias("reparameterised"))
     both = sums.alias("s").join(n.alias("n"), F.expr("s.item_id <=> n.item_id and s.item_row = n.item_row"))
-    both = both.select("s.doc_id", "s.row", "s.item_id", "s.matched", "n.n_windows", (F.col("s.matched") / F.col("n.n_windows")).alias("coverage"), "s.reparameterised")
+    # of all windows, or of those that are templates, whichever is more
+    coverage = F.greatest(F.col("s.matched") / F.col("n.n_windows"), F.try_divide(F.col("s.matched_templates"), F.col("n.n_templates")))
+    both = both.select("s.doc_id", "s.row", "s.item_id", "s.matched", "n.n_windows", coverage.alias("coverage"), "s.reparameterised")
     return both.filter(F.col("coverage") >= COVERAGE)
 
 
