@@ -1,19 +1,20 @@
 """LM scoring by masked pseudo-likelihood: each word is masked and predicted from SIDE words on either side by a window network
 trained in numpy; a document's score is the sum of the conditional log-probabilities of all its words.
 
-1. Counts. All words of all documents are counted, per task first, then by a shuffle of the distinct words. The most frequent,
-   down to a count that at most WORDS words reach, go to the driver, with the totals of each class.
+1. Counts. All words of all documents are counted, per task first, then by a shuffle of the distinct words, into a table in the
+   shared folder. The most frequent, down to a count that at most WORDS words reach, are listed: they go to the driver.
 2. Network. Each of the 2 * SIDE places around a word has a table of vectors (FREQUENT words, BUCKETS for all others, and the edge
-   of the text); their sum gives a hidden layer, and a softmax over classes: OWN classes for the most frequent words, ENDINGS for
-   the others by their last two bytes. p(word | both sides) = p(class | both sides) * p(word | class), the latter from the
-   counts; words that aren't listed share their part of a class equally.
-3. Training. Every document contributes, at every STEP-th word (from a place that depends on its text); each task trains a copy
-   of the network on its windows by Adagrad, and the copies' blocks are averaged on the executors, weighed by windows, ROUNDS
-   times. What is counted and trained on grows with the corpus; what the driver gets doesn't.
-4. Scoring reads the whole of every text.
-
-Cases: null texts and texts without words have 0 tokens, log_prob 0 and mean_log_prob null; repeated rows get equal scores; an
-empty table gives no rows; null ids are carried; other columns are ignored.
+   of the text); their sum gives a hidden layer, and this a softmax in two levels: OWN words, GROUPS groups of SIZE listed words
+   with like endings, and all words that aren't listed; then the words of the group. So p(word | both sides) of each listed word is
+   the network's own; that of another word is p(not listed | both sides) times its part of their counts in the whole corpus.
+3. Training. Documents are dealt to parts of about PART_BYTES by a hash of id and text, so parts depend on the corpus only, not on
+   partitions. Each part trains a copy of the network at every place of all its documents, in the order of the hash, by Adagrad; the
+   copies are averaged block by block on the executors, in the order of parts, weighed by their places.
+4. Scoring reads the whole of every text. Words that aren't listed are joined to the table of counts.
+What is counted and trained on grows with the corpus; what the driver gets doesn't.
+
+Cases: null texts and texts without words have 0 tokens, log_prob 0 and mean_log_prob null; rare_log_prob is null without words that
+aren't listed; repeated rows get equal scores; an empty table gives no rows; null ids are carried; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,31 +23,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm import common as C
 
-SIDE, HIDDEN, FREQUENT, BUCKETS, OWN, ENDINGS, WORDS = 2, 16, 4096, 512, 128, 64, 1 << 16
-STEP, ROUNDS, BATCH, RATE, PARTS = 16, 2, 256, 0.15, 64
-CLASSES, ROWS = OWN + ENDINGS, FREQUENT + BUCKETS + 1
+SIDE, HIDDEN, FREQUENT, BUCKETS = 2, 16, 4096, 512
+OWN, GROUPS, SIZE = 32, 96, 160
+WORDS, FIRST, ROWS = OWN + GROUPS * SIZE, OWN + GROUPS + 1, FREQUENT + BUCKETS + 1
+BATCH, RATE, BLOCKS, PART_BYTES = 8192, 0.3, 64, 1 << 25
 #: Words that one task counts before it hands them on.
 HELD = 1 << 22
 
 
 def _ending(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    last = data[ends - 1].astype(np.uint64)
-    before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
-    return (C.mix(last * np.uint64(256) + before + np.uint64(1)) % np.uint64(ENDINGS)).astype(np.int64)
+    """The last two bytes of words, the last one first."""
+    before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.int64)
+    return data[ends - 1].astype(np.int64) * 256 + before
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Rows i to j of a batch as hashes and endings of their words, and where each text's words begin."""
+def _chunks(batch: pa.RecordBatch, endings: bool = False) -> Iterator[tuple]:
+    """Rows i to j of a batch as hashes (and endings) of their words, and where each text's words begin."""
     data, offs = C.flat(batch["text"])
     for i, j in C.groups(offs):
         body = data[offs[i] : offs[j]]
         starts, ends, at = C.words(body, offs[i : j + 1] - offs[i])
-        yield i, j, C.word_hashes(body, starts, ends), _ending(body, starts, ends), at
+        yield C.word_hashes(body, starts, ends), _ending(body, starts, ends) if endings else None, at
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         held, size = [], 0
         for batch in batches:
-            for _, _, h, e, _ in _chunks(batch):
+            for h, e, _ in _chunks(batch, True):
                 held.append((h, e))
                 size += len(h)
             if size >= HELD:
@@ -73,25 +76,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Words by hash: rank, class, and log p(word | class)."""
+    """The listed words by hash: rank, place in the first softmax, and in the second (-1: none)."""
 
-    def __init__(self, top: list[tuple[int, int, int]], totals: dict[int, tuple[int, int]]) -> None:
-        """top: (h, ending, n) by falling n; totals: words and distinct words by ending, of all but the OWN most frequent."""
+    def __init__(self, top: list[tuple[int, int, int]], rare: int) -> None:
+        """top: (h, ending, n) by falling n; rare: how many words of the corpus aren't listed, counted with repeats."""
         h = np.array([x[0] for x in top], np.int64).view(np.uint64)
-        n = np.array([x[2] for x in top], np.float64)
         ending = np.array([x[1] for x in top], np.int64)
         rank = np.arange(len(top))
-        kind = np.where(rank < OWN, rank, OWN + ending)
-        all_n, all_types = np.zeros(CLASSES), np.zeros(CLASSES)
-        for k, (a, b) in totals.items():
-            all_n[OWN + k], all_types[OWN + k] = a, b
-        listed_n, listed = np.bincount(kind[OWN:], n[OWN:], CLASSES), np.bincount(kind[OWN:], minlength=CLASSES)
-        types = np.maximum(all_types - listed, 1)  # a class always leaves room for words not listed
-        left = np.maximum(all_n - listed_n, 1)
-        self.other = np.log(left / (listed_n + left)) - np.log(types)
-        inside = np.where(rank < OWN, 0.0, np.log(n / (listed_n + left)[kind])) if len(top) else np.zeros(0)
+        first, second = rank.copy(), np.full(len(top), -1)
+        place = np.argsort(ending[OWN:], kind="stable")  # groups have like endings
+        first[OWN + place] = OWN + np.arange(len(place)) // SIZE
+        second[OWN + place] = np.arange(len(place)) % SIZE
+        self.sizes = np.bincount(first[OWN:] - OWN, minlength=GROUPS)
         order = np.argsort(h)
-        self.h, self.rank, self.kind, self.inside = h[order], rank[order], kind[order], inside[order]
+        self.h, self.rank, self.first, self.second = h[order], rank[order], first[order], second[order]
+        self.rare = rare
 
     def look_up(self, h: np.ndarray) -> np.ndarray:
         """Places in this vocabulary, -1 for words not listed."""
@@ -103,77 +102,108 @@ class Vocabulary:
     def inputs(self, h: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Rows of the vector tables."""
         rank = np.where(k >= 0, self.rank[k] if len(self.rank) else 0, FREQUENT)
-        return np.where(rank < FREQUENT, rank, FREQUENT + (h >> np.uint64(20)).astype(np.int64) % BUCKETS)
+        return np.where(rank < FREQUENT, rank, FREQUENT + (h >> np.uint64(20)).astype(np.int64) % BUCKETS).astype(np.int16)
 
-    def targets(self, k: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class, and log p(word | class)."""
+    def targets(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the first and in the second softmax."""
         if not len(self.h):
-            return OWN + ending, self.other[OWN + ending]
-        kind = np.where(k >= 0, self.kind[k], OWN + ending)
-        return kind, np.where(k >= 0, self.inside[k], self.other[kind])
+            return np.full(len(k), FIRST - 1, np.int16), np.full(len(k), -1, np.int16)
+        return np.where(k >= 0, self.first[k], FIRST - 1).astype(np.int16), np.where(k >= 0, self.second[k], -1).astype(np.int16)
+
+
+def _groups(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each group among these targets, and which of them are in it."""
+    some = np.flatnonzero(second >= 0)
+    some = some[np.argsort(first[some], kind="stable")]
+    cuts = np.flatnonzero(np.diff(first[some], prepend=-1)).tolist() + [len(some)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(first[some[a]]) - OWN, some[a:b]
 
 
 class Network:
-    def __init__(self, seed: int = 3) -> None:
+    def __init__(self, sizes: np.ndarray, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
-        self.tables = rng.normal(0, 0.1, (2 * SIDE, ROWS, HIDDEN)).astype(np.float32)
-        self.out = rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32)
-        self.bias = np.zeros(CLASSES, np.float32)
+        normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        self.tables = normal(2 * SIDE, ROWS, HIDDEN)
+        self.out, self.bias = normal(HIDDEN, FIRST), np.zeros(FIRST, np.float32)
+        self.inner, self.inner_bias = normal(GROUPS, HIDDEN, SIZE), np.zeros((GROUPS, SIZE), np.float32)
+        self.inner_bias[np.arange(SIZE) >= sizes[:, None]] = -1e9  # no word there
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.tables, self.out, self.bias]
+        return [self.tables, self.out, self.bias, self.inner, self.inner_bias]
 
-    def hidden(self, around: list[np.ndarray]) -> np.ndarray:
+    def hidden(self, around: np.ndarray) -> np.ndarray:
         x = self.tables[0][around[0]]
         for t, a in zip(self.tables[1:], around[1:]):
             x += t[a]
-        return np.tanh(x)
-
-    def log_probability(self, around: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
-        out = np.empty(len(kind))
-        for i in range(0, len(kind), 8192):
-            z = self.hidden([a[i : i + 8192] for a in around]) @ self.out + self.bias
-            z -= z.max(1, keepdims=True)
-            out[i : i + 8192] = z[np.arange(len(z)), kind[i : i + 8192]] - np.log(np.exp(z, out=z.copy()).sum(1))
+        return np.tanh(x, out=x)
+
+    @staticmethod
+    def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of z, less the rows' maxima, in place; and its sums."""
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        return z, z.sum(1, keepdims=True)
+
+    def log_probability(self, around: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        out = np.empty(len(first))
+        for i in range(0, len(first), 8192):
+            y, s = first[i : i + 8192], second[i : i + 8192]
+            x = self.hidden(around[:, i : i + 8192])
+            z, total = self._softmax(x @ self.out + self.bias)
+            p = z[np.arange(len(y)), y] / total[:, 0]
+            for g, some in _groups(y, s):
+                z, total = self._softmax(x[some] @ self.inner[g] + self.inner_bias[g])
+                p[some] *= z[np.arange(len(some)), s[some]] / total[:, 0]
+            out[i : i + 8192] = np.log(np.maximum(p, 1e-30))
         return out
 
-    def train(self, around: np.ndarray, kind: np.ndarray, sums: list[np.ndarray]) -> None:
-        """One Adagrad step per BATCH windows; around: places x windows."""
-        for i in range(0, len(kind), BATCH):
-            a, y = around[:, i : i + BATCH], kind[i : i + BATCH]
-            x = self.hidden(list(a))
-            z = x @ self.out + self.bias
-            z -= z.max(1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            p /= len(y) ** 0.5
-            dx = (p @ self.out.T) * (1 - x * x)
-            for w, g, s in ((self.out, x.T @ p, sums[1]), (self.bias, p.sum(0), sums[2])):
-                s += g * g
-                w -= RATE * g / np.sqrt(s + 1e-2)
-            for t, s, rows in zip(self.tables, sums[0], a):
-                u, inverse = np.unique(rows, return_inverse=True)
-                g = np.zeros((len(u), HIDDEN), np.float32)
-                np.add.at(g, inverse, dx)
-                s[u] += g * g
-                t[u] -= RATE * g / np.sqrt(s[u] + 1e-2)
-
-
-def _around(rows: np.ndarray, at: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Table rows of the words around these places, the edge where a text ends."""
-    doc = np.searchsorted(at, some, side="right") - 1
-    lo, hi = at[doc], at[doc + 1]
-    out = np.empty((2 * SIDE, len(some)), np.int64)
+    def train(self, around: np.ndarray, first: np.ndarray, second: np.ndarray, sums: list[np.ndarray]) -> None:
+        """One Adagrad step; around: places x windows."""
+        scale = np.float32(len(first) ** -0.5)
+
+        def step(w: np.ndarray, g: np.ndarray, s: np.ndarray) -> None:
+            s += g * g
+            w -= RATE * g / np.sqrt(s + 1e-2)
+
+        def slope(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+            p, total = self._softmax(z)
+            p *= scale / total
+            p[np.arange(len(y)), y] -= scale
+            return p
+
+        x = self.hidden(around)
+        p = slope(x @ self.out + self.bias, first)
+        dx = p @ self.out.T
+        for g, some in _groups(first, second):
+            part = x[some]
+            q = slope(part @ self.inner[g] + self.inner_bias[g], second[some])
+            dx[some] += q @ self.inner[g].T
+            step(self.inner[g], part.T @ q, sums[3][g])
+            step(self.inner_bias[g], q.sum(0), sums[4][g])
+        step(self.out, x.T @ p, sums[1])
+        step(self.bias, p.sum(0), sums[2])
+        dx *= 1 - x * x
+        for t, s, rows in zip(self.tables, sums[0], around):
+            order = np.argsort(rows, kind="stable")
+            cuts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+            u, g = rows[order[cuts]], np.add.reduceat(dx[order], cuts)
+            s[u] += g * g
+            t[u] -= RATE * g / np.sqrt(s[u] + 1e-2)
+
+
+def _around(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Table rows of the words around each place, the edge where a text ends."""
+    n = np.diff(at)
+    lo, hi, place = np.repeat(at[:-1], n), np.repeat(at[1:], n), np.arange(len(rows))
+    out = np.full((2 * SIDE, len(rows)), ROWS - 1, np.int16)
     for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        p = some + d
-        ok = (p >= lo) & (p < hi)
-        out[k] = np.where(ok, rows[np.where(ok, p, 0)], ROWS - 1)
+        ok = (place + d >= lo) & (place + d < hi)
+        out[k, ok] = rows[place[ok] + d]
     return out
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    counts = C.stored(word_counts(docs), "words")
+def vocabulary(counts: DataFrame) -> Vocabulary:
     size = F.floor(F.log2("n") * 32)  # some thousand steps at most
     cut, listed = None, 0
     for step, words in sorted(counts.groupBy(size.alias("step")).count().collect(), reverse=True):
@@ -182,95 +212,130 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
         cut, listed = step, listed + words
     rows = [tuple(r) for r in counts.filter(size >= cut).select("h", "ending", "n").collect()] if cut is not None else []
     rows.sort(key=lambda r: (-r[2], r[0]))
-    own = {h for h, _, _ in rows[:OWN]}
-    totals = {r["ending"]: (r["n"], r["types"]) for r in counts.filter(~F.col("h").isin(list(own)) if own else F.lit(True)).groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
-    C.drop_stored(counts)
-    return Vocabulary(rows, totals)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return Vocabulary(rows, total - sum(n for _, _, n in rows))
 
 
-def _round(docs: DataFrame, words, net: Network) -> Network:
-    """Each task's trained copy, averaged block by block on the executors."""
+def _trained(docs: DataFrame, words) -> Network:
+    """The network: each part's copy, averaged block by block on the executors."""
     spark = docs.sparkSession
-    now = spark.sparkContext.broadcast(net)
-    total = sum(p.size for p in net.parameters())
-    cuts = np.linspace(0, total, PARTS + 1).astype(int)
+    sizes = words.value.sizes
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + int(size // PART_BYTES)
+    cuts = np.linspace(0, sum(p.size for p in Network(sizes).parameters()), BLOCKS + 1).astype(int)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, mine = words.value, Network()
-        mine.tables, mine.out, mine.bias = (p.copy() for p in now.value.parameters())
-        sums = [np.zeros_like(p) for p in mine.parameters()]
-        seen = 0
+        v = words.value
+        now, net, sums, held, seen = None, None, None, [], 0
+
+        def learn(least: int) -> None:
+            """Whole batches of what is held, whatever chunks it came in; with least 1 also the rest."""
+            nonlocal held
+            if sum(len(y) for _, y, _ in held) < least:
+                return
+            around, first, second = (np.concatenate([x[i] for x in held], axis=-1) for i in range(3))
+            stop = len(first) if least == 1 else len(first) // BATCH * BATCH
+            for i in range(0, stop, BATCH):
+                k = slice(i, min(i + BATCH, stop))
+                net.train(around[:, k], first[k], second[k], sums)
+            held = [(around[:, stop:], first[stop:], second[stop:])]
+
+        def done() -> pa.RecordBatch:
+            learn(1)
+            flat = np.concatenate([p.ravel() for p in net.parameters()])
+            return pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([now] * BLOCKS, pa.int32()), pa.array([seen] * BLOCKS, pa.int64()), pa.array([flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["block", "part", "places", "body"])
+
         for batch in batches:
-            for _, _, h, ending, at in _chunks(batch):
-                n = np.diff(at)
-                begin = np.zeros(len(n), np.int64)
-                begin[n > 0] = (h[at[:-1][n > 0]] >> np.uint64(40)).astype(np.int64) % np.minimum(STEP, n[n > 0])
-                place = np.arange(len(h)) - np.repeat(at[:-1], n)
-                some = np.flatnonzero((place - np.repeat(begin, n)) % STEP == 0)
-                if not len(some):
+            part = batch["part"].to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
                     continue
-                k = v.look_up(h)
-                around, kind = _around(v.inputs(h, k), at, some), v.targets(k[some], ending[some])[0]
-                mine.train(around, kind, sums)
-                seen += len(some)
-        flat = np.concatenate([p.ravel() for p in mine.parameters()])
+                if part[a] != now:
+                    if seen:
+                        yield done()
+                    now, net, held, seen = int(part[a]), Network(sizes), [], 0
+                    sums = [np.zeros_like(p) for p in net.parameters()]
+                for h, _, at in _chunks(batch.slice(a, b - a)):
+                    k = v.look_up(h)
+                    held.append((_around(v.inputs(h, k), at), *v.targets(k)))
+                    seen += len(h)
+                    learn(8 * BATCH)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([seen] * PARTS, pa.int64()), pa.array([flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["part", "windows", "block"])
+            yield done()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        weights: dict[int, int] = {}
+        now, total, weight = None, None, 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["block", "body"])
         for batch in batches:
-            for part, n, block in zip(batch["part"].to_pylist(), batch["windows"].to_pylist(), batch["block"].to_pylist()):
-                x = np.frombuffer(block, np.float32).astype(np.float64) * n
-                sums[part] = sums[part] + x if part in sums else x
-                weights[part] = weights.get(part, 0) + n
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(sums[k] / weights[k]).astype(np.float32).tobytes() for k in sums], pa.binary())], ["part", "block"])
-
-    blocks = docs.select("text").mapInArrow(each, "part int, windows long, block binary").repartition(PARTS, "part")
-    found = dict(blocks.mapInArrow(merged, "part int, block binary").collect())  # one network
-    if not found:
-        return net
-    flat = np.concatenate([np.frombuffer(found[k], np.float32) for k in range(PARTS)])
-    out, at = Network(), 0
-    for p in out.parameters():
-        p[...] = flat[at : at + p.size].reshape(p.shape)
-        at += p.size
-    return out
-
-
-def fit(docs: DataFrame) -> tuple[Vocabulary, Network]:
+            for block, n, body in zip(*(batch[c].to_pylist() for c in ("block", "places", "body"))):
+                if block != now:
+                    if now is not None:
+                        yield done()
+                    now, total, weight = block, 0.0, 0
+                total, weight = total + np.frombuffer(body, np.float32).astype(np.float64) * n, weight + n
+        if now is not None:
+            yield done()
+
+    order = F.xxhash64("doc_id", "text")
+    dealt = docs.filter("text <> ''").select("doc_id", "text", order.alias("h"), F.pmod(order, F.lit(parts)).cast("int").alias("part"))
+    dealt = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "h", "doc_id", "text").select("part", "text")
+    blocks = dealt.mapInArrow(each, "block int, part int, places long, body binary")
+    found = dict(blocks.repartition(min(BLOCKS, C.tasks(spark)), "block").sortWithinPartitions("block", "part").mapInArrow(merged, "block int, body binary").collect())  # one network
+    net = Network(sizes)
+    if found:
+        flat, at = np.concatenate([np.frombuffer(found[k], np.float32) for k in range(BLOCKS)]), 0
+        for p in net.parameters():
+            p[...] = flat[at : at + p.size].reshape(p.shape)
+            at += p.size
+    return net
+
+
+def fit(docs: DataFrame) -> tuple[DataFrame, Vocabulary, Network]:
+    """The counts of all words, the listed ones, and the network."""
     C.bounded_batches(docs.sparkSession)
-    words = vocabulary(docs)
-    sent, net = docs.sparkSession.sparkContext.broadcast(words), Network()
-    for _ in range(ROUNDS):
-        net = _round(docs, sent, net)
-    return words, net
+    counts = C.stored(word_counts(docs), "words")
+    words = vocabulary(counts)
+    return counts, words, _trained(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), docs.sparkSession.sparkContext.broadcast(words))
 
 
-def scored(docs: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
-    """doc_id, n_tokens, log_prob, mean_log_prob of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, net))  # WORDS words and one network
-    C.bounded_batches(docs.sparkSession)
+def scored(docs: DataFrame, counts: DataFrame, words: Vocabulary, net: Network) -> DataFrame:
+    """doc_id, n_tokens, log_prob, mean_log_prob of every document; n_rare and rare_log_prob: how many of its words aren't listed, and
+    the mean log of their part of the corpus's words."""
+    spark = docs.sparkSession
+    C.bounded_batches(spark)
+    sent = spark.sparkContext.broadcast((words, net))  # WORDS words and one network
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, network = sent.value
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, total = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for _, _, h, ending, at in _chunks(batch):
+            n, total, rare = [np.zeros(0, np.int64)], [np.zeros(0)], []
+            for h, _, at in _chunks(batch):
                 k = v.look_up(h)
-                kind, inside = v.targets(k, ending)
-                rows = v.inputs(h, k)
-                each_ = network.log_probability(list(_around(rows, at, np.arange(len(h)))), kind) + inside
-                sums = np.concatenate([[0.0], np.cumsum(each_)])
+                sums = np.concatenate([[0.0], np.cumsum(network.log_probability(_around(v.inputs(h, k), at), *v.targets(k)))])
                 n.append(np.diff(at))
                 total.append(sums[at[1:]] - sums[at[:-1]])
-            count, summed = np.concatenate(n), np.concatenate(total)
-            mean = np.divide(summed, count, out=np.zeros(len(count)), where=count > 0)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(count), pa.array(summed), pa.array(mean, mask=count == 0)], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+                # each text's other words once, with how often it has them
+                other = np.flatnonzero(k < 0)
+                text, x = np.searchsorted(at, other, "right") - 1, h[other]
+                order = np.lexsort((x, text))
+                text, x = text[order], x[order]
+                new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (x != np.roll(x, 1)))
+                pairs = pa.StructArray.from_arrays([pa.array(x[new].view(np.int64)), pa.array(np.diff(np.append(new, len(x))).astype(np.int32))], ["h", "times"])
+                rare.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(text[new], np.arange(len(at))).astype(np.int32)), pairs))
+            rows = pa.array(np.arange(key, key + batch.num_rows))
+            key += batch.num_rows
+            listed = pa.concat_arrays(rare) if rare else pa.array([], pa.list_(pa.struct([("h", pa.int64()), ("times", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([rows, batch["doc_id"], pa.array(np.concatenate(n)), pa.array(np.concatenate(total)), listed], ["key", "doc_id", "n_tokens", "log_prob", "rare"])
+
+    base = C.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "key long, doc_id long, n_tokens long, log_prob double, rare array<struct<h: long, times: int>>"), "scores")
+    rare = base.select("key", F.inline("rare"))
+    part = F.log(F.coalesce("n", F.lit(1)) / F.lit(float(max(1, words.rare))))  # those that come once needn't be joined
+    rare = rare.join(counts.filter("n > 1").select("h", "n").hint("merge"), "h", "left").groupBy("key").agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * part).alias("rest"))
+    both = base.drop("rare").join(rare, "key", "left").withColumn("n_rare", F.coalesce("n_rare", F.lit(0)))
+    whole = F.col("log_prob") + F.coalesce("rest", F.lit(0.0))
+    return both.select("doc_id", "n_tokens", whole.alias("log_prob"), F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).alias("mean_log_prob"), "n_rare", F.when(F.col("n_rare") > 0, F.col("rest") / F.col("n_rare")).alias("rare_log_prob"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
