@@ -24,6 +24,14 @@ PAGES = {
     "white space": (f"<article><h1> Title\n</h1>\n<p>\n{P1.replace(' ', '  ', 5)}&nbsp;</p><p>{P2.replace(' ', '<br>', 3)}</p><p>{P3}</p></article>", WANT),
     "inline": (f"<article><h1>Ti<b>t</b>le</h1><p>{P1.replace('first', '<a href=x>fi<i>rst</i></a>')}</p><p>{P2}</p><p>{P3}</p></article>", WANT),
     "entities": ("<article><p>caf&eacute; &#233;&#xE9; &amp;amp; &hellip; ok.</p></article>", "café éé &amp; … ok."),
+    "form around the page": (f"<body><form id=aspnet><div class=menu><ul><li>Home</li></ul></div><div>{BODY}</div><div class=footer>Imprint, and more.</div></form></body>", WANT),
+    "text in a form": ("<body><form>article</form></body>", "article"),
+    "odd names around": (f"<body><nav><a>Home</a></nav><div class='hidden-gem notice-board tags'><div class=related>{BODY}</div></div><p>Imprint</p></body>", WANT),
+    "odd names inside": (f"<article><h1 class=banner>Title</h1><p class=related>{P1}</p><p class='share notice'>{P2}</p><p class=bottom>{P3}</p></article>", WANT),
+    "formulas": (f"<article><h1>Title</h1><p>{P1}</p><p>{P2}</p><p>Short <math><mi>o</mi><mo>n</mo></math>e.</p></article>", WANT),
+    "tables": (f"<article><h1>Title</h1><p>{P1}</p><table><tr><td>a<td>7</table><p>{P3}</p></article>", f"Title\n\n{P1}\n\na\n\n7\n\n{P3}"),
+    "a short list in long text": (f"<article><h1>Title</h1><p>{P1 * 40}</p><ul><li>x</li><li>two</li></ul></article>", f"Title\n\n{P1 * 40}\n\nx\n\ntwo"),
+    "only a menu": ("<nav><ul><li>Home, sweet home.</li><li>Away</li></ul></nav>", ""),
     "null": (None, ""),
     "empty": ("", ""),
     "only menus": ("<nav><a>x</a></nav><footer>y</footer>", ""),
@@ -67,3 +75,92 @@ def test_driver_table(spark):
 @given(st.text(alphabet="<>/\"'=!- apdivbrscript&;#x1", max_size=200))
 def test_total_on_anything(html):
     assert isinstance(H.extract(html), str)
+
+
+def plain_blocks(html):
+    """The blocks of a well-formed page by the standard library's parser: (ancestors with their classes, text)."""
+    from html.parser import HTMLParser
+
+    out, stack, text = [], [], []
+
+    class Parser(HTMLParser):
+        def flush(self):
+            s = " ".join("".join(text).split())
+            text.clear()
+            if s:
+                out.append((tuple(stack), s))
+
+        def handle_starttag(self, tag, attrs):
+            self.flush()
+            stack.append((tag, dict(attrs).get("class") or "", len(out), object()))
+
+        def handle_endtag(self, tag):
+            self.flush()
+            stack.pop()
+
+        def handle_data(self, data):
+            text.append(data)
+
+    p = Parser()
+    p.feed(html)
+    p.close()
+    p.flush()
+    return out
+
+
+def brute(html):
+    """The method's rules one by one, with paths as tuples of names and every ancestor looked at for every block."""
+    found = plain_blocks(html)
+    if not found:
+        return ""
+    paths = [tuple((t, c) for t, c, *_ in up) for up, _ in found]
+    mean = {p: [sum(f(s) for q, (_, s) in zip(paths, found) if q == p) / paths.count(p) for f in (len, lambda s: sum(c in ".,;:!?" for c in s))] for p in set(paths)}
+    smooth = lambda x: [(x[i] + H.NEIGHBOUR * sum(x[j] for j in (i - 1, i + 1) if 0 <= j < len(x))) / (1 + H.NEIGHBOUR * sum(0 <= j < len(x) for j in (i - 1, i + 1))) for i in range(len(x))]
+    fused = [(a * (b + 0.1)) ** 0.5 for a, b in zip(*(smooth([mean[p][k] for p in paths]) for k in (0, 1)))]
+    fused = {p: sum(f for f, q in zip(fused, paths) if q == p) / paths.count(p) for p in set(paths)}
+    bad = lambda t, up: t in H.NEVER and not (t == "header" and "article" in [u[0] for u in up])
+    never = lambda up: sum(bad(t, up[:k]) for k, (t, *_) in enumerate(up))
+    marked = lambda t, c: t not in ("html", "body", "article", "main") and any(w.lower() in H.MARKS for w in re.findall("[A-Z]?[a-z]+|[A-Z]+", c))
+    hard = lambda up: sum(t in H.FORM or marked(t, c) and not bad(t, up[:k]) and t not in H.PARAGRAPHS for k, (t, c, *_) in enumerate(up))
+    soft = lambda up: sum(marked(t, c) and t in H.PARAGRAPHS for t, c, *_ in up)
+    weighted = [fused[p] * H.MARKED ** (never(up) + min(1, hard(up))) for p, (up, _) in zip(paths, found)]
+    chosen = [(up, s) for w, (up, s) in zip(weighted, found) if w >= H.LEAST_RATIO * max(weighted)]
+    best = ()
+    for up, _ in chosen:
+        for k in range(len(up) + 1):
+            held = sum(len(s) for other, s in chosen if [u[3] for u in other[:k]] == [u[3] for u in up[:k]])
+            if held >= H.MOST_TEXT * sum(len(s) for _, s in chosen) and k > len(best):
+                best = up[:k]
+    if best and best[-1][0] in H.PARAGRAPHS:
+        best = best[:-1]
+    inside = [(p, up, s) for p, (up, s) in zip(paths, found) if [u[3] for u in up[: len(best)]] == [u[3] for u in best]]
+    least = H.LEAST_INSIDE * max(fused[p] for p, *_ in inside)
+    return "\n\n".join(s for p, up, s in inside if fused[p] * H.INSIDE ** (never(up) + hard(up) - hard(best)) * H.PARAGRAPH ** (soft(up) - soft(best)) >= least)
+
+
+NODES = st.recursive(st.sampled_from(["Some words, here.", "x", "A longer sentence; it goes on, and on, until it ends.", "Menu"]), lambda inner: st.tuples(st.sampled_from(["div", "section", "article", "nav", "footer", "form", "aside", "header"]), st.sampled_from(["", "", "ad", "comments", "text"]), st.lists(inner, min_size=1, max_size=4)), max_leaves=14)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(NODES, min_size=1, max_size=5))
+def test_against_brute_force(nodes):
+    def written(node):
+        if isinstance(node, str):
+            return f"<div class='par'>{node}</div>" if len(node) % 2 else f"<blockquote>{node}</blockquote>"
+        return f"<{node[0]} class='{node[1]}'>{''.join(map(written, node[2]))}</{node[0]}>"
+
+    html = "<body>" + "".join(map(written, nodes)) + "</body>"
+    assert H.extract(html) == brute(html)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep text", "<b>" * 100_000 + "<div>x</div>" * 20_000, "<div class=c>y" * 50_000, "<ul><li>" * 50_000 + "z", "</p>" * 100_000 + "t", "<p>" * 100_000 + "t"])
+def test_deep_pages_take_little(page):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    start = time.perf_counter()
+    assert H.extract(page)
+    took, peak = time.perf_counter() - start, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and took < 60

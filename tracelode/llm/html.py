@@ -2,14 +2,19 @@
 
 A page is read once into blocks of text (what stands between the starts and ends of block elements), each with its root-to-leaf
 path of block elements and their classes. Per path, text length and punctuation are added up and divided by the number of blocks;
-the ratios of both are smoothed over the page's order (a path counts as its neighbours do), fused as the geometric mean, and paths
-below a part of the best one are dropped. The content is the element that holds most of the text of the paths that are left; in it,
-headings and blocks of the selected paths are kept.
-Elements that are never part of an article (menus, page headers, footers, sidebars, forms, scripts; and by their class or id:
-notices, adverts, reader comments and the like) don't take part.
+the ratios of both are smoothed over the page's order (a path counts as its neighbours do) and fused as the geometric mean.
+
+What elements and classes say (menus, page headers, footers, sidebars, forms, notices, adverts, reader comments and the like) are only
+weights of these ratios:
+1. The content node. Paths whose weighted ratio (MARKED for each tag that is no part of an article, and once for marks) is below LEAST_RATIO of the best one are left out; the
+   content is the element lowest in the tree that holds MOST_TEXT of the text of the paths that are left.
+2. Its parts. Of the blocks in it those stay whose ratio is LEAST_INSIDE of the best one in it or more, weighed by the marks between the
+   content and them (INSIDE each; a mark on a paragraph, list item or heading itself only PARAGRAPH). So a form or a strangely named
+   element around the whole article costs nothing, but an advert or a comment in the article does. Elements that are a menu, footer or
+   sidebar by their tag weigh INSIDE wherever they are.
 
 Text: character references are decoded, white space inside a block (a line break element too) becomes one blank, blocks are trimmed
-and joined in page order by an empty line; nothing else is dropped or capped.
+and joined in page order by an empty line; nothing else is dropped or capped. Time and memory are linear in the page, however deep.
 
 Cases: null html is empty; a page without text gives the empty string; unclosed elements, quotes and comments end where browsers end
 them, at the latest with the page; repeated rows give equal texts; an empty table gives no rows; other columns are ignored.
@@ -31,13 +36,18 @@ from tracelode.llm import common as C
 
 #: Part of the best fused ratio that a path needs; weight of a neighbour in smoothing; part of the text that the content holds.
 LEAST_RATIO, NEIGHBOUR, MOST_TEXT = 0.12, 0.25, 0.7
+#: Weight of a mark on the path; part of the best ratio needed in the content; weight of a mark in it, and of one on a paragraph.
+MARKED, LEAST_INSIDE, INSIDE, PARAGRAPH = 0.1, 0.001, 0.0002, 0.5
 
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body head address article aside blockquote button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = frozenset("head nav header footer aside form menu dialog select button label fieldset search".split())
+#: Elements that are no part of an article; FORM ones may be around it.
+NEVER = frozenset("head nav header footer aside menu dialog select button label search".split())
+FORM = frozenset("form fieldset".split())
+PARAGRAPHS = frozenset("p li dt dd blockquote pre td th figcaption caption h1 h2 h3 h4 h5 h6".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in a class or id that mark what isn't part of an article.
 MARKS = frozenset(
@@ -60,10 +70,23 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 
 class Element:
-    __slots__ = ("name", "path", "parent", "never", "block")
+    """holder: the next block element, itself included; never, marks, soft: how many elements from the root down to this one are no
+    part of an article by their tag, are marked (or forms), and are marked paragraphs; end: the last element in it."""
+
+    __slots__ = ("name", "path", "parent", "holder", "block", "at", "end", "depth", "article", "never", "marks", "soft", "mass")
 
-    def __init__(self, name: str, path: str, parent: Element | None, never: bool, block: bool) -> None:
-        self.name, self.path, self.parent, self.never, self.block = name, path, parent, never, block
+    def __init__(self, name: str, parent: Element | None, block: bool, at: int, marked: bool) -> None:
+        self.name, self.parent, self.block, self.at, self.end, self.mass = name, parent, block, at, at, 0
+        self.holder = self if block or parent is None else parent.holder
+        up = parent
+        self.depth = up.depth + block if up else 0
+        self.article = name == "article" or up is not None and up.article
+        bad = name in NEVER and not (name == "header" and self.article)
+        marked = marked and name not in ("html", "body", "article", "main")
+        self.never = (up.never if up else 0) + bad
+        self.marks = (up.marks if up else 0) + (name in FORM or marked and not bad and name not in PARAGRAPHS)
+        self.soft = (up.soft if up else 0) + (marked and name in PARAGRAPHS)
+        self.path = up.path if up else 0
 
 
 def _marks(rest: str) -> tuple[str, bool]:
@@ -75,10 +98,12 @@ def _marks(rest: str) -> tuple[str, bool]:
     return found[0].strip() if found else "", marked
 
 
-def blocks(html: str) -> list[tuple[Element, str]]:
-    """The page's blocks of text in order, each with the block element that holds it."""
-    root = Element("", "", None, False, True)
-    stack = [root]
+def blocks(html: str) -> tuple[list[tuple[Element, str]], list[Element]]:
+    """The page's blocks of text in order, each with the block element that holds it; and all elements in the order they begin."""
+    root = Element("", None, True, 0, False)
+    stack, elements = [root], [root]
+    open_: dict[str, int] = defaultdict(int)  # elements on the stack by name
+    paths: dict[tuple[int, str, str], int] = {}
     out: list[tuple[Element, str]] = []
     text: list[str] = []
 
@@ -87,10 +112,14 @@ def blocks(html: str) -> list[tuple[Element, str]]:
             s = " ".join(unescape("".join(text)).split())
             text.clear()
             if s:
-                holder = stack[-1]
-                while not holder.block:
-                    holder = holder.parent
-                out.append((holder, s))
+                out.append((stack[-1].holder, s))
+
+    def cut(k: int) -> None:
+        last = elements[-1].at
+        for e in stack[k:]:
+            e.end = last
+            open_[e.name] -= 1
+        del stack[k:]
 
     at = 0
     while (m := _TOKEN.search(html, at)) is not None:
@@ -102,15 +131,15 @@ def blocks(html: str) -> list[tuple[Element, str]]:
             continue
         name = name.lower()
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    if any(e.block for e in stack[k:]):
-                        close()
-                    del stack[k:]
-                    break
-            else:
-                if name in BLOCK:
+            if open_[name]:
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                if any(e.block for e in stack[k:]):
                     close()
+                cut(k)
+            elif name in BLOCK:
+                close()
             continue
         rest = m["rest"]
         if name in RAW:
@@ -130,32 +159,28 @@ def blocks(html: str) -> list[tuple[Element, str]]:
         block = name in BLOCK
         if block:
             close()
-            ends = ENDS.get(name, ())
-            for k in range(len(stack) - 1, 0, -1):
-                e = stack[k].name
-                if e == "p" or e in ends or e in HEADING and name in HEADING:
-                    del stack[k:]
-                    if e == "p":
+            ends = ENDS.get(name, frozenset()) | (HEADING if name in HEADING else frozenset()) | {"p"}
+            if any(open_[e] for e in ends):
+                for k in range(len(stack) - 1, 0, -1):
+                    e = stack[k].name
+                    if e in ends:
+                        cut(k)
+                        if e == "p":
+                            break
+                    elif e in SCOPE:
                         break
-                elif e in SCOPE:
-                    break
-        up = stack[-1]
-        kind, marked = _marks(rest)
-        never = up.never or name in NEVER and not (name == "header" and _inside_article(up)) or marked and name not in ("html", "body", "article", "main")
-        path = f"{up.path}/{name}{'.' + kind if kind else ''}" if block else up.path
         if not rest.endswith("/") or block:
-            stack.append(Element(name, path, up, never, block))
+            kind, marked = _marks(rest)
+            e = Element(name, stack[-1], block, len(elements), marked)
+            if block:
+                e.path = paths.setdefault((e.path, name, kind), len(paths) + 1)
+            elements.append(e)
+            stack.append(e)
+            open_[name] += 1
     text.append(html[at:])
     close()
-    return out
-
-
-def _inside_article(e: Element | None) -> bool:
-    while e is not None:
-        if e.name == "article":
-            return True
-        e = e.parent
-    return False
+    cut(0)
+    return out, elements
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -163,7 +188,7 @@ def _smooth(x: list[float]) -> list[float]:
     return [(x[i] + NEIGHBOUR * ((x[i - 1] if i else 0.0) + (x[i + 1] if i + 1 < n else 0.0))) / (1 + NEIGHBOUR * ((i > 0) + (i + 1 < n))) for i in range(n)]
 
 
-def ratios(found: list[tuple[Element, str]]) -> dict[str, float]:
+def ratios(found: list[tuple[Element, str]]) -> dict[int, float]:
     """The fused ratio of each path: text length and punctuation per block, both smoothed over the page."""
     length, marks, n = defaultdict(float), defaultdict(float), defaultdict(int)
     for e, s in found:
@@ -172,43 +197,38 @@ def ratios(found: list[tuple[Element, str]]) -> dict[str, float]:
         n[e.path] += 1
     by_length = _smooth([length[e.path] / n[e.path] for e, _ in found])
     by_marks = _smooth([marks[e.path] / n[e.path] for e, _ in found])
-    fused: dict[str, float] = defaultdict(float)
+    fused: dict[int, float] = defaultdict(float)
     for (e, _), a, b in zip(found, by_length, by_marks):
         fused[e.path] += math.sqrt(a * (b + 0.1))
     return {p: v / n[p] for p, v in fused.items()}
 
 
+def content_of(found: list[tuple[Element, str]], elements: list[Element], fused: dict[int, float]) -> Element:
+    """The element lowest in the tree that holds most of the text of the chosen paths."""
+    weighted = [fused[e.path] * MARKED ** (min(9, e.never) + min(1, e.marks)) for e, _ in found]
+    least, total = LEAST_RATIO * max(weighted), 0
+    for (e, s), w in zip(found, weighted):
+        if w >= least:
+            e.mass += len(s)
+            total += len(s)
+    for e in reversed(elements[1:]):  # parents begin before their children
+        e.parent.mass += e.mass
+    content = max((e for e in elements if e.block and e.mass >= MOST_TEXT * total), key=lambda e: e.depth)
+    if content.name in PARAGRAPHS and content.parent is not None:
+        content = content.parent.holder  # one long paragraph: its heading and neighbours belong to it
+    return content
+
+
 def extract(html: str) -> str:
-    found = [(e, s) for e, s in blocks(html) if not e.never]
+    found, elements = blocks(html)
     if not found:
         return ""
     fused = ratios(found)
-    best = max(fused.values())
-    chosen = {p for p, v in fused.items() if v >= LEAST_RATIO * best}
-    # the element lowest in the tree that holds most of the chosen text
-    mass: dict[int, float] = defaultdict(float)
-    elements: dict[int, Element] = {}
-    total = 0.0
-    for e, s in found:
-        if e.path in chosen:
-            total += len(s)
-            a = e
-            while a is not None:
-                mass[id(a)] += len(s)
-                elements[id(a)] = a
-                a = a.parent
-    holding = [elements[k] for k, v in mass.items() if v >= MOST_TEXT * total]
-    content = max(holding, key=lambda e: (e.path.count("/"), len(e.path)))
-    if content.name in ("p", "li", "pre", "blockquote", "td", "dd", "dt") and content.parent is not None:
-        content = content.parent  # one long paragraph: its heading and neighbours belong to it
-    kept = []
-    for e, s in found:
-        a = e
-        while a is not None and a is not content:
-            a = a.parent
-        if a is content and (e.path in chosen or e.name in HEADING or e.name in ("p", "li", "blockquote", "pre")):
-            kept.append(s)
-    return "\n\n".join(kept)
+    content = content_of(found, elements, fused)
+    inside = [(e, s) for e, s in found if content.at <= e.at <= content.end]
+    least = LEAST_INSIDE * max(fused[e.path] for e, _ in inside)
+    weight = lambda e: INSIDE ** min(9, e.never + e.marks - content.marks) * PARAGRAPH ** min(9, e.soft - content.soft)
+    return "\n\n".join(s for e, s in inside if fused[e.path] * weight(e) >= least)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
