@@ -5,11 +5,14 @@ A word is a run of [^\\x20\\x09-\\x0D]; a window is WINDOW consecutive words of
 1. Count-min prefilter. Each window is counted under its anchor, the least hash among its GRAM-word runs: equal windows have
    equal anchors, so an anchor's count is at least that of each of its windows, and one anchor serves some thirteen windows.
    Whole texts are counted in the same sketch, by their hash.
-   Partitions make sketches of two rows of cells (per document each anchor counts once; counts stop at 2), which are merged
-   shard by shard on the executors. The driver gets one bit per cell, "2 or more": at most 2 * MOST_CELLS bits, whatever the
-   corpus. A sketch overestimates only, so no repeated window is lost; where it is too full it only filters less.
+   Partitions make sketches of two rows of cells (per document each anchor counts once; counts stop at 2), in shards of SHARD
+   cells; both cells of an anchor are in one shard. They grow with the corpus and are merged shard by shard on the executors.
+   What is asked of them is one bit per cell, "2 or more". Up to SENT cells the bits are broadcast; beyond that anchors go to
+   the shards: distinct ones are looked up there, and those estimated as repeated are joined to the documents that have them.
+   A sketch overestimates only, so no repeated window is lost.
 2. Second pass. Only windows whose anchor is estimated as repeated leave the scan, as 128-bit hashes, and are grouped exactly:
    the least doc_id of each window is aggregated map-side first, and joined back by a join that Spark can split when skewed.
+   (Words are hashed twice by functions without structure, see common.word_hashes.)
    Texts estimated as repeated are grouped exactly first: of equal texts only that with the least doc_id has its windows taken,
    and the others lose all words, since each of their windows is in it too.
 3. The places found are gathered per document and joined to its text; one text with all its places is the largest unit.
@@ -32,8 +35,8 @@ from pyspark.sql import types as T
 from tracelode.llm import common as C
 
 WINDOW, GRAM = 50, 25
-#: Cells of one of the sketch's two rows: CELLS_PER_BYTE times the corpus, a power of two within these bounds.
-LEAST_CELLS, MOST_CELLS, CELLS_PER_BYTE = 1 << 16, 1 << 28, 1 / 20
+#: Cells of the sketch: CELLS_PER_BYTE times the corpus, whole shards; so many are broadcast at most, as bits.
+CELLS_PER_BYTE, SENT = 0.15, 1 << 29
 SHARD = 1 << 20
 #: Anchors that one task holds before it hands on a partial sketch.
 HELD = 1 << 21
@@ -53,9 +56,10 @@ def _anchors(data: np.ndarray, offs: np.ndarray, window: int, gram: int):
     return starts, ends, at, h, place, doc, C.mix(a)
 
 
-def _cells(anchor: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    low = np.uint64(cells - 1)
-    return (anchor & low).astype(np.int64), (anchor >> np.uint64(32) & low).astype(np.int64) + cells
+def _cells(anchor: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shard of each anchor, and its cell in either row of the shard."""
+    half = np.uint64(SHARD // 2 - 1)
+    return (C.mix(anchor ^ np.uint64(0x2127599BF4325C37)) % np.uint64(shards)).astype(np.int64), (anchor & half).astype(np.int64), (anchor >> np.uint64(32) & half).astype(np.int64) + SHARD // 2
 
 
 def _text_anchor(row: np.ndarray) -> np.ndarray:
@@ -63,17 +67,20 @@ def _text_anchor(row: np.ndarray) -> np.ndarray:
     return C.mix(row.view(np.uint64) ^ np.uint64(0x6A09E667F3BCC908))
 
 
-def _twice(bits: np.ndarray, anchor: np.ndarray, cells: int) -> np.ndarray:
+def _twice(bits: np.ndarray, anchor: np.ndarray, shards: int) -> np.ndarray:
+    """bits: of all shards, or with shards 1 of the anchors' own one."""
+    shard, *both = _cells(anchor, shards)
     out = np.ones(len(anchor), bool)
-    for cell in _cells(anchor, cells):
+    for cell in both:
+        cell = cell + shard * SHARD
         out &= (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
     return out
 
 
-def _partial(anchors: list[np.ndarray], cells: int) -> pa.RecordBatch:
+def _partial(anchors: list[np.ndarray], shards: int) -> pa.RecordBatch:
     """Cells with a count of 1, and of 2 or more, by shard; stored as 1-bit counts and places within the shard."""
-    both = np.concatenate(_cells(np.concatenate(anchors), cells)) if anchors else np.zeros(0, np.int64)
-    cell, n = np.unique(both, return_counts=True)
+    shard, *rows = _cells(np.concatenate(anchors) if anchors else np.zeros(0, np.uint64), shards)
+    cell, n = np.unique(np.concatenate([shard * SHARD + c for c in rows]), return_counts=True)
     x = ((cell % SHARD) << 1 | (n > 1)).astype("<u4")
     shard, begin = np.unique(cell // SHARD, return_index=True)
     cuts = [*begin.tolist(), len(x)]
@@ -99,87 +106,147 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(now, seen)
 
 
-def sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[int, np.ndarray]:
-    """The merged sketch: the number of cells of a row, and the bits of both rows (2 or more documents)."""
+def _anchors_of(batch: pa.RecordBatch, window: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The row in the batch, and the anchor, of each distinct anchor of each text, that of the whole text with them."""
+    data, offs = C.flat(batch["text"])
+    yield np.arange(batch.num_rows), _text_anchor(batch["row"].to_numpy(zero_copy_only=False))
+    for i, j in C.groups(offs):
+        *_, doc, anchor = _anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window, gram)
+        once = np.ones(len(anchor), bool)
+        once[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+        anchor, doc = anchor[once], doc[once]
+        _, first = np.unique(C.join_hashes(anchor, doc.astype(np.uint64)), return_index=True)
+        yield doc[first] + i, anchor[first]
+
+
+def sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[int, DataFrame]:
+    """The merged sketch: the number of shards, and (shard, bits: 2 or more documents)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << int(size * CELLS_PER_BYTE).bit_length()))
+    shards = 1 + int(size * CELLS_PER_BYTE) // SHARD
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            data, offs = C.flat(batch["text"])
-            held.append(_text_anchor(batch["row"].to_numpy(zero_copy_only=False)))
-            n += len(held[-1])
-            for i, j in C.groups(offs):
-                *_, doc, anchor = _anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window, gram)
-                once = np.ones(len(anchor), bool)
-                once[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-                anchor, doc = anchor[once], doc[once]
-                _, first = np.unique(C.join_hashes(anchor, doc.astype(np.uint64)), return_index=True)
-                held.append(anchor[first])
-                n += len(first)
+            for _, anchor in _anchors_of(batch, window, gram):
+                held.append(anchor)
+                n += len(anchor)
             if n >= HELD:
-                yield _partial(held, cells)
+                yield _partial(held, shards)
                 held, n = [], 0
-        yield _partial(held, cells)
+        yield _partial(held, shards)
 
-    shards = max(1, 2 * cells // SHARD)
     found = docs.select("row", "text").mapInArrow(parts, "shard int, cells binary").repartition(min(shards, C.tasks(docs.sparkSession)), "shard").sortWithinPartitions("shard")
-    bits = np.zeros(shards * SHARD // 8, np.uint8)
-    for shard, b in found.mapInArrow(_merged, "shard int, bits binary").collect():  # at most 2 * MOST_CELLS bits
-        bits[shard * (SHARD // 8) : (shard + 1) * (SHARD // 8)] = np.frombuffer(b, np.uint8)
-    return cells, bits
+    return shards, found.mapInArrow(_merged, "shard int, bits binary")
+
+
+class Sent:
+    """The bits of all shards, broadcast."""
+
+    def __init__(self, spark: SparkSession, shards: int, merged: DataFrame) -> None:
+        bits = np.zeros(shards * SHARD // 8, np.uint8)
+        for shard, b in merged.collect():  # at most SENT bits
+            bits[shard * (SHARD // 8) : (shard + 1) * (SHARD // 8)] = np.frombuffer(b, np.uint8)
+        self.shards, self.bits = shards, spark.sparkContext.broadcast(bits)
 
+    def __call__(self, batch: pa.RecordBatch, i: int, j: int, anchor: np.ndarray) -> np.ndarray:
+        return _twice(self.bits.value, anchor, self.shards)
 
-def candidates(docs: DataFrame, cells: int, bits, window: int = WINDOW, gram: int = GRAM, copies: bool = False) -> DataFrame:
+
+class Joined:
+    """The anchors estimated as repeated, in the column hot of the documents that have them."""
+
+    def __call__(self, batch: pa.RecordBatch, i: int, j: int, anchor: np.ndarray) -> np.ndarray:
+        return np.isin(anchor, batch["hot"].slice(i, j - i).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def with_hot(docs: DataFrame, shards: int, merged: DataFrame, window: int, gram: int) -> DataFrame:
+    """docs with the column hot: those of their anchors that the sketch estimates as repeated. Nothing is broadcast."""
+    spark = docs.sparkSession
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = batch["doc_id"], batch["row"]
+            for at, anchor in _anchors_of(batch, window, gram):
+                at = pa.array(at)
+                yield pa.RecordBatch.from_arrays([ids.take(at), rows.take(at), pa.array(anchor.view(np.int64)), pa.array(_cells(anchor, shards)[0].astype(np.int32))], ["doc_id", "row", "anchor", "shard"])
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by shard, the bits of a shard before the anchors."""
+        now, bits = None, None
+        for batch in batches:
+            shard, anchor, sent = batch["shard"].to_numpy(), batch["anchor"].fill_null(0).to_numpy(), batch["bits"]
+            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(edges, edges[1:]):
+                if a < b and sent[a].is_valid:
+                    now, bits, a = shard[a], np.frombuffer(sent[a].as_py(), np.uint8), a + 1
+                if a < b and shard[a] == now:
+                    x = anchor[a:b].view(np.uint64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[_twice(bits, x, 1)].view(np.int64))], ["anchor"])
+
+    each = C.stored(docs.select("doc_id", "row", "text").mapInArrow(asked, "doc_id long, row long, anchor long, shard int"), "anchors")
+    both = each.select("shard", "anchor").distinct().withColumn("bits", F.lit(None).cast("binary")).unionByName(merged.withColumn("anchor", F.lit(None).cast("long")))
+    hot = both.repartition(C.tasks(spark), "shard").sortWithinPartitions("shard", F.col("anchor").asc_nulls_first()).mapInArrow(answered, "anchor long")
+    held = each.withColumn("key", C.own_key("anchor")).join(hot.select(C.own_key("anchor").alias("key")).hint("merge"), "key")
+    lists = held.groupBy("doc_id", "row").agg(F.collect_set("anchor").alias("hot"))
+    joined = docs.withColumn("key", C.own_key("row")).join(lists.withColumn("key", C.own_key("row")).drop("row").hint("merge"), ["key", "doc_id"], "left").drop("key")
+    return C.stored(joined, "hot")
+
+
+def candidates(docs: DataFrame, twice, window: int = WINDOW, gram: int = GRAM, copies: bool = False) -> DataFrame:
     """(h1, h2, doc_id, row, place) of each window estimated as repeated; of texts that are estimated as repeated themselves only
-    with `copies`. bits: a broadcast of sketch()'s bits."""
+    with `copies`."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = bits.value
         for batch in batches:
             if not copies:
-                batch = batch.filter(pa.array(~_twice(on, _text_anchor(batch["row"].to_numpy(zero_copy_only=False)), cells)))
+                batch = batch.filter(pa.array(~twice(batch, 0, batch.num_rows, _text_anchor(batch["row"].to_numpy(zero_copy_only=False)))))
             data, offs = C.flat(batch["text"])
             ids, rows = batch["doc_id"].to_numpy(zero_copy_only=False), batch["row"].to_numpy(zero_copy_only=False)
             for i, j in C.groups(offs):
                 body = data[offs[i] : offs[j]]
                 starts, ends, at, h, place, doc, anchor = _anchors(body, offs[i : j + 1] - offs[i], window, gram)
-                twice = _twice(on, anchor, cells)
-                if twice.any():
-                    place, doc = place[twice], doc[twice]
+                again = twice(batch, i, j, anchor)
+                if again.any():
+                    place, doc = place[again], doc[again]
                     other = C.word_hashes(body, starts, ends, _SECOND)
                     h1, h2 = (C.runs(x, window)[place].view(np.int64) for x in (h, other))
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, ids[i:j][doc], rows[i:j][doc], (place - at[doc]).astype(np.int32))], ["h1", "h2", "doc_id", "row", "place"])
 
-    return docs.select("doc_id", "row", "text").mapInArrow(found, "h1 long, h2 long, doc_id long, row long, place int")
+    return docs.mapInArrow(found, "h1 long, h2 long, doc_id long, row long, place int")
 
 
-def maybe_copies(docs: DataFrame, cells: int, bits) -> DataFrame:
+def maybe_copies(docs: DataFrame, twice) -> DataFrame:
     """Those of docs whose whole text is estimated as repeated."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_twice(bits.value, _text_anchor(batch["row"].to_numpy(zero_copy_only=False)), cells)))
+            yield batch.filter(pa.array(twice(batch, 0, batch.num_rows, _text_anchor(batch["row"].to_numpy(zero_copy_only=False)))))
 
     return docs.mapInArrow(found, docs.schema)
 
 
-def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, twice=None) -> DataFrame:
     """(doc_id, row, copy, places) of the windows that also start in a document with a smaller doc_id; row is a hash of the
-    text. copy: the whole text is that of a smaller doc_id; places are those of the other documents."""
+    text. copy: the whole text is that of a smaller doc_id; places are those of the other documents. twice: an estimate of one's own
+    instead of the sketch."""
     C.bounded_batches(docs.sparkSession)
     docs = docs.filter("text <> ''").select(_last_id().alias("doc_id"), F.xxhash64("text").alias("row"), F.xxhash64(F.lit(1), "text").alias("row2"), "text")
-    cells, bits = sketch(docs, window, gram)
-    bits = docs.sparkSession.sparkContext.broadcast(bits)
-    copies = maybe_copies(docs, cells, bits)
-    leaders = copies.groupBy("row", "row2").agg(F.min("doc_id").alias("least"), F.min_by("text", "doc_id").alias("text"))
-    wins = candidates(docs, cells, bits, window, gram).unionByName(candidates(leaders.withColumnRenamed("least", "doc_id"), cells, bits, window, gram, copies=True))
+    shards, merged = (0, None) if twice else sketch(docs, window, gram)
+    if twice:
+        pass
+    elif shards * SHARD <= SENT:
+        twice = Sent(docs.sparkSession, shards, merged)
+    else:
+        docs, twice = with_hot(docs, shards, merged, window, gram), Joined()
+    copies = maybe_copies(docs, twice)
+    carried = [F.min_by(c, "doc_id").alias(c) for c in ("text", "hot") if c in docs.columns]  # equal texts have equal anchors
+    leaders = copies.groupBy("row", "row2").agg(F.min("doc_id").alias("least"), *carried)
+    wins = candidates(docs, twice, window, gram).unionByName(candidates(leaders.withColumnRenamed("least", "doc_id"), twice, window, gram, copies=True))
     least = wins.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     hit = wins.withColumn("key", C.own_key("h1")).join(least.withColumn("key", C.own_key("h1")).drop("h1").hint("merge"), ["key", "h2"]).filter("doc_id > least")
     places = hit.groupBy("doc_id", "row").agg(F.collect_list("place").alias("places")).withColumn("copy", F.lit(False))
     first = leaders.select(C.own_key("row").alias("key"), "row2", "least")
-    later = copies.drop("text").withColumn("key", C.own_key("row")).join(first.hint("merge"), ["key", "row2"]).filter("doc_id > least")
+    later = copies.drop("text", "hot").withColumn("key", C.own_key("row")).join(first.hint("merge"), ["key", "row2"]).filter("doc_id > least")
     return places.unionByName(later.select("doc_id", "row").distinct().withColumn("copy", F.lit(True)), allowMissingColumns=True)
 
 
