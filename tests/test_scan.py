@@ -164,3 +164,56 @@ def test_long_text(spark):
     text = f"{'word ' * 100000}{S40} {'ab' * 20000}"
     found = run(spark, [text], detectors=["sha1", "md5"])[0]
     assert brief(found, "sha1") == [("sha1", (S40,), 500000, 65)] and sum(r.type == "md5" for r in found) == 1 + 1250
+
+
+def test_time_is_linear_in_matches(spark):
+    import time
+
+    def took(text, *names):
+        df = spark.createDataFrame([(text,)], "text string")
+        start = time.perf_counter()
+        n = scan(df, detectors=names).count()
+        return n, time.perf_counter() - start
+
+    took("a=1;b", "web-cookie")
+    for one, name in (("ab=cd12 ", "web-cookie"), (f"{A32} ", "lm"), ("x555-1234", "phone")):
+        few, short = took(one * 20_000, name)
+        many, long = took(one * 80_000, name)
+        assert abs(many - 4 * few) < 5 and long < 30 and long < 10 * short + 3
+
+
+HEX_RULES = {
+    "md5": r"[0-9A-Fa-f]{32}", "lm": r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32}(?![0-9A-Fa-f])", "MySQL323": r"\b[0-9A-Fa-f]{16}\b", "MySQL4+": r"(?:(?<=\w)\*|\b)[0-9A-Fa-f]{40}\b",
+    "mssql2005": r"\b(?:0x0100)?[0-9A-Fa-f]{48}\b", "mssql2000": r"\b(?:0x0100)?[0-9A-Fa-f]{88}", **{k: rf"\b[0-9A-Fa-f]{{{n}}}\b" for k, n in (("RipeMD320", 80), ("sha1", 40), ("sha224", 56), ("sha256", 64), ("sha384", 96), ("sha512", 128))},
+}
+
+
+def test_hex_runs_by_brute_force(spark):
+    """Each rule as a pattern of its own, against the runs that are found once."""
+    import random
+    import re
+
+    rng = random.Random(7)
+    pieces = [*"xg_*. 0é:", "0x", "0x0100", " 0x0100", "w*", "*", " "]
+    texts = ["".join(rng.choice(pieces) if rng.random() < 0.5 else "".join(rng.choice("0123456789abcdefABCDEF") for _ in range(rng.choice((3, 15, 16, 17, 32, 40, 44, 48, 52, 56, 64, 80, 88, 92, 96, 128, 300)))) for _ in range(rng.randint(1, 9))) for _ in range(600)]
+    got = run(spark, texts, detectors=list(HEX_RULES))
+    first = {"md5": "md4", "lm": "lm", "sha512": "sha512"}
+    for text, found in zip(texts, got):
+        for name, rule in HEX_RULES.items():
+            want = [(m.start(), len(m[0])) for m in re.finditer(rule, text, re.ASCII)]
+            assert [(r.location, r.size) for r in found if r.type == first.get(name, name)] == want, (name, text)
+
+
+MD5, LM, SHA1 = [("md4", 30), ("md5", 80)], [("lm", 80), ("ntlm", 80)], [("MySQL4+", 50), ("sha1", 65)]
+#: Lines as they come from standard input, and all that the default detectors find in them.
+LINES = [
+    ("web_sessionid=hQ7xW2kPz9LmB4tR\n", [("web-cookie", 85)]), ("http://www.example.org\n", [("URL", 70)]), ("ftp://example.com/x\n", [("URL", 90)]),
+    (f"Administrator:500:{A32}:{A32}:::\n", [*MD5, *MD5, *LM, *LM, ("SAM(lm:ntlm)", 90), ("des-salt-unix", 55)]), (f"u:$1$hanhd/cF${P22}:1\n", [("md5-salt-unix", 80)]), (f"{A32}\n", [*MD5, *LM, ("base64", 40)]),
+    (f"{B32}\n", [*MD5, ("lm", 50), ("ntlm", 50), ("base64", 40), ("md5-joomla1", 45)]), (f"{S40}\n", [*MD5, *SHA1, ("base64", 40)]), ("5850478A34D818CE\n", [("MySQL323", 40), ("base64", 40)]),
+    ("+123-000-0000\n", [("phone", 55)]), ("000-000-0000\n", [("phone", 55)]), ("000-000-0000", []), ("378282246310005\n", [("phone", 55), ("credit", 45)]), ("4111 1111 1111 1111\n", [("phone", 55), ("phone", 55), ("credit", 15)]), ("dGVzdGUK\n", [("base64", 40)]),
+]
+
+
+def test_all_findings_of_lines(spark):
+    for (line, want), found in zip(LINES, run(spark, [x for x, _ in LINES])):
+        assert sorted((r.type, r.certainty) for r in found) == sorted(want), line

@@ -47,7 +47,7 @@ def _source(spark: SparkSession, args: argparse.Namespace, stdin: Sequence[str]
     if args.string is not None:
         return readers.strings(spark, [args.string])
     if args.filename:
-        return readers.windows(readers.files(spark, args.filename))
+        return readers.file_windows(spark, args.filename)
     if args.directory or args.recursive:
         return readers.directory(spark, args.directory or ".", args.file_pattern, args.recursive)
     if args.stdin:
@@ -67,7 +67,8 @@ def findings(spark: SparkSession, args: argparse.Namespace, stdin: Sequence[str]
         found = codecs.scan_generated(data, ids=["source", "base_offset"], mode=args.generator, **options)
         found = report.displayed(found, args.details).withColumn("line", F.concat(F.lit("after "), "direction", F.lit(" "), "codec", F.lit(": "), "line"))
     else:
-        found = report.displayed(report.without_overlaps(scan(data, ids=["source"], base_offset="base_offset", **options)), args.details)
+        keep = ("keep_from", "keep_to") if "keep_to" in data.columns else None
+        found = report.displayed(scan(data, ids=["source"], base_offset="base_offset", keep=keep, **options), args.details)
     return validate(found, [v for v in (args.validator1, args.validator2, args.validator3) if v])
 
 

@@ -5,6 +5,8 @@ Offsets are those of the column's characters; text decoded from bytes as ISO-885
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +17,8 @@ HEX, CRYPT, WORD = "[0-9A-Fa-f]", "[A-Za-z0-9./]", "[A-Za-z0-9_]"
 NO_WORD_BEFORE, NO_WORD_AFTER = f"(?<!{WORD})", f"(?!{WORD})"
 EDGE = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 MATCHES = "array<struct<m: string, at: int>>"
-
-
-def text(value: str) -> Column:
-    return F.lit(value)
+#: Matches whose places are summed up at once; arrays of this size are copied, never those of a whole text.
+BLOCK = 256
 
 
 def entropy(s: Column) -> Column:
@@ -37,31 +37,60 @@ def upper_or_digits(s: Column) -> Column:
     return s.rlike(r"\A[A-Z0-9]*\z")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _placed(found: Column) -> Column:
+    """found: array<struct<gap, m>> -> the matches with their places, running sums of both lengths: first for every BLOCK of them, then
+    in each block, so that the time is linear in the matches."""
+    width = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))
+    block = lambda fs, b: F.slice(fs, b * BLOCK + 1, BLOCK)
+
+    def starts(fs: Column, blocks: Column) -> Column:
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, b: F.struct((acc["at"] + F.aggregate(block(fs, b), F.lit(0), lambda n, x: n + width(x))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(blocks, none, step, lambda acc: acc["out"])
+
+    def inside(part: Column, begin: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            one = F.array(F.struct(x["m"].alias("m"), (acc["at"] + F.length(x["gap"])).alias("at")))
+            return F.struct((acc["at"] + width(x)).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+
+        return F.aggregate(part, F.struct(begin.alias("at"), F.array().cast(MATCHES).alias("out")), step, lambda acc: acc["out"])
+
+    def all_of(fs: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(fs) - 1) / BLOCK).cast("int"))
+        return let(blocks, lambda bs: let(starts(fs, bs), lambda at: F.flatten(F.transform(bs, lambda b: inside(block(fs, b), F.element_at(at, b + 1))))))
+
+    return let(found, all_of)
+
+
 def matches(s: Column, pattern: str) -> Column:
     """All leftmost, non-overlapping matches with their places (0-based): the text between matches comes from a split by the same
-    pattern, so the places are running sums of both lengths. The pattern must not match the empty string."""
+    pattern. The pattern must not match the empty string."""
     found = F.arrays_zip(F.split(s, pattern, -1).alias("gap"), F.regexp_extract_all(s, F.lit(pattern), F.lit(0)).alias("m"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("out"))
+    return F.when(s.rlike(pattern), _placed(found)).otherwise(F.array().cast(MATCHES))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        return F.struct((at + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), at.alias("at"))))).alias("out"))
 
-    return F.when(s.rlike(pattern), F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(MATCHES))
+#: A maximal run: whether a word character stands before and after it, whether a star after a word character stands before it, and
+#: whether 0x that begins a word does.
+RUN = "array<struct<m: string, at: int, n: int, left: boolean, right: boolean, star: boolean, header: boolean>>"
 
 
-def fixed_matches(s: Column, pattern: str, size: int) -> Column:
-    """As matches(), for patterns whose matches all have this size: one split gives both the places and, by them, the matches."""
-    gaps = F.split(s, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+def hex_runs(s: Column, least: int) -> Column:
+    """Maximal runs of hex digits, `least` or more. What stands beside them are the ends of the gaps; before a gap that isn't the
+    first one stands the last digit of a run."""
+    pattern = f"{HEX}{{{least},}}+"
 
-    def step(acc: Column, gap: Column) -> Column:
-        at = acc["at"] + F.length(gap)
-        return F.struct((at + F.lit(size)).alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+    def all_of(gaps: Column) -> Column:
+        found = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(s, F.lit(pattern), F.lit(0)).alias("m"))
+        beside = F.transform(gaps, lambda g, i: F.struct(F.right(F.concat(F.when(i > 0, "f").otherwise(""), F.right(g, F.lit(3))), F.lit(3)).alias("before"), g.rlike(f"\\A{WORD}").alias("word")))
+        run = lambda x, i, by: F.struct(x["m"].alias("m"), x["at"].alias("at"), F.length(x["m"]).alias("n"), F.element_at(by, i + 1)["before"].rlike(f"{WORD}\\z").alias("left"), F.element_at(by, i + 2)["word"].alias("right"), F.element_at(by, i + 1)["before"].rlike(rf"{WORD}\*\z").alias("star"), F.element_at(by, i + 1)["before"].rlike(rf"(?:\A|[^A-Za-z0-9_])0x\z").alias("header"))
+        return let(beside, lambda by: F.transform(_placed(found), lambda x, i: run(x, i, by)))
 
-    places = F.aggregate(gaps, start, step, lambda acc: F.slice(acc["out"], 1, F.size(acc["out"]) - 1))  # none after the last gap
-    found = F.transform(places, lambda at: F.struct(F.substring(s, at + 1, F.lit(size)).alias("m"), at.alias("at")))
-    return F.when(s.rlike(pattern), found).otherwise(F.array().cast(MATCHES))
+    return F.when(s.rlike(pattern), let(F.split(s, pattern, -1), all_of)).otherwise(F.array().cast(RUN))
 
 
 def base64_length_ok(s: Column) -> Column:

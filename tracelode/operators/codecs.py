@@ -19,58 +19,54 @@ from tracelode.operators.scan import scan
 LETTERS, ROTATED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"
 PYTHON_TEXT = ("utf_16_be", "utf_16_le", "utf_32", "cp037", "cp437", "cp500", "cp850", "cp1250", "cp1251", "cp1252", "cp1253", "cp1254", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_9", "iso8859_15", "koi8_r", "mac_roman", "utf_7", "shift_jis", "euc_jp", "euc_kr", "gb18030", "big5")
 PYTHON_BYTES = ("uu", "quopri", "zlib", "bz2")
-RESULT = "array<struct<codec: string, direction: string, text: string>>"
-
-
-def _python(data: pd.Series) -> pd.Series:
-    def all_of(s: str | None) -> list[dict]:
-        out = []
-        if s is None:
-            return out
-        raw = s.encode("latin-1", errors="replace")
-        for name in (*PYTHON_TEXT, *PYTHON_BYTES):
-            for direction in ("decode", "encode"):
-                try:
-                    if name in PYTHON_BYTES:
-                        got = codecs.decode(raw, name) if direction == "decode" else codecs.encode(raw, name)
-                        text = got.decode("latin-1")
-                    else:
-                        text = raw.decode(name) if direction == "decode" else s.encode(name).decode("latin-1")
-                except Exception:
-                    continue
-                out.append({"codec": name, "direction": direction, "text": text})
-        return out
-
-    return data.map(all_of)
+
+
+def _python(data: pd.Series, codec: pd.Series, direction: pd.Series) -> pd.Series:
+    """What one codec makes of each text; null where it can't."""
+
+    def one(s: str, name: str, way: str) -> str | None:
+        try:
+            raw = s.encode("latin-1", errors="replace")
+            if name in PYTHON_BYTES:
+                return (codecs.decode(raw, name) if way == "decode" else codecs.encode(raw, name)).decode("latin-1")
+            return raw.decode(name) if way == "decode" else s.encode(name).decode("latin-1")
+        except Exception:
+            return None
+
+    return pd.Series([one(*x) for x in zip(data, codec, direction)], dtype=object)
 
 
 def generated(df: DataFrame, text: str = "text", ids: Sequence[str] = (), mode: str = "both", exotic: bool = True) -> DataFrame:
-    """ids, codec, direction ('decode' or 'encode') and the text that comes of it. mode: decode, encode or both; others give none."""
-    s = F.col(text)
+    """ids, codec, direction ('decode' or 'encode') and the text that comes of it. mode: decode, encode or both; others give none.
+    The names of codecs are exploded first, so that a row holds what one codec makes of one text."""
+    s, codec = F.col(text), F.col("_codec")
     raw = F.encode(F.when(s.rlike(r"\A[\x00-\xFF]*\z"), s), "ISO-8859-1")
-    one = lambda codec, direction, value: F.struct(F.lit(codec).alias("codec"), F.lit(direction).alias("direction"), value.alias("text"))
     latin: Column = s.rlike(r"\A[\x00-\xFF]*\z")
     ascii_: Column = s.rlike(r"\A[\x00-\x7F]*\z")
     hexed = s.rlike(r"\A(?:[0-9A-Fa-f]{2})+\z")
-    entries = [
-        one("base64", "decode", F.when(s.rlike("[A-Za-z0-9+/]"), T.base64_text(s))),
-        one("base64", "encode", F.when(latin, F.base64(raw))),
-        one("hex", "decode", F.when(hexed, F.decode(F.unhex(F.when(hexed, s)), "ISO-8859-1"))),
-        one("hex", "encode", F.when(latin, F.lower(F.hex(raw)))),
-        one("rot13", "decode", F.translate(s, LETTERS, ROTATED)),
-        one("rot13", "encode", F.translate(s, LETTERS, ROTATED)),
-    ]
-    for name, ok in (("US-ASCII", ascii_), ("ISO-8859-1", latin), ("UTF-8", latin)):
-        read = F.when(ok & F.is_valid_utf8(raw.cast("string")), raw.cast("string")) if name == "UTF-8" else F.when(ok, s)
-        write = F.decode(F.encode(s, "UTF-8"), "ISO-8859-1") if name == "UTF-8" else F.when(ok, s)
-        entries += [one(name, "decode", read), one(name, "encode", write)]
+    rotated = F.translate(s, LETTERS, ROTATED)
+    native = {
+        "base64": (F.when(s.rlike("[A-Za-z0-9+/]"), T.base64_text(s)), F.when(latin, F.base64(raw))),
+        "hex": (F.when(hexed, F.decode(F.unhex(F.when(hexed, s)), "ISO-8859-1")), F.when(latin, F.lower(F.hex(raw)))),
+        "rot13": (rotated, rotated),
+        "US-ASCII": (F.when(ascii_, s), F.when(ascii_, s)),
+        "ISO-8859-1": (F.when(latin, s), F.when(latin, s)),
+        "UTF-8": (F.when(latin & F.is_valid_utf8(raw.cast("string")), raw.cast("string")), F.decode(F.encode(s, "UTF-8"), "ISO-8859-1")),
+    }
     wanted = {"both": ("decode", "encode"), "decode": ("decode",), "encode": ("encode",)}.get(mode, ())
-    found = F.array(*entries)
+
+    def rows(names: Sequence[str]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(n).alias("_codec"), F.lit(d).alias("_direction")) for n in names for d in wanted])
+        return df.filter(s.isNotNull()).select(*ids, text, F.inline(pairs if wanted else F.array().cast("array<struct<_codec: string, _direction: string>>")))
+
+    made = None
+    for name, (decoded, encoded) in native.items():
+        value = F.when((codec == name) & (F.col("_direction") == "decode"), decoded).when((codec == name) & (F.col("_direction") == "encode"), encoded)
+        made = value if made is None else F.coalesce(made, value)
+    out = rows(tuple(native)).select(*ids, codec.alias("codec"), F.col("_direction").alias("direction"), made.alias("text"))
     if exotic:
-        found = F.concat(found, F.pandas_udf(_python, RESULT)(s))
-    found = F.filter(found, lambda x: x["direction"].isin(*wanted) & x["text"].isNotNull()) if wanted else F.array().cast(RESULT)
-    rows = df.filter(s.isNotNull()).select(*ids, F.explode(found).alias("_g"))
-    return rows.select(*ids, "_g.codec", "_g.direction", "_g.text")
+        out = out.unionByName(rows((*PYTHON_TEXT, *PYTHON_BYTES)).select(*ids, codec.alias("codec"), F.col("_direction").alias("direction"), F.pandas_udf(_python, "string")(s, codec, F.col("_direction")).alias("text")))
+    return out.filter(F.col("text").isNotNull())
 
 
 def scan_generated(df: DataFrame, text: str = "text", ids: Sequence[str] = (), mode: str = "both", exotic: bool = True, **options) -> DataFrame:

@@ -1,6 +1,7 @@
 """The scan: a text column to one row per finding.
 
-All active detectors' hits go into one array, exploded once; findings are scored on the rows of hits. There is no shuffle and no
+Runs of hex digits are found once per text, and dispatched by length to the detectors of digests. All active detectors' hits go into
+one array, exploded once; findings are scored on the rows of hits. There is no shuffle and no
 Python: the plan is a projection, a generator, a projection, a generator and a filter, whatever the size of the input.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
-from tracelode.plans.catalogue import DEFAULT, GUARDS, Detector, Hit, Options, active
+from tracelode.plans.catalogue import DEFAULT, GUARDS, LEAST_RUN, Detector, Hit, Options, active
 
 HIT = "array<struct<det: int, n: int, m: string, at: int, extra: string>>"
 FINDING = "array<struct<type: string, payload: array<string>, certainty: int, details: string, keyword: string>>"
@@ -27,11 +28,12 @@ def confidence(certainty: Column) -> Column:
 def _hits(s: Column, i: int, d: Detector, options: Options, first: Column | None) -> Column:
     none = F.array().cast(HIT)
     hit = lambda x, n, extra: F.struct(F.lit(i).alias("det"), n.cast("int").alias("n"), x["m"].alias("m"), x["at"].alias("at"), extra.alias("extra"))
-    if d.hits is not None:
+    if d.runs is not None:
+        out = F.transform(d.runs(F.col("_runs")), lambda x, n: hit(x, n, F.lit("")))
+    elif d.hits is not None:
         out = F.transform(d.hits(s, options), lambda x, n: hit(x, n, x["extra"]))
     else:
-        found = T.fixed_matches(s, d.pattern, d.size) if d.size else T.matches(s, d.pattern)
-        out = F.transform(found, lambda x, n: hit(x, n, F.lit("")))
+        out = F.transform(T.matches(s, d.pattern), lambda x, n: hit(x, n, F.lit("")))
     if d.guard is not None:
         out = F.when(F.col(f"_guards.`{d.guard}`"), out)
     if d.anchored and first is not None:
@@ -59,14 +61,16 @@ def _by_detector(chosen: list[tuple[int, Detector]], value: Callable[[Detector],
 
 def scan(
     df: DataFrame, text: str = "text", ids: Sequence[str] = (), filters: Sequence[str] = DEFAULT, min_certainty: int = 0, strict: bool = False, extended: bool = False,
-    base_offset: str | None = None, detectors: Sequence[str] | None = None, created_on: bool = False,
+    base_offset: str | None = None, keep: tuple[str, str] | None = None, detectors: Sequence[str] | None = None, created_on: bool = False,
 ) -> DataFrame:
     """Findings in a string column, with the columns `ids` carried along.
 
     filters: categories to search; unknown ones match nothing. min_certainty also leaves out detectors that can't reach it.
     strict: keeps the quirks of the original where it gave output or failed. extended: salted and second-generation Joomla hashes.
     base_offset: a column added to locations (where a window begins); patterns that need the start of a text then only hold at 0,
-    unless strict. detectors: only these. Null texts have no findings.
+    unless strict. keep: the columns keep_from and keep_to of overlapping windows (readers.windows): only matches that begin from
+    keep_from to before keep_to count, and of those none that the end of the window cuts; so each is found once, with what stands
+    beside it, if it is no longer than half the overlap. detectors: only these. Null texts have no findings.
     """
     options = Options(tuple(filters), strict, extended)
     chosen = [(i, d) for i, d in active(options, min_certainty) if detectors is None or d.name in detectors]
@@ -77,7 +81,15 @@ def scan(
     hits = [_hits(s, i, d, options, first) for i, d in chosen] or [F.array().cast(HIT)]
     names = sorted({d.guard for _, d in chosen if d.guard})
     guards = F.struct(*[GUARDS[g](s).alias(g) for g in names]) if names else F.lit(None)
-    rows = df.filter(s.isNotNull()).withColumn("_guards", guards).select(*carried, base.alias("_base"), F.explode(F.concat(*hits) if len(hits) > 1 else hits[0]).alias("_hit"))
+    rows = df.filter(s.isNotNull()).withColumn("_guards", guards)
+    if any(d.runs is not None for _, d in chosen):  # found once for all detectors of hex digits
+        rows = rows.withColumn("_runs", F.when(F.col("_guards.hex"), T.hex_runs(s, LEAST_RUN)))
+    all_hits = F.concat(*hits) if len(hits) > 1 else hits[0]
+    if keep and not strict:
+        since, before, size = F.coalesce(keep[0], F.lit(0)), F.col(keep[1]), F.length(s)
+        owned = lambda x: (x["at"] >= since) & (before.isNull() | (x["at"] < before) & (x["at"] + F.length(x["m"]) < size))
+        all_hits = F.filter(all_hits, owned)
+    rows = rows.select(*carried, base.alias("_base"), F.explode(all_hits).alias("_hit"))
     rows = rows.withColumn("_part", _by_detector(chosen, lambda d: d.scored(F.col("_hit.m")) if d.scored else None, F.col("_hit.m")))
     rows = rows.withColumn("_random", T.random_looking(F.col("_part"))).withColumn("_upper", T.upper_or_digits(F.col("_part")))
     found = _by_detector(chosen, lambda d: _findings(d, options), F.array().cast(FINDING))

@@ -60,7 +60,7 @@ class Detector:
     emits: Callable[[Hit, Options], list[Emit]]
     guard: str | None = None
     scored: Callable[[Column], Column] | None = None  # the part of a match whose entropy counts; the whole if None
-    size: int | None = None  # of all matches, where it is fixed
+    runs: Callable[[Column], Column] | None = None  # text.RUN -> array<struct<m, at>>
     hits: Callable[[Column, Options], Column] | None = None  # array<struct<m, at, extra>>
     anchored: bool = False
     about: str = ""
@@ -87,11 +87,20 @@ def _scored(base: int, *rules: tuple[Column, int]) -> Column:
     return F.lit(base) if out is None else out.otherwise(F.lit(base))
 
 
+#: The shortest run of hex digits that a detector takes.
+LEAST_RUN = 16
+
+
+def _whole_runs(size: int) -> Callable[[Column], Column]:
+    """Runs of this size that are words."""
+    return lambda runs: F.filter(runs, lambda r: (r["n"] == size) & ~r["left"] & ~r["right"])
+
+
 def _digest(name: str, size: int, base: int, boosted: int, label: str) -> Detector:
     def emits(x: Hit, o: Options) -> list[Emit]:
         return [Emit(name, [x.m], _scored(base, (x.random, boosted)) if boosted > base else F.lit(base), _say(label + ": {}", x.m))]
 
-    return Detector(name, (name,), ("crypto", "other"), boosted, f"{_L}{H}{{{size}}}{_R}", emits, "hex", size=size, about=f"{size} hex digits")
+    return Detector(name, (name,), ("crypto", "other"), boosted, None, emits, "hex", runs=_whole_runs(size), about=f"{size} hex digits")
 
 
 #: Words that make a line worth reading, and beginnings that speak against a secret.
@@ -171,6 +180,12 @@ def _md5(x: Hit, o: Options) -> list[Emit]:
     return [Emit("md4", [m], _scored(10, (r, 30)), _say("MD4 digest: {}", m)), Emit("md5", [m], _scored(10, (r, 80)), _say("MD5 digest: {}", m))]
 
 
+def _md5_runs(runs: Column) -> Column:
+    """Each 32 digits of a run in turn."""
+    pieces = lambda r: F.transform(F.regexp_extract_all(r["m"], F.lit(f"{H}{{32}}"), F.lit(0)), lambda m, k: F.struct(m.alias("m"), (r["at"] + 32 * k).alias("at")))
+    return F.flatten(F.transform(F.filter(runs, lambda r: r["n"] >= 32), pieces))
+
+
 def _url(x: Hit, o: Options) -> list[Emit]:
     m = x.m
     host, path = _part(m, r"://([^/]*)"), _part(m, r"://[^/]*(/[\s\S]*)\z")
@@ -217,7 +232,15 @@ def _mssql(name: str, size: int, label: str) -> Detector:
         rules = [(m.startswith("0x"), 95), *([(x.random, 75)] if size == 48 else [])]
         return [Emit(name, cuts, _scored(55, *rules), _say(label + ", salt {}, hashes {}", cuts[0], F.concat_ws(" ", *cuts[1:])))]
 
-    return Detector(name, (name,), ("db", "crypto", "secrets"), 95, f"{_L}(?:0x0100)?{H}{{{size}}}{_R if size == 48 else ''}", emits, "hex", lambda m: F.regexp_replace(m, r"\A0x0100", ""), about=f"optional 0x0100 header, {size} hex digits")
+    def found(runs: Column) -> Column:
+        """With the header 0x0100 or without; of the longer kind only the beginning of a run need match."""
+        fits = lambda r, n: (r["n"] == n) & ~r["right"] if size == 48 else r["n"] >= n
+        bare = lambda r: ~r["left"] & fits(r, size)
+        headed = lambda r: r["header"] & r["m"].startswith("0100") & fits(r, size + 4)
+        whole = lambda r: F.when(bare(r), F.substring(r["m"], 1, size)).otherwise(F.concat(F.lit("0x"), F.substring(r["m"], 1, size + 4)))
+        return F.transform(F.filter(runs, lambda r: bare(r) | headed(r)), lambda r: F.struct(whole(r).alias("m"), F.when(bare(r), r["at"]).otherwise(r["at"] - 2).alias("at")))
+
+    return Detector(name, (name,), ("db", "crypto", "secrets"), 95, None, emits, "hex", lambda m: F.regexp_replace(m, r"\A0x0100", ""), runs=found, about=f"optional 0x0100 header, {size} hex digits")
 
 
 def _lm(x: Hit, o: Options) -> list[Emit]:
@@ -225,6 +248,12 @@ def _lm(x: Hit, o: Options) -> list[Emit]:
     return [Emit("lm", [m], c, _say("LM hash: {}", m)), Emit("ntlm", [m], c, _say("NTLM hash: {}", m))]
 
 
+def _mysql4_runs(runs: Column) -> Column:
+    """A star after a word character belongs to the match."""
+    some = F.filter(runs, lambda r: (r["n"] == 40) & ~r["left"] & ~r["right"])
+    return F.transform(some, lambda r: F.struct(F.concat(F.when(r["star"], "*").otherwise(""), r["m"]).alias("m"), (r["at"] - F.when(r["star"], 1).otherwise(0)).alias("at")))
+
+
 def _mysql4(x: Hit, o: Options) -> list[Emit]:
     h = x.part
     return [Emit("MySQL4+", [h], _scored(50, (x.m.startswith("*") & x.upper & x.random, 80)), _say("MySQL 4 or later: {}", h))]
@@ -288,7 +317,7 @@ def _crc(x: Hit, o: Options) -> list[Emit]:
 
 def _des_hits(s: Column, o: Options) -> Column:
     """Runs of exactly 13 characters, no $ before: found with the character before them, which the text is given at its start too."""
-    found = T.fixed_matches(F.concat(F.lit(" "), s), f"[^A-Za-z0-9./$]{C}{{13}}(?!{C})", 14)
+    found = T.matches(F.concat(F.lit(" "), s), f"[^A-Za-z0-9./$]{C}{{13}}(?!{C})")
     return F.transform(found, lambda x: F.struct(F.substring(x["m"], 2, 13).alias("m"), x["at"].alias("at"), F.lit("").alias("extra")))
 
 
@@ -320,7 +349,7 @@ _RUN = "(?<![A-Za-z0-9.])"
 
 
 def _run31(name: str, label: str) -> Detector:
-    return Detector(name, (name,), ("crypto", "web"), 45, f"{_RUN}{C}{{31}}(?![A-Za-z0-9.=/])", lambda x, o: [Emit(name, [x.m], F.lit(45), _say(label + ": {}", x.m))], "run", size=31, about="31 characters of a crypt hash")
+    return Detector(name, (name,), ("crypto", "web"), 45, f"{_RUN}{C}{{31}}(?![A-Za-z0-9.=/])", lambda x, o: [Emit(name, [x.m], F.lit(45), _say(label + ": {}", x.m))], "run", about="31 characters of a crypt hash")
 
 
 def _joomla(version: int) -> Callable[[Column, Column, Options], list[Emit]]:
@@ -353,15 +382,15 @@ CATALOGUE: tuple[Detector, ...] = (
     Detector("jwt", ("jwt",), ("web", "crypto", "secrets"), 85, rf"{_ID}++\.{_ID}++\.{_ID}*+", _jwt, "eyJ", about="three dotted base64url parts, the last may be empty"),
     Detector("secret", ("secret",), ("crypto", "secrets"), 85, None, _secret, "secret", hits=_secret_hits, about="parts of lines that mention a password, key or security"),
     Detector("web-cookie", ("web-cookie",), ("web", "crypto"), 85, r";?+[A-Za-z0-9_:|\-$&%#@]++=[^;\s]++", _cookie, "=", lambda m: _part(m, r"\A[^=]+=([\s\S]*)\z"), about="name=value"),
-    Detector("md5", ("md4", "md5"), ("web", "unix", "crypto", "other"), 80, f"{H}{{32}}", _md5, "hex", size=32, about="32 hex digits, also within longer runs"),
+    Detector("md5", ("md4", "md5"), ("web", "unix", "crypto", "other"), 80, None, _md5, "hex", runs=_md5_runs, about="32 hex digits, also within longer runs"),
     Detector("URL", ("URL",), ("web", "personal", "other"), 90, rf"(?<![A-Za-z0-9])[A-Za-z0-9]++://{C}+{T.EDGE}", _url, "://", about="scheme://host/path"),
     Detector("phone", ("phone",), ("web", "personal", "other"), 55, rf"[^0-9][0-9]{{3}}{_SEP}[0-9]{{3}}{_SEP}[0-9]{{4}}|\([0-9]{{3}}\)\s*[0-9]{{3}}{_SEP}[0-9]{{4}}|[0-9]{{3}}{_SEP}[0-9]{{4}}[^0-9]", _phone, "digits", about="ten digits after, or seven before, something else; area code in brackets"),
     Detector("credit", ("credit",), ("personal",), 45, rf"{_L}(?:[0-9][ -]*?){{13,16}}{T.EDGE}", _credit, "digits", about="13 to 16 digits with blanks or dashes"),
     _mssql("mssql2005", 48, "Microsoft SQL Server 2005"),
     _mssql("mssql2000", 88, "Microsoft SQL Server 2000"),
-    Detector("lm", ("lm", "ntlm"), ("win", "crypto", "secrets"), 80, f"(?<!{H}){H}{{32}}(?!{H})", _lm, "hex", size=32, about="exactly 32 hex digits"),
-    Detector("MySQL4+", ("MySQL4+",), ("db", "crypto", "secrets"), 80, rf"(?:(?<={W})\*|{_L}){H}{{40}}{_R}", _mysql4, "hex", lambda m: F.regexp_replace(m, r"\A\*", ""), about="40 hex digits, optionally after *"),
-    Detector("MySQL323", ("MySQL323",), ("db", "crypto", "secrets"), 40, f"{_L}{H}{{16}}{_R}", _mysql323, "hex", size=16, about="16 hex digits"),
+    Detector("lm", ("lm", "ntlm"), ("win", "crypto", "secrets"), 80, None, _lm, "hex", runs=lambda runs: F.filter(runs, lambda r: r["n"] == 32), about="exactly 32 hex digits"),
+    Detector("MySQL4+", ("MySQL4+",), ("db", "crypto", "secrets"), 80, None, _mysql4, "hex", lambda m: F.regexp_replace(m, r"\A\*", ""), runs=_mysql4_runs, about="40 hex digits, optionally after *"),
+    Detector("MySQL323", ("MySQL323",), ("db", "crypto", "secrets"), 40, None, _mysql323, "hex", runs=_whole_runs(16), about="16 hex digits"),
     Detector("base64", ("base64",), ("other",), 80, None, _base64, "base64", hits=_base64_hits, anchored=True, about="the whole text is padded base64"),
     Detector("SAM(*:ntlm)", ("SAM(*:ntlm)",), ("win", "crypto"), 85, rf"\A{_ACCOUNT}\*?:{H}{{32}}(?!{H})", _sam_ntlm, "hex", lambda m: F.right(m, F.lit(32)), anchored=True, about="account without LM hash"),
     Detector("SAM(lm:*)", ("SAM(lm:*)",), ("win", "crypto", "secrets"), 85, rf"\A{_ACCOUNT}{H}{{32}}:\*", _sam_lm, "hex", lambda m: _part(m, rf"({H}{{32}}):\*\z"), anchored=True, about="account without NTLM hash"),
@@ -371,7 +400,7 @@ CATALOGUE: tuple[Detector, ...] = (
     _digest("sha224", 56, 15, 65, "SHA-224 digest"),
     _digest("sha256", 64, 15, 65, "SHA-256 digest"),
     _digest("sha384", 96, 15, 65, "SHA-384 digest"),
-    Detector("sha512", ("sha512", "whirlpool"), ("crypto", "other"), 65, f"{_L}{H}{{128}}{_R}", _sha512, "hex", size=128, about="128 hex digits"),
+    Detector("sha512", ("sha512", "whirlpool"), ("crypto", "other"), 65, None, _sha512, "hex", runs=_whole_runs(128), about="128 hex digits"),
     Detector("CRC", ("CRC",), ("other",), 15, f"0x{H}{{1,16}}{_R}", _crc, "0x", about="0x and up to 16 hex digits"),
     Detector("des-salt-unix", ("des-salt-unix",), ("crypto", "unix"), 80, None, _des, hits=_des_hits, about="exactly 13 characters of a crypt hash"),
     _django("sha256-salt-django", "(?:sha256|sha1)", True, "[A-Za-z0-9./]", 64),
@@ -387,7 +416,7 @@ CATALOGUE: tuple[Detector, ...] = (
     Detector("md5-joomla2", ("md5-salt-joomla2", "md5-joomla2"), ("crypto", "web"), 85, rf"{_RUN}{C}{{32}}(?::{C}{{32}})?(?!{C})", _joomla(2), "run", about="32 characters, optionally : and 32 more (extended only)"),
     Detector("md5-joomla1", ("md5-salt-joomla1", "md5-joomla1"), ("crypto", "web"), 85, rf"{_RUN}{C}{{32}}(?::{C}{{16}})?(?!{C})", _joomla(1), "run", about="32 characters, optionally : and 16 more"),
     _crypt("blowfish-salt-unix", "", "2", 53, 55, 85, ("crypto", "unix"), "Unix Blowfish account", r"(?<=\$2\$|\$2a\$)"),
-    Detector("uuid", ("uuid",), ("other",), 75, rf"(?<!{H}){H}{{8}}-{H}{{4}}-{H}{{4}}-{H}{{4}}-{H}{{12}}(?!{H})", _uuid, "-", size=36, about="8-4-4-4-12 hex digits"),
+    Detector("uuid", ("uuid",), ("other",), 75, rf"(?<!{H}){H}{{8}}-{H}{{4}}-{H}{{4}}-{H}{{4}}-{H}{{12}}(?!{H})", _uuid, "-", about="8-4-4-4-12 hex digits"),
 )
 
 

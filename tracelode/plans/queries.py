@@ -83,6 +83,11 @@ MSSQL2005_SQL = f"SELECT key, 'mssql2005' AS type, substr(b, 1, 8) || '|' || sub
 MSSQL2000_SQL = f"SELECT key, 'mssql2000' AS type, substr(b, 1, 8) || '|' || substr(b, 9, 40) || '|' || substr(b, 49, 40) AS payload, CASE WHEN w LIKE '0x%' THEN 95 ELSE 55 END AS certainty FROM (SELECT key, w, regexp_replace(w, '^0x0100', '') AS b FROM (SELECT key, {WORDS} AS w FROM d)) WHERE regexp_matches(b, '^[0-9A-Fa-f]{{88}}')"
 CRYPT31_SQL = " UNION ALL ".join(f"SELECT key, '{k}' AS type, substr(x, length(x) - 30) AS payload, 45 AS certainty FROM (SELECT key, {CRYPTS} AS x FROM d) WHERE length(x) = 31 AND x NOT LIKE '%/%'" for k in ("md5-wordpress", "md5-phpBB3"))
 
+DES_SQL = "SELECT key, 'des-salt-unix' AS type, substr(x, 1, 2) || '|' || substr(x, 3) AS payload, 55 AS certainty FROM (SELECT key, unnest(regexp_extract_all(t, '[$]?[A-Za-z0-9./]+')) AS x FROM d) WHERE length(x) = 13 AND x NOT LIKE '$%'"
+CRC_SQL = "SELECT key, 'CRC' AS type, x AS payload, CASE WHEN length(x) IN (1, 2, 3, 4, 6, 8, 10, 16) THEN 15 ELSE 0 END AS certainty FROM (SELECT key, unnest(regexp_extract_all(t, '0x([0-9A-Fa-f]+)', 1)) AS x FROM d) WHERE length(x) <= 16"
+BASE64_SQL = "SELECT key, 'base64' AS type, t AS payload, CASE WHEN t LIKE '%=' THEN 80 ELSE 40 END AS certainty FROM d WHERE length(t) % 4 = 0 AND regexp_full_match(t, '[A-Za-z0-9+/]+={0,2}')"
+UUID_SQL = "SELECT key, 'uuid' AS type, x AS payload, CASE WHEN substr(x, 15, 1) IN ('1', '2', '3', '5') OR substr(x, 15, 1) = '4' AND substr(x, 20, 1) IN ('8', '9', 'a', 'b', 'A', 'B') THEN 75 ELSE 5 END AS certainty FROM (SELECT key, unnest(regexp_extract_all(t, '[0-9A-Fa-f-]+')) AS x FROM d) WHERE regexp_full_match(x, '[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}')"
+JOOMLA_SQL = f"SELECT key, 'md5-joomla1' AS type, x AS payload, 45 AS certainty FROM (SELECT key, {CRYPTS} AS x FROM d) WHERE length(x) = 32 AND regexp_full_match(x, '[a-z0-9./]+')"
 DOCUMENTS, CUSTOMER = "SELECT doc_id AS key, text AS t FROM documents", "SELECT c_custkey AS key, {} AS t FROM customer"
 
 # Documents and pages as they are
@@ -169,10 +174,22 @@ _derived(
     detectors=["SAM(lm:ntlm)", "SAM(lm:*)", "SAM(*:ntlm)"],
 )
 _derived("mssql_derived", "'0x0100' || {md5} || substr({sha1}, 1, 16) || ' ' || substr({sha256}, 1, 48) || ' 0x0100' || {sha256} || substr({sha1}, 1, 24) || ' ' || {sha256} || substr({sha1}, 1, 24) || 'f'", MSSQL2005_SQL, MSSQL2000_SQL, detectors=["mssql2005", "mssql2000"])
-_derived("crc_derived", "'0x' || substr({sha1}, 1, CAST(c_custkey % 18 + 1 AS INT)) || ' x0x' || substr({md5}, 1, 4)", "SELECT key, 'CRC' AS type, x AS payload, CASE WHEN length(x) IN (1, 2, 3, 4, 6, 8, 10, 16) THEN 15 ELSE 0 END AS certainty FROM (SELECT key, unnest(regexp_extract_all(t, '0x([0-9A-Fa-f]+)', 1)) AS x FROM d) WHERE length(x) <= 16", detectors=["CRC"])
+_derived("crc_derived", "'0x' || substr({sha1}, 1, CAST(c_custkey % 18 + 1 AS INT)) || ' x0x' || substr({md5}, 1, 4)", CRC_SQL, detectors=["CRC"])
 _derived("uuid_derived", "'id ' || substr({md5}, 1, 8) || '-' || substr({md5}, 9, 4) || '-' || substr({md5}, 13, 4) || '-' || substr({md5}, 17, 4) || '-' || substr({md5}, 21, 12) || '.'", "SELECT key, 'uuid' AS type, x AS payload, CASE WHEN substr(x, 15, 1) IN ('1', '2', '3', '5') OR substr(x, 15, 1) = '4' AND substr(x, 20, 1) IN ('8', '9', 'a', 'b') THEN 75 ELSE 5 END AS certainty FROM (SELECT key, substr(t, 4, 36) AS x FROM d)", detectors=["uuid"])
-_derived("base64_derived", "CASE c_custkey % 3 WHEN 0 THEN substr({sha1}, 1, 39) || '=' WHEN 1 THEN substr({md5}, 1, CAST(c_custkey % 7 + 1 AS INT)) ELSE {sha1} || '==' END", "SELECT key, 'base64' AS type, t AS payload, CASE WHEN t LIKE '%=' THEN 80 ELSE 40 END AS certainty FROM d WHERE length(t) % 4 = 0 AND regexp_full_match(t, '[A-Za-z0-9+/]+={0,2}')", detectors=["base64"])
-_derived("des_derived", "substr({md5}, 1, CAST(11 + c_custkey % 4 AS INT)) || ' $' || substr({sha1}, 1, 13) || ' ' || substr({sha1}, 1, 13)", "SELECT key, 'des-salt-unix' AS type, substr(x, 1, 2) || '|' || substr(x, 3) AS payload, 55 AS certainty FROM (SELECT key, unnest(regexp_extract_all(t, '[$]?[A-Za-z0-9./]+')) AS x FROM d) WHERE length(x) = 13 AND x NOT LIKE '$%'", detectors=["des-salt-unix"])
+_derived("base64_derived", "CASE c_custkey % 3 WHEN 0 THEN substr({sha1}, 1, 39) || '=' WHEN 1 THEN substr({md5}, 1, CAST(c_custkey % 7 + 1 AS INT)) ELSE {sha1} || '==' END", BASE64_SQL, detectors=["base64"])
+_DES = "substr({md5}, 1, CAST(11 + c_custkey % 4 AS INT)) || ' $' || substr({sha1}, 1, 13) || ' ' || substr({sha1}, 1, 13)"
+_derived("des_derived", _DES, DES_SQL, detectors=["des-salt-unix"])
+_derived("des_only_unix_derived", _DES, DES_SQL.replace("55 AS", "80 AS"), detectors=["des-salt-unix"], filters=["unix"])
+_derived(
+    "mysql4_star_derived", "'x*' || upper({sha1}) || ' *' || upper({sha1}) || ' y*' || {sha1} || ' ' || {sha1}",
+    f"SELECT key, 'MySQL4+' AS type, h AS payload, CASE WHEN i = 1 AND {_random('h')} THEN 80 ELSE 50 END AS certainty FROM (SELECT key, unnest(regexp_extract_all(t, '[0-9A-Fa-f]{{40}}')) AS h, unnest(range(1, 5)) AS i FROM d)",
+    detectors=["MySQL4+"],
+)
+_derived(
+    "strict_derived", "CASE c_custkey % 4 WHEN 0 THEN 'sha1$sa/lt$' || {sha256} WHEN 1 THEN 'sha1$salt$' || {sha256} WHEN 2 THEN ':' || upper({md5}) ELSE 'sha384$sa.lt$' || {sha256} || {md5} END",
+    "SELECT key, CASE WHEN t LIKE 'sha384%' THEN 'sha384-salt-django' ELSE 'sha256-salt-django' END AS type, string_split(t, '$')[2] || '|' || string_split(t, '$')[3] AS payload, 65 AS certainty FROM d WHERE t LIKE 'sha%' AND NOT contains(string_split(t, '$')[2], '/')",
+    detectors=["sha256-salt-django", "sha384-salt-django", "SAM(*:ntlm)"], strict=True,
+)
 _derived(
     "django_derived", "CASE c_custkey % 4 WHEN 0 THEN 'sha1$salt$' || {sha256} WHEN 1 THEN 'sha256$$' || {sha256} WHEN 2 THEN 'sha384$s.alt$' || {sha256} || {md5} ELSE 'sha384$$' || {sha256} || {md5} END",
     "SELECT key, CASE key % 4 WHEN 0 THEN 'sha256-salt-django' WHEN 1 THEN 'sha256-django' WHEN 2 THEN 'sha384-salt-django' ELSE 'sha384-django' END AS type, CASE WHEN key % 2 = 0 THEN string_split(t, '$')[2] || '|' || string_split(t, '$')[3] ELSE string_split(t, '$')[3] END AS payload, 65 AS certainty FROM d",
@@ -186,7 +203,7 @@ _derived(
 )
 _derived(
     "joomla_wordpress_phpbb_derived", "'$P$' || substr({sha1}, 1, 31) || ' $H$' || substr({md5}, 1, CAST(30 + c_custkey % 3 AS INT)) || ' ' || {md5} || ':' || substr({sha1}, 1, 16) || ' ' || upper({md5})",
-    CRYPT31_SQL, "SELECT key, 'md5-joomla1' AS type, x AS payload, 45 AS certainty FROM (SELECT key, " + CRYPTS + " AS x FROM d) WHERE length(x) = 32 AND regexp_full_match(x, '[a-z0-9./]+')",
+    CRYPT31_SQL, JOOMLA_SQL,
     detectors=["md5-wordpress", "md5-phpBB3", "md5-joomla1"],
 )
 _derived(
@@ -198,6 +215,11 @@ _derived(
 SECRET_SQL = f"""SELECT key, 'secret' AS type, x AS payload, 45 - CASE WHEN regexp_matches(trim(trim(trim(x, '"'), '''')), '^(?i:/|-|keystore_|\\{{\\{{|\\$|secret|configmap|\\[|true|false)') THEN 25 ELSE 0 END + CASE WHEN {_random('x')} THEN 40 ELSE 0 END AS certainty FROM (SELECT key, unnest(regexp_extract_all(l, '[^=|:]+')) AS x, k FROM (SELECT key, l, unnest(['pass', 'key', 'security']) AS k FROM (SELECT key, unnest(string_split(replace(t, chr(92) || 'n', chr(10)), chr(10))) AS l FROM d)) WHERE contains(lower(l), k))"""
 _derived("secret_derived", "'user = ' || c_name || chr(10) || 'Password = ' || CASE c_custkey % 3 WHEN 0 THEN {md5} WHEN 1 THEN 'true' ELSE '\"$VALUE' END || chr(10) || 'api_key:pass|' || {sha1}", SECRET_SQL, detectors=["secret"])
 _derived("jwt_derived", "'x eyJhbGciOiJub25lIn01.' || substr({sha256}, 1, CAST(8 + c_custkey % 5 AS INT)) || '.' || CASE WHEN c_custkey % 2 = 0 THEN {md5} ELSE '' END", "SELECT key, 'jwt' AS type, substr(t, 3) AS payload, 85 AS certainty FROM d WHERE length(string_split(t, '.')[2]) % 4 = 0", detectors=["jwt"])
+_derived(
+    "jwt_rejected_derived", "'a ' || CASE c_custkey % 4 WHEN 0 THEN 'eyJhbGciOiJub25lIn01' WHEN 1 THEN 'abJhbGciOiJub25lIn01' WHEN 2 THEN 'eyJAAAAA' ELSE 'eyJhbGciOiJub25lIn0' END || '.' || substr({sha256}, 1, 16) || '.x'",
+    "SELECT key, 'jwt' AS type, t AS payload, 85 AS certainty FROM (SELECT key, substr(t, 3) AS t, string_split(substr(t, 3), '.')[1] AS h FROM d) WHERE h LIKE 'eyJ%' AND CASE WHEN length(h) % 4 = 0 THEN regexp_full_match(decode(from_base64(h)), '[ -~]*') ELSE false END",
+    detectors=["jwt"],
+)
 
 # Filters, validators, reports
 
@@ -264,18 +286,33 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Windows, pages, codecs, packed records, streams
 
-_WINDOWS_SQL = """WITH d AS (SELECT doc_id, text AS t FROM documents WHERE octet_length(encode(text)) = length(text)),
- f AS (SELECT doc_id, w, strpos(t, w) - 1 AS location FROM (SELECT doc_id, t, unnest(regexp_extract_all(t, '[A-Za-z0-9_]+')) AS w FROM d) WHERE length(w) = 40 AND regexp_full_match(w, '[0-9A-Fa-f]+'))
-SELECT DISTINCT doc_id, w AS payload, CAST(location AS BIGINT) AS location FROM f"""
+_WINDOWS_SQL = r"""WITH d AS (SELECT doc_id, string_split_regex(text, '[A-Za-z0-9_]+') AS g, regexp_extract_all(text, '[A-Za-z0-9_]+') AS m FROM documents WHERE regexp_matches(text, '[0-9A-Fa-f]{40}')),
+ f AS (SELECT doc_id, m, g, unnest(range(len(m))) AS i FROM d)
+SELECT doc_id, m[i + 1] AS payload, CAST(list_sum(list_transform(g[1:i + 1], lambda x: octet_length(encode(x)))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS BIGINT) AS location FROM f
+WHERE length(m[i + 1]) = 40 AND regexp_full_match(m[i + 1], '[0-9A-Fa-f]+')"""
 
 
 @_query("window_overlap_dedupe", _WINDOWS_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII documents as files, in windows of 1,000 bytes with an overlap of 100; the first place of each digest."""
-    docs = _table(spark, sf_dir, "documents").filter(F.octet_length("text") == F.length("text"))
-    cut = readers.windows(docs.select(F.col("doc_id").cast("string").alias("source"), F.col("text").cast("binary").alias("content")), 1000, 100)
-    found = report.without_overlaps(scan(cut, ids=["source"], base_offset="base_offset", detectors=["sha1"]))
-    return found.groupBy(F.col("source").cast("bigint").alias("doc_id"), F.element_at("payload", 1).alias("payload")).agg(F.min("location").alias("location"))
+    """All documents as files, in windows of 1,000 bytes with an overlap of 100; each digest at its byte, once."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), F.col("text").cast("binary").alias("content"))
+    found = scan(readers.windows(docs, 1000, 100), ids=["source"], base_offset="base_offset", keep=("keep_from", "keep_to"), detectors=["sha1"])
+    return found.select(F.col("source").cast("bigint").alias("doc_id"), F.element_at("payload", 1).alias("payload"), "location")
+
+
+_EDGES = "repeat('. ', CAST(c_custkey % 600 AS INT)) || {sha256} || {sha256} || repeat('-', CAST(c_custkey % 7 + 1 AS INT)) || {sha1} || ' ' || {sha256} || substr({md5}, 1, CAST(c_custkey % 33 AS INT)) || repeat(' _', 150) || ' ' || {sha1}"
+_EDGES_SQL = f"""WITH t AS (SELECT c_custkey, {_expression(False, _EDGES)} AS t FROM customer),
+ d AS (SELECT c_custkey, string_split_regex(t, '[A-Za-z0-9_]+') AS g, regexp_extract_all(t, '[A-Za-z0-9_]+') AS m FROM t),
+ f AS (SELECT c_custkey, m[i + 1] AS payload, CAST(list_sum(list_transform(g[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS BIGINT) AS location FROM (SELECT c_custkey, m, g, unnest(range(len(m))) AS i FROM d))
+SELECT c_custkey, type, payload, location FROM f JOIN (VALUES (40, 'sha1'), (64, 'sha256'), (96, 'sha384'), (80, 'RipeMD320'), (128, 'sha512'), (128, 'whirlpool')) k(n, type) ON length(payload) = n WHERE regexp_full_match(payload, '[0-9A-Fa-f]+')"""
+
+
+@_query("window_edges_hex", _EDGES_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests at every place of a window and across its edges; the SQL takes the texts whole."""
+    content = _derived_table(spark, sf_dir, _EDGES).select(F.col("c_custkey").cast("string").alias("source"), F.col("text").cast("binary").alias("content"))
+    found = scan(readers.windows(content, 500, 300), ids=["source"], base_offset="base_offset", keep=("keep_from", "keep_to"), detectors=["sha1", "sha256", "sha384", "RipeMD320", "sha512"])
+    return found.select(F.col("source").cast("bigint").alias("c_custkey"), "type", F.element_at("payload", 1).alias("payload"), "location")
 
 
 @_query("page_verdict", f"""WITH d AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 2 = 0 THEN upper(md5(c_name)) ELSE 'x ' || md5(c_name) || ' ' || sha1(c_name) END AS t FROM customer)
@@ -308,22 +345,52 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.preprocess(_table(spark, sf_dir, "supplier").select("s_suppkey", packed_.alias("content")), ">q").select("s_suppkey", "text")
 
 
-@_query("detector_catalogue")
+#: Which detectors a category has, and the largest certainty of each.
+_IN_CATEGORY = {
+    "web": "jwt web-cookie md5 URL phone sha256-salt-django sha256-django sha384-salt-django sha384-django apr1-salt-unix md5-wordpress md5-phpBB3 md5-joomla2 md5-joomla1",
+    "unix": "md5 des-salt-unix sha256-salt-unix sha512-salt-unix md5-salt-unix blowfish-salt-unix",
+    "win": "lm SAM(*:ntlm) SAM(lm:*) SAM(lm:ntlm)",
+    "db": "mssql2005 mssql2000 MySQL4+ MySQL323",
+    "personal": "URL phone credit",
+    "other": "md5 URL phone base64 RipeMD320 sha1 sha224 sha256 sha384 sha512 CRC uuid",
+    "secrets": "jwt secret mssql2005 mssql2000 lm MySQL4+ MySQL323 SAM(lm:*) SAM(lm:ntlm)",
+    "crypto": "jwt secret web-cookie md5 mssql2005 mssql2000 lm MySQL4+ MySQL323 SAM(*:ntlm) SAM(lm:*) SAM(lm:ntlm) RipeMD320 sha1 sha224 sha256 sha384 sha512 des-salt-unix sha256-salt-django sha256-django sha384-salt-django sha384-django sha256-salt-unix sha512-salt-unix apr1-salt-unix md5-salt-unix md5-wordpress md5-phpBB3 md5-joomla2 md5-joomla1 blowfish-salt-unix",
+}
+_MOST = "jwt 85, secret 85, web-cookie 85, md5 80, URL 90, phone 55, credit 45, mssql2005 95, mssql2000 95, lm 80, MySQL4+ 80, MySQL323 40, base64 80, SAM(*:ntlm) 85, SAM(lm:*) 85, SAM(lm:ntlm) 90, RipeMD320 10, sha1 65, sha224 65, sha256 65, sha384 65, sha512 65, CRC 15, des-salt-unix 80, sha256-salt-django 65, sha256-django 65, sha384-salt-django 65, sha384-django 65, sha256-salt-unix 55, sha512-salt-unix 55, apr1-salt-unix 45, md5-salt-unix 80, md5-wordpress 45, md5-phpBB3 45, md5-joomla2 85, md5-joomla1 85, blowfish-salt-unix 85, uuid 75"
+_CATALOGUE_SQL = f"""WITH m AS (SELECT unnest(string_split('{_MOST}', ', ')) AS x),
+ c AS ({' UNION ALL '.join(f"SELECT '{k}' AS category, unnest(string_split('{v}', ' ')) AS name" for k, v in _IN_CATEGORY.items())})
+SELECT split_part(x, ' ', 1) AS name, category, CAST(split_part(x, ' ', 2) AS BIGINT) AS max_certainty FROM m JOIN c ON c.name = split_part(x, ' ', 1)"""
+
+
+@_query("detector_catalogue", _CATALOGUE_SQL)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.catalogue(spark).select("detector_seq", "name", F.concat_ws(",", "types").alias("types"), F.concat_ws(",", "categories").alias("categories"), "max_certainty")
+    return report.catalogue(spark).select("name", F.explode("categories").alias("category"), F.col("max_certainty").cast("bigint").alias("max_certainty"))
+
 
+#: All default detectors that DuckDB's regular expressions can express (anchored accounts and salted hashes are in queries of their own).
+_DEFAULT_SQL = [*_LENGTH_SQL, URL_SQL, COOKIE_SQL, PHONE_SQL, CREDIT_SQL, SECRET_SQL, DES_SQL, CRC_SQL, BASE64_SQL, UUID_SQL, CRYPT31_SQL, JOOMLA_SQL]
 
-@_query("default_scan_documents")
+
+@_query("default_scan_documents", _rows(DOCUMENTS, "doc_id", *_DEFAULT_SQL))
 def default_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All default detectors over all documents."""
     return _flat(scan(readers.spread(_table(spark, sf_dir, "documents")), ids=["doc_id"]), "doc_id")
 
 
-@_query("default_scan_pages")
+@_query("default_scan_pages", _rows("SELECT page_id AS key, html AS t FROM pages", "page_id", *_DEFAULT_SQL))
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(scan(readers.spread(_table(spark, sf_dir, "pages")), "html", ["page_id"]), "page_id")
 
 
+@_query("file_source", "SELECT sha1(c_name) AS payload, count(*) AS n FROM customer GROUP BY c_name")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' digests as lines of text files, read in windows of 1,000 bytes that know nothing of lines."""
+    home = lines.folder(spark, "file_source")
+    _table(spark, sf_dir, "customer").select(F.concat(F.repeat(F.lit(". "), F.col("c_custkey").cast("int") % 50), F.sha1("c_name"))).write.text(home)
+    found = scan(readers.directory(spark, home, "part-*", window=1000, overlap=200), ids=["source"], base_offset="base_offset", keep=("keep_from", "keep_to"), detectors=["sha1"])
+    return found.groupBy(F.element_at("payload", 1).alias("payload")).agg(F.count("*").alias("n"))
+
+
 @_query("negatives_conversations", "SELECT CAST(0 AS BIGINT) AS n_findings")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests in conversations: there are none."""

@@ -2,12 +2,18 @@
 
 All give the columns source, base_offset and text. Bytes are read as ISO-8859-1, one character per byte, so that locations are byte
 offsets. Any table with a string column can be scanned as it is.
+
+Overlapping windows also have keep_from and keep_to: a window answers for the matches that begin in it at least half the overlap
+from either edge (but for the edges of the file), so that each place belongs to one window and has half the overlap around it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,16 +39,42 @@ def window_starts(length: Column, window: int = WINDOW, overlap: int = OVERLAP)
     return F.when(length <= 0, F.array().cast("array<bigint>")).when(length < overlap, F.array(F.lit(0).cast("long"))).otherwise(many)
 
 
+def _edges(rows: DataFrame, window: int, overlap: int) -> DataFrame:
+    """rows (length, base_offset) with last, keep_from and keep_to (null in the last window), in characters of the window."""
+    half = overlap // 2
+    last = F.col("base_offset") + window >= F.col("length")
+    return rows.withColumns({"last": last, "keep_from": F.when(F.col("base_offset") > 0, half).otherwise(0), "keep_to": F.when(~last, window - overlap + half)})
+
+
 def windows(content: DataFrame, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    """Files (source, content) as windows; only the bytes of one window are decoded at a time, and windows of one big file may be
-    dealt to many tasks by a repartition."""
+    """Contents (source, content) as windows; only the bytes of one window are decoded at a time."""
     rows = content.withColumn("length", F.length("content").cast("long")).withColumn("base_offset", F.explode(window_starts(F.col("length"), window, overlap)))
-    size = F.when(F.col("length") < overlap, F.col("length")).otherwise(F.lit(window)).cast("int")
-    return rows.select("source", "base_offset", F.decode(F.substring("content", (F.col("base_offset") + 1).cast("int"), size), "ISO-8859-1").alias("text"), (F.col("base_offset") + size >= F.col("length")).alias("last"))
+    text = F.decode(F.substring("content", (F.col("base_offset") + 1).cast("int"), F.lit(window)), "ISO-8859-1")
+    return _edges(rows.withColumn("text", text), window, overlap).select("source", "base_offset", "text", "last", "keep_from", "keep_to")
+
+
+def file_windows(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """Files of any size as windows. Only names and lengths are listed; the windows of a file are dealt to many tasks, each of which
+    reads the bytes of its windows and no others, one window at a time."""
+    listed = files(spark, path, pattern, recursive).select("source", "length").withColumn("base_offset", F.explode(window_starts(F.col("length"), window, overlap)))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _edges(listed, window, overlap).select("source", "base_offset", "last", "keep_from", "keep_to").repartition(tasks, "source", F.floor(F.col("base_offset") / (64 * window)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, stream = None, None
+        for batch in batches:
+            for i, (source, at) in enumerate(zip(batch["source"].to_pylist(), batch["base_offset"].to_pylist())):
+                if source != name:
+                    system, inner = fs.FileSystem.from_uri(source if "://" in source else "file://" + quote(source.removeprefix("file:")))
+                    name, stream = source, system.open_input_file(inner)
+                text = stream.read_at(window, at).decode("latin-1")
+                yield pa.RecordBatch.from_arrays([batch["source"].slice(i, 1), batch["base_offset"].slice(i, 1), pa.array([text], pa.string()), *(batch[c].slice(i, 1) for c in ("last", "keep_from", "keep_to"))], ["source", "base_offset", "text", "last", "keep_from", "keep_to"])
+
+    return dealt.mapInArrow(read, "source string, base_offset long, text string, last boolean, keep_from int, keep_to int")
 
 
 def directory(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    return windows(files(spark, path, pattern, recursive), window, overlap)
+    return file_windows(spark, path, pattern, recursive, window, overlap)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -51,10 +83,10 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores where the input has fewer partitions than that (a small file with much to scan); a large input
-    is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt out to all cores where the input has fewer files than that (a small table with much to scan); a large input is left
+    as it is."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
 
 
 def pages(content: DataFrame, page: int = 0x1000, over_read: int = 0x30) -> DataFrame:

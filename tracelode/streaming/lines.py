@@ -23,16 +23,24 @@ def findings(stream: DataFrame, text: str = "text", ids: tuple[str, ...] = (), *
     return scan(stream, text, ids, **options)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir; beside the warehouse only where it is unset, as in tests."""
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, in spark.checkpoint.dir, deleted when the driver ends; beside the warehouse only
+    on a local master without that setting."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared").rstrip("/")
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    home = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(home)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return home
 
 
 def run_through(found: DataFrame, name: str) -> DataFrame:
     """Runs a stream of findings over what is there now, into a table in the shared folder, and reads it again."""
     spark = found.sparkSession
-    home = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    home = folder(spark, name)
     start(found, "parquet", f"{home}/out", f"{home}/checkpoint", once=True).awaitTermination()
     return spark.read.schema(found.schema).parquet(f"{home}/out")
 
