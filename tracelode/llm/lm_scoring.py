@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tracelode.llm import common as C
 
 SIDE, HIDDEN, FREQUENT, BUCKETS = 2, 16, 4096, 512
-OWN, GROUPS, SIZE = 32, 96, 160
+OWN, GROUPS, SIZE = 16, 64, 128
 WORDS, FIRST, ROWS = OWN + GROUPS * SIZE, OWN + GROUPS + 1, FREQUENT + BUCKETS + 1
 BATCH, RATE, BLOCKS, PART_BYTES = 8192, 0.3, 64, 1 << 25
 #: Words that one task counts before it hands them on.
@@ -139,21 +139,27 @@ class Network:
         return np.tanh(x, out=x)
 
     @staticmethod
-    def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """exp of z, less the rows' maxima, in place; and its sums."""
+    def _softmax(x: np.ndarray, w: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the logits and its sums; less the rows' maxima only where exp would overflow or vanish."""
+        z = x @ w
+        z += bias
+        if z.max(initial=0) < 60:
+            total = np.exp(z, out=z).sum(1, keepdims=True)
+            if total.min(initial=1) > 1e-20:
+                return z, total
+            z = x @ w + bias
         z -= z.max(1, keepdims=True)
-        np.exp(z, out=z)
-        return z, z.sum(1, keepdims=True)
+        return np.exp(z, out=z), z.sum(1, keepdims=True)
 
     def log_probability(self, around: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         out = np.empty(len(first))
         for i in range(0, len(first), 8192):
             y, s = first[i : i + 8192], second[i : i + 8192]
             x = self.hidden(around[:, i : i + 8192])
-            z, total = self._softmax(x @ self.out + self.bias)
+            z, total = self._softmax(x, self.out, self.bias)
             p = z[np.arange(len(y)), y] / total[:, 0]
             for g, some in _groups(y, s):
-                z, total = self._softmax(x[some] @ self.inner[g] + self.inner_bias[g])
+                z, total = self._softmax(x[some], self.inner[g], self.inner_bias[g])
                 p[some] *= z[np.arange(len(some)), s[some]] / total[:, 0]
             out[i : i + 8192] = np.log(np.maximum(p, 1e-30))
         return out
@@ -166,18 +172,18 @@ class Network:
             s += g * g
             w -= RATE * g / np.sqrt(s + 1e-2)
 
-        def slope(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-            p, total = self._softmax(z)
+        def slope(x: np.ndarray, w: np.ndarray, bias: np.ndarray, y: np.ndarray) -> np.ndarray:
+            p, total = self._softmax(x, w, bias)
             p *= scale / total
             p[np.arange(len(y)), y] -= scale
             return p
 
         x = self.hidden(around)
-        p = slope(x @ self.out + self.bias, first)
+        p = slope(x, self.out, self.bias, first)
         dx = p @ self.out.T
         for g, some in _groups(first, second):
             part = x[some]
-            q = slope(part @ self.inner[g] + self.inner_bias[g], second[some])
+            q = slope(part, self.inner[g], self.inner_bias[g], second[some])
             dx[some] += q @ self.inner[g].T
             step(self.inner[g], part.T @ q, sums[3][g])
             step(self.inner_bias[g], q.sum(0), sums[4][g])
