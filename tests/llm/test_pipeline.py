@@ -1,7 +1,6 @@
 import hashlib
 
 import corpus_pipeline as P
-import pytest
 import test_decontamination
 import test_packing
 import test_repeats
@@ -69,8 +68,3 @@ def test_cases(spark):
 
 def test_run(spark):
     assert P.run(spark, "/root/testdata/sf0.001").agg(F.count("*")).first()[0] > 0 and P.ORACLE_SQL is None
-
-
-@pytest.mark.parametrize("module", [test_decontamination, test_packing, test_repeats, test_simhash, test_similar])
-def test_brute_versions_are_there(module):
-    assert hasattr(module, "brute") or hasattr(module, "verify")

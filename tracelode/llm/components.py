@@ -1,5 +1,6 @@
 """Connected components of links between long keys: alternating large-star and small-star rounds, each stored in the shared
-folder. Nothing but a count and a checksum per round reaches the driver; hubs are aggregated before they are shuffled."""
+folder. Nothing but a count and a checksum per round reaches the driver; hubs are aggregated before they are shuffled. Repeated links, links
+of a key to itself and null keys (which link nothing) are left out; without links there are no rows."""
 
 from __future__ import annotations
 

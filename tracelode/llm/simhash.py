@@ -7,9 +7,10 @@ which every five positions contain one, so that each pair that can reach the min
 bytes meets twice. For pairs of a list the shared positional bytes are tallied; pairs that reach the guaranteed minimum are
 verified by their differing bits.
 
-Equal fingerprints are one node from the start. Lists of one fingerprint end in the first, pre-aggregated count; long lists are
-dealt into blocks of about BLOCK fingerprints and compared block by block, each in a task of its own, and each gives only a
-spanning forest of its links. Components are found on the executors (components.py).
+Equal fingerprints are one node from the start. Lists of one fingerprint end in the first, pre-aggregated count. A list of more
+than BLOCK is first dealt by a fifth byte at each of the other four positions, of which linked pairs share one; what is longer still
+is dealt into blocks of about BLOCK fingerprints and compared block by block, each in a task of its own, and each gives only a spanning
+forest of its links. Components are found on the executors (components.py).
 
 Cases: null text and texts without words have fingerprint zero; repeated rows are one node; component_id is the smallest doc_id
 that is not null, null if there is none; an empty table gives no rows; only doc_id and text are read.
@@ -98,13 +99,21 @@ def forest(fps: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
     return out
 
 
+def _held(postings: DataFrame) -> DataFrame:
+    """postings (posting, fp) of lists with two or more, with their sizes n."""
+    counts = postings.groupBy("posting").agg(F.count("*").alias("n")).filter("n > 1")
+    return postings.withColumn("key", C.own_key("posting")).join(counts.withColumn("key", C.own_key("posting")).drop("posting"), "key").drop("key")
+
+
 def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """(u, v): links between distinct fingerprints (column fp), enough of them to connect all that are linked."""
     byte = lambda p: f"(shiftrightunsigned(fp, {56 - 8 * p}) & 255)"
     keys = ", ".join(f"{n}L << 32 | {' | '.join(f'{byte(p)} << {24 - 8 * i}' for i, p in enumerate(block))}" for n, block in enumerate(POSTINGS))
-    postings = fps.select("fp", F.explode(F.expr(f"array({keys})")).alias("posting"))
-    counts = postings.groupBy("posting").agg(F.count("*").alias("n")).filter("n > 1")
-    held = postings.withColumn("key", C.own_key("posting")).join(counts.withColumn("key", C.own_key("posting")).drop("posting"), "key")
+    held = _held(fps.select("fp", F.explode(F.expr(f"array({keys})")).alias("posting")))
+    # a long list is dealt by a fifth byte: pairs at the minimum share one of the other four too
+    others = " ".join(f"WHEN {n} THEN array({', '.join(f'xxhash64(posting, {p}, {byte(p)})' for p in range(8) if p not in block)})" for n, block in enumerate(POSTINGS))
+    finer = held.filter(F.col("n") > BLOCK).select("fp", F.explode(F.expr(f"CASE shiftrightunsigned(posting, 32) {others} END")).alias("posting"))
+    held = held.filter(F.col("n") <= BLOCK).unionByName(_held(finer))
     dealt = held.withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as int)")).withColumn("b", F.expr("cast(pmod(xxhash64(fp), blocks) as int)"))
     dealt = dealt.select("posting", "fp", "b", F.explode(F.expr("sequence(0, blocks - 1)")).alias("c"))
     lists = dealt.groupBy("posting", F.least("b", "c").alias("i"), F.greatest("b", "c").alias("j")).agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1").select("fps")

@@ -11,6 +11,9 @@ spanning forests that share no pair, the largest tallies first. Where a pair of
 the list gives FORESTS * 4^r pairs per text in round r, of those that no verified links join yet, until none is held back. A list
 works out again what it gave in the rounds before, from the components after each of them.
 Lists are dealt into blocks of about BLOCK texts, as those of simhash.py.
+
+Cases: equal texts are one row; a null text is one without words, as an empty one, and such texts are linked; repeated rows and ids
+don't matter, since only hashes of texts are linked; an empty table has no links; only row and text are read.
 """
 
 from __future__ import annotations
