@@ -192,14 +192,20 @@ def _url(x: Hit, o: Options) -> list[Emit]:
     return [Emit("URL", [m], _scored(70, (path != "", 90)), _say("URL {}: scheme {}, host {}, path {}", m, F.lower(_part(m, r"\A([^:]+):")), host, path), host != "")]
 
 
-_SEP = r"[-.\s]?"
+def _digits(*groups: int) -> str:
+    """Groups of digits, with a dash, a dot, a blank or nothing between them."""
+    return r"[-.\s]?".join(f"[0-9]{{{n}}}" for n in groups)
+
+
+#: A number with its area code in three groups, one without it in two, and one with it in brackets.
+_LONG, _SHORT = _digits(3, 3, 4), _digits(3, 4)
+_AREA = rf"\({_digits(3)}\)\s*{_SHORT}"
 
 
 def _phone(x: Hit, o: Options) -> list[Emit]:
-    ten, seven, area = rf"[0-9]{{3}}{_SEP}[0-9]{{3}}{_SEP}[0-9]{{4}}", rf"[0-9]{{3}}{_SEP}[0-9]{{4}}", rf"\([0-9]{{3}}\)\s*[0-9]{{3}}{_SEP}[0-9]{{4}}"
     m = x.m
-    number = _part(m, f"{ten}|{area}|{seven}", 0)
-    sure = m.rlike(rf"\A(?:\+{ten}|{area}|{seven}[^0-9])") if "personal" in o.filters else F.lit(False)
+    number = _part(m, f"{_LONG}|{_AREA}|{_SHORT}", 0)
+    sure = m.rlike(rf"\A(?:\+{_LONG}|{_AREA}|{_SHORT}[^0-9])") if "personal" in o.filters else F.lit(False)
     return [Emit("phone", [number], _scored(40, (sure, 55)), _say("Phone number: {}", number))]
 
 
@@ -384,8 +390,8 @@ CATALOGUE: tuple[Detector, ...] = (
     Detector("web-cookie", ("web-cookie",), ("web", "crypto"), 85, r";?+[A-Za-z0-9_:|\-$&%#@]++=[^;\s]++", _cookie, "=", lambda m: _part(m, r"\A[^=]+=([\s\S]*)\z"), about="name=value"),
     Detector("md5", ("md4", "md5"), ("web", "unix", "crypto", "other"), 80, None, _md5, "hex", runs=_md5_runs, about="32 hex digits, also within longer runs"),
     Detector("URL", ("URL",), ("web", "personal", "other"), 90, rf"(?<![A-Za-z0-9])[A-Za-z0-9]++://{C}+{T.EDGE}", _url, "://", about="scheme://host/path"),
-    Detector("phone", ("phone",), ("web", "personal", "other"), 55, rf"[^0-9][0-9]{{3}}{_SEP}[0-9]{{3}}{_SEP}[0-9]{{4}}|\([0-9]{{3}}\)\s*[0-9]{{3}}{_SEP}[0-9]{{4}}|[0-9]{{3}}{_SEP}[0-9]{{4}}[^0-9]", _phone, "digits", about="ten digits after, or seven before, something else; area code in brackets"),
-    Detector("credit", ("credit",), ("personal",), 45, rf"{_L}(?:[0-9][ -]*?){{13,16}}{T.EDGE}", _credit, "digits", about="13 to 16 digits with blanks or dashes"),
+    Detector("phone", ("phone",), ("web", "personal", "other"), 55, f"[^0-9]{_LONG}|{_AREA}|{_SHORT}[^0-9]", _phone, "digits", about="ten digits after, or seven before, something else; area code in brackets"),
+    Detector("credit", ("credit",), ("personal",), 45, f"{_L}[0-9](?:[ -]*+[0-9]){{12,15}}{_R}", _credit, "digits", about="13 to 16 digits with blanks or dashes"),
     _mssql("mssql2005", 48, "Microsoft SQL Server 2005"),
     _mssql("mssql2000", 88, "Microsoft SQL Server 2000"),
     Detector("lm", ("lm", "ntlm"), ("win", "crypto", "secrets"), 80, None, _lm, "hex", runs=lambda runs: F.filter(runs, lambda r: r["n"] == 32), about="exactly 32 hex digits"),

@@ -106,7 +106,7 @@ _documents("md5_md4_documents", ["md5"], MD5_SQL)
 _documents("mysql4_documents", ["MySQL4+"], _digests({"MySQL4+": (40, "50")}))
 _documents("mysql323_documents", ["MySQL323"], _digests({"MySQL323": (16, "40")}))
 
-_CARD = r"\b(?:[0-9][ -]*?){13,16}\b"
+_CARD = r"\b[0-9](?:[ -]*[0-9]){12,15}\b"
 #: Fixed values, as in the catalogue.
 _BRANDS = ("4[0-9]{12}(?:[0-9]{3})?", "5[1-5][0-9]{14}", "3[47][0-9]{13}", "3(?:0[0-5]|[68][0-9])[0-9]{11}", "6(?:011|5[0-9]{2})[0-9]{12}", "(?:2131|1800|35[0-9]{3})[0-9]{11}")
 CREDIT_SQL = f"SELECT key, 'credit' AS type, CASE {' '.join(f"WHEN regexp_matches(x, '{b}') THEN regexp_extract(x, '{b}')" for b in _BRANDS)} ELSE x END AS payload, CASE WHEN regexp_matches(x, '{'|'.join(_BRANDS)}') THEN 45 ELSE 15 END AS certainty FROM (SELECT key, unnest(regexp_extract_all(t, '{_CARD}')) AS x FROM d)"
@@ -323,6 +323,25 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", *[F.concat_ws(",", level).alias(level) for level in pages.LEVELS])
 
 
+_SEEN = "CASE c_custkey % 6 WHEN 0 THEN 'x*' || upper({sha1}) WHEN 1 THEN 'u:$1$abcdefgh$' || substr({sha1}, 1, 22) WHEN 2 THEN 'id ' || substr({md5}, 1, 8) || '-' || substr({md5}, 9, 4) || '-' || substr({md5}, 13, 4) || '-' || substr({md5}, 17, 4) || '-' || substr({md5}, 21, 12) WHEN 3 THEN 'sha1$salt$' || {sha256} WHEN 4 THEN '0x' || substr({sha1}, 1, 8) ELSE '$P$' || substr({sha1}, 1, 31) END"
+
+
+@_query("page_verdict_all", """SELECT c_custkey, CASE c_custkey % 6 WHEN 1 THEN 'md5-salt-unix' WHEN 2 THEN 'uuid' WHEN 3 THEN 'sha256-salt-django' WHEN 5 THEN 'md5-wordpress' ELSE '' END AS confident,
+ CASE c_custkey % 6 WHEN 0 THEN 'MySQL4+,sha1' WHEN 3 THEN 'sha256' ELSE '' END AS likely, CASE c_custkey % 6 WHEN 4 THEN 'CRC' WHEN 5 THEN 'md5-phpBB3' ELSE '' END AS possible FROM customer""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.verdicts(_derived_table(spark, sf_dir, _SEEN), ids=["c_custkey"], filters="db,unix,web,win,other", uuids=True)
+    return found.select("c_custkey", *[F.concat_ws(",", level).alias(level) for level in pages.LEVELS])
+
+
+@_query("page_processes_shown", """SELECT c_custkey, CAST(8192 AS BIGINT) AS vpage, 'Found md5 (likely)' || chr(9) || 'MD5 digest: ' || h || chr(9) || 'LM hash: ' || h || chr(9) || 'NTLM hash: ' || h || chr(10) || 'Found md4 (possible)' || chr(9) || 'MD4 digest: ' || h AS line
+FROM (SELECT c_custkey, upper(md5(c_name)) AS h FROM customer WHERE c_custkey % 5 IN (1, 3))""")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests across the edge of two pages, which the first one reads over, in the pages of some processes."""
+    memory = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 5).alias("pid"), F.concat(F.lit("proc"), F.col("c_custkey") % 5).alias("pname"), F.lit(8192).cast("bigint").alias("vpage"), F.concat(F.repeat(F.lit(". "), F.lit(2040)), F.upper(F.md5("c_name")), F.lit(" .")).cast("binary").alias("content"))
+    found = pages.verdicts(pages.of_processes(readers.pages(memory), name="proc1", pid=3), ids=["c_custkey", "vpage"], filters="win")
+    return pages.shown(found).select("c_custkey", "vpage", "line")
+
+
 @_query("generator_decode_native", f"SELECT c_custkey, codec, sha1(c_name) AS payload FROM customer, (SELECT unnest(['base64', 'hex', 'rot13']) AS codec) WHERE codec <> 'rot13' OR translate(sha1(c_name), '{codecs.LETTERS}', '{codecs.ROTATED}') = sha1(c_name)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests wrapped in base64 and hex, found in what the codecs make of them."""
