@@ -17,8 +17,18 @@ from tracelode.functions import text as T
 from tracelode.operators.scan import scan
 
 LETTERS, ROTATED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"
-PYTHON_TEXT = ("utf_16_be", "utf_16_le", "utf_32", "cp037", "cp437", "cp500", "cp850", "cp1250", "cp1251", "cp1252", "cp1253", "cp1254", "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_9", "iso8859_15", "koi8_r", "mac_roman", "utf_7", "shift_jis", "euc_jp", "euc_kr", "gb18030", "big5")
-PYTHON_BYTES = ("uu", "quopri", "zlib", "bz2")
+#: The other codecs that Python has names for, but for those of one system only.
+PYTHON_TEXT = tuple(
+    """
+    big5 big5hkscs cp037 cp1026 cp1125 cp1140 cp1250 cp1251 cp1252 cp1253 cp1254 cp1255 cp1256 cp1257 cp1258 cp273 cp424 cp437 cp500 cp775 cp850 cp852
+    cp855 cp857 cp858 cp860 cp861 cp862 cp863 cp864 cp865 cp866 cp869 cp932 cp949 cp950 euc_jis_2004 euc_jisx0213 euc_jp euc_kr gb18030 gb2312 gbk
+    hp_roman8 hz iso2022_jp iso2022_jp_1 iso2022_jp_2 iso2022_jp_2004 iso2022_jp_3 iso2022_jp_ext iso2022_kr iso8859_10 iso8859_11 iso8859_13 iso8859_14
+    iso8859_15 iso8859_16 iso8859_2 iso8859_3 iso8859_4 iso8859_5 iso8859_6 iso8859_7 iso8859_8 iso8859_9 johab koi8_r kz1048 mac_cyrillic mac_greek
+    mac_iceland mac_latin2 mac_roman mac_turkish ptcp154 shift_jis shift_jis_2004 shift_jisx0213 tis_620 utf_16 utf_16_be utf_16_le utf_32 utf_32_be
+    utf_32_le utf_7
+    """.split()
+)
+PYTHON_BYTES = ("bz2_codec", "quopri_codec", "uu_codec", "zlib_codec")
 
 
 def _python(data: pd.Series, codec: pd.Series, direction: pd.Series) -> pd.Series:
