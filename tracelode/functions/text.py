@@ -5,7 +5,7 @@ Offsets are those of the column's characters; text decoded from bytes as ISO-885
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,41 +37,48 @@ def upper_or_digits(s: Column) -> Column:
     return s.rlike(r"\A[A-Z0-9]*\z")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is worked out once, however often body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+# Matches with their places, as SQL text: one call to the parser instead of some hundred to build the expression
+
+
+def named(column: str) -> str:
+    """The name of a column (or of a field, with dots) as SQL."""
+    return column if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", column) else "`" + column.replace("`", "``") + "`"
 
 
-def _placed(found: Column) -> Column:
-    """found: array<struct<gap, m>> -> the matches with their places, running sums of both lengths: first for every BLOCK of them, then
-    in each block, so that the time is linear in the matches."""
-    width = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))
-    block = lambda fs, b: F.slice(fs, b * BLOCK + 1, BLOCK)
+def _raw(pattern: str) -> str:
+    if "'" in pattern:
+        raise ValueError("a pattern can't have a quote")
+    return f"r'{pattern}'"
 
-    def starts(fs: Column, blocks: Column) -> Column:
-        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda acc, b: F.struct((acc["at"] + F.aggregate(block(fs, b), F.lit(0), lambda n, x: n + width(x))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-        return F.aggregate(blocks, none, step, lambda acc: acc["out"])
 
-    def inside(part: Column, begin: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            one = F.array(F.struct(x["m"].alias("m"), (acc["at"] + F.length(x["gap"])).alias("at")))
-            return F.struct((acc["at"] + width(x)).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+def _let(value: str, name: str, body: str) -> str:
+    """body of a value that is worked out once, however often body names it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
 
-        return F.aggregate(part, F.struct(begin.alias("at"), F.array().cast(MATCHES).alias("out")), step, lambda acc: acc["out"])
+_WIDTH = "length(x.gap) + coalesce(length(x.m), 0)"
+_PART = f"slice(fs, b * {BLOCK} + 1, {BLOCK})"
+#: fs: array<struct<gap, m>>; bs: numbers of its blocks; st: where they begin; and the matches in each.
+_STARTS = f"aggregate(bs, struct(0 AS at, cast(array() AS array<int>) AS out), (acc, b) -> struct(acc.at + aggregate({_PART}, 0, (n, x) -> n + {_WIDTH}) AS at, concat(acc.out, array(acc.at)) AS out), acc -> acc.out)"
+_INSIDE = f"aggregate({_PART}, struct(element_at(st, b + 1) AS at, cast(array() AS {MATCHES}) AS out), (acc, x) -> struct(acc.at + {_WIDTH} AS at, if(x.m IS NULL, acc.out, concat(acc.out, array(struct(x.m AS m, acc.at + length(x.gap) AS at)))) AS out), acc -> acc.out)"
+_PLACED = _let(f"sequence(0, cast((size(fs) - 1) div {BLOCK} AS int))", "bs", _let(_STARTS, "st", f"flatten(transform(bs, b -> {_INSIDE}))"))
 
-    def all_of(fs: Column) -> Column:
-        blocks = F.sequence(F.lit(0), F.floor((F.size(fs) - 1) / BLOCK).cast("int"))
-        return let(blocks, lambda bs: let(starts(fs, bs), lambda at: F.flatten(F.transform(bs, lambda b: inside(block(fs, b), F.element_at(at, b + 1))))))
 
-    return let(found, all_of)
+def _split(s: str, pattern: str, placed: str, none: str) -> str:
+    """`placed`, in terms of gaps and of fs (gaps and matches), where there are matches: running sums of both lengths, first for every
+    BLOCK of them, then in each block, so that the time is linear in the matches."""
+    found = f"zip_with(gaps, regexp_extract_all({s}, {_raw(pattern)}, 0), (gap, m) -> struct(gap, m))"
+    return _let(f"split({s}, {_raw(pattern)}, -1)", "gaps", f"if(size(gaps) > 1, {_let(found, 'fs', placed)}, cast(array() AS {none}))")
 
 
-def matches(s: Column, pattern: str) -> Column:
-    """All leftmost, non-overlapping matches with their places (0-based): the text between matches comes from a split by the same
-    pattern. The pattern must not match the empty string."""
-    found = F.arrays_zip(F.split(s, pattern, -1).alias("gap"), F.regexp_extract_all(s, F.lit(pattern), F.lit(0)).alias("m"))
-    return F.when(s.rlike(pattern), _placed(found)).otherwise(F.array().cast(MATCHES))
+def matches_sql(s: str, pattern: str) -> str:
+    """All leftmost, non-overlapping matches (MATCHES) of the SQL expression s with their places (0-based): the text between matches
+    comes from a split by the same pattern. The pattern must not match the empty string."""
+    return _split(s, pattern, _PLACED, MATCHES)
+
+
+def matches(s: str, pattern: str) -> Column:
+    return F.expr(matches_sql(s, pattern))
 
 
 #: A maximal run: whether a word character stands before and after it, whether a star after a word character stands before it, and
@@ -79,18 +86,13 @@ def matches(s: Column, pattern: str) -> Column:
 RUN = "array<struct<m: string, at: int, n: int, left: boolean, right: boolean, star: boolean, header: boolean>>"
 
 
-def hex_runs(s: Column, least: int) -> Column:
+def hex_runs(s: str, least: int) -> Column:
     """Maximal runs of hex digits, `least` or more. What stands beside them are the ends of the gaps; before a gap that isn't the
     first one stands the last digit of a run."""
-    pattern = f"{HEX}{{{least},}}+"
-
-    def all_of(gaps: Column) -> Column:
-        found = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(s, F.lit(pattern), F.lit(0)).alias("m"))
-        beside = F.transform(gaps, lambda g, i: F.struct(F.right(F.concat(F.when(i > 0, "f").otherwise(""), F.right(g, F.lit(3))), F.lit(3)).alias("before"), g.rlike(f"\\A{WORD}").alias("word")))
-        run = lambda x, i, by: F.struct(x["m"].alias("m"), x["at"].alias("at"), F.length(x["m"]).alias("n"), F.element_at(by, i + 1)["before"].rlike(f"{WORD}\\z").alias("left"), F.element_at(by, i + 2)["word"].alias("right"), F.element_at(by, i + 1)["before"].rlike(rf"{WORD}\*\z").alias("star"), F.element_at(by, i + 1)["before"].rlike(rf"(?:\A|[^A-Za-z0-9_])0x\z").alias("header"))
-        return let(beside, lambda by: F.transform(_placed(found), lambda x, i: run(x, i, by)))
-
-    return F.when(s.rlike(pattern), let(F.split(s, pattern, -1), all_of)).otherwise(F.array().cast(RUN))
+    beside = rf"transform(gaps, (g, i) -> struct(right(concat(if(i > 0, 'f', ''), right(g, 3)), 3) AS before, g rlike r'\A{WORD}' AS word))"
+    before = "element_at(by, i + 1).before"
+    run = rf"struct(x.m AS m, x.at AS at, length(x.m) AS n, {before} rlike r'{WORD}\z' AS left, element_at(by, i + 2).word AS right, {before} rlike r'{WORD}\*\z' AS star, {before} rlike r'(?:\A|[^A-Za-z0-9_])0x\z' AS header)"
+    return F.expr(_split(s, f"{HEX}{{{least},}}+", _let(beside, "by", f"transform({_PLACED}, (x, i) -> {run})"), RUN))
 
 
 def base64_length_ok(s: Column) -> Column:

@@ -25,15 +25,10 @@ def confidence(certainty: Column) -> Column:
     return F.when(certainty >= CONFIDENT, F.lit("confident")).when(certainty >= LIKELY, F.lit("likely")).otherwise(F.lit("possible"))
 
 
-def _hits(s: Column, i: int, d: Detector, options: Options, first: Column | None) -> Column:
+def _hits(s: str, i: int, d: Detector, options: Options, first: Column | None) -> Column:
     none = F.array().cast(HIT)
-    hit = lambda x, n, extra: F.struct(F.lit(i).alias("det"), n.cast("int").alias("n"), x["m"].alias("m"), x["at"].alias("at"), extra.alias("extra"))
-    if d.runs is not None:
-        out = F.transform(d.runs(F.col("_runs")), lambda x, n: hit(x, n, F.lit("")))
-    elif d.hits is not None:
-        out = F.transform(d.hits(s, options), lambda x, n: hit(x, n, x["extra"]))
-    else:
-        out = F.transform(T.matches(s, d.pattern), lambda x, n: hit(x, n, F.lit("")))
+    found, extra = d.runs("_runs") if d.runs is not None else T.matches_sql(s, d.pattern) if d.hits is None else d.hits(s, options), "x.extra" if d.hits is not None else "''"
+    out = F.expr(f"transform({found}, (x, n) -> struct({i} AS det, cast(n AS int) AS n, x.m AS m, x.at AS at, {extra} AS extra))")
     if d.guard is not None:
         out = F.when(F.col(f"_guards.`{d.guard}`"), out)
     if d.anchored and first is not None:
@@ -74,16 +69,16 @@ def scan(
     """
     options = Options(tuple(filters), strict, extended)
     chosen = [(i, d) for i, d in active(options, min_certainty) if detectors is None or d.name in detectors]
-    s = F.col(text)
+    s, name = F.col(text), T.named(text)
     base = F.col(base_offset).cast("bigint") if base_offset else F.lit(0).cast("bigint")
     first = base == 0 if base_offset and not strict else None
     carried = [F.col(c) for c in ids]
-    hits = [_hits(s, i, d, options, first) for i, d in chosen] or [F.array().cast(HIT)]
+    hits = [_hits(name, i, d, options, first) for i, d in chosen] or [F.array().cast(HIT)]
     names = sorted({d.guard for _, d in chosen if d.guard})
     guards = F.struct(*[GUARDS[g](s).alias(g) for g in names]) if names else F.lit(None)
     rows = df.filter(s.isNotNull()).withColumn("_guards", guards)
     if any(d.runs is not None for _, d in chosen):  # found once for all detectors of hex digits
-        rows = rows.withColumn("_runs", F.when(F.col("_guards.hex"), T.hex_runs(s, LEAST_RUN)))
+        rows = rows.withColumn("_runs", F.when(F.col("_guards.hex"), T.hex_runs(name, LEAST_RUN)))
     all_hits = F.concat(*hits) if len(hits) > 1 else hits[0]
     if keep and not strict:
         since, before, size = F.coalesce(keep[0], F.lit(0)), F.col(keep[1]), F.length(s)

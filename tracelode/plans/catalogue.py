@@ -60,8 +60,8 @@ class Detector:
     emits: Callable[[Hit, Options], list[Emit]]
     guard: str | None = None
     scored: Callable[[Column], Column] | None = None  # the part of a match whose entropy counts; the whole if None
-    runs: Callable[[Column], Column] | None = None  # text.RUN -> array<struct<m, at>>
-    hits: Callable[[Column, Options], Column] | None = None  # array<struct<m, at, extra>>
+    runs: Callable[[str], str] | None = None  # SQL of text.RUN -> SQL of array<struct<m, at>>
+    hits: Callable[[str, Options], str] | None = None  # SQL of the text -> SQL of array<struct<m, at, extra>>
     anchored: bool = False
     about: str = ""
 
@@ -91,9 +91,9 @@ def _scored(base: int, *rules: tuple[Column, int]) -> Column:
 LEAST_RUN = 16
 
 
-def _whole_runs(size: int) -> Callable[[Column], Column]:
+def _whole_runs(size: int) -> Callable[[str], str]:
     """Runs of this size that are words."""
-    return lambda runs: F.filter(runs, lambda r: (r["n"] == size) & ~r["left"] & ~r["right"])
+    return lambda runs: f"filter({runs}, r -> r.n = {size} AND NOT r.left AND NOT r.right)"
 
 
 def _digest(name: str, size: int, base: int, boosted: int, label: str) -> Detector:
@@ -145,14 +145,12 @@ _LINE = r"(?:(?!\\n)[^\r\n])+"
 _SEGMENT = "[^=|:]+"
 
 
-def _secret_hits(s: Column, o: Options) -> Column:
-    def of_line(line: Column) -> Column:
-        words = F.concat_ws(",", *[F.when(line["m"].rlike(any_case(w)), F.lit(w)) for w in SECRET_WORDS])
-        shift = F.lit(0) if o.strict else line["at"]
-        return F.when(words != "", F.transform(T.matches(line["m"], _SEGMENT), lambda x: F.struct(x["m"].alias("m"), (x["at"] + shift).alias("at"), words.alias("extra"))))
-
-    none = F.array().cast("array<struct<m: string, at: int, extra: string>>")
-    return F.flatten(F.transform(T.matches(s, _LINE), lambda line: F.coalesce(of_line(line), none)))
+def _secret_hits(s: str, o: Options) -> str:
+    words = f"concat_ws(',', {', '.join(f"if(line.m rlike '{any_case(w)}', '{w}', NULL)" for w in SECRET_WORDS)})"
+    segment = f"transform({T.matches_sql('line.m', _SEGMENT)}, y -> struct(y.m AS m, y.at{'' if o.strict else ' + line.at'} AS at, words AS extra))"
+    none = "cast(array() AS array<struct<m: string, at: int, extra: string>>)"
+    of_line = f"element_at(transform(array({words}), words -> if(words <> '', {segment}, {none})), 1)"
+    return f"flatten(transform({T.matches_sql(s, _LINE)}, line -> {of_line}))"
 
 
 def _secret(x: Hit, o: Options) -> list[Emit]:
@@ -180,10 +178,9 @@ def _md5(x: Hit, o: Options) -> list[Emit]:
     return [Emit("md4", [m], _scored(10, (r, 30)), _say("MD4 digest: {}", m)), Emit("md5", [m], _scored(10, (r, 80)), _say("MD5 digest: {}", m))]
 
 
-def _md5_runs(runs: Column) -> Column:
+def _md5_runs(runs: str) -> str:
     """Each 32 digits of a run in turn."""
-    pieces = lambda r: F.transform(F.regexp_extract_all(r["m"], F.lit(f"{H}{{32}}"), F.lit(0)), lambda m, k: F.struct(m.alias("m"), (r["at"] + 32 * k).alias("at")))
-    return F.flatten(F.transform(F.filter(runs, lambda r: r["n"] >= 32), pieces))
+    return f"flatten(transform(filter({runs}, r -> r.n >= 32), r -> transform(regexp_extract_all(r.m, '{H}{{32}}', 0), (m, k) -> struct(m AS m, r.at + 32 * k AS at))))"
 
 
 def _url(x: Hit, o: Options) -> list[Emit]:
@@ -238,13 +235,11 @@ def _mssql(name: str, size: int, label: str) -> Detector:
         rules = [(m.startswith("0x"), 95), *([(x.random, 75)] if size == 48 else [])]
         return [Emit(name, cuts, _scored(55, *rules), _say(label + ", salt {}, hashes {}", cuts[0], F.concat_ws(" ", *cuts[1:])))]
 
-    def found(runs: Column) -> Column:
+    def found(runs: str) -> str:
         """With the header 0x0100 or without; of the longer kind only the beginning of a run need match."""
-        fits = lambda r, n: (r["n"] == n) & ~r["right"] if size == 48 else r["n"] >= n
-        bare = lambda r: ~r["left"] & fits(r, size)
-        headed = lambda r: r["header"] & r["m"].startswith("0100") & fits(r, size + 4)
-        whole = lambda r: F.when(bare(r), F.substring(r["m"], 1, size)).otherwise(F.concat(F.lit("0x"), F.substring(r["m"], 1, size + 4)))
-        return F.transform(F.filter(runs, lambda r: bare(r) | headed(r)), lambda r: F.struct(whole(r).alias("m"), F.when(bare(r), r["at"]).otherwise(r["at"] - 2).alias("at")))
+        fits = lambda n: f"r.n = {n} AND NOT r.right" if size == 48 else f"r.n >= {n}"
+        bare, headed = f"(NOT r.left AND {fits(size)})", f"(r.header AND startswith(r.m, '0100') AND {fits(size + 4)})"
+        return f"transform(filter({runs}, r -> {bare} OR {headed}), r -> if({bare}, struct(substring(r.m, 1, {size}) AS m, r.at AS at), struct(concat('0x', substring(r.m, 1, {size + 4})) AS m, r.at - 2 AS at)))"
 
     return Detector(name, (name,), ("db", "crypto", "secrets"), 95, None, emits, "hex", lambda m: F.regexp_replace(m, r"\A0x0100", ""), runs=found, about=f"optional 0x0100 header, {size} hex digits")
 
@@ -254,10 +249,9 @@ def _lm(x: Hit, o: Options) -> list[Emit]:
     return [Emit("lm", [m], c, _say("LM hash: {}", m)), Emit("ntlm", [m], c, _say("NTLM hash: {}", m))]
 
 
-def _mysql4_runs(runs: Column) -> Column:
+def _mysql4_runs(runs: str) -> str:
     """A star after a word character belongs to the match."""
-    some = F.filter(runs, lambda r: (r["n"] == 40) & ~r["left"] & ~r["right"])
-    return F.transform(some, lambda r: F.struct(F.concat(F.when(r["star"], "*").otherwise(""), r["m"]).alias("m"), (r["at"] - F.when(r["star"], 1).otherwise(0)).alias("at")))
+    return f"transform({_whole_runs(40)(runs)}, r -> if(r.star, struct(concat('*', r.m) AS m, r.at - 1 AS at), struct(r.m AS m, r.at AS at)))"
 
 
 def _mysql4(x: Hit, o: Options) -> list[Emit]:
@@ -270,10 +264,10 @@ def _mysql323(x: Hit, o: Options) -> list[Emit]:
     return [Emit("MySQL323", [m], F.lit(40), _say("MySQL 3.23 or earlier: {}", m))]
 
 
-def _base64_hits(s: Column, o: Options) -> Column:
+def _base64_hits(s: str, o: Options) -> str:
     """The whole text (without one final line break) is padded base64."""
-    bare = F.regexp_replace(s, r"\n\z", "")
-    return F.when(F.length(bare) % 4 == 0, F.array(F.struct(bare.alias("m"), F.lit(0).alias("at"), F.lit("").alias("extra"))))
+    bare = rf"regexp_replace({s}, r'\n\z', '')"
+    return f"if(length({bare}) % 4 = 0, array(struct({bare} AS m, 0 AS at, '' AS extra)), NULL)"
 
 
 def _base64(x: Hit, o: Options) -> list[Emit]:
@@ -321,10 +315,10 @@ def _crc(x: Hit, o: Options) -> list[Emit]:
 # Unix and web accounts
 
 
-def _des_hits(s: Column, o: Options) -> Column:
+def _des_hits(s: str, o: Options) -> str:
     """Runs of exactly 13 characters, no $ before: found with the character before them, which the text is given at its start too."""
-    found = T.matches(F.concat(F.lit(" "), s), f"[^A-Za-z0-9./$]{C}{{13}}(?!{C})")
-    return F.transform(found, lambda x: F.struct(F.substring(x["m"], 2, 13).alias("m"), x["at"].alias("at"), F.lit("").alias("extra")))
+    found = T.matches_sql(f"concat(' ', {s})", f"[^A-Za-z0-9./$]{C}{{13}}(?!{C})")
+    return f"transform({found}, y -> struct(substring(y.m, 2, 13) AS m, y.at AS at, '' AS extra))"
 
 
 def _des(x: Hit, o: Options) -> list[Emit]:
@@ -394,7 +388,7 @@ CATALOGUE: tuple[Detector, ...] = (
     Detector("credit", ("credit",), ("personal",), 45, f"{_L}[0-9](?:[ -]*+[0-9]){{12,15}}{_R}", _credit, "digits", about="13 to 16 digits with blanks or dashes"),
     _mssql("mssql2005", 48, "Microsoft SQL Server 2005"),
     _mssql("mssql2000", 88, "Microsoft SQL Server 2000"),
-    Detector("lm", ("lm", "ntlm"), ("win", "crypto", "secrets"), 80, None, _lm, "hex", runs=lambda runs: F.filter(runs, lambda r: r["n"] == 32), about="exactly 32 hex digits"),
+    Detector("lm", ("lm", "ntlm"), ("win", "crypto", "secrets"), 80, None, _lm, "hex", runs=lambda runs: f"filter({runs}, r -> r.n = 32)", about="exactly 32 hex digits"),
     Detector("MySQL4+", ("MySQL4+",), ("db", "crypto", "secrets"), 80, None, _mysql4, "hex", lambda m: F.regexp_replace(m, r"\A\*", ""), runs=_mysql4_runs, about="40 hex digits, optionally after *"),
     Detector("MySQL323", ("MySQL323",), ("db", "crypto", "secrets"), 40, None, _mysql323, "hex", runs=_whole_runs(16), about="16 hex digits"),
     Detector("base64", ("base64",), ("other",), 80, None, _base64, "base64", hits=_base64_hits, anchored=True, about="the whole text is padded base64"),
