@@ -51,8 +51,9 @@ def tokenizer(name: str = VOCABULARY):
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _LOADED[name] = fast.encode_ordinary, Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-    fast, whole = _LOADED[name]
+        whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        _LOADED[name] = fast.encode_ordinary, whole, "<u2" if max(whole.get_vocab_size(), *ranks.values()) < 1 << 16 else "<u4"
+    fast, whole, _ = _LOADED[name]
     return lambda text: whole.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast(text)
 
 
@@ -190,17 +191,19 @@ PIECES = "part int, row long, start int, length int, sequence_id long, offset in
 
 
 def tokenized(docs: DataFrame, window: int = WINDOW, name: str = VOCABULARY) -> DataFrame:
-    """part, row (together a key), doc_id, ids, rest (the length that full windows leave), rank (how many documents of the partition
+    """part, row (together a key), doc_id, ids (of two bytes where the vocabulary allows it), n (how many), rest (the length that full windows leave), rank (how many documents of the partition
     had the same rest before) and windows (how many full windows they had)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, row, seen, full = tokenizer(name), TaskContext.get().partitionId(), 0, [0] * window, 0
+        encode, kind = tokenizer(name), _LOADED[name][2]
+        part, row, seen, full = TaskContext.get().partitionId(), 0, [0] * window, 0
         for batch in batches:
-            ids, rest, rank, windows = [], [], [], []
+            ids, counts, rest, rank, windows = [], [], [], [], []
             for text in C.blobs(batch["text"]):
-                x = np.array([*encode(text.decode()), END], "<u4")
+                x = np.array([*encode(text.decode()), END], kind)
                 n = len(x) % window
                 ids.append(x.tobytes())
+                counts.append(len(x))
                 rest.append(n)
                 rank.append(seen[n])
                 seen[n] += 1
@@ -208,10 +211,10 @@ def tokenized(docs: DataFrame, window: int = WINDOW, name: str = VOCABULARY) ->
                 full += len(x) // window
             rows = pa.array(range(row, row + len(ids)), pa.int64())
             row += len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), rows, batch["doc_id"], pa.array(ids, pa.binary()), pa.array(rest, pa.int32()), pa.array(rank, pa.int64()), pa.array(windows, pa.int64())], ["part", "row", "doc_id", "ids", "rest", "rank", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int32()), rows, batch["doc_id"], pa.array(ids, pa.binary()), pa.array(counts, pa.int64()), pa.array(rest, pa.int32()), pa.array(rank, pa.int64()), pa.array(windows, pa.int64())], ["part", "row", "doc_id", "ids", "n", "rest", "rank", "windows"])
 
     C.bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "part int, row long, doc_id long, ids binary, rest int, rank long, windows long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "part int, row long, doc_id long, ids binary, n long, rest int, rank long, windows long")
 
 
 def _planned(ranked: DataFrame, plan) -> DataFrame:
@@ -285,14 +288,14 @@ def pack(docs: DataFrame, window: int = WINDOW, name: str = VOCABULARY, block: i
     """One row per piece; ids are little-endian unsigned 32-bit."""
     tokens = C.stored(tokenized(docs, window, name), "tokens")
     pieces = assigned(tokens, window, block).groupBy("part", "row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
-    both = tokens.select("part", "row", "doc_id", "ids", "windows").join(pieces.hint("merge"), ["part", "row"], "left")
+    both = tokens.select("part", "row", "doc_id", "ids", "n", "windows").join(pieces.hint("merge"), ["part", "row"], "left")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 6 + [pa.binary()]
         for batch in batches:
             cols: list[list] = [[] for _ in kinds]
-            for part, before, doc_id, ids, more in zip(*(batch[c].to_pylist() for c in ("part", "windows", "doc_id", "ids", "pieces"))):
-                n, full = len(ids) // 4, len(ids) // 4 // window
+            for part, before, doc_id, ids, n, more in zip(*(batch[c].to_pylist() for c in ("part", "windows", "doc_id", "ids", "n", "pieces"))):
+                ids, full = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4").tobytes(), n // window
                 found = [(k * window, window, (part + 1 << 40) + before + k, 0) for k in range(full)]
                 found += [(full * window + x["start"], x["length"], x["sequence_id"], x["offset"]) for x in more or ()]
                 for start, length, sequence, offset in found:
