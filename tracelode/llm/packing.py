@@ -57,6 +57,12 @@ def tokenizer(name: str = VOCABULARY):
     return lambda text: whole.encode(text, add_special_tokens=False).ids if SPECIAL in text else fast(text)
 
 
+def id_type(name: str = VOCABULARY) -> str:
+    """Two bytes where the vocabulary allows it, else four."""
+    tokenizer(name)
+    return _LOADED[name][2]
+
+
 def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     """Rows (a, b, c), a <= b <= c, of lengths that sum to the window; a is 0 in pairs."""
     there = np.zeros(window + 1, bool)
@@ -191,11 +197,11 @@ PIECES = "part int, row long, start int, length int, sequence_id long, offset in
 
 
 def tokenized(docs: DataFrame, window: int = WINDOW, name: str = VOCABULARY) -> DataFrame:
-    """part, row (together a key), doc_id, ids (of two bytes where the vocabulary allows it), n (how many), rest (the length that full windows leave), rank (how many documents of the partition
-    had the same rest before) and windows (how many full windows they had)."""
+    """part, row (together a key), doc_id, ids (as id_type), n (how many), rest (the length that full windows leave), rank (how many
+    documents of the partition had the same rest before) and windows (how many full windows they had)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind = tokenizer(name), _LOADED[name][2]
+        encode, kind = tokenizer(name), id_type(name)
         part, row, seen, full = TaskContext.get().partitionId(), 0, [0] * window, 0
         for batch in batches:
             ids, counts, rest, rank, windows = [], [], [], [], []
