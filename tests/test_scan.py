@@ -209,7 +209,7 @@ MD5, LM, SHA1 = [("md4", 30), ("md5", 80)], [("lm", 80), ("ntlm", 80)], [("MySQL
 LINES = [
     ("web_sessionid=hQ7xW2kPz9LmB4tR\n", [("web-cookie", 85)]), ("http://www.example.org\n", [("URL", 70)]), ("ftp://example.com/x\n", [("URL", 90)]),
     (f"Administrator:500:{A32}:{A32}:::\n", [*MD5, *MD5, *LM, *LM, ("SAM(lm:ntlm)", 90), ("des-salt-unix", 55)]), (f"u:$1$hanhd/cF${P22}:1\n", [("md5-salt-unix", 80)]), (f"{A32}\n", [*MD5, *LM, ("base64", 40)]),
-    (f"{B32}\n", [*MD5, ("lm", 50), ("ntlm", 50), ("base64", 40), ("md5-joomla1", 45)]), (f"{S40}\n", [*MD5, *SHA1, ("base64", 40), ("phone", 55)]), ("5850478A34D818CE\n", [("MySQL323", 40), ("base64", 40)]),
+    (f"{B32}\n", [*MD5, ("lm", 50), ("ntlm", 50), ("base64", 40), ("md5-joomla1", 45)]), (f"{S40}\n", [*MD5, *SHA1, ("base64", 40), ("phone", 55)]), ("5850478A34D818CE\n", [("MySQL323", 40), ("base64", 40), ("phone", 55)]),
     ("+123-000-0000\n", [("phone", 55)]), ("000-000-0000\n", [("phone", 55)]), ("000-000-0000", []), ("378282246310005\n", [("phone", 55), ("credit", 45)]), ("4111 1111 1111 1111\n", [("phone", 55), ("phone", 55), ("credit", 15)]), ("dGVzdGUK\n", [("base64", 40)]),
 ]
 
