@@ -128,11 +128,12 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 def _cuts(keys: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     """Where all ranges but the first begin (columns down, h); the driver gets some PER_RANGE sampled keys per range."""
     share = min(1.0, PER_RANGE * ranges / max(1, keys.count()))
-    some = keys.filter(F.pmod(F.xxhash64("down", "h"), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("down", "h").count().collect()
-    some.sort()
-    upto = np.cumsum([r["count"] for r in some])
-    at = sorted({int(k) for k in np.searchsorted(upto, [upto[-1] * i / ranges for i in range(1, ranges)])}) if len(some) else []
-    return np.array([some[k]["down"] for k in at], np.int64), np.array([some[k]["h"] for k in at], np.int64)
+    some = keys.filter(F.pmod(F.xxhash64("down", "h"), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("down", "h").count().toArrow()
+    down, h, n = (some[c].to_numpy().astype(np.int64) for c in ("down", "h", "count"))
+    order = np.lexsort((h, down))
+    upto = np.cumsum(n[order])
+    at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, ranges) / ranges)) if len(order) else np.zeros(0, np.int64)
+    return down[order][at], h[order][at]
 
 
 def range_of(down: np.ndarray, h: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
