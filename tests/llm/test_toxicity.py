@@ -125,3 +125,22 @@ def test_scores_by_brute_force():
         top = sorted((v for w in m.restorer.words(t) for v in [max(kept.get(f, 0.0) for f in X.features(w))] if v > 0), reverse=True)[: X.TOP]
         z = sum(a * b for a, b in zip(m.weights, top)) + m.weights[-1]
         assert abs(m.score(t) - 1 / (1 + math.exp(-z))) < 1e-12
+
+
+def test_every_labelled_document_teaches(spark):
+    """A word of two toxic texts among 4,000 labelled ones, more than any sample took, and the model of the table against that of its rows."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join([*rng.choice(FINE, 8), *(rng.choice(BAD, 1) if i % 2 else [])])) for i in range(8000)]
+    teach = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 5 and k % 2]
+    for k in rng.choice(teach, 2, replace=False).tolist():
+        rows[k] = k, "there quixotry anding r0tt3r"
+    held = [(k, "zanyword " * 3) for k, _ in rows if zlib.crc32(str(k).encode()) % 5 == 0 and k % 2]
+    rows = list((dict(rows) | dict(held)).items())
+    docs = spark.createDataFrame([(k, t, "", None) for k, t in rows], D).repartition(7)
+    labels = spark.createDataFrame([(k, None, k % 2, "") for k, _ in rows], L)
+    got = X.fit(docs, labels)
+    want = X.train([(k % 2, t.encode()) for k, t in rows if zlib.crc32(str(k).encode()) % 5], 0.5)
+    assert "quixotry" in got.odds and "zanyword" not in got.odds
+    assert got.odds.keys() == want.odds.keys() and all(abs(got.odds[f] - want.odds[f]) < 1e-12 for f in want.odds)
+    assert got.letters.tri == want.letters.tri and got.letters.bi == want.letters.bi and got.letters.after1 == want.letters.after1
+    assert np.abs(got.weights - want.weights).max() < 1e-6

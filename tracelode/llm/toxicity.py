@@ -8,11 +8,12 @@ letters repeated three times or more, and runs of single characters with separat
 decoration, but where it may stand for a letter the word is decoded with it too. Other words are their own restoration.
 
 Every distinct word of the restored text gets the largest log odds of its features (the word, its first letters, the word without
-doubled letters), learnt from document counts in the toxic and other sample texts. The TOP largest of a text give its probability
+doubled letters), learnt from document counts in the toxic and other training texts. The TOP largest of a text give its probability
 by logistic regression, in which both classes weigh the same and whose own inputs leave the text itself out of the counts.
 
-Training uses the whole texts of at most PER_CLASS labelled documents of each class outside the held-out fold (crc32(doc_id as text) mod 5 = 0), drawn
-by a hash of the id; lang, source and doc_id are no inputs. Scoring covers the whole of every text.
+Training uses the whole texts of all labelled documents outside the held-out fold (crc32(doc_id as text) mod 5 = 0); lang, source and
+doc_id are no inputs. It counts on the executors: the driver gets the character trigrams, the features of two or more toxic texts and,
+per task, the sums of a Newton step. Scoring covers the whole of every text.
 
 Cases: null and empty texts have no words and get the score of a text without any toxic word; repeated rows get equal scores; ids
 without a label, with a null label or with both labels aren't trained on; without labels of both classes the score is the share of class 1 (0 with
@@ -24,8 +25,8 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +35,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelode.llm import common as C
-from tracelode.llm.labelled import sample
+from tracelode.llm.labelled import every
 
-PER_CLASS, TOP, SHRINK = 1500, 4, 4.0
+TOP, SHRINK = 4, 4.0
 THRESHOLD = 0.5
 #: Letters that a written character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c", "#": "h", "%": "x", "&": "a", "*": "aeiou"}
 #: Channel costs in nats: a digit or symbol kept, read as a letter, dropped (if it may be a letter: less likely); a repeated letter
 #: dropped; a separator dropped, kept.
 KEPT, READ, DROPPED, LETTER_DROPPED, REPEAT, GAP, END = 6.0, 1.0, 4.0, 12.0, 1.5, 0.5, 1.0
-#: Distinct words whose restorations and scores one worker keeps.
+#: Distinct words whose restorations, scores or counts one worker keeps.
 MEMO = 300_000
 
 AGAIN, START, STOP = "\0", "\1\1", "\2"
@@ -56,22 +57,30 @@ _SINGLE = re.compile(r"(?<!\S)[^\s.\-_](?:[ .\-_]{1,2}[^\s.\-_]){2,}(?!\S)")
 _DOUBLE = re.compile(r"(.)\1+")
 
 
+def trigrams(word: str) -> list[str]:
+    s = START + word + STOP
+    return [s[i - 2 : i + 1] for i in range(2, len(s))]
+
+
 class Letters:
     """Character trigrams of words with interpolated shorter contexts, in nats."""
 
     def __init__(self, words: Iterable[str]) -> None:
-        self.tri, self.bi, self.one = Counter(), Counter(), Counter()
-        for w in words:
-            s = START + w + STOP
-            for i in range(2, len(s)):
-                self.tri[s[i - 2 : i + 1]] += 1
-                self.bi[s[i - 1 : i + 1]] += 1
-                self.one[s[i]] += 1
-        self.after2, self.after1 = Counter(), Counter()
-        for k, n in self.tri.items():
+        self.count(Counter(t for w in words for t in trigrams(w)))
+
+    @classmethod
+    def of(cls, tri: Counter[str]) -> Letters:
+        out = cls.__new__(cls)
+        out.count(tri)
+        return out
+
+    def count(self, tri: Counter[str]) -> None:
+        self.tri, self.bi, self.one, self.after2, self.after1 = tri, Counter(), Counter(), Counter(), Counter()
+        for k, n in tri.items():
+            self.bi[k[1:]] += n
+            self.one[k[2]] += n
             self.after2[k[:2]] += n
-        for k, n in self.bi.items():
-            self.after1[k[0]] += n
+            self.after1[k[1]] += n
         self.total = sum(self.one.values())
         self.known: dict[str, float] = {}
 
@@ -103,6 +112,7 @@ def lattice(written: str) -> list[list[tuple[str, float]]]:
 def restore(written: str, letters: Letters) -> str:
     """The cheapest path through the lattice under the character model; words are separated by blanks."""
     states: dict[str, tuple[float, tuple]] = {START: (0.0, ())}
+    known = letters.known
     for column in lattice(written):
         nxt: dict[str, tuple[float, tuple]] = {}
         for before, (cost, path) in states.items():
@@ -118,7 +128,8 @@ def restore(written: str, letters: Letters) -> str:
                         continue
                     k, total, way = START, cost + extra + letters.cost(before, STOP), (path, " ")
                 else:
-                    k, total, way = before[1] + c, cost + extra + letters.cost(before, c), (path, c)
+                    x = known.get(before + c)
+                    k, total, way = before[1] + c, cost + extra + (letters.cost(before, c) if x is None else x), (path, c)
                 if k not in nxt or total < nxt[k][0]:
                     nxt[k] = total, way
         states = nxt
@@ -157,6 +168,8 @@ class Restorer:
 
     def word(self, token: str) -> tuple[str, ...]:
         whole = token.rstrip(_SOFT + "!")
+        if whole.isalpha() and not _TRIPLE.search(whole):
+            return (whole,)
         bare = undecorated(whole).strip(_SOFT)
         whole = whole.strip(_SOFT)
         # what looks like decoration may be letters, as in a$$
@@ -195,79 +208,246 @@ def features(word: str) -> list[str]:
     return out
 
 
+def best(odds: dict[str, float], word: str) -> float:
+    """The largest of its features' odds, 0 at least."""
+    get, n = odds.get, len(word)
+    out = max(0.0, get(word, 0.0), get("=" + _DOUBLE.sub(r"\1", word), 0.0))
+    if n > 4:
+        out = max(out, get(word[:4] + "*", 0.0))
+        if n > 5:
+            out = max(out, get(word[:5] + "*", 0.0))
+            if n > 6:
+                out = max(out, get(word[:6] + "*", 0.0))
+                if n > 7:
+                    out = max(out, get(word[:7] + "*", 0.0))
+    return out
+
+
+class Told:
+    """What a function says of each of some words, while it is remembered; words of which it says nothing are left out at once."""
+
+    def __init__(self, of: Callable) -> None:
+        self.of, self.known, self.nothing = of, {}, set()
+
+    def __call__(self, words: set[str]) -> list:
+        out, known = [], self.known
+        for w in words.difference(self.nothing):
+            got = known.get(w)
+            if got is None:
+                if len(known) + len(self.nothing) >= MEMO:
+                    known.clear()
+                    self.nothing.clear()
+                got = self.of(w)
+                if not got:
+                    self.nothing.add(w)
+                    continue
+                known[w] = got
+            out.append(got)
+        return out
+
+
 class Model:
     def __init__(self, letters: Letters, odds: dict[str, float], weights: np.ndarray) -> None:
         self.letters, self.odds, self.weights = letters, odds, weights
 
     def start(self) -> None:
-        self.restorer, self.memo = Restorer(self.letters), {}
+        self.restorer = Restorer(self.letters)
+        self.told = Told(lambda token: self.values(self.restorer.word(token)))
+
+    def values(self, words: Iterable[str]) -> dict[str, float]:
+        return {w: v for w in words if (v := best(self.odds, w)) > 0}
 
     def score(self, text: str) -> float:
-        memo, odds = self.memo, self.odds
-        if len(memo) >= MEMO:
-            memo.clear()
-        values = []
-        for w in self.restorer.words(text):
-            v = memo.get(w)
-            if v is None:
-                v = memo[w] = max(odds.get(f, 0.0) for f in features(w))
-            if v > 0:
-                values.append(v)
-        top = heapq.nlargest(TOP, values)
+        low = text.lower()
+        found: dict[str, float] = {}
+        for got in self.told(set(low.split())):
+            found.update(got)
+        for m in _SINGLE.finditer(low):
+            found.update(self.values(restore(m[0], self.letters).split()))
+        top = heapq.nlargest(TOP, found.values())
         z = self.weights[-1] + sum(a * b for a, b in zip(self.weights, top))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+# Training: what it counts, for rows on the driver (train) and for tables (fit) alike
+
+
+def plain(text: str) -> list[str]:
+    """The words of a text that teach the character model."""
+    return [x for x in (w.strip(_EDGE) for w in text.lower().split()) if x.isalpha() and not _TRIPLE.search(x)]
+
+
+def times(n: int) -> int:
+    """How often a word that comes n times counts for the character model."""
+    return 1 + int(math.log2(n))
+
+
+def seen_in(words: Iterable[str]) -> set[str]:
+    """The features of one text."""
+    return {f for w in words for f in features(w)}
+
+
+class Odds:
+    """Log odds of the features that two or more toxic texts have: all (the model's), and for texts of class 0 and 1 with themselves left
+    out of the counts."""
+
+    def __init__(self, n0: dict[str, int], n1: dict[str, int], sizes: np.ndarray) -> None:
+        eps = SHRINK / sizes.min()
+        odd = lambda a, b: math.log((b / sizes[1] + eps) / (a / sizes[0] + eps))
+        counts = [(f, n0.get(f, 0), n) for f, n in n1.items() if n > 1]
+        self.all = {f: v for f, a, b in counts if (v := odd(a, b)) > 0.2}
+        self.without = {f: v for f, a, b in counts if a and (v := odd(a - 1, b)) > 0}, {f: v for f, a, b in counts if f in self.all and (v := odd(a, b - 1)) > 0}
+
+    def inputs(self, rows: Iterable[tuple[int, set[str]]]) -> np.ndarray:
+        """The regression's inputs of (label, words): the TOP largest values and 1."""
+        told = [Told(lambda w, o=o: best(o, w)) for o in self.without]
+        out = []
+        for y, words in rows:
+            top = heapq.nlargest(TOP, told[y](words))
+            out.append(top + [0.0] * (TOP - len(top)) + [1.0])
+        return np.array(out).reshape(-1, TOP + 1)
+
+
+def sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the loss in which both classes weigh the same, as rows of one array."""
+    weight = np.where(y == 1, 0.5 / sizes[1], 0.5 / sizes[0]) * sizes.sum()
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return np.vstack([x.T @ ((p - y) * weight), (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x])
+
+
+def newton(total: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The weights that make the loss with a ridge least; total: sums() of all rows for given weights."""
+    w = np.zeros(TOP + 1)
+    ridge = np.full(TOP + 1, 0.5)
+    ridge[TOP] = 1e-6
+    for _ in range(40):
+        both = total(w)
+        step = np.linalg.solve(both[1:] + np.diag(ridge), both[0] + ridge * w)
+        w -= step * min(1.0, 3 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-10:
+            break
+    return w.round(9)  # the order in which tasks are summed doesn't show
+
+
 def train(rows: list[tuple[int, bytes]], share: float) -> Model | float:
+    """The model of rows that the driver has."""
     y = np.array([r[0] for r in rows], float)
     if not len(y) or y.min() == y.max():
         return share if len(y) else 0.0
     texts = [t.decode(errors="ignore") for _, t in rows]
-    counts: Counter[str] = Counter()
-    for t in texts:
-        counts.update(x for x in (w.strip(_EDGE) for w in t.lower().split()) if x.isalpha() and not _TRIPLE.search(x))
-    letters = Letters(w for w, n in counts.items() for _ in range(1 + int(math.log2(n))))
+    counts = Counter(w for t in texts for w in plain(t))
+    letters = Letters(w for w, n in counts.items() for _ in range(times(n)))
     restorer = Restorer(letters)
     sizes = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    # document counts of features by class
-    seen: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    each = []
-    for t, k in zip(texts, y.astype(int)):
-        words = restorer.words(t)
-        each.append(words)
-        for f in {f for w in words for f in features(w)}:
-            seen[f][k] += 1
-    eps = SHRINK / sizes.min()
-    odd = lambda n0, n1: math.log((n1 / sizes[1] + eps) / (n0 / sizes[0] + eps))
-    odds = {f: v for f, (n0, n1) in seen.items() if n1 > 1 and (v := odd(n0, n1)) > 0.2}
-    x = np.zeros((len(texts), TOP + 1))
-    x[:, TOP] = 1
-    for i, words in enumerate(each):
-        own = (lambda f: odd(seen[f][0], seen[f][1] - 1)) if y[i] else (lambda f: odd(seen[f][0] - 1, seen[f][1]))
-        top = heapq.nlargest(TOP, (max(0.0, *(own(f) for f in features(w) if f in odds or not y[i] and seen[f][1] > 1), 0.0) for w in words))
-        x[i, : len(top)] = top
-    weight = np.where(y == 1, 0.5 / sizes[1], 0.5 / sizes[0]) * len(y)
-    w = np.zeros(TOP + 1)
-    ridge = np.full(TOP + 1, 0.5)
-    ridge[TOP] = 1e-6
-    for _ in range(40):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ ((p - y) * weight) + ridge * w
-        h = (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(h, g)
-        w -= step * min(1.0, 3 / max(1e-12, np.abs(step).max()))
-    return Model(letters, odds, w)
+    each = [(int(k), restorer.words(t)) for k, t in zip(y, texts)]
+    n0, n1 = (Counter(f for k, words in each if k == c for f in seen_in(words)) for c in (0, 1))
+    odds = Odds(n0, n1, sizes)
+    x = odds.inputs(each)
+    return Model(letters, odds.all, newton(lambda w: sums(x, y, w, sizes)))
+
+
+def _counted(rows: DataFrame, column: str, of: Callable[[str], Iterable[str] | dict[str, int]]) -> DataFrame:
+    """(key, n): how often `of` gives each key for the values of a column."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["key", "n"])
+        for batch in batches:
+            for t in C.blobs(batch[column]):
+                seen.update(of(t.decode(errors="ignore")))
+                if len(seen) >= MEMO:
+                    yield pack()
+                    seen.clear()
+        yield pack()
+
+    return rows.select(column).mapInArrow(each, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _trigrams(texts: DataFrame) -> Counter[str]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for w, n in zip(batch["key"].to_pylist(), batch["n"].to_pylist()):
+                for t in trigrams(w):
+                    seen[t] += times(n)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["key", "n"])
+
+    words = _counted(texts, "text", plain)
+    return Counter(dict(words.mapInArrow(each, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()))
+
+
+def _restored(texts: DataFrame, letters: Letters) -> DataFrame:
+    """(label, words) of (label, text), the words with a blank between them."""
+    sent = texts.sparkSession.sparkContext.broadcast(letters)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(sent.value)
+        for batch in batches:
+            words = [" ".join(restorer.words(t.decode(errors="ignore"))) for t in C.blobs(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["label"], pa.array(words, pa.string())], ["label", "words"])
+
+    return C.stored(texts.mapInArrow(each, "label int, words string"), "restored")
+
+
+def _counted_of(words: DataFrame, listed: list[str]) -> dict[str, int]:
+    """In how many rows of words each of the listed features is."""
+    sent = words.sparkSession.sparkContext.broadcast(listed)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {f: i for i, f in enumerate(sent.value)}
+        told = Told(lambda w: [place[f] for f in features(w) if f in place])
+        n = np.zeros(len(place), np.int64)
+        for batch in batches:
+            for t in C.blobs(batch["words"]):
+                n[list(set().union(*told(set(t.decode().split(" ")))))] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["place", "n"])
+
+    found = words.select("words").mapInArrow(each, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    return {listed[i]: n for i, n in found.collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
-    rows, share = sample(docs, labels, "toxic", PER_CLASS)
-    return train(rows, share)
+    """The model that train() makes of all labelled documents outside the held-out fold."""
+    found, share = every(docs, labels, "toxic")
+    texts = C.stored(found, "labelled")
+    count = dict(texts.groupBy("label").count().collect())
+    if len(count) < 2:
+        return share if count else 0.0
+    sizes = np.array([count[0], count[1]], float)
+    letters = Letters.of(_trigrams(texts))
+    words = _restored(texts, letters)
+    C.drop_stored(texts)
+    n1 = dict(_counted(words.filter("label = 1"), "words", lambda t: seen_in(t.split(" "))).filter("n > 1").collect())
+    odds = Odds(_counted_of(words.filter("label = 0"), sorted(n1)), n1, sizes)
+    sent = docs.sparkSession.sparkContext.broadcast(odds)
+
+    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch["label"].to_pylist()
+            x = sent.value.inputs((k, set(t.decode().split(" "))) for k, t in zip(y, C.blobs(batch["words"])))
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), *(pa.array(c) for c in x.T)], ["y", *(f"x{i}" for i in range(TOP + 1))])
+
+    values = C.stored(words.mapInArrow(inputs, "y int, " + ", ".join(f"x{i} double" for i in range(TOP + 1))), "inputs")
+    C.drop_stored(words)
+
+    def total(w: np.ndarray) -> np.ndarray:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((TOP + 2, TOP + 1))
+            for batch in batches:
+                y, *x = (c.to_numpy() for c in batch.columns)
+                out += sums(np.stack(x, axis=1), y, w, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
+
+        return np.sum([r["s"] for r in values.mapInArrow(each, "s array<double>").collect()], axis=0).reshape(TOP + 2, TOP + 1)
+
+    return Model(letters, odds.all, newton(total))
 
 
 def scored(docs: DataFrame, model: Model | float, column: str = "score") -> DataFrame:
     """docs with the probability of toxicity as a further column; one of this name is replaced."""
     C.bounded_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # counts of the bounded sample's words
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # character trigrams, and the odds of features of toxic texts
     docs = docs.drop(column)
     names = docs.columns
 
