@@ -143,3 +143,13 @@ def test_shingles_of_short_texts():
     offs[-1] = len(data) - len(cuts)
     h, begin = S.shingles(data[data != 0], offs)
     assert np.diff(begin).tolist() == [1, 1, 1, 1, 2] and h[0] == h[1] != h[2]
+
+
+def test_garbage_is_collected_between_rounds(spark):
+    """Else the driver's heap grows to its bound over the rounds of components."""
+    from tracelode.llm.components import components
+
+    whole = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName())
+    before = whole()
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long"))
+    assert whole() - before >= 3 and {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(1, 61)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -59,6 +60,13 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Between the rounds of a loop: collects the driver's garbage, since its heap would grow to its bound over the plans of many
+    rounds, of which little is alive."""
+    gc.collect()  # what Python still holds of the JVM's objects
+    spark._jvm.System.gc()
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

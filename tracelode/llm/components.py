@@ -36,5 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         said = tuple(nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         C.drop_stored(now)
         now = nxt
+        C.tidy(now.sparkSession)
         if said == check:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -208,3 +208,4 @@ def links(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
         if again.isEmpty():
             return linked
         history.append(components(linked))
+        C.tidy(docs.sparkSession)
