@@ -89,3 +89,21 @@ def test_planted_passages_are_found(spark):
     docs = {r.doc_id: " ".join(r.text.split()) for r in C.table(spark, d, "documents").collect()}
     planted = {(k, i) for i, x in items.items() for k, t in docs.items() if x in t}
     assert planted and {(r.doc_id, r.item_id) for r in X.query(spark, d).collect()} == planted
+
+
+def test_each_word_is_worked_out_once(monkeypatch):
+    """Both codes of a word come from one look at it, and are right when more words were seen than are remembered."""
+    import numpy as np
+
+    seen, core = [], X.core
+    monkeypatch.setattr(X, "MEMO", 50)
+    words = [w.encode() for w in "Anna walks 12km 12 km, the THE Étage ² x2 (a) ... 3.5kg of ٣ ½".split()] + [f"w{i}".encode() for i in range(60)]
+    numbers = X.Numbers()
+    assert [len(x) for x in numbers.of([])] == [0, 0]
+    for some in (words * 3, words[::-1], [b"new", *words]):
+        monkeypatch.setattr(X, "core", lambda w: seen.append(w) or core(w))
+        t, same = numbers.of(some)
+        monkeypatch.setattr(X, "core", core)
+        assert t.tolist() == [X.code(w) for w in some] and same.tolist() == [X.plain(w) for w in some] and t.dtype == np.uint64
+        assert len(seen) == len(set(some))
+        seen.clear()

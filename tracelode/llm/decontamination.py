@@ -22,6 +22,7 @@ are read.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -52,8 +53,11 @@ def core(word: bytes) -> str:
 
 
 def code(word: bytes) -> int:
-    s = core(word)
-    if any(c.isdigit() for c in s):
+    return _code(core(word))
+
+
+def _code(s: str) -> int:
+    if not s.isalpha() and any(c.isdigit() for c in s):
         tail = s.lstrip("+-.,0123456789€$£")
         return MEASURE if tail and tail.lower() in UNITS else NUMBER
     if s[:1].isupper():
@@ -64,7 +68,35 @@ def code(word: bytes) -> int:
 
 def plain(word: bytes) -> int:
     """The code of a word as it is: lower case, without outer punctuation."""
-    return xxhash.xxh64_intdigest(core(word).lower().encode(), 12)
+    return _plain(core(word))
+
+
+def _plain(s: str) -> int:
+    return xxhash.xxh64_intdigest(s.lower().encode(), 12)
+
+
+class Numbers(dict):
+    """word -> its number, the place of its two codes, code() and plain(), in two arrays; worked out once while it is remembered."""
+
+    def __init__(self) -> None:
+        self.codes, self.plains = array("Q"), array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        s = core(word)
+        self.codes.append(_code(s))
+        self.plains.append(_plain(s))
+        n = self[word] = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """code() and plain() of each word."""
+        if len(self) >= MEMO:
+            self.clear()
+            self.codes, self.plains = array("Q"), array("Q")
+        if not words:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.frombuffer(self.codes, np.uint64)[at], np.frombuffer(self.plains, np.uint64)[at]
 
 
 class Codes(dict):
@@ -82,7 +114,11 @@ class Codes(dict):
 
 def template(words: list[bytes], codes: Codes, begins: np.ndarray) -> np.ndarray:
     """The template words of consecutive texts; a unit is one only after a number of the same text."""
-    t = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
+    return with_units(np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)), begins)
+
+
+def with_units(t: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The codes t with those of units after numbers; changes t in place."""
     unit = np.flatnonzero(t >= np.uint64(FIRST_UNIT))
     if len(unit):
         first = np.isin(unit, begins)
@@ -118,7 +154,7 @@ def _found(docs: DataFrame, ids: list[str], sizes: list[int], bits=None) -> Data
     schema = ", ".join(f"{c} long" for c in ids) + ", h long, place int, size int, slotted boolean, slots array<string>"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, plains = Codes(code), Codes(plain)
+        numbers = Numbers()
         on = bits.value if bits is not None else None
         for batch in batches:
             texts = C.blobs(batch["text"])
@@ -129,7 +165,8 @@ def _found(docs: DataFrame, ids: list[str], sizes: list[int], bits=None) -> Data
                 words = list(chain.from_iterable(split))
                 at = np.concatenate([[0], np.cumsum([len(x) for x in split])])
                 own = np.minimum(np.diff(at), WINDOW)
-                t, same = template(words, codes, at), np.fromiter(map(plains.__getitem__, words), np.uint64, len(words))
+                t, same = numbers.of(words)
+                t = with_units(t, at)
                 lines = [line_starts(x) for x in texts[i:j]] if on is not None and min(sizes, default=LEAST) < LEAST else None
                 rows: list[list] = [[] for _ in range(5 + len(ids))]
                 for size in sizes:
