@@ -153,3 +153,83 @@ def test_garbage_is_collected_between_rounds(spark):
     before = whole()
     got = components(spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long"))
     assert whole() - before >= 3 and {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(1, 61)}
+
+
+def test_counts_and_forests_of_sets(monkeypatch):
+    monkeypatch.setattr(S, "COLUMNS", 7)
+    rng = np.random.default_rng(11)
+    sets_of = [np.unique(rng.choice(60, rng.integers(1, 50))).astype(np.uint64) for _ in range(40)]
+    shared = np.array([[len(set(x.tolist()) & set(y.tolist())) for y in sets_of] for x in sets_of])
+    got, size = S.shared_counts(sets_of), np.array([len(x) for x in sets_of])
+    apart = ~np.eye(len(sets_of), dtype=bool)
+    assert (got[apart] == shared[apart]).all()
+    close = np.triu(shared >= 0.4 * (size[:, None] + size[None, :] - shared), 1)
+
+    def groups(pairs):
+        root = np.arange(len(sets_of))
+        for a, b in pairs:
+            root[root == root[b]] = root[a]
+        return root[:, None] == root[None, :]
+
+    p, q = np.nonzero(np.triu(np.ones_like(shared), 1))
+    for some in (slice(None), slice(0, 25)):  # many are counted at once, few one by one
+        found = S.links_of(sets_of, p[some], q[some], 0.4)
+        want = [(a, b) for a, b in zip(p[some], q[some]) if close[a, b]]
+        assert set(found) <= set(want) and (groups(found) == groups(want)).all()
+
+
+@pytest.mark.parametrize("set_bytes", [1 << 14, 16 << 20])
+def test_a_dense_group_makes_rows_by_its_texts(spark, monkeypatch, set_bytes):
+    """Not by its pairs, though most of them are candidates and no links; and in a fixed number of tables."""
+    monkeypatch.setattr(S, "SET_BYTES", set_bytes)
+    rng, n = random.Random(9), 400
+    words = [[f"{x}{k}" for x in "ab"] for k in range(400)]
+    texts = []
+    for _ in range(n):  # each differs from the plain text at 7 places of its own: two share some 0.7 of their shingles
+        x = [a for a, _ in words]
+        for p in rng.sample(range(400), 7):
+            x[p] = words[p][1]
+        texts.append(" ".join(x))
+    texts += [t + " end" for t in texts[:50]]
+    near = np.array([[jaccard(a, b) for b in texts[:60]] for a in texts[:60]])[np.triu_indices(60, 1)]
+    assert ((near > 0.65) & (near < 0.8)).mean() > 0.7
+    docs = spark.createDataFrame(list(enumerate(texts)), T).select("doc_id", F.xxhash64("text").alias("row"), "text")
+    number = {r.row: r.doc_id for r in docs.select("row", "doc_id").collect()}
+    tables, stored = [], S.C.stored
+    monkeypatch.setattr(S.C, "stored", lambda df, name: tables.append((name, (out := stored(df, name)).count())) or out)
+    found = {tuple(sorted((number[r.u], number[r.v]))) for r in S.links(docs.drop("doc_id")).collect()}
+    monkeypatch.undo()
+    # at most FORESTS pairs a text in each of 16 lists, handed on and verified; all pairs would be 224 a text
+    assert len(tables) <= 7 and sum(k for _, k in tables) < (2 * S.FORESTS * 16 + 4) * len(texts), tables
+    assert {(i, n + i) for i in range(50)} <= found and all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in found)
+
+
+def test_components_without_rounds(spark, monkeypatch):
+    """Links that tasks join up by themselves need no round, of which each costs the driver two plans of many exchanges."""
+    from tracelode.llm import components as K
+
+    def none(edges):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(K, "_round", none)
+    got = K.components(spark.createDataFrame([(i, i + 1) for i in range(300)] + [(5, 5), (None, 7), (1000, 999), (999, 1000)], "u long, v long"))
+    assert sorted(map(tuple, got.collect())) == [(i, 0) for i in range(1, 301)] + [(1000, 999)]
+
+
+def test_components_over_several_tasks(spark, monkeypatch):
+    from tracelode.llm import components as K
+
+    rounds, plain = [], K._round
+    monkeypatch.setattr(K, "_round", lambda edges: rounds.append(1) or plain(edges))
+    rng = random.Random(4)
+    pairs = [(rng.randrange(-300, 300) * 10**15, rng.randrange(-300, 300) * 10**15) for _ in range(330)]
+    root = {k: k for p in pairs for k in p}
+    for a, b in pairs:
+        a, b = sorted((root[a], root[b]))
+        root = {k: a if r == b else r for k, r in root.items()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = K.components(spark.createDataFrame(pairs, "u long, v long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert rounds and sorted(map(tuple, got)) == sorted((k, r) for k, r in root.items() if k != r)

@@ -154,6 +154,8 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, similar_
     least hash; of equal rows: one)."""
     near = near_duplicates(docs, size, bits, similar_too)
     stay = near.filter("doc_id <=> component_id").groupBy("root").agg(F.first("doc_id").alias("_id"), F.min("row").alias("_row")).select("_id", "_row")
+    stay = C.stored(stay, "stay")  # in a query of its own, since the driver's memory goes by the size of a plan
+    C.tidy(docs.sparkSession)
     names = docs.columns
     kept = docs.withColumn("_own", F.xxhash64("text")).alias("d").join(stay.alias("s"), F.expr("d._own = s._row and cast(d.doc_id as long) <=> s._id"), "left_semi")
     first = F.row_number().over(Window.partitionBy("_own", "doc_id").orderBy(F.lit(1)))
