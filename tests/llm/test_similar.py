@@ -199,8 +199,8 @@ def test_a_dense_group_makes_rows_by_its_texts(spark, monkeypatch, set_bytes):
     monkeypatch.setattr(S.C, "stored", lambda df, name: tables.append((name, (out := stored(df, name)).count())) or out)
     found = {tuple(sorted((number[r.u], number[r.v]))) for r in S.links(docs.drop("doc_id")).collect()}
     monkeypatch.undo()
-    # at most FORESTS pairs a text in each of 16 lists, handed on and verified; all pairs would be 224 a text
-    assert len(tables) <= 7 and sum(k for _, k in tables) < (2 * S.FORESTS * 16 + 4) * len(texts), tables
+    # at most a pair a text in each of 16 lists, handed on and verified; all pairs would be 224 a text
+    assert len(tables) <= 7 and sum(k for _, k in tables) < (2 * 16 + 4) * len(texts), tables
     assert {(i, n + i) for i in range(50)} <= found and all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in found)
 
 

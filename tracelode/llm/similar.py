@@ -6,10 +6,10 @@ matches guarantees). The inverted index keeps posting lists of four positional b
 bytes, and those with MATCHES or more are candidates. Every link is verified exactly: the shingle sets of its texts are joined to
 the pairs and compared.
 
-Each pair is a matter of one list, that of the first four bytes that it shares. First each list gives FORESTS spanning forests that
-share no pair, the largest tallies first, whose links are verified. Where one of them fails and candidates of the list were held
+Each pair is a matter of one list, that of the first four bytes that it shares. First each list gives a spanning forest of its
+candidates, the largest tallies first, whose pairs are verified. Where one of them fails and candidates of the list were held
 back, the list is settled in one step: its texts' shingle sets are brought to it, all its candidates are compared there, and it
-gives a spanning forest of its links. So no row is made for a pair that is no link, but for those forests, and a dense group costs
+gives a spanning forest of its links. So no row is made for a pair that is no link, but for that forest, and a dense group costs
 rows in proportion to its texts, while each candidate is either verified or joined by verified links.
 Lists are dealt into blocks of about BLOCK texts (and SET_BYTES of sets), as those of simhash.py.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tracelode.llm import common as C
 
 SHINGLE, SIMILARITY = 5, 0.8
-POSITIONS, QUAD, BLOCK, FORESTS = 64, 4, 1024, 4
+POSITIONS, QUAD, BLOCK = 64, 4, 1024
 #: A pair at SIMILARITY shares 51 bytes on average, less than MATCHES once in some 100,000 times.
 MATCHES = 38
 #: Bytes of shingle sets in a block; columns of one matrix product.
@@ -92,19 +92,16 @@ def _find(root: list[int], i: int) -> int:
     return i
 
 
-def forests(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
-    """Which of these pairs, in their order, make up FORESTS spanning forests without a common pair."""
-    roots, left, out = [list(range(n)) for _ in range(FORESTS)], FORESTS * (n - 1), []
+def forest(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """Which of these pairs, in their order, make up a spanning forest."""
+    root, out = list(range(n)), []
     for k, (a, b) in enumerate(zip(p.tolist(), q.tolist())):
-        for root in roots:
-            u, v = _find(root, a), _find(root, b)
-            if u != v:
-                root[u] = v
-                out.append(k)
-                left -= 1
+        u, v = _find(root, a), _find(root, b)
+        if u != v:
+            root[u] = v
+            out.append(k)
+            if len(out) == n - 1:
                 break
-        if not left:
-            break
     return np.array(out, np.int64)
 
 
@@ -183,7 +180,7 @@ def _given(sigs: DataFrame) -> DataFrame:
             u, v, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for posting, rows, sig, block in zip(*(batch[c].to_pylist() for c in ("posting", "row", "sig", "b"))):
                 p, q = pairs_of(np.frombuffer(b"".join(sig), np.uint8).reshape(-1, POSITIONS), posting, np.array(block))
-                given = forests(p, q, len(rows))
+                given = forest(p, q, len(rows))
                 a, b = np.array(rows, np.int64)[p[given]], np.array(rows, np.int64)[q[given]]
                 u.append(np.minimum(a, b))
                 v.append(np.maximum(a, b))
@@ -257,7 +254,7 @@ def links(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY)
     sets = _sets(docs, given.select(F.explode(F.array("u", "v")).alias("row")).distinct(), size)
     checked = _verified(sets, given.select("u", "v"), similarity)
     linked = checked.filter("ok").select("u", "v")
-    # whatever forests hold back is joined by them, unless a pair of them has failed
+    # whatever a forest holds back is joined by it, unless a pair of it has failed
     again = C.stored(given.filter("posting is not null").join(checked.filter("not ok"), ["u", "v"], "left_semi").select("posting").distinct(), "again")
     C.tidy(docs.sparkSession)
     linked = linked.unionByName(C.stored(_settled(sigs, sets, again, similarity), "settled"))
