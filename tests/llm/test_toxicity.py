@@ -144,3 +144,68 @@ def test_every_labelled_document_teaches(spark):
     assert got.odds.keys() == want.odds.keys() and all(abs(got.odds[f] - want.odds[f]) < 1e-12 for f in want.odds)
     assert got.letters.tri == want.letters.tri and got.letters.bi == want.letters.bi and got.letters.after1 == want.letters.after1
     assert np.abs(got.weights - want.weights).max() < 1e-6
+
+
+def test_largest_against_all_words(model):
+    """The values of all distinct words, sorted; in any order of texts, and with bounds that are forgotten in between."""
+    rng = np.random.default_rng(5)
+    letters = list("abeott")
+    words = sorted({"".join(rng.choice(letters, rng.integers(1, 11))) for _ in range(3000)} | {"=ab", "abeo*", "aab$$", "b0tt0$$$", "a.b.e"})
+    every = sorted({f for w in words for f in X.features(w)})
+    odds = {f: float(v) for f, v in zip(every, rng.normal(0, 1, len(every)).round(1)) if v > 0.2}
+    for restorer in (None, X.Restorer(X.Letters(words))):
+        largest = X.Largest(odds, restorer)
+        for k in range(300):
+            some = {w + end for w in rng.choice(words, rng.integers(0, 40)).tolist() for end in ("", ".", "$$$")[: rng.integers(1, 4)]}
+            said = {w for t in some for w in (restorer.word(t) if restorer else (t,))} | set(words[k : k + 2])
+            want = sorted((v for w in said if (v := max([0.0] + [odds.get(f, 0.0) for f in X.features(w)])) > 0), reverse=True)[: X.TOP]
+            assert largest(some, words[k : k + 2]) == want
+            if k % 100 == 99:
+                largest.bound.clear()
+                largest.known.clear()
+
+
+def test_few_words_are_worked_out(model, monkeypatch):
+    """Of words of which no feature can be among the largest, nothing is looked up; an end that many words share is decoded once."""
+    calls = {"best": 0, "column": 0}
+    best = X.best
+    monkeypatch.setattr(X, "best", lambda *a: calls.update(best=calls["best"] + 1) or best(*a))
+    for name in ("lattice", "choose"):
+        if hasattr(X, name):
+            monkeypatch.setattr(X, name, lambda *a, of=getattr(X, name): calls.update(column=calls["column"] + 1) or of(*a))
+    m = X.Model(model.letters, {"blockhead": 4.0, "rotter": 3.0, "stinker": 3.0, "rotten": 3.0, "ther*": 0.3}, model.weights)
+    m.start()
+    words = [a + b + c for a in ("th", "on", "an", "re") for b in FINE for c in FINE if not any(x == y for x, y in zip(a + b + c, (a + b + c)[1:]))]
+    m.score(" ".join(words))
+    assert calls["best"] < len(words) / 10 and not calls["column"]
+    ends = [w + "$$$" for w in words if w[-2:] == "en"]
+    assert len(ends) > 50
+    m.score(" ".join(ends))
+    assert calls["column"] == 1
+    m.start()
+    before = dict(calls)
+    m.score(" ".join(ends))
+    assert calls == before
+
+
+def test_remembered_ends_change_nothing(model):
+    rng = np.random.default_rng(6)
+    for _ in range(2000):
+        written = "".join(rng.choice(list("abbott0$*-. "), rng.integers(1, 12)).tolist())
+        got = X.restore(written, model.letters)
+        model.letters.tails.clear()
+        assert X.restore(written, model.letters) == got
+
+
+def test_spaced_words_are_all_found():
+    rng = np.random.default_rng(7)
+    for _ in range(20000):
+        low = "".join(rng.choice(list("ab  .-_\n\t1"), rng.integers(0, 14)).tolist())
+        assert not X._SINGLE.search(low) or X._SPACED.search(low)
+
+
+def test_listed_features():
+    words = sorted({a + b + c for a in FINE[:9] for b in FINE for c in ("", "s")} | set(FINE) | {"letter", "leter", "lletterr", "=abcdef", "abcdef*", ""})
+    place = {f: i for i, f in enumerate(sorted({f for w in words[::3] for f in X.features(w)}))}
+    for w in words:
+        assert sorted(X.listed_of(w, place)) == sorted(place[f] for f in X.features(w) if f in place)

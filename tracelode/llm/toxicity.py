@@ -22,11 +22,11 @@ none); an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +46,21 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 KEPT, READ, DROPPED, LETTER_DROPPED, REPEAT, GAP, END = 6.0, 1.0, 4.0, 12.0, 1.5, 0.5, 1.0
 #: Distinct words whose restorations, scores or counts one worker keeps.
 MEMO = 300_000
+#: Distinct words of which one worker keeps the bound of their values.
+BOUNDS = 1_000_000
+#: Ends of words up to so many characters whose decoding is remembered, and letters by which the bounds of odds are kept.
+TAIL, HEAD = 8, 5
 
 AGAIN, START, STOP = "\0", "\1\1", "\2"
 _EDGE = ".,;:?!\"'()[]{}<>*$%&#|=-_+~^/\\`´«»¿¡…"
 _SOFT = ".,;:?\"'()[]{}<>«»¿¡…"
+_AFTER = _SOFT + "!"
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _MIXED = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]")
 _SINGLE = re.compile(r"(?<!\S)[^\s.\-_](?:[ .\-_]{1,2}[^\s.\-_]){2,}(?!\S)")
+#: Any match of _SINGLE has its second and third character like this; most texts have none, and this finds that out faster.
+_SPACED = re.compile(r"[ .\-_][^\s.\-_][ .\-_]{1,2}[^\s.\-_](?![^\s.\-_])")
 _DOUBLE = re.compile(r"(.)\1+")
 
 
@@ -83,6 +90,7 @@ class Letters:
             self.after1[k[1]] += n
         self.total = sum(self.one.values())
         self.known: dict[str, float] = {}
+        self.tails: dict[tuple[str, str], str] = {}
 
     def cost(self, before: str, c: str) -> float:
         k = before + c
@@ -96,29 +104,33 @@ class Letters:
         return x
 
 
+@lru_cache(4096)
+def column(c: str) -> list[tuple[str, float]]:
+    if c.isalpha():
+        return [(c, 0.0), (AGAIN, REPEAT)]
+    if c in " .-_":
+        return [("", GAP), (" ", END)]
+    return [(c, KEPT), ("", LETTER_DROPPED if c in LEET and c not in "*#&%" else DROPPED), *((x, READ) for x in LEET.get(c, ""))]
+
+
 def lattice(written: str) -> list[list[tuple[str, float]]]:
     """For each character what it may be ('' is dropped, ' ' a word's end) and at which cost; AGAIN: the letter before, dropped."""
-    out = []
-    for c in written:
-        if c.isalpha():
-            out.append([(c, 0.0), (AGAIN, REPEAT)])
-        elif c in " .-_":
-            out.append([("", GAP), (" ", END)])
-        else:
-            out.append([(c, KEPT), ("", LETTER_DROPPED if c in LEET and c not in "*#&%" else DROPPED), *((x, READ) for x in LEET.get(c, ""))])
-    return out
+    return [column(c) for c in written]
 
 
-def restore(written: str, letters: Letters) -> str:
-    """The cheapest path through the lattice under the character model; words are separated by blanks."""
-    states: dict[str, tuple[float, tuple]] = {START: (0.0, ())}
+def choose(before: str, written: str, at: int, letters: Letters) -> tuple[str, str, int]:
+    """The cheapest path from one state and place to where all paths meet in one state again, or to the end: its letters, that
+    state, the place."""
+    states: dict[str, tuple[float, tuple]] = {before: (0.0, ())}
     known = letters.known
-    for column in lattice(written):
+    while at < len(written):
+        options = column(written[at])
+        at += 1
         nxt: dict[str, tuple[float, tuple]] = {}
         for before, (cost, path) in states.items():
-            for c, extra in column:
+            for c, extra in options:
                 if c == AGAIN:
-                    if before[1] != column[0][0]:
+                    if before[1] != options[0][0]:
                         continue
                     k, total, way = before, cost + extra, path
                 elif c == "":
@@ -133,12 +145,46 @@ def restore(written: str, letters: Letters) -> str:
                 if k not in nxt or total < nxt[k][0]:
                     nxt[k] = total, way
         states = nxt
-    _, path = min(((cost + letters.cost(before, STOP) if before != START else cost, path) for before, (cost, path) in states.items()), key=lambda x: x[0])
+        if len(states) == 1:
+            break
+    _, before, path = min(((cost + letters.cost(before, STOP) if before != START else cost, before, path) for before, (cost, path) in states.items()), key=lambda x: x[0])
     out = []
     while path:
         path, c = path
         out.append(c)
-    return "".join(reversed(out))
+    return "".join(reversed(out)), before, at
+
+
+def restore(written: str, letters: Letters) -> str:
+    """The cheapest path through the lattice under the character model; words are separated by blanks. While there is one state,
+    what follows depends on it alone: letters other than the one before leave no choice, and short ends are remembered."""
+    out, before, at, end = [], START, 0, len(written)
+    while at < end:
+        first, last = at, before[1]
+        while at < end and (c := written[at]) != last and c.isalpha():
+            at, last = at + 1, c
+        if at > first:
+            out.append(written[first:at])
+            before = (before + written[max(first, at - 2) : at])[-2:]
+        if at == end:
+            break
+        tail = (before, written[at:]) if end - at <= TAIL else None
+        part = letters.tails.get(tail)
+        if part is not None:
+            out.append(part)
+            break
+        part, before, at = choose(before, written, at, letters)
+        out.append(part)
+        if tail and at == end:
+            if len(letters.tails) >= MEMO:
+                letters.tails.clear()
+            letters.tails[tail] = part
+    return "".join(out)
+
+
+def spaced(low: str, letters: Letters) -> list[str]:
+    """The words of runs of single characters with separators."""
+    return [w for m in _SINGLE.finditer(low) for w in restore(m[0], letters).split()] if _SPACED.search(low) else []
 
 
 def disguised(word: str) -> bool:
@@ -165,9 +211,10 @@ class Restorer:
     def __init__(self, letters: Letters) -> None:
         self.letters = letters
         self.memo: dict[str, tuple[str, ...]] = {}
+        self.same: set[str] = set()
 
     def word(self, token: str) -> tuple[str, ...]:
-        whole = token.rstrip(_SOFT + "!")
+        whole = token.rstrip(_AFTER)
         if whole.isalpha() and not _TRIPLE.search(whole):
             return (whole,)
         bare = undecorated(whole).strip(_SOFT)
@@ -188,17 +235,22 @@ class Restorer:
 
     def words(self, text: str) -> set[str]:
         low = text.lower()
-        out: set[str] = set()
-        memo = self.memo
-        for t in set(low.split()):
+        tokens, memo, same = set(low.split()), self.memo, self.same
+        other = tokens.difference(same)
+        out = tokens.difference(other)
+        for t in other:
             got = memo.get(t)
             if got is None:
-                if len(memo) >= MEMO:
+                if len(memo) + len(same) >= MEMO:
                     memo.clear()
-                got = memo[t] = self.word(t)
+                    same.clear()
+                got = self.word(t)
+                if got == (t,):
+                    same.add(t)
+                else:
+                    memo[t] = got
             out.update(got)
-        for m in _SINGLE.finditer(low):
-            out.update(restore(m[0], self.letters).split())
+        out.update(spaced(low, self.letters))
         return out
 
 
@@ -223,6 +275,17 @@ def best(odds: dict[str, float], word: str) -> float:
     return out
 
 
+def listed_of(word: str, place: dict[str, int]) -> list[int]:
+    """The places of its features that are listed; where first letters aren't, more of them aren't either, since they are rarer."""
+    get, n = place.get, len(word)
+    out = [get(word), get("=" + _DOUBLE.sub(r"\1", word))]
+    for k in (4, 5, 6, 7):
+        if n <= k or (p := get(word[:k] + "*")) is None and word[0] != "=":
+            break
+        out.append(p)
+    return [p for p in out if p is not None]
+
+
 class Told:
     """What a function says of each of some words, while it is remembered; words of which it says nothing are left out at once."""
 
@@ -246,25 +309,91 @@ class Told:
         return out
 
 
+class Largest:
+    """The TOP largest values of the distinct words of a text, largest first. A token whose words' values aren't known is worked out
+    only if the bound for its first letters is above the least of those found so far."""
+
+    def __init__(self, odds: dict[str, float], restorer: Restorer | None = None) -> None:
+        self.odds, self.restorer = odds, restorer
+        self.above: dict[str, float] = {}
+        for f, v in odds.items():
+            # a feature may be a word, "=" and a word, or first letters and "*", whatever its characters
+            for head in {f[:HEAD], *((f[1 : HEAD + 1],) if f[:1] == "=" else ()), *((f[:-1][:HEAD],) if f[-1:] == "*" else ())}:
+                if v > self.above.get(head, 0.0):
+                    self.above[head] = v
+        self.bound: dict[str, float] = {}
+        self.known: dict[str, list[tuple[str, float]]] = {}
+
+    def limit(self, token: str) -> float:
+        """No value of the token's words is above it."""
+        word = token
+        if self.restorer:
+            word = token.rstrip(_AFTER)
+            if not word.isalpha():
+                return math.inf
+        single = _DOUBLE.sub(r"\1", word)
+        if self.restorer and len(single) + 1 < len(word) and _TRIPLE.search(word):
+            return math.inf
+        get = self.above.get
+        out = max(get(word[:HEAD], 0.0), get(word[:4], 0.0))
+        return out if len(single) == len(word) else max(out, get(single[:HEAD], 0.0))
+
+    def work_out(self, token: str) -> list[tuple[str, float]]:
+        words = self.restorer.word(token) if self.restorer else (token,)
+        got = [(w, v) for w in words if (v := best(self.odds, w)) > 0]
+        self.bound[token] = max((v for _, v in got), default=0.0)
+        if got:
+            self.known[token] = got
+        return got
+
+    def __call__(self, tokens: set[str], words: Iterable[str] = ()) -> list[float]:
+        """Of the words of tokens, and of words that are restored already."""
+        found: dict[str, float] = {}
+        least = 0.0
+
+        def add(more: Iterable[tuple[str, float]]) -> float:
+            for w, v in more:
+                if v > least or len(found) < TOP:
+                    found[w] = v
+            while len(found) > TOP:
+                del found[min(found, key=found.__getitem__)]
+            return min(found.values()) if len(found) == TOP else 0.0
+
+        bound, known, new = self.bound, self.known, []
+        for t, most in zip(tokens, map(bound.get, tokens)):
+            if most is None:
+                new.append(t)
+            elif most > least:
+                got = known.get(t)
+                least = add(self.work_out(t) if got is None else got)
+        if len(bound) + len(new) > BOUNDS:
+            bound.clear()
+            known.clear()
+        for t in new:
+            most = self.limit(t)
+            if most > least:
+                least = add(self.work_out(t))
+            else:
+                bound[t] = most
+        for w in words:
+            if (v := best(self.odds, w)) > least:
+                least = add([(w, v)])
+        return sorted(found.values(), reverse=True)
+
+
 class Model:
     def __init__(self, letters: Letters, odds: dict[str, float], weights: np.ndarray) -> None:
         self.letters, self.odds, self.weights = letters, odds, weights
 
     def start(self) -> None:
-        self.restorer = Restorer(self.letters)
-        self.told = Told(lambda token: self.values(self.restorer.word(token)))
-
-    def values(self, words: Iterable[str]) -> dict[str, float]:
-        return {w: v for w in words if (v := best(self.odds, w)) > 0}
+        """Once per worker: what it remembers serves all tasks of the worker."""
+        if not hasattr(self, "largest"):
+            self.restorer = Restorer(self.letters)
+            self.largest = Largest(self.odds, self.restorer)
 
     def score(self, text: str) -> float:
         low = text.lower()
-        found: dict[str, float] = {}
-        for got in self.told(set(low.split())):
-            found.update(got)
-        for m in _SINGLE.finditer(low):
-            found.update(self.values(restore(m[0], self.letters).split()))
-        top = heapq.nlargest(TOP, found.values())
+        top = self.largest(set(low.split()), spaced(low, self.letters))
         z = self.weights[-1] + sum(a * b for a, b in zip(self.weights, top))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
@@ -272,9 +401,10 @@ class Model:
 # Training: what it counts, for rows on the driver (train) and for tables (fit) alike
 
 
-def plain(text: str) -> list[str]:
-    """The words of a text that teach the character model."""
-    return [x for x in (w.strip(_EDGE) for w in text.lower().split()) if x.isalpha() and not _TRIPLE.search(x)]
+def plain(token: str) -> str:
+    """What of a token of a lower-cased text teaches the character model."""
+    x = token.strip(_EDGE)
+    return x if x.isalpha() and not _TRIPLE.search(x) else ""
 
 
 def times(n: int) -> int:
@@ -300,10 +430,10 @@ class Odds:
 
     def inputs(self, rows: Iterable[tuple[int, set[str]]]) -> np.ndarray:
         """The regression's inputs of (label, words): the TOP largest values and 1."""
-        told = [Told(lambda w, o=o: best(o, w)) for o in self.without]
+        largest = [Largest(o) for o in self.without]
         out = []
         for y, words in rows:
-            top = heapq.nlargest(TOP, told[y](words))
+            top = largest[y](words)
             out.append(top + [0.0] * (TOP - len(top)) + [1.0])
         return np.array(out).reshape(-1, TOP + 1)
 
@@ -335,7 +465,7 @@ def train(rows: list[tuple[int, bytes]], share: float) -> Model | float:
     if not len(y) or y.min() == y.max():
         return share if len(y) else 0.0
     texts = [t.decode(errors="ignore") for _, t in rows]
-    counts = Counter(w for t in texts for w in plain(t))
+    counts = Counter(x for t in texts for w in t.lower().split() if (x := plain(w)))
     letters = Letters(w for w, n in counts.items() for _ in range(times(n)))
     restorer = Restorer(letters)
     sizes = np.array([(y == 0).sum(), (y == 1).sum()], float)
@@ -346,12 +476,21 @@ def train(rows: list[tuple[int, bytes]], share: float) -> Model | float:
     return Model(letters, odds.all, newton(lambda w: sums(x, y, w, sizes)))
 
 
-def _counted(rows: DataFrame, column: str, of: Callable[[str], Iterable[str] | dict[str, int]]) -> DataFrame:
-    """(key, n): how often `of` gives each key for the values of a column."""
+def _counted(rows: DataFrame, column: str, of: Callable[[str], Iterable[str]], key: Callable[[str], str] | None = None) -> DataFrame:
+    """(key, n): how often `of` gives each key for the values of a column; with key(): how often what key() makes of it, if not empty."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["key", "n"])
+
+        def pack() -> pa.RecordBatch:
+            found = seen
+            if key:
+                found = Counter()
+                for x, n in seen.items():
+                    if k := key(x):
+                        found[k] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["key", "n"])
+
         for batch in batches:
             for t in C.blobs(batch[column]):
                 seen.update(of(t.decode(errors="ignore")))
@@ -372,7 +511,7 @@ def _trigrams(texts: DataFrame) -> Counter[str]:
                     seen[t] += times(n)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["key", "n"])
 
-    words = _counted(texts, "text", plain)
+    words = _counted(texts, "text", lambda t: t.lower().split(), plain)
     return Counter(dict(words.mapInArrow(each, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()))
 
 
@@ -395,7 +534,7 @@ def _counted_of(words: DataFrame, listed: list[str]) -> dict[str, int]:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {f: i for i, f in enumerate(sent.value)}
-        told = Told(lambda w: [place[f] for f in features(w) if f in place])
+        told = Told(lambda w: listed_of(w, place))
         n = np.zeros(len(place), np.int64)
         for batch in batches:
             for t in C.blobs(batch["words"]):
