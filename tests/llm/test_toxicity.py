@@ -204,8 +204,19 @@ def test_spaced_words_are_all_found():
         assert not X._SINGLE.search(low) or X._SPACED.search(low)
 
 
-def test_listed_features():
-    words = sorted({a + b + c for a in FINE[:9] for b in FINE for c in ("", "s")} | set(FINE) | {"letter", "leter", "lletterr", "=abcdef", "abcdef*", ""})
-    place = {f: i for i, f in enumerate(sorted({f for w in words[::3] for f in X.features(w)}))}
-    for w in words:
-        assert sorted(X.listed_of(w, place)) == sorted(place[f] for f in X.features(w) if f in place)
+def test_listed_features(monkeypatch):
+    """Counts of the listed features against loops over the features of each text's words, also where rows are forgotten in between."""
+    rng = np.random.default_rng(8)
+    odd = ["letter", "leter", "lletterr", "=abcdef", "abcdef*", "=abcd*", "abcdefgh", ""]
+    words = sorted({a + b + c for a in FINE[:9] for b in FINE for c in ("", "s")} | set(FINE) | set(odd))
+    listed = sorted({f for w in [*words[::3], *odd] for f in X.features(w)})
+    texts = [" ".join(dict.fromkeys([*rng.choice(words, 20).tolist(), *rng.choice(odd, k % 3).tolist()])) for k in range(200)] + ["", " ".join(words * 20)]
+    for most in (1_000_000, 50):
+        monkeypatch.setattr(X, "REMEMBERED", most)
+        counts = X.Listed(listed)
+        for some in (texts[:80], texts[80:]):
+            counts.start()
+            for t in some:
+                counts.add(t)
+            told = [X.seen_in(t.split(" ")) for t in some]
+            assert dict(zip(listed, counts.n[1:].tolist())) == {f: sum(f in fs for fs in told) for f in listed}

@@ -44,10 +44,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: Channel costs in nats: a digit or symbol kept, read as a letter, dropped (if it may be a letter: less likely); a repeated letter
 #: dropped; a separator dropped, kept.
 KEPT, READ, DROPPED, LETTER_DROPPED, REPEAT, GAP, END = 6.0, 1.0, 4.0, 12.0, 1.5, 0.5, 1.0
-#: Distinct words whose restorations, scores or counts one worker keeps.
-MEMO = 300_000
-#: Distinct words of which one worker keeps the bound of their values.
-BOUNDS = 1_000_000
+#: Distinct words whose counts one task keeps, and of which one worker remembers what little it needs to.
+MEMO, REMEMBERED = 300_000, 1_000_000
 #: Ends of words up to so many characters whose decoding is remembered, and letters by which the bounds of odds are kept.
 TAIL, HEAD = 8, 5
 
@@ -241,7 +239,7 @@ class Restorer:
         for t in other:
             got = memo.get(t)
             if got is None:
-                if len(memo) + len(same) >= MEMO:
+                if len(memo) + len(same) >= REMEMBERED:
                     memo.clear()
                     same.clear()
                 got = self.word(t)
@@ -275,46 +273,47 @@ def best(odds: dict[str, float], word: str) -> float:
     return out
 
 
-def listed_of(word: str, place: dict[str, int]) -> list[int]:
-    """The places of its features that are listed; where first letters aren't, more of them aren't either, since they are rarer."""
-    get, n = place.get, len(word)
-    out = [get(word), get("=" + _DOUBLE.sub(r"\1", word))]
-    for k in (4, 5, 6, 7):
-        if n <= k or (p := get(word[:k] + "*")) is None and word[0] != "=":
-            break
-        out.append(p)
-    return [p for p in out if p is not None]
-
-
-class Told:
-    """What a function says of each of some words, while it is remembered; words of which it says nothing are left out at once."""
+class Listed:
+    """Counts in how many texts each of some features is. Of each word it remembers a row of the places of its features."""
 
-    def __init__(self, of: Callable) -> None:
-        self.of, self.known, self.nothing = of, {}, set()
+    def __init__(self, listed: list[str]) -> None:
+        self.listed = listed
 
-    def __call__(self, words: set[str]) -> list:
-        out, known = [], self.known
-        for w in words.difference(self.nothing):
-            got = known.get(w)
-            if got is None:
-                if len(known) + len(self.nothing) >= MEMO:
-                    known.clear()
-                    self.nothing.clear()
-                got = self.of(w)
-                if not got:
-                    self.nothing.add(w)
-                    continue
-                known[w] = got
-            out.append(got)
-        return out
+    def start(self) -> None:
+        """For each task; the rows serve all tasks of the worker."""
+        if not hasattr(self, "place"):
+            self.place = {f: i for i, f in enumerate(self.listed, 1)}
+            self.row: dict[str, int] = {}
+            self.rows = np.zeros((4096, 6), np.int32)
+        self.n = np.zeros(len(self.listed) + 1, np.int64)  # the first: of features that aren't listed
+
+    def places(self, word: str) -> list[int]:
+        out = [self.place.get(f, 0) for f in features(word)]
+        return out + [0] * (6 - len(out))
+
+    def add(self, text: str) -> None:
+        """text: the words with a blank between them."""
+        words, row = text.split(" "), self.row
+        if len(row) + len(words) > REMEMBERED:
+            row.clear()
+        at = list(map(row.get, words))
+        if None in at:
+            new = list({w for w, r in zip(words, at) if r is None})
+            end = len(row) + len(new)
+            while end > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[len(row) : end] = [self.places(w) for w in new]
+            row.update(zip(new, range(len(row), end)))
+            at = list(map(row.get, words))
+        self.n[self.rows[at].ravel()] += 1  # once for each place, however often it is there
 
 
 class Largest:
     """The TOP largest values of the distinct words of a text, largest first. A token whose words' values aren't known is worked out
     only if the bound for its first letters is above the least of those found so far."""
 
-    def __init__(self, odds: dict[str, float], restorer: Restorer | None = None) -> None:
-        self.odds, self.restorer = odds, restorer
+    def __init__(self, odds: dict[str, float], restorer: Restorer | None = None, most: int = REMEMBERED) -> None:
+        self.odds, self.restorer, self.most = odds, restorer, most
         self.above: dict[str, float] = {}
         for f, v in odds.items():
             # a feature may be a word, "=" and a word, or first letters and "*", whatever its characters
@@ -366,7 +365,7 @@ class Largest:
             elif most > least:
                 got = known.get(t)
                 least = add(self.work_out(t) if got is None else got)
-        if len(bound) + len(new) > BOUNDS:
+        if len(bound) + len(new) > self.most:
             bound.clear()
             known.clear()
         for t in new:
@@ -430,10 +429,11 @@ class Odds:
 
     def inputs(self, rows: Iterable[tuple[int, set[str]]]) -> np.ndarray:
         """The regression's inputs of (label, words): the TOP largest values and 1."""
-        largest = [Largest(o) for o in self.without]
+        if not hasattr(self, "largest"):  # once per worker
+            self.largest = [Largest(o, most=REMEMBERED // 2) for o in self.without]
         out = []
         for y, words in rows:
-            top = largest[y](words)
+            top = self.largest[y](words)
             out.append(top + [0.0] * (TOP - len(top)) + [1.0])
         return np.array(out).reshape(-1, TOP + 1)
 
@@ -517,10 +517,10 @@ def _trigrams(texts: DataFrame) -> Counter[str]:
 
 def _restored(texts: DataFrame, letters: Letters) -> DataFrame:
     """(label, words) of (label, text), the words with a blank between them."""
-    sent = texts.sparkSession.sparkContext.broadcast(letters)
+    sent = texts.sparkSession.sparkContext.broadcast(Restorer(letters))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(sent.value)
+        restorer = sent.value
         for batch in batches:
             words = [" ".join(restorer.words(t.decode(errors="ignore"))) for t in C.blobs(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["label"], pa.array(words, pa.string())], ["label", "words"])
@@ -530,15 +530,15 @@ def _restored(texts: DataFrame, letters: Letters) -> DataFrame:
 
 def _counted_of(words: DataFrame, listed: list[str]) -> dict[str, int]:
     """In how many rows of words each of the listed features is."""
-    sent = words.sparkSession.sparkContext.broadcast(listed)
+    sent = words.sparkSession.sparkContext.broadcast(Listed(listed))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {f: i for i, f in enumerate(sent.value)}
-        told = Told(lambda w: listed_of(w, place))
-        n = np.zeros(len(place), np.int64)
+        counts = sent.value
+        counts.start()
         for batch in batches:
             for t in C.blobs(batch["words"]):
-                n[list(set().union(*told(set(t.decode().split(" ")))))] += 1
+                counts.add(t.decode())
+        n = counts.n[1:]
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["place", "n"])
 
