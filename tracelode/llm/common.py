@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -9,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +64,31 @@ def drop_stored(df: DataFrame) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Between the rounds of a loop: collects the driver's garbage, since its heap would grow to its bound over the plans of many
-    rounds, of which little is alive."""
+    """Between the rounds of a loop, and around the stages of the pipeline: collects the driver's garbage, since its heap would grow to
+    its bound over the plans of many rounds, of which little is alive, and gives freed memory back to the system. The C library's
+    allocator has arenas for the JVM's hundreds of threads and keeps in them what they free; Python's keeps what training freed."""
     gc.collect()  # what Python still holds of the JVM's objects
     spark._jvm.System.gc()
+    _trim_jvm(spark)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def _trim_jvm(spark: SparkSession) -> None:
+    """The JVM's System.trim_native_heap, which some JVMs don't have (before 17.0.9, or without glibc): then nothing is done."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    kind = jvm.java.lang.Class.forName
+    names = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    kinds, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for i, name in enumerate(names):
+        kinds[i] = kind(name)
+    values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    # by the interface's method, since the server's own class is in no exported package
+    invoke = kind("javax.management.MBeanServer").getMethod("invoke", kinds)
+    with contextlib.suppress(Py4JJavaError):
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
 
 
 def tasks(spark: SparkSession) -> int:
