@@ -1,0 +1,128 @@
+"""The Merkle manifest against a plain version, its SQL, and single proofs against changed rows."""
+
+import zlib
+from collections import Counter, defaultdict
+from hashlib import sha256
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tracelode.llm import manifest as M
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "text string, doc_id long, extra string, lang string, source string, n_chars long, leaf string"
+
+
+def H(*parts):
+    return sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(doc_id, source, lang, n_chars, text):
+    return H(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (doc_id, source, lang, n_chars, text)))
+
+
+def climb(nodes, at):
+    """The root and the siblings of the node at a place, level by level."""
+    out = []
+    while len(nodes) > 1:
+        run = nodes[at // 16 * 16 : at // 16 * 16 + 16]
+        out.append((at % 16, [x for k, x in enumerate(run) if k != at % 16]))
+        nodes, at = [H(*nodes[i : i + 16]) for i in range(0, len(nodes), 16)], at // 16
+    return nodes[0], out
+
+
+def fold(node, proof):
+    for at, others in proof:
+        node = H(*others[:at], node, *others[at:])
+    return node
+
+
+def plain(rows):
+    """rows: doc_id, source, lang, n_chars, text."""
+    sources = defaultdict(list)
+    for r in rows:
+        sources[r[1]].append((r[0] is not None, r[0] or 0, leaf(*r), r))
+    names = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    for s in names:
+        sources[s].sort(key=lambda x: x[:3])
+    leaves = {s: [x[2] for x in sources[s]] for s in names}
+    sub = [climb(leaves[s], 0)[0] for s in names]
+    out = []
+    for k, s in enumerate(names):
+        for i, (_, _, own, r) in enumerate(sources[s]):
+            root, upper = climb(sub, k)
+            proof = climb(leaves[s], i)[1] + upper
+            now = own
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 and r[4] is not None:
+                now = leaf(*r[:4], "".join(c.lower() if "A" <= c <= "Z" else c for c in r[4]))
+            end = fold(now, proof)
+            out.append((r[0], own, sub[k], root, H(*(x for _, o in proof for x in o)), end, end == root))
+    return Counter(out)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(t, d, "x", lang, s, n, "clash") for d, s, lang, n, t in rows], SCHEMA)
+
+
+def result(spark, rows, depth=M.LEVELS):
+    return Counter(map(tuple, M.audit(frame(spark, rows), depth).collect()))
+
+
+CASES = {
+    "one": [(5, "a", "en", 3, "ABC")],
+    "empty": [],
+    "nulls": [(None, None, None, None, None), (7, None, None, 1, "É"), (None, "", "x", 2, ""), (None, None, None, None, None), (7, "é", "x", 0, None), (1, "z", "", 0, "")],
+    "seventeen": [(i, "s", "en", i, f"Text {i}") for i in range(17)],
+    "repeats": [(i // 4, "st"[i % 2], None, 1, "Same Text") for i in range(300)],
+    "long": [(1, "s", "en", 1, "Lorem Ipsum " * 200_000), (2, "s", "en", 1, "\x00 \n")],
+    "sources": [(i, f"s{i % 290}", "en", i, f"T{i}") for i in range(600)],
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_cases(spark, name):
+    assert result(spark, CASES[name]) == plain(CASES[name])
+
+
+def test_many_blocks(spark):
+    """More rounds than one, also over sources: blocks of 16 leaves, a source of one leaf beyond a full tree, and a hot one."""
+    rows = [(i, "hot", "en", i, f"Text {i}") for i in range(4097)] + [(i, f"s{i % 40}", None, 0, f"B{i}") for i in range(900)]
+    assert result(spark, rows, 1) == plain(rows)
+
+
+def test_whole_tables(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select(*M.FIELDS).collect()]
+    got = M.query(spark, SF)
+    assert got.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    found = Counter(map(tuple, got.collect()))
+    rows = [(r[0], r[1], r[2], r[3], r[4]) for r in rows]
+    assert found == plain(rows)
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    assert found == Counter(con.sql(M.SQL).fetchall())
+
+
+def test_sql_cases(spark, tmp_path):
+    con = duckdb.connect()
+    for name, rows in CASES.items():
+        if name != "long":
+            frame(spark, rows).toPandas().astype({"doc_id": "Int64", "n_chars": "Int64"}).to_parquet(tmp_path / f"{name}.parquet")
+            con.sql(f"create or replace view documents as select * from '{tmp_path}/{name}.parquet'")
+            assert Counter(con.sql(M.SQL).fetchall()) == plain(rows), name
+
+
+def test_one_proof(spark):
+    """A proof says for itself whether a row is part of the dataset."""
+    rows = [(i, "ab"[i % 2], "en", i, f"Text {i}") for i in range(100)]
+    made = M.manifest(frame(spark, rows)).filter("doc_id in (3, 4)")
+    good = M.folded(made, "leaf")
+    bad = M.folded(made.withColumn("other", F.lit(leaf(4, "a", "en", 4, "Text 5"))), "other")
+    assert [r.folded_root == r.root for r in good.collect()] == [True, True]
+    assert [r.folded_root == r.root for r in bad.collect()] == [False, False]
+
+
+def test_levels_are_those_of_single_nodes():
+    for n in (1, 2, 16, 17, 255, 256, 257):
+        leaves = np.frombuffer("".join(H(str(i)) for i in range(n)).encode(), np.uint8).reshape(-1, 64)
+        assert M.levels(leaves, n, 3)[-1].tobytes().decode() == climb([H(str(i)) for i in range(n)], 0)[0]

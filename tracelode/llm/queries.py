@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelode.llm import decontamination, fingerprints, html, language, lm_scoring, packing, quality, repeats, simhash, toxicity
+from tracelode.llm import decontamination, divergence, fingerprints, html, language, lm_scoring, manifest, packing, quality, repeats, simhash, tokenbits, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": html.query,
     "op9_fingerprints": fingerprints.query,
     "op10_quality": quality.query,
+    "op11_manifest": manifest.query,
+    "op12_tokenbits": tokenbits.query,
+    "op13_divergence": divergence.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_repeats": repeats.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_repeats": repeats.SQL, "op11_manifest": manifest.SQL, "op13_divergence": divergence.SQL}
