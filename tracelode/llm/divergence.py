@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from tracelode.llm import common as C
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same characters, said by what they are, of texts whose letters A to Z are in lower case; Java is ten times faster at these.
+LETTERS = r"[a-z\x{80}-\x{10FFFF}]+"
 LEAST, TOP, UNIT, SMOOTH = 10, 10, 1_000_000_000, 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """lang, source, term, n (occurrences) and docs (documents that have it)."""
-    terms = F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda t: F.translate(t, UPPER, LOWER))
+    terms = F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(LETTERS), F.lit(0))
     rows = docs.select("lang", "source", terms.alias("terms"))
     once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs")))
     each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs")))
