@@ -17,8 +17,8 @@ task writes a file of its own name, and only those of the attempts whose results
 lost executor leaves files that nothing reads. Reading lists the files in MANIFEST and deals out documents, DEALT at a time.
 
 The tokenizer drops white space and works word by word, so a text is cut at ASCII white space, and each worker encodes a word by the
-library once and remembers its ids (words of up to LONG bytes, REMEMBERED at most): the same ids at a twentieth of the time, and no
-more memory than a word's for a long text. A vocabulary that isn't of this kind encodes each text as a whole.
+library once and remembers its ids (words of up to LONG bytes, REMEMBERED at most), and no more memory than a word's is taken by a long text.
+The ids are those of the whole text, which tests compare. A vocabulary that isn't of this kind encodes each text as a whole.
 
 Cases: null text is empty, so its only id is END; a null doc_id comes first; documents of one doc_id are in the order of a hash of
 their texts, and repeated rows are written each; an empty table gives files without documents. The tokenizer's special strings are
@@ -48,6 +48,11 @@ MAGIC, MANIFEST = b"TLBITS01", "MANIFEST.json"
 #: Ids per block; a multiple of 64.
 BLOCK = 1 << 16
 LONG, REMEMBERED = 64, 1_000_000
+#: Marks that may stand behind a word, and the first letter that isn't taken apart from them.
+MARKS, BEYOND = ".,;:!?", "\u0530"
+#: The one letter before BEYOND whose lower case is two characters.
+DOTTED = "\u0130"
+_FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 RECORD = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("start", "<i8")])
 FOOTER = np.dtype([("width", "<i8"), ("block", "<i8"), ("ids", "<i8"), ("documents", "<i8"), ("offsets_at", "<i8"), ("records_at", "<i8"), ("magic", "S8")])
 #: Documents that are read at once, and bytes of ids in one batch of what is read.
@@ -60,17 +65,33 @@ _LOADED: dict[str, tuple] = {}
 
 
 class _Words(dict):
-    """Word -> its ids, four bytes each."""
+    """Word -> its ids, four bytes each. A word of letters with marks behind it has the ids of both, since the tokenizer splits there, and
+    those of its letters in lower case; letters with combining characters aren't taken apart, nor those beyond Cyrillic."""
 
     def __init__(self, encode: Callable[[str], list[int]]) -> None:
-        self.encode = encode
+        self.encode, self.parts = encode, {}
+
+    def part(self, text: str) -> bytes:
+        ids = self.parts.get(text)
+        if ids is None:
+            ids = self.parts[text] = np.array(self.encode(text), "<u4").tobytes()
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode()), "<u4").tobytes()
-        if len(word) <= LONG:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
+        text = word.decode()
+        if len(word) > LONG:
+            return np.array(self.encode(text), "<u4").tobytes()
+        if len(self) >= REMEMBERED:
+            self.clear()
+            self.parts.clear()
+        stem = text.rstrip(MARKS)
+        if stem.isalpha() and max(stem) < BEYOND and DOTTED not in stem:
+            ids = self.part(stem.lower() if stem.isascii() else stem.translate(_FOLD))
+            if len(stem) < len(text):
+                ids += self.part(text[len(stem) :])
+        else:
+            ids = np.array(self.encode(text), "<u4").tobytes()
+        self[word] = ids
         return ids
 
 
@@ -82,7 +103,7 @@ def _load(name: str) -> tuple:
         whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
         largest = max(whole.get_vocab(with_added_tokens=True).values())
         encode = lambda text: whole.encode(text, add_special_tokens=False).ids
-        by_word = not encode(" \t\r\n") and encode("a \n b") == encode("a") + encode("b") and encode(" a") == encode("a")
+        by_word = not encode(" \t\r\n") and encode("a \n b") == encode("a") + encode("b") and encode(" A,") == encode("a") + encode(",")
         _LOADED[name] = encode, _Words(encode) if by_word else None, max(largest, END).bit_length()
     return _LOADED[name]
 
