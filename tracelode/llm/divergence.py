@@ -39,7 +39,9 @@ def counted(docs: DataFrame) -> DataFrame:
     rows = docs.select("lang", "source", terms.alias("terms"))
     once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("docs")))
     each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("docs")))
-    return rows.select("lang", "source", F.inline(F.concat(once, each))).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # "outer", since Spark would else find all terms once more, to leave out texts without any before they are exploded
+    exploded = rows.select("lang", "source", F.inline_outer(F.concat(once, each))).filter(F.col("term").isNotNull())
+    return exploded.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(n: str, denominator: str) -> Column:
