@@ -50,14 +50,21 @@ def test_bits(width, n, rng):
 @given(st.lists(st.sampled_from([*"aZé́ẛΣσς'İﬁ漢😀_-09.,!<|>\x00\x1c\x85  　 \t\n\r\x0b\x0c", "n't", "'S ", "<|endoftext|>", "<|startoftext|>", "é", " ́", "가", "가"])))
 def test_words_are_encoded_as_texts(parts):
     text = "".join(parts)
-    assert B.encoder()(text.encode()).tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, 2]
+    assert B.encoder()([text.encode()])[0].tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, 2]
 
 
 def test_every_letter_before_a_mark():
     """Whatever Unicode version a library has, letters that are taken apart from marks give the same ids."""
     for c in map(chr, range(0x530)):
         for text in (f"{c}.", f"a{c},", f"A{c}B!", c):
-            assert B.encoder()(text.encode()).tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, 2], text
+            assert B.encoder()([text.encode()])[0].tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_texts_together_and_long_ones():
+    """Texts in one batch don't touch each other; long ones are taken in parts."""
+    texts = ["Ab cd, " * 30, "", "x" * 80 + " y", " Ünï ünï! ", "ab\ncd" * 400_000, "q" * 1_200_000 + " end", "last"]
+    got = B.encoder()([t.encode() for t in texts])
+    assert [g.tolist() for g in got] == [[*LIBRARY.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
 def test_width():
@@ -67,7 +74,7 @@ def test_width():
 def test_other_vocabularies_are_encoded_whole():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for text in ("", " a  b\n", "Ünï <|endoftext|>"):
-        assert B.encoder("byte_bpe_50k")(text.encode()).tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
+        assert B.encoder("byte_bpe_50k")([text.encode()])[0].tolist() == [*t.encode(text, add_special_tokens=False).ids, 2]
 
 
 @pytest.mark.parametrize("width", [1, 13, 16, 17, 31, 32])

@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import quote
@@ -52,6 +53,9 @@ LONG, REMEMBERED = 64, 1_000_000
 MARKS, BEYOND = ".,;:!?", "\u0530"
 #: The one letter before BEYOND whose lower case is two characters.
 DOTTED = "\u0130"
+#: Words that are encoded together; bytes of text whose words are taken at once.
+TOGETHER, TAKEN = 4096, 1 << 20
+_WHITE = re.compile(rb"[ \t-\r]")
 _FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 RECORD = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("start", "<i8")])
 FOOTER = np.dtype([("width", "<i8"), ("block", "<i8"), ("ids", "<i8"), ("documents", "<i8"), ("offsets_at", "<i8"), ("records_at", "<i8"), ("magic", "S8")])
@@ -68,31 +72,53 @@ class _Words(dict):
     """Word -> its ids, four bytes each. A word of letters with marks behind it has the ids of both, since the tokenizer splits there, and
     those of its letters in lower case; letters with combining characters aren't taken apart, nor those beyond Cyrillic."""
 
-    def __init__(self, encode: Callable[[str], list[int]]) -> None:
-        self.encode, self.parts = encode, {}
+    def __init__(self, encode: Callable[[str], list[int]], ends: np.ndarray) -> None:
+        self.encode, self.ends, self.parts, self.unknown = encode, ends, {}, set()
 
-    def part(self, text: str) -> bytes:
-        ids = self.parts.get(text)
-        if ids is None:
-            ids = self.parts[text] = np.array(self.encode(text), "<u4").tobytes()
-        return ids
+    def __missing__(self, word: bytes) -> None:
+        """A word that isn't known yet is remembered to be learnt."""
+        self.unknown.add(word)
 
-    def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        if len(word) > LONG:
-            return np.array(self.encode(text), "<u4").tobytes()
-        if len(self) >= REMEMBERED:
+    def now(self, word: bytes) -> bytes:
+        return self.get(word) or np.array(self.encode(word.decode()), "<u4").tobytes()
+
+    def learn(self) -> None:
+        """The ids of the words that weren't known; those of letters are encoded together, and told apart by the tokens that end a
+        word."""
+        if len(self) > REMEMBERED:
             self.clear()
+        if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        stem = text.rstrip(MARKS)
-        if stem.isalpha() and max(stem) < BEYOND and DOTTED not in stem:
-            ids = self.part(stem.lower() if stem.isascii() else stem.translate(_FOLD))
-            if len(stem) < len(text):
-                ids += self.part(text[len(stem) :])
-        else:
-            ids = np.array(self.encode(text), "<u4").tobytes()
-        self[word] = ids
-        return ids
+        split, new = [], {}
+        for word in self.unknown:
+            if len(word) > LONG:
+                continue
+            text = word.decode()
+            stem = text.rstrip(MARKS)
+            if stem.isalpha() and max(stem) < BEYOND and DOTTED not in stem:
+                stem, rest = stem.lower() if stem.isascii() else stem.translate(_FOLD), text[len(stem) :]
+                split.append((word, stem, rest))
+                if stem not in self.parts:
+                    new[stem] = None
+                if rest and rest not in self.parts:
+                    self.parts[rest] = np.array(self.encode(rest), "<u4").tobytes()
+            else:
+                self[word] = np.array(self.encode(text), "<u4").tobytes()
+        stems = list(new)
+        for a in range(0, len(stems), TOGETHER):
+            some = stems[a : a + TOGETHER]
+            ids = np.array(self.encode(" ".join(some)), "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):  # a letter that this version of the library doesn't take for one
+                self.parts.update((x, np.array(self.encode(x), "<u4").tobytes()) for x in some)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for stem, end in zip(some, (4 * cuts).tolist()):
+                self.parts[stem] = raw[begin:end]
+                begin = end
+        for word, stem, rest in split:
+            self[word] = self.parts[stem] + self.parts[rest] if rest else self.parts[stem]
+        self.unknown = set()
 
 
 def _load(name: str) -> tuple:
@@ -104,7 +130,9 @@ def _load(name: str) -> tuple:
         largest = max(whole.get_vocab(with_added_tokens=True).values())
         encode = lambda text: whole.encode(text, add_special_tokens=False).ids
         by_word = not encode(" \t\r\n") and encode("a \n b") == encode("a") + encode("b") and encode(" A,") == encode("a") + encode(",")
-        _LOADED[name] = encode, _Words(encode) if by_word else None, max(largest, END).bit_length()
+        ends = np.zeros(max(largest, END) + 1, bool)
+        ends[[i for t, i in whole.get_vocab(with_added_tokens=True).items() if t.endswith("</w>")]] = True
+        _LOADED[name] = encode, _Words(encode, ends) if by_word and ends.any() else None, max(largest, END).bit_length()
     return _LOADED[name]
 
 
@@ -113,13 +141,42 @@ def width_of(name: str = VOCABULARY) -> int:
     return _load(name)[2]
 
 
-def encoder(name: str = VOCABULARY) -> Callable[[bytes], np.ndarray]:
-    """UTF-8 text -> its ids and END."""
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about TAKEN bytes, cut at white space."""
+    a = 0
+    while len(text) - a > TAKEN and (m := _WHITE.search(text, a + TAKEN)):
+        yield text[a : m.start()]
+        a = m.end()
+    yield text[a:] if a else text
+
+
+def encoder(name: str = VOCABULARY) -> Callable[[list[bytes]], list[np.ndarray]]:
+    """UTF-8 texts -> the ids of each, and END."""
     encode, words, _ = _load(name)
     end = np.array([END], "<u4").tobytes()
+
+    def ids(texts: list[bytes]) -> list[bytes]:
+        found = [t.split() for t in texts]
+        known = [[*map(words.__getitem__, x)] for x in found]
+        words.learn()
+        return [b"".join([v or words.now(w) for v, w in zip(k, x)] if None in k else k) for k, x in zip(known, found)]
+
+    def by_word(texts: list[bytes]) -> list[np.ndarray]:
+        out, some, size = [], [], 0
+        for text in [*texts, None]:
+            if text is None or size + len(text) > TAKEN:
+                out += ids(some)
+                some, size = [], 0
+            if text is not None and len(text) > TAKEN:
+                out.append(b"".join(b"".join(ids([p])) for p in _pieces(text)))
+            elif text is not None:
+                some.append(text)
+                size += len(text)
+        return [np.frombuffer(x + end, "<u4") for x in out]
+
     if words is None:
-        return lambda text: np.array([*encode(text.decode()), END], "<u4")
-    return lambda text: np.frombuffer(b"".join([*map(words.__getitem__, text.split()), end]), "<u4")
+        return lambda texts: [np.array([*encode(t.decode()), END], "<u4") for t in texts]
+    return by_word
 
 
 # Bits
@@ -257,7 +314,7 @@ def write(docs: DataFrame, path: str, name: str = VOCABULARY, block: int = BLOCK
         for batch in batches:
             if out is None:
                 out = Writer(f"{path}/{file}", width_of(name), block)
-            out.add(batch["doc_id"], [encode(t) for t in C.blobs(batch["text"])])
+            out.add(batch["doc_id"], encode(C.blobs(batch["text"])))
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([file]), pa.array([out.documents]), pa.array([out.ids])], ["part", "file", "documents", "ids"])
