@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from tracelode.llm import common as C
 
 WINDOW, END, BLOCK_TOKENS = 2048, 1, 1 << 22
-#: Steps of the least squares at most; it ends before that when no count would change by one half.
-STEPS = 20_000
+#: The least squares end when no count would change by one half, or by this part of the documents if that is more.
+TOLERANCE = 2.0**-20
 VOCABULARY = "byte_bpe_50k"
 SPECIAL = "<|endoftext|>"
 _LOADED: dict[str, tuple] = {}
@@ -76,8 +76,9 @@ def combinations(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.stack([a[ok], b[ok], c[ok]], axis=1)
 
 
-def repeat_counts(combos: np.ndarray, histogram: np.ndarray, steps: int = STEPS) -> np.ndarray:
+def repeat_counts(combos: np.ndarray, histogram: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
     """x >= 0 of least |A x - histogram|, by exact steps along single coordinates, each the one that lowers the error most."""
+    least = max(0.5, tolerance * float(histogram.sum()))
     x = np.zeros(len(combos))
     if not len(combos):
         return x
@@ -92,16 +93,17 @@ def repeat_counts(combos: np.ndarray, histogram: np.ndarray, steps: int = STEPS)
     root = np.sqrt(squares)
     slope = left[combos].sum(1) / root  # the gain of a step is its square
     held = np.zeros(0, np.int64)
-    for _ in range(steps):
+    while True:
         k = int(slope.argmax())
-        step = max(0.0, slope[k] / root[k])
+        step = most = max(0.0, slope[k] / root[k])
         if len(held):
             back = np.minimum(-slope[held] / root[held], x[held])
+            most = max(most, float(back.max()))
             gain = -2 * back * slope[held] * root[held] - back * back * squares[held]
             i = int(gain.argmax())
             if gain[i] > max(0.0, slope[k]) ** 2:
                 k, step = int(held[i]), -back[i]
-        if abs(step) < 0.5:
+        if most < least:
             break
         if x[k] == 0:
             held = np.append(held, k)
