@@ -1,7 +1,11 @@
+import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tracelode.llm import common as C
 from tracelode.llm import toxicity as X
 
@@ -201,7 +205,7 @@ def test_spaced_words_are_all_found():
     rng = np.random.default_rng(7)
     for _ in range(20000):
         low = "".join(rng.choice(list("ab  .-_\n\t1"), rng.integers(0, 14)).tolist())
-        assert not X._SINGLE.search(low) or X._SPACED.search(low)
+        assert not _ONE_PATTERN.search(low) or X._SPACED.search(low)
 
 
 def test_listed_features(monkeypatch):
@@ -220,3 +224,19 @@ def test_listed_features(monkeypatch):
                 counts.add(t)
             told = [X.seen_in(t.split(" ")) for t in some]
             assert dict(zip(listed, counts.n[1:].tolist())) == {f: sum(f in fs for fs in told) for f in listed}
+
+
+_ONE_PATTERN = re.compile(r"(?<!\S)[^\s.\-_](?:[ .\-_]{1,2}[^\s.\-_]){2,}(?!\S)")
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text("xy .-_\n", max_size=40))
+def test_spaced_words(text):
+    assert list(X.chains(text)) == [m[0] for m in _ONE_PATTERN.finditer(text)]
+
+
+@pytest.mark.parametrize("text", ["x- " * 350_000 + "xx", "x " * 500_000 + "xx", "x- " * 350_000, "x. y " * 200_000])
+def test_spaced_words_take_linear_time(text):
+    start = time.perf_counter()
+    list(X.chains(text))
+    assert time.perf_counter() - start < 5

@@ -56,12 +56,24 @@ _AFTER = _SOFT + "!"
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _MIXED = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]")
-_SINGLE = re.compile(r"(?<!\S)[^\s.\-_](?:[ .\-_]{1,2}[^\s.\-_]){2,}(?!\S)")
-#: Any match of _SINGLE has its second and third character like this; most texts have none, and this finds that out faster.
+#: Single characters with one or two separators between them, as many as there are; and where such a chain may end.
+_CHAIN = re.compile(r"(?<!\S)[^\s.\-_](?:[ .\-_]{1,2}[^\s.\-_])*+")
+_CHAIN_END = re.compile(r"[^\s.\-_](?!\S)")
+_CHAIN_CHARACTER = re.compile(r"[^\s.\-_]")
+#: Any spaced word has its second and third character like this; most texts have none, and this finds that out faster.
 _SPACED = re.compile(r"[ .\-_][^\s.\-_][ .\-_]{1,2}[^\s.\-_](?![^\s.\-_])")
 _DOUBLE = re.compile(r"(.)\1+")
 
 
+def chains(text: str) -> Iterator[str]:
+    """Words whose characters are spaced out: chains of three or more, up to the last character that white space or the end follows.
+    All places of a chain have the same last one, so each is gone through once."""
+    for m in _CHAIN.finditer(text):
+        ends = [e.end() for e in _CHAIN_END.finditer(text, m.start(), min(len(text), m.end() + 1)) if e.end() <= m.end()]
+        if ends and len(_CHAIN_CHARACTER.findall(text, m.start(), ends[-1])) > 2:
+            yield text[m.start() : ends[-1]]
+
+
 def trigrams(word: str) -> list[str]:
     s = START + word + STOP
     return [s[i - 2 : i + 1] for i in range(2, len(s))]
@@ -182,7 +194,7 @@ def restore(written: str, letters: Letters) -> str:
 
 def spaced(low: str, letters: Letters) -> list[str]:
     """The words of runs of single characters with separators."""
-    return [w for m in _SINGLE.finditer(low) for w in restore(m[0], letters).split()] if _SPACED.search(low) else []
+    return [w for s in chains(low) for w in restore(s, letters).split()] if _SPACED.search(low) else []
 
 
 def disguised(word: str) -> bool:
