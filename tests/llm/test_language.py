@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -82,3 +83,24 @@ def test_results_by_brute_force(spark):
         saved = {lang: max(0, bare - n) for lang, n in size.items()}
         assert got[r.doc_id].lang_pred == best
         assert abs(got[r.doc_id].score - (saved[best] / sum(saved.values()) if sum(saved.values()) else 1 / len(size))) < 1e-9
+
+
+def test_all_of_a_large_dictionary_counts():
+    """Of 4 MB of examples, a text of any part of them is coded shorter than one that is in none."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    texts = [" ".join(word() for _ in range(2600)).encode() for _ in range(160)]
+    assert sum(map(len, texts)) > 4_000_000
+    z = G.Compressors({"xx": texts})
+    assert len(z.sets[0]) >= 8
+    other = " ".join(word() for _ in range(40)).encode()
+    bare = z.sizes(other)[1][0]
+    for t in (0, 1, 79, 80, 158, 159):
+        for at in (0, len(texts[t]) // 2, len(texts[t]) - 400):
+            assert z.sizes(texts[t][at : at + 400])[1][0] < bare - 20, (t, at)
+
+
+def test_parts_are_even_and_whole():
+    for n in (0, 1, G.LARGEST, G.LARGEST + 1, 3 * G.LARGEST + 5):
+        parts = G.even(bytes(n))
+        assert b"".join(parts) == bytes(n) and max(map(len, parts)) <= G.LARGEST

@@ -1,7 +1,8 @@
 """Language ID by compression: each text is encoded with every language's zstandard raw-content dictionaries; the smallest wins.
 
-Sizes differ by a byte or two where texts are short, so each language has DICTIONARIES dictionaries (of different sample texts), whose
-sizes are averaged, at all lengths of text alike. The score is the share of the winner when the sizes saved over encoding without any
+Sizes differ by a byte or two where texts are short, so each language has DICTIONARIES dictionaries (of different sample texts) or
+more, whose sizes are averaged, at all lengths of text alike. zstandard takes up the end of a long dictionary only, so one of more than
+LARGEST bytes is several, all of which are asked. The score is the share of the winner when the sizes saved over encoding without any
 dictionary are compared (0 to 1); a text whose margin over the second language is below MARGIN of its size is marked as rejected, and
 keeps the language of the smallest size.
 
@@ -32,16 +33,21 @@ from tracelode.llm import common as C
 
 PER_LANGUAGE, DICTIONARIES, LEVEL = 160, 2, 3
 PIECE, MARGIN = 512, 0.02
+#: Bytes of one dictionary; all of it counts.
+LARGEST = 1 << 19
 LETTER, OTHER = regex.compile(r"\p{L}"), re.compile(r"[\W\d_]+")
 
 
 def examples(docs: DataFrame, folds: int = 4, held_out: int = 2) -> dict[str, list[bytes]]:
-    """At most PER_LANGUAGE whole texts of each language. Languages are so many as the table has."""
+    """At most PER_LANGUAGE whole texts of each language, those of the least hashes of their ids. Languages are so many as the table has."""
     C.bounded_batches(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (C.fold("doc_id", folds) != held_out) & (F.col("text") != "")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), "text")
-    # only ids are ranked; each task keeps no more than PER_LANGUAGE of a language before the shuffle
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").distinct().withColumn("n", first).filter(F.col("n") <= PER_LANGUAGE)
+    # only ids are ranked, and of a language with many rows only those whose hash is in its lowest part, some thrice as many as are taken
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    h = F.xxhash64("doc_id")
+    low = (h.cast("double") + 2.0**63) * F.col("rows") < (3 * PER_LANGUAGE + 200) * 2.0**64
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))
+    chosen = known.select("doc_id", "lang").join(counts, "lang").filter(low).select("doc_id", "lang").distinct().withColumn("n", first).filter(F.col("n") <= PER_LANGUAGE)
     rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "n").agg(F.min("text").alias("text")).collect()
     out: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["n"])):
@@ -54,6 +60,13 @@ def letters_only(text: bytes) -> bytes:
     return OTHER.sub(" ", text.decode(errors="ignore").lower()).encode()
 
 
+def even(content: bytes) -> list[bytes]:
+    """As few parts of at most LARGEST bytes as there can be, of about one size."""
+    n = max(1, -(-len(content) // LARGEST))
+    cuts = [len(content) * k // n for k in range(n + 1)]
+    return [content[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 class Compressors:
     """Dictionaries of each language, ready to encode; made anew in each worker from the examples."""
 
@@ -62,7 +75,8 @@ class Compressors:
         self.sets = []
         for lang in self.langs:
             texts = found[lang]
-            self.sets.append([self._one(b"\n".join(letters_only(t) for t in texts[k::DICTIONARIES] or texts)) for k in range(DICTIONARIES)])
+            whole = [b"\n".join(letters_only(t) for t in texts[k::DICTIONARIES] or texts) for k in range(DICTIONARIES)]
+            self.sets.append([self._one(part) for content in whole for part in even(content)])
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
 
     @staticmethod
