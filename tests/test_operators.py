@@ -84,7 +84,7 @@ def test_files_windows_and_duplicates(spark, tmp_path):
     (tmp_path / "big.bin").write_bytes(bytes(big))
     (tmp_path / "sub" / "b.txt").write_bytes(b"\xff\xfe " + S40.encode())
     (tmp_path / "sub" / "c.log").write_bytes(b"")
-    flat = readers.directory(spark, str(tmp_path), recursive=False, window=1000, overlap=100)
+    flat = readers.file_windows(spark, str(tmp_path), recursive=False, window=1000, overlap=100)
     found = scan(flat, ids=["source"], base_offset="base_offset", detectors=["sha1"])
     assert sorted(r.location for r in report.without_overlaps(found).collect()) == [11, 986, 2441]
     owned = scan(flat, ids=["source"], base_offset="base_offset", keep=("keep_from", "keep_to"), detectors=["sha1"])

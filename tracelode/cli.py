@@ -43,32 +43,47 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _source(spark: SparkSession, args: argparse.Namespace, stdin: Sequence[str] | None) -> DataFrame | None:
-    if args.string is not None:
-        return readers.strings(spark, [args.string])
+def _files(args: argparse.Namespace) -> tuple[str, str, bool] | None:
+    """Path, glob and whether to go down into folders; None if no files are named."""
     if args.filename:
-        return readers.file_windows(spark, args.filename)
+        return args.filename, "*", False
     if args.directory or args.recursive:
-        return readers.directory(spark, args.directory or ".", args.file_pattern, args.recursive)
-    if args.stdin:
-        return readers.strings(spark, list(stdin if stdin is not None else sys.stdin))
+        return args.directory or ".", args.file_pattern, args.recursive
     return None
 
 
-def findings(spark: SparkSession, args: argparse.Namespace, stdin: Sequence[str] | None = None) -> DataFrame | None:
-    """The findings that the arguments ask for, with a column `line`; None if they name no source."""
-    data = _source(spark, args, stdin)
-    if data is None:
+def _cells(spark: SparkSession, args: argparse.Namespace, stdin: Sequence[str] | None) -> DataFrame | None:
+    """The string, or the lines of standard input, unpacked if asked for."""
+    if args.string is not None:
+        data = readers.strings(spark, [args.string])
+    elif args.stdin:
+        data = readers.strings(spark, list(stdin if stdin is not None else sys.stdin))
+    else:
         return None
     if args.preprocessor:
         data = packed.preprocess(data.withColumn("content", F.encode("text", "ISO-8859-1")), args.preprocessor)
+    return data.withColumn("last", F.lit(True))
+
+
+def findings(spark: SparkSession, args: argparse.Namespace, stdin: Sequence[str] | None = None) -> DataFrame | None:
+    """The findings that the arguments ask for, with a column `line`; None if they name no source."""
     options = {"filters": tuple(args.filters.split(",")) if args.filters else DEFAULT, "min_certainty": args.min_certainty}
-    if args.generator:
-        found = codecs.scan_generated(data, ids=["source", "base_offset"], mode=args.generator, **options)
-        found = report.displayed(found, args.details).withColumn("line", F.concat(F.lit("after "), "direction", F.lit(" "), "codec", F.lit(": "), "line"))
+    files, data = _files(args) if args.string is None else None, None
+    if files is None:
+        data = _cells(spark, args, stdin)
+        if data is None:
+            return None
+    elif args.preprocessor:
+        data = packed.file_records(spark, files[0], args.preprocessor, files[1], files[2])
+    if args.generator and data is None:
+        found = codecs.scan_files(spark, *files, mode=args.generator, **options)
+    elif args.generator:
+        found = codecs.scan_generated(data, ids=["source"], mode=args.generator, **options)
     else:
-        keep = ("keep_from", "keep_to") if "keep_to" in data.columns else None
-        found = report.displayed(scan(data, ids=["source"], base_offset="base_offset", keep=keep, **options), args.details)
+        found = scan(data if data is not None else readers.directory(spark, *files), ids=["source"], base_offset="base_offset", last="last", **options)
+    found = report.displayed(found, args.details)
+    if args.generator:
+        found = found.withColumn("line", F.concat(F.lit("after "), "direction", F.lit(" "), "codec", F.lit(": "), "line"))
     return validate(found, [v for v in (args.validator1, args.validator2, args.validator3) if v])
 
 

@@ -58,23 +58,36 @@ def _let(value: str, name: str, body: str) -> str:
 
 _WIDTH = "length(x.gap) + coalesce(length(x.m), 0)"
 _PART = f"slice(fs, b * {BLOCK} + 1, {BLOCK})"
-#: fs: array<struct<gap, m>>; bs: numbers of its blocks; st: where they begin; and the matches in each.
+#: fs: array<struct<gap, m>>; bs: numbers of its blocks; st: where they begin; and what is placed in each (the matches, or the gaps).
 _STARTS = f"aggregate(bs, struct(0 AS at, cast(array() AS array<int>) AS out), (acc, b) -> struct(acc.at + aggregate({_PART}, 0, (n, x) -> n + {_WIDTH}) AS at, concat(acc.out, array(acc.at)) AS out), acc -> acc.out)"
-_INSIDE = f"aggregate({_PART}, struct(element_at(st, b + 1) AS at, cast(array() AS {MATCHES}) AS out), (acc, x) -> struct(acc.at + {_WIDTH} AS at, if(x.m IS NULL, acc.out, concat(acc.out, array(struct(x.m AS m, acc.at + length(x.gap) AS at)))) AS out), acc -> acc.out)"
-_PLACED = _let(f"sequence(0, cast((size(fs) - 1) div {BLOCK} AS int))", "bs", _let(_STARTS, "st", f"flatten(transform(bs, b -> {_INSIDE}))"))
+
+
+def _placed(out: str) -> str:
+    inside = f"aggregate({_PART}, struct(element_at(st, b + 1) AS at, cast(array() AS {MATCHES}) AS out), (acc, x) -> struct(acc.at + {_WIDTH} AS at, {out} AS out), acc -> acc.out)"
+    return _let(f"sequence(0, cast((size(fs) - 1) div {BLOCK} AS int))", "bs", _let(_STARTS, "st", f"flatten(transform(bs, b -> {inside}))"))
+
+
+_PLACED = _placed("if(x.m IS NULL, acc.out, concat(acc.out, array(struct(x.m AS m, acc.at + length(x.gap) AS at))))")
+_PARTS = _placed("if(x.gap = '', acc.out, concat(acc.out, array(struct(x.gap AS m, acc.at AS at))))")
 
 
 def _split(s: str, pattern: str, placed: str, none: str) -> str:
-    """`placed`, in terms of gaps and of fs (gaps and matches), where there are matches: running sums of both lengths, first for every
+    """`placed`, in terms of gaps and of fs (gaps and matches), where there are matches, else `none`: running sums of both lengths, first for every
     BLOCK of them, then in each block, so that the time is linear in the matches."""
     found = f"zip_with(gaps, regexp_extract_all({s}, {_raw(pattern)}, 0), (gap, m) -> struct(gap, m))"
-    return _let(f"split({s}, {_raw(pattern)}, -1)", "gaps", f"if(size(gaps) > 1, {_let(found, 'fs', placed)}, cast(array() AS {none}))")
+    return _let(f"split({s}, {_raw(pattern)}, -1)", "gaps", f"if(size(gaps) > 1, {_let(found, 'fs', placed)}, {none})")
 
 
 def matches_sql(s: str, pattern: str) -> str:
     """All leftmost, non-overlapping matches (MATCHES) of the SQL expression s with their places (0-based): the text between matches
     comes from a split by the same pattern. The pattern must not match the empty string."""
-    return _split(s, pattern, _PLACED, MATCHES)
+    return _split(s, pattern, _PLACED, f"cast(array() AS {MATCHES})")
+
+
+def parts_sql(s: str, separator: str) -> str:
+    """What stands between the matches of a separator, without empty parts, with its places (MATCHES)."""
+    whole = f"if({s} = '', cast(array() AS {MATCHES}), array(struct({s} AS m, 0 AS at)))"
+    return _split(s, separator, _PARTS, whole)
 
 
 def matches(s: str, pattern: str) -> Column:
@@ -92,7 +105,7 @@ def hex_runs(s: str, least: int) -> Column:
     beside = rf"transform(gaps, (g, i) -> struct(right(concat(if(i > 0, 'f', ''), right(g, 3)), 3) AS before, g rlike r'\A{WORD}' AS word))"
     before = "element_at(by, i + 1).before"
     run = rf"struct(x.m AS m, x.at AS at, length(x.m) AS n, {before} rlike r'{WORD}\z' AS left, element_at(by, i + 2).word AS right, {before} rlike r'{WORD}\*\z' AS star, {before} rlike r'(?:\A|[^A-Za-z0-9_])0x\z' AS header)"
-    return F.expr(_split(s, f"{HEX}{{{least},}}+", _let(beside, "by", f"transform({_PLACED}, (x, i) -> {run})"), RUN))
+    return F.expr(_split(s, f"{HEX}{{{least},}}+", _let(beside, "by", f"transform({_PLACED}, (x, i) -> {run})"), f"cast(array() AS {RUN})"))
 
 
 def base64_length_ok(s: Column) -> Column:

@@ -25,14 +25,15 @@ def confidence(certainty: Column) -> Column:
     return F.when(certainty >= CONFIDENT, F.lit("confident")).when(certainty >= LIKELY, F.lit("likely")).otherwise(F.lit("possible"))
 
 
-def _hits(s: str, i: int, d: Detector, options: Options, first: Column | None) -> Column:
+def _hits(s: str, i: int, d: Detector, options: Options, first: Column | None, whole: Column | None) -> Column:
     none = F.array().cast(HIT)
     found, extra = d.runs("_runs") if d.runs is not None else T.matches_sql(s, d.pattern) if d.hits is None else d.hits(s, options), "x.extra" if d.hits is not None else "''"
     out = F.expr(f"transform({found}, (x, n) -> struct({i} AS det, cast(n AS int) AS n, x.m AS m, x.at AS at, {extra} AS extra))")
     if d.guard is not None:
         out = F.when(F.col(f"_guards.`{d.guard}`"), out)
-    if d.anchored and first is not None:
-        out = F.when(first, out)
+    begin = whole if d.whole else first if d.anchored else None
+    if begin is not None:
+        out = F.when(begin, out)
     return F.coalesce(out.cast(HIT), none)
 
 
@@ -56,14 +57,15 @@ def _by_detector(chosen: list[tuple[int, Detector]], value: Callable[[Detector],
 
 def scan(
     df: DataFrame, text: str = "text", ids: Sequence[str] = (), filters: Sequence[str] = DEFAULT, min_certainty: int = 0, strict: bool = False, extended: bool = False,
-    base_offset: str | None = None, keep: tuple[str, str] | None = None, detectors: Sequence[str] | None = None, created_on: bool = False,
+    base_offset: str | None = None, keep: tuple[str, str] | None = None, detectors: Sequence[str] | None = None, created_on: bool = False, last: str | None = None,
 ) -> DataFrame:
     """Findings in a string column, with the columns `ids` carried along.
 
     filters: categories to search; unknown ones match nothing. min_certainty also leaves out detectors that can't reach it.
     strict: keeps the quirks of the original where it gave output or failed. extended: salted and second-generation Joomla hashes.
-    base_offset: a column added to locations (where a window begins); patterns that need the start of a text then only hold at 0,
-    unless strict. keep: the columns keep_from and keep_to of overlapping windows (readers.windows): only matches that begin from
+    base_offset: a column added to locations (where a piece or window begins); patterns that need the start of a text then only hold
+    at 0, unless strict. last: a column that says whether the text ends with this piece; patterns for a whole text then need a piece
+    that is the whole. keep: the columns keep_from and keep_to of overlapping windows (readers.windows): only matches that begin from
     keep_from to before keep_to count, and of those none that the end of the window cuts; so each is found once, with what stands
     beside it, if it is no longer than half the overlap. detectors: only these. Null texts have no findings.
     """
@@ -72,8 +74,9 @@ def scan(
     s, name = F.col(text), T.named(text)
     base = F.col(base_offset).cast("bigint") if base_offset else F.lit(0).cast("bigint")
     first = base == 0 if base_offset and not strict else None
+    whole = first & F.col(last) if last and first is not None else first
     carried = [F.col(c) for c in ids]
-    hits = [_hits(name, i, d, options, first) for i, d in chosen] or [F.array().cast(HIT)]
+    hits = [_hits(name, i, d, options, first, whole) for i, d in chosen] or [F.array().cast(HIT)]
     names = sorted({d.guard for _, d in chosen if d.guard})
     guards = F.struct(*[GUARDS[g](s).alias(g) for g in names]) if names else F.lit(None)
     rows = df.filter(s.isNotNull()).withColumn("_guards", guards)
@@ -84,11 +87,12 @@ def scan(
         since, before, size = F.coalesce(keep[0], F.lit(0)), F.col(keep[1]), F.length(s)
         owned = lambda x: (x["at"] >= since) & (before.isNull() | (x["at"] < before) & (x["at"] + F.length(x["m"]) < size))
         all_hits = F.filter(all_hits, owned)
-    rows = rows.select(*carried, base.alias("_base"), F.explode(all_hits).alias("_hit"))
+    # "outer", since Spark would else look for all hits once more, to leave out texts without any before they are exploded
+    rows = rows.select(*carried, base.alias("_base"), F.explode_outer(all_hits).alias("_hit")).filter(F.col("_hit").isNotNull())
     rows = rows.withColumn("_part", _by_detector(chosen, lambda d: d.scored(F.col("_hit.m")) if d.scored else None, F.col("_hit.m")))
     rows = rows.withColumn("_random", T.random_looking(F.col("_part"))).withColumn("_upper", T.upper_or_digits(F.col("_part")))
     found = _by_detector(chosen, lambda d: _findings(d, options), F.array().cast(FINDING))
-    out = rows.select(*carried, "_base", "_hit", F.explode(found).alias("_f")).filter(F.col("_f.certainty") >= min_certainty)
+    out = rows.select(*carried, "_base", "_hit", F.explode_outer(found).alias("_f")).filter(F.col("_f.certainty") >= min_certainty)
     shift = F.lit(0) if strict else F.col("_base")
     columns = [
         F.col("_f.type").alias("type"), F.col("_f.payload").alias("payload"), (F.col("_hit.at") + shift).cast("bigint").alias("location"), F.length("_hit.m").alias("size"), F.col("_f.certainty").alias("certainty"),

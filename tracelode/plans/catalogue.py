@@ -62,7 +62,8 @@ class Detector:
     scored: Callable[[Column], Column] | None = None  # the part of a match whose entropy counts; the whole if None
     runs: Callable[[str], str] | None = None  # SQL of text.RUN -> SQL of array<struct<m, at>>
     hits: Callable[[str, Options], str] | None = None  # SQL of the text -> SQL of array<struct<m, at, extra>>
-    anchored: bool = False
+    anchored: bool = False  # only where a text begins
+    whole: bool = False  # only if it is all of a text
     about: str = ""
 
 
@@ -140,8 +141,9 @@ def _jwt(x: Hit, o: Options) -> list[Emit]:
     return [Emit("jwt", [m], F.lit(85), _say("JSON web token, header {}, payload {}, signature {}", parts[0], F.coalesce(body, F.lit("")), parts[2]), ok)]
 
 
-#: A line ends at a line break or at a backslash followed by n.
-_LINE = r"(?:(?!\\n)[^\r\n])+"
+#: A line ends at a line break or at a backslash followed by n. Lines are what stands between: a pattern for a whole line would have to
+#: repeat a group, which takes the regular expression engine's stack for every character.
+_LINE_END = r"\r\n?|\n|\\n"
 _SEGMENT = "[^=|:]+"
 
 
@@ -150,7 +152,7 @@ def _secret_hits(s: str, o: Options) -> str:
     segment = f"transform({T.matches_sql('line.m', _SEGMENT)}, y -> struct(y.m AS m, y.at{'' if o.strict else ' + line.at'} AS at, words AS extra))"
     none = "cast(array() AS array<struct<m: string, at: int, extra: string>>)"
     of_line = f"element_at(transform(array({words}), words -> if(words <> '', {segment}, {none})), 1)"
-    return f"flatten(transform({T.matches_sql(s, _LINE)}, line -> {of_line}))"
+    return f"flatten(transform({T.parts_sql(s, _LINE_END)}, line -> {of_line}))"
 
 
 def _secret(x: Hit, o: Options) -> list[Emit]:
@@ -334,7 +336,7 @@ def _django(name: str, algorithm: str, salted: bool, salt: str, size: int) -> De
         when = ~s.contains("/") if o.strict and salted else None
         return [Emit(name, [s, h] if salted else [h], F.lit(65), _say("Django account, salt {}, hash {}", s, h), when)]
 
-    return Detector(name, (name,), ("crypto", "web"), 65, shape, emits, "sha", anchored=True, about=f"the whole text is {algorithm}, a salt or none, and {size} characters")
+    return Detector(name, (name,), ("crypto", "web"), 65, shape, emits, "sha", whole=True, about=f"the whole text is {algorithm}, a salt or none, and {size} characters")
 
 
 def _crypt(name: str, mark: str, salt: str, size: int, base: int, boosted: int, categories: tuple[str, ...], label: str, before: str = "") -> Detector:
@@ -376,12 +378,13 @@ def _uuid(x: Hit, o: Options) -> list[Emit]:
     return [Emit("uuid", [m], _scored(5, (known, 75)), _say("UUID {}, version {}: {}", kind, version, m))]
 
 
-_ID = "[A-Za-z0-9_-]"
+#: Where a run of these begins, all of it is tried at once; from within it nothing else would come.
+_ID, _NAME = "[A-Za-z0-9_-]", r"[A-Za-z0-9_:|\-$&%#@]"
 #: Names, lengths, alphabets, marks, categories and certainties define the types; they are stated as they must be.
 CATALOGUE: tuple[Detector, ...] = (
-    Detector("jwt", ("jwt",), ("web", "crypto", "secrets"), 85, rf"{_ID}++\.{_ID}++\.{_ID}*+", _jwt, "eyJ", about="three dotted base64url parts, the last may be empty"),
+    Detector("jwt", ("jwt",), ("web", "crypto", "secrets"), 85, rf"(?<!{_ID}){_ID}++\.{_ID}++\.{_ID}*+", _jwt, "eyJ", about="three dotted base64url parts, the last may be empty"),
     Detector("secret", ("secret",), ("crypto", "secrets"), 85, None, _secret, "secret", hits=_secret_hits, about="parts of lines that mention a password, key or security"),
-    Detector("web-cookie", ("web-cookie",), ("web", "crypto"), 85, r";?+[A-Za-z0-9_:|\-$&%#@]++=[^;\s]++", _cookie, "=", lambda m: _part(m, r"\A[^=]+=([\s\S]*)\z"), about="name=value"),
+    Detector("web-cookie", ("web-cookie",), ("web", "crypto"), 85, rf"(?:;|(?<!{_NAME})){_NAME}++=[^;\s]++", _cookie, "=", lambda m: _part(m, r"\A[^=]+=([\s\S]*)\z"), about="name=value"),
     Detector("md5", ("md4", "md5"), ("web", "unix", "crypto", "other"), 80, None, _md5, "hex", runs=_md5_runs, about="32 hex digits, also within longer runs"),
     Detector("URL", ("URL",), ("web", "personal", "other"), 90, rf"(?<![A-Za-z0-9])[A-Za-z0-9]++://{C}+{T.EDGE}", _url, "://", about="scheme://host/path"),
     Detector("phone", ("phone",), ("web", "personal", "other"), 55, f"[^0-9]{_LONG}|{_AREA}|{_SHORT}[^0-9]", _phone, "digits", about="ten digits after, or seven before, something else; area code in brackets"),
@@ -391,7 +394,7 @@ CATALOGUE: tuple[Detector, ...] = (
     Detector("lm", ("lm", "ntlm"), ("win", "crypto", "secrets"), 80, None, _lm, "hex", runs=lambda runs: f"filter({runs}, r -> r.n = 32)", about="exactly 32 hex digits"),
     Detector("MySQL4+", ("MySQL4+",), ("db", "crypto", "secrets"), 80, None, _mysql4, "hex", lambda m: F.regexp_replace(m, r"\A\*", ""), runs=_mysql4_runs, about="40 hex digits, optionally after *"),
     Detector("MySQL323", ("MySQL323",), ("db", "crypto", "secrets"), 40, None, _mysql323, "hex", runs=_whole_runs(16), about="16 hex digits"),
-    Detector("base64", ("base64",), ("other",), 80, None, _base64, "base64", hits=_base64_hits, anchored=True, about="the whole text is padded base64"),
+    Detector("base64", ("base64",), ("other",), 80, None, _base64, "base64", hits=_base64_hits, whole=True, about="the whole text is padded base64"),
     Detector("SAM(*:ntlm)", ("SAM(*:ntlm)",), ("win", "crypto"), 85, rf"\A{_ACCOUNT}\*?:{H}{{32}}(?!{H})", _sam_ntlm, "hex", lambda m: F.right(m, F.lit(32)), anchored=True, about="account without LM hash"),
     Detector("SAM(lm:*)", ("SAM(lm:*)",), ("win", "crypto", "secrets"), 85, rf"\A{_ACCOUNT}{H}{{32}}:\*", _sam_lm, "hex", lambda m: _part(m, rf"({H}{{32}}):\*\z"), anchored=True, about="account without NTLM hash"),
     Detector("SAM(lm:ntlm)", ("SAM(lm:ntlm)",), ("win", "crypto", "secrets"), 90, rf"\A{_ACCOUNT}{H}{{32}}:{H}{{32}}{_R}", _sam_both, "hex", lambda m: _part(m, rf"({H}{{32}}):{H}{{32}}\z"), anchored=True, about="account with both hashes"),

@@ -15,7 +15,7 @@ from tracelode.functions import text as T
 from tracelode.operators import codecs, packed, pages, report
 from tracelode.operators.scan import scan
 from tracelode.operators.validators import validate
-from tracelode.sources import readers
+from tracelode.sources import pieces, readers
 from tracelode.streaming import lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -381,9 +381,33 @@ _CATALOGUE_SQL = f"""WITH m AS (SELECT unnest(string_split('{_MOST}', ', ')) AS
 SELECT split_part(x, ' ', 1) AS name, category, CAST(split_part(x, ' ', 2) AS BIGINT) AS max_certainty FROM m JOIN c ON c.name = split_part(x, ' ', 1)"""
 
 
-@_query("detector_catalogue", _CATALOGUE_SQL)
+_USED_SQL = " UNION ALL ".join(f"SELECT '{n}' AS name, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w, {k} AS k FROM documents" for n, k in (("sha1", 40), ("MySQL4+", 40), ("MySQL323", 16)))
+
+
+@_query("detector_catalogue", f"SELECT name, category, max_certainty, coalesce(n, 0) AS n_findings FROM ({_CATALOGUE_SQL}) LEFT JOIN (SELECT name, count(*) AS n FROM ({_USED_SQL}) WHERE length(w) = k AND regexp_full_match(w, '[0-9A-Fa-f]+') GROUP BY name) USING (name)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detectors with their categories, and how many findings some of them have in the documents."""
+    found = scan(_table(spark, sf_dir, "documents"), detectors=["sha1", "MySQL4+", "MySQL323"]).groupBy("detector_seq").agg(F.count("*").alias("n"))
+    every = report.catalogue(spark).join(found, "detector_seq", "left")
+    return every.select("name", F.explode("categories").alias("category"), F.col("max_certainty").cast("bigint").alias("max_certainty"), F.coalesce("n", F.lit(0)).alias("n_findings"))
+
+
+@_query("sql_view", f"SELECT type, count(*) AS n, max(certainty) AS most FROM ({_MIXED_SQL}) WHERE confidence <> 'possible' GROUP BY type")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings under a name, asked by SQL."""
+    report.as_view(_mixed(spark, sf_dir), "mixed_findings")
+    return spark.sql("SELECT type, count(*) AS n, CAST(max(certainty) AS BIGINT) AS most FROM mixed_findings WHERE confidence <> 'possible' GROUP BY type")
+
+
+_AGAIN = "repeat({sha1} || ' ', CAST(c_custkey % 40 + 1 AS INT))"
+
+
+@_query("overlaps_removed", "SELECT c_custkey, sha1(c_name) AS payload, CAST(41 * i AS BIGINT) AS location FROM (SELECT c_custkey, c_name, unnest(range(c_custkey % 40 + 1)) AS i FROM customer)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.catalogue(spark).select("name", F.explode("categories").alias("category"), F.col("max_certainty").cast("bigint").alias("max_certainty"))
+    """What overlapping windows of a fixed size find twice, once."""
+    content = _derived_table(spark, sf_dir, _AGAIN).select(F.col("c_custkey").cast("string").alias("source"), F.col("text").cast("binary").alias("content"))
+    found = report.without_overlaps(scan(readers.windows(content, 500, 300), ids=["source"], base_offset="base_offset", detectors=["sha1"]))
+    return found.select(F.col("source").cast("bigint").alias("c_custkey"), F.element_at("payload", 1).alias("payload"), "location")
 
 
 #: All default detectors that DuckDB's regular expressions can express (anchored accounts and salted hashes are in queries of their own).
@@ -406,10 +430,70 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' digests as lines of text files, read in windows of 1,000 bytes that know nothing of lines."""
     home = lines.folder(spark, "file_source")
     _table(spark, sf_dir, "customer").select(F.concat(F.repeat(F.lit(". "), F.col("c_custkey").cast("int") % 50), F.sha1("c_name"))).write.text(home)
-    found = scan(readers.directory(spark, home, "part-*", window=1000, overlap=200), ids=["source"], base_offset="base_offset", keep=("keep_from", "keep_to"), detectors=["sha1"])
+    found = scan(readers.directory(spark, home, "part-*", window=1000), ids=["source"], base_offset="base_offset", last="last", detectors=["sha1"])
+    return found.groupBy(F.element_at("payload", 1).alias("payload")).agg(F.count("*").alias("n"))
+
+
+_LONG = "repeat('some words here' || chr(10), CAST(c_custkey % 97 AS INT)) || 'eyJhbGciOiJub25lIn01.' || repeat({sha256}, CAST(c_custkey % 50 + 1 AS INT)) || '.' || {md5} || chr(10) || 'http://host/' || repeat('p/', CAST(c_custkey % 1500 AS INT)) || 'x' || chr(10) || 'id=' || repeat('v', CAST(c_custkey % 4000 + 1 AS INT)) || chr(10) || repeat('w ', 600) || chr(10)"
+_LONG_SQL = f"""WITH t AS (SELECT c_custkey, {_expression(False, _LONG)} AS t, 16 * (c_custkey % 97) AS a, 54 + 64 * (c_custkey % 50 + 1) AS b, 13 + 2 * (c_custkey % 1500) AS c, 4 + c_custkey % 4000 AS d FROM customer)
+SELECT c_custkey, 'jwt' AS type, CAST(a AS BIGINT) AS location, CAST(b AS BIGINT) AS size, md5(substr(t, CAST(a + 1 AS BIGINT), CAST(b AS BIGINT))) AS found FROM t
+UNION ALL SELECT c_custkey, 'URL', CAST(a + b + 1 AS BIGINT), CAST(c AS BIGINT), md5(substr(t, CAST(a + b + 2 AS BIGINT), CAST(c AS BIGINT))) FROM t
+UNION ALL SELECT c_custkey, 'web-cookie', CAST(a + b + c + 2 AS BIGINT), CAST(d AS BIGINT), md5(substr(t, CAST(a + b + c + 3 AS BIGINT), CAST(d AS BIGINT))) FROM t"""
+
+
+@_query("window_long_matches", _LONG_SQL)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, addresses and cookies of up to 4,000 characters in texts read in windows of 1,000 bytes; the SQL knows where they are."""
+    content = _derived_table(spark, sf_dir, _LONG).select("c_custkey", F.col("text").cast("binary").alias("content"))
+    parts = pieces.of_content(content, pieces.View, ("c_custkey",), window=1000)
+    found = scan(parts, ids=["c_custkey"], base_offset="base_offset", last="last", detectors=["jwt", "URL", "web-cookie"])
+    whole = F.when(F.col("type") == "web-cookie", F.concat_ws("=", "payload")).otherwise(F.element_at("payload", 1))
+    return found.select("c_custkey", "type", "location", F.col("size").cast("bigint").alias("size"), F.md5(whole).alias("found"))
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str, line: str) -> str:
+    """A folder of text files with a line for each customer."""
+    home = lines.folder(spark, name)
+    _table(spark, sf_dir, "customer").select(F.expr(line)).write.text(home)
+    return home
+
+
+_COUNTED = "SELECT sha1(c_name) AS payload, count(*) AS n FROM customer GROUP BY c_name"
+
+
+@_query("file_records", _COUNTED)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of records of 46 bytes, of which 45 are written out, in ranges of whole records: digests stand across records and ranges."""
+    home = _written(spark, sf_dir, "file_records", "substr(' ' || sha1(c_name) || '    ', 1, 45)")
+    found = scan(packed.file_records(spark, home, "<45sx", "part-*", window=1000), ids=["source"], base_offset="base_offset", last="last", detectors=["sha1"])
     return found.groupBy(F.element_at("payload", 1).alias("payload")).agg(F.count("*").alias("n"))
 
 
+@_query("file_wrapped", f"SELECT codec, payload, n FROM ({_COUNTED}), (SELECT unnest(['base64', 'hex']) AS codec)")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests in base64 and hex, each after a number of characters that shifts its phase, in files that codecs read in windows."""
+    line = "'-- ' || repeat('x', CAST(c_custkey % 4 AS INT)) || base64(cast(' ' || sha1(c_name) || ' ' AS binary)) || ' . ' || repeat('a', CAST(c_custkey % 2 AS INT)) || lower(hex(' ' || sha1(c_name) || ' ')) || ' zz'"
+    home = _written(spark, sf_dir, "file_wrapped", line)
+    found = codecs.scan_files(spark, home, "part-*", codecs_=["base64", "hex"], window=1000, detectors=["sha1"])
+    return found.groupBy("codec", F.element_at("payload", 1).alias("payload")).agg(F.count("*").alias("n"))
+
+
+@_query("file_lines", "SELECT x AS line, count(*) AS n FROM (SELECT hex(encode('c ' || c_mktsegment || c_custkey)) || CASE c_custkey % 3 WHEN 0 THEN '0D' WHEN 1 THEN 'FFFE' ELSE '' END || '0A' AS x FROM customer) GROUP BY x")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines byte for byte: with a carriage return, with bytes that are no UTF-8, and bare, in windows of 1,000 bytes."""
+    home = _written(spark, sf_dir, "file_lines", "'c ' || c_mktsegment || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '\r' WHEN 1 THEN cast(unhex('FFFE') AS string) ELSE '' END")
+    rows = readers.lines(spark, home, "part-*", window=1000)
+    return rows.groupBy(F.hex(F.encode("text", "ISO-8859-1")).alias("line")).agg(F.count("*").alias("n"))
+
+
+@_query("memory_image", "SELECT h AS payload, count(*) AS n FROM (SELECT upper(md5(c_name)) AS h FROM customer) GROUP BY h")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests in raw images whose pages are read by ranges of the file."""
+    home = _written(spark, sf_dir, "memory_image", "repeat('. ', CAST(c_custkey % 2000 AS INT)) || upper(md5(c_name)) || repeat(' ', CAST(4063 - 2 * (c_custkey % 2000) AS INT))")
+    found = pages.verdicts(readers.image_pages(spark, home, "part-*", window=100_000), ids=["vpage"], filters="win")
+    return found.groupBy(F.regexp_extract(F.element_at("details", "md5"), "([0-9A-F]{32})", 1).alias("payload")).agg(F.count("*").alias("n"))
+
+
 @_query("negatives_conversations", "SELECT CAST(0 AS BIGINT) AS n_findings")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests in conversations: there are none."""

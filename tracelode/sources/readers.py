@@ -1,22 +1,24 @@
-"""Where texts come from: strings, files cut into overlapping windows, directories, lines, pages of memory.
+"""Where texts come from: strings, files and directories, lines, pages of memory, windows.
 
 All give the columns source, base_offset and text. Bytes are read as ISO-8859-1, one character per byte, so that locations are byte
 offsets. Any table with a string column can be scanned as it is.
 
-Overlapping windows also have keep_from and keep_to: a window answers for the matches that begin in it at least half the overlap
-from either edge (but for the edges of the file), so that each place belongs to one window and has half the overlap around it.
+Files are read in pieces that nothing found reaches across (sources/pieces.py), which also have `last`. Overlapping windows of a
+fixed size are there for `strict` scans, and for texts in cells; they have keep_from and keep_to: a window answers for the matches
+that begin in it at least half the overlap from either edge (but for the edges of the file), so that each place belongs to one window
+and has half the overlap around it. A match that a window cuts is then left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelode.sources import pieces as P
+
 WINDOW, OVERLAP = 1_000_000, 5_000
 
 
@@ -61,25 +63,30 @@ def file_windows(spark: SparkSession, path: str, pattern: str = "*", recursive:
     dealt = _edges(listed, window, overlap).select("source", "base_offset", "last", "keep_from", "keep_to").repartition(tasks, "source", F.floor(F.col("base_offset") / (64 * window)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, stream = None, None
+        name, get = None, None
         for batch in batches:
             for i, (source, at) in enumerate(zip(batch["source"].to_pylist(), batch["base_offset"].to_pylist())):
                 if source != name:
-                    system, inner = fs.FileSystem.from_uri(source if "://" in source else "file://" + quote(source.removeprefix("file:")))
-                    name, stream = source, system.open_input_file(inner)
-                text = stream.read_at(window, at).decode("latin-1")
+                    name, get = source, P.opened(source)
+                text = get(at, window).decode("latin-1")
                 yield pa.RecordBatch.from_arrays([batch["source"].slice(i, 1), batch["base_offset"].slice(i, 1), pa.array([text], pa.string()), *(batch[c].slice(i, 1) for c in ("last", "keep_from", "keep_to"))], ["source", "base_offset", "text", "last", "keep_from", "keep_to"])
 
     return dealt.mapInArrow(read, "source string, base_offset long, text string, last boolean, keep_from int, keep_to int")
 
 
-def directory(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True, window: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
-    return file_windows(spark, path, pattern, recursive, window, overlap)
+def sizes(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
+    """source and length of the files of a path; their contents aren't read."""
+    return files(spark, path, pattern, recursive).select("source", "length")
+
 
+def directory(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True, window: int = WINDOW) -> DataFrame:
+    """The files of a path in pieces of about a window: source, base_offset, text, last."""
+    return P.file_pieces(sizes(spark, path, pattern, recursive), window)
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Each line of text files on its own, its line break with it (some patterns need a character after a number)."""
-    return spark.read.text(path).select(F.input_file_name().alias("source"), F.lit(0).cast("long").alias("base_offset"), F.concat("value", F.lit("\n")).alias("text"))
+
+def lines(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False, window: int = WINDOW) -> DataFrame:
+    """Each line of files on its own, byte for byte, with its own line feed, if it has one, and its place in the file."""
+    return P.lines_of(spark, sizes(spark, path, pattern, recursive), window)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -94,3 +101,20 @@ def pages(content: DataFrame, page: int = 0x1000, over_read: int = 0x30) -> Data
     starts = F.sequence(F.lit(0), F.greatest(F.length("content") - 1, F.lit(0)), F.lit(page))
     rows = content.filter(F.length("content") > 0).withColumn("_at", F.explode(starts))
     return rows.withColumn("text", F.decode(F.substring("content", F.col("_at") + 1, F.lit(page + over_read)), "ISO-8859-1")).withColumn("vpage", F.col("vpage") + F.col("_at")).drop("content", "_at")
+
+
+def image_pages(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False, page: int = 0x1000, over_read: int = 0x30, window: int = WINDOW) -> DataFrame:
+    """Raw memory images of any size as pages: source, vpage (the place in the file) and text, with the first bytes of the next page.
+    Each task reads its own ranges of whole pages, and so much of what follows as the last one reads over."""
+    size = max(1, window // page) * page
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, length, k in zip(*(batch[c].to_pylist() for c in ("source", "length", "k"))):
+                base = k * size
+                data = P.opened(source)(base, size + over_read)
+                places = range(0, min(size, length - base), page)
+                texts = [data[a : a + page + over_read].decode("latin-1") for a in places]
+                yield pa.RecordBatch.from_arrays([pa.array([source] * len(texts), pa.string()), pa.array([base + a for a in places], pa.int64()), pa.array(texts, pa.string())], ["source", "vpage", "text"])
+
+    return P.dealt(sizes(spark, path, pattern, recursive), size).mapInArrow(read, "source string, vpage long, text string")
