@@ -39,6 +39,9 @@ PAGES = {
     "broken": ("<p class=\"x>never closed <p>a</p><!-- open", None),
     "long": ("<article>" + "<p>Some words, and more.</p>" * 30000 + "</article>", "\n\n".join(["Some words, and more."] * 30000)),
     "one long block": (f"<nav>m</nav><article><h1>Title</h1><p>{'word, ' * 40000}</p></article>", "Title\n\n" + " ".join(["word,"] * 40000)),
+    "a long section": (f"<body><nav>Home</nav><article><h1>Title</h1><p>{P1}</p><p>{P2}</p><section id=results>{f'<p>{P1}</p>' * 12}</section></article><p>Imprint</p>", f"Title\n\n{P1}\n\n{unescape(P2)}" + f"\n\n{P1}" * 12),
+    "a long part in a div": (f"<body><div class=sidebar><p>{P1}</p></div><div id=content><h1>Title</h1><p>{P1}</p><div id=results>{f'<p>{P1}</p>' * 12}</div></div></body>", f"Title\n\n{P1}" + f"\n\n{P1}" * 12),
+    "comments longer than the article": (f"<body><article>{BODY}</article><section id=comments>{f'<div class=comment><p>{P1}, {P1}, {P1}</p></div>' * 9}</section></body>", WANT),
     "lists": (f"<article><h1>Title</h1><p>{P1}</p><ul><li>one thing, here</li><li>two</li></ul><p>{P3}</p></article>", f"Title\n\n{P1}\n\none thing, here\n\ntwo\n\n{P3}"),
 }
 
@@ -125,6 +128,12 @@ def brute(html):
     soft = lambda up: sum(marked(t, c) and t in H.PARAGRAPHS for t, c, *_ in up)
     weighted = [fused[p] * H.MARKED ** (never(up) + min(1, hard(up))) for p, (up, _) in zip(paths, found)]
     chosen = [(up, s) for w, (up, s) in zip(weighted, found) if w >= H.LEAST_RATIO * max(weighted)]
+    penalty = lambda up: never(up) + min(1, hard(up))
+    for most in sorted({penalty(up) for up, _ in chosen}):
+        fewer = [(up, s) for up, s in chosen if penalty(up) <= most]
+        if sum(len(s) for _, s in fewer) >= H.LEAST_SHARE * sum(len(s) for _, s in chosen):
+            break
+    chosen = fewer
     best = ()
     for up, _ in chosen:
         for k in range(len(up) + 1):
@@ -133,6 +142,19 @@ def brute(html):
                 best = up[:k]
     if best and best[-1][0] in H.PARAGRAPHS:
         best = best[:-1]
+    grown = len(best)
+    ids = lambda up: [u[3] for u in up]
+    for k in range(len(best) - 1, 0, -1):
+        up = best[:k]
+        if up[-1][0] in ("html", "body") or best[k][0] in ("article", "main"):
+            break
+        below = ids(best[: k + 1])
+        near = [o for o, _ in chosen if ids(o[:k]) == ids(up) and (never(o), hard(o)) == (never(up), hard(up))]
+        beside = [o for o in near if ids(o[: k + 1]) != below]
+        own = [o for o in near if len(o) == k + 1 and o[-1][0] in H.PARAGRAPHS]
+        if beside and (own or any(u[0] == "article" for u in up) or up[-1][0] == "main"):
+            grown = k
+    best = best[:grown]
     inside = [(p, up, s) for p, (up, s) in zip(paths, found) if [u[3] for u in up[: len(best)]] == [u[3] for u in best]]
     least = H.LEAST_INSIDE * max(fused[p] for p, *_ in inside)
     return "\n\n".join(s for p, up, s in inside if fused[p] * H.INSIDE ** (never(up) + hard(up) - hard(best)) * H.PARAGRAPH ** (soft(up) - soft(best)) >= least)

@@ -7,7 +7,10 @@ the ratios of both are smoothed over the page's order (a path counts as its neig
 What elements and classes say (menus, page headers, footers, sidebars, forms, notices, adverts, reader comments and the like) are only
 weights of these ratios:
 1. The content node. Paths whose weighted ratio (MARKED for each tag that is no part of an article, and once for marks) is below LEAST_RATIO of the best one are left out; the
-   content is the element lowest in the tree that holds MOST_TEXT of the text of the paths that are left.
+   content is the element lowest in the tree that holds MOST_TEXT of the text of the paths that are left. Where those with the fewest
+   marks hold LEAST_SHARE of that text or more, only they count, so that long comments don't take an article's place. From there it grows to
+   the elements around it as long as these have blocks of the paths that are left beside it, with no mark in between: anywhere in an
+   article, elsewhere only paragraphs and headings of their own, so that a title and a lead stay with a long section.
 2. Its parts. Of the blocks in it those stay whose ratio is LEAST_INSIDE of the best one in it or more, weighed by the marks between the
    content and them (INSIDE each; a mark on a paragraph, list item or heading itself only PARAGRAPH). So a form or a strangely named
    element around the whole article costs nothing, but an advert or a comment in the article does. Elements that are a menu, footer or
@@ -36,6 +39,8 @@ from tracelode.llm import common as C
 
 #: Part of the best fused ratio that a path needs; weight of a neighbour in smoothing; part of the text that the content holds.
 LEAST_RATIO, NEIGHBOUR, MOST_TEXT = 0.12, 0.25, 0.7
+#: Part of the text of the chosen paths that those with the fewest marks must hold to be the only ones that count.
+LEAST_SHARE = 0.05
 #: Weight of a mark on the path; part of the best ratio needed in the content; weight of a mark in it, and of one on a paragraph.
 MARKED, LEAST_INSIDE, INSIDE, PARAGRAPH = 0.1, 0.001, 0.0002, 0.5
 
@@ -71,12 +76,14 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 
 class Element:
     """holder: the next block element, itself included; never, marks, soft: how many elements from the root down to this one are no
-    part of an article by their tag, are marked (or forms), and are marked paragraphs; end: the last element in it."""
+    part of an article by their tag, are marked (or forms), and are marked paragraphs; end: the last element in it; mass, near, own: the
+    text of chosen blocks in it, how many of them no mark stands between, and how many are its own paragraphs."""
 
-    __slots__ = ("name", "path", "parent", "holder", "block", "at", "end", "depth", "article", "never", "marks", "soft", "mass")
+    __slots__ = ("name", "path", "parent", "holder", "block", "at", "end", "depth", "article", "never", "marks", "soft", "mass", "near", "own")
 
     def __init__(self, name: str, parent: Element | None, block: bool, at: int, marked: bool) -> None:
         self.name, self.parent, self.block, self.at, self.end, self.mass = name, parent, block, at, at, 0
+        self.near, self.own = 0, 0
         self.holder = self if block or parent is None else parent.holder
         up = parent
         self.depth = up.depth + block if up else 0
@@ -204,19 +211,42 @@ def ratios(found: list[tuple[Element, str]]) -> dict[int, float]:
 
 
 def content_of(found: list[tuple[Element, str]], elements: list[Element], fused: dict[int, float]) -> Element:
-    """The element lowest in the tree that holds most of the text of the chosen paths."""
-    weighted = [fused[e.path] * MARKED ** (min(9, e.never) + min(1, e.marks)) for e, _ in found]
-    least, total = LEAST_RATIO * max(weighted), 0
-    for (e, s), w in zip(found, weighted):
-        if w >= least:
-            e.mass += len(s)
-            total += len(s)
+    """The element lowest in the tree that holds most of the text of the chosen paths, grown to what stands beside it."""
+    penalty = lambda e: min(9, e.never) + min(1, e.marks)
+    weighted = [fused[e.path] * MARKED ** penalty(e) for e, _ in found]
+    least = LEAST_RATIO * max(weighted)
+    chosen = [(e, len(s)) for (e, s), w in zip(found, weighted) if w >= least]
+    by_penalty: dict[int, int] = defaultdict(int)
+    for e, n in chosen:
+        by_penalty[penalty(e)] += n
+    held, most = 0, 0
+    for most in sorted(by_penalty):
+        held += by_penalty[most]
+        if held >= LEAST_SHARE * sum(by_penalty.values()):
+            break
+    chosen = [(e, n) for e, n in chosen if penalty(e) <= most]
+    total = sum(n for _, n in chosen)
+    for e, n in chosen:
+        e.mass += n
+        e.near += 1
+        if e.name in PARAGRAPHS and e.parent is not None and (e.parent.holder.never, e.parent.holder.marks) == (e.never, e.marks):
+            e.parent.holder.own += 1
     for e in reversed(elements[1:]):  # parents begin before their children
         e.parent.mass += e.mass
+        if (e.parent.never, e.parent.marks) == (e.never, e.marks):
+            e.parent.near += e.near
     content = max((e for e in elements if e.block and e.mass >= MOST_TEXT * total), key=lambda e: e.depth)
     if content.name in PARAGRAPHS and content.parent is not None:
         content = content.parent.holder  # one long paragraph: its heading and neighbours belong to it
-    return content
+    up, below = content.parent, content
+    grown = content
+    while up is not None and up.name not in ("", "html", "body") and below.name not in ("article", "main"):
+        same = (up.never, up.marks) == (below.never, below.marks)
+        beside = up.near - (below.near if same else 0)
+        if up.block and (beside if up.article or up.name == "main" else up.own and beside):
+            grown = up
+        up, below = up.parent, up
+    return grown
 
 
 def extract(html: str) -> str:
