@@ -50,13 +50,12 @@ MAGIC, MANIFEST = b"TLBITS01", "MANIFEST.json"
 BLOCK = 1 << 16
 LONG, REMEMBERED = 64, 1_000_000
 #: Marks that may stand behind a word, and the first letter that isn't taken apart from them.
-MARKS, BEYOND = ".,;:!?", "\u0530"
+MARKS, BEYOND = b".,;:!?", "\u0530"
 #: The one letter before BEYOND whose lower case is two characters.
 DOTTED = "\u0130"
 #: Words that are encoded together; bytes of text whose words are taken at once.
 TOGETHER, TAKEN = 4096, 1 << 20
 _WHITE = re.compile(rb"[ \t-\r]")
-_FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 RECORD = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("start", "<i8")])
 FOOTER = np.dtype([("width", "<i8"), ("block", "<i8"), ("ids", "<i8"), ("documents", "<i8"), ("offsets_at", "<i8"), ("records_at", "<i8"), ("magic", "S8")])
 #: Documents that are read at once, and bytes of ids in one batch of what is read.
@@ -89,37 +88,54 @@ class _Words(dict):
             self.clear()
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        split, new = [], {}
-        for word in self.unknown:
-            if len(word) > LONG:
-                continue
-            text = word.decode()
-            stem = text.rstrip(MARKS)
-            if stem.isalpha() and max(stem) < BEYOND and DOTTED not in stem:
-                stem, rest = stem.lower() if stem.isascii() else stem.translate(_FOLD), text[len(stem) :]
-                split.append((word, stem, rest))
+        words = list(self.unknown)
+        if not words:
+            return
+        # bytes in lower case are A to Z in lower case
+        low = b"\n".join(words).lower().split(b"\n")
+        stems = [x.rstrip(MARKS) for x in low]
+        new = set()
+        for k, stem in enumerate(stems):
+            if len(words[k]) > LONG:
+                stems[k] = None
+            elif stem.isalpha() or _letters(stem):
                 if stem not in self.parts:
-                    new[stem] = None
-                if rest and rest not in self.parts:
-                    self.parts[rest] = np.array(self.encode(rest), "<u4").tobytes()
+                    new.add(stem)
             else:
-                self[word] = np.array(self.encode(text), "<u4").tobytes()
-        stems = list(new)
-        for a in range(0, len(stems), TOGETHER):
-            some = stems[a : a + TOGETHER]
-            ids = np.array(self.encode(" ".join(some)), "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(some):  # a letter that this version of the library doesn't take for one
-                self.parts.update((x, np.array(self.encode(x), "<u4").tobytes()) for x in some)
+                stems[k] = None
+                self[words[k]] = np.array(self.encode(words[k].decode()), "<u4").tobytes()
+        some = list(new)
+        for a in range(0, len(some), TOGETHER):
+            self._together(some[a : a + TOGETHER])
+        parts = self.parts
+        for word, stem, x in zip(words, stems, low):
+            if stem is None:
+                continue
+            if len(stem) == len(x):
+                self[word] = parts[stem]
                 continue
-            raw, begin = ids.tobytes(), 0
-            for stem, end in zip(some, (4 * cuts).tolist()):
-                self.parts[stem] = raw[begin:end]
-                begin = end
-        for word, stem, rest in split:
-            self[word] = self.parts[stem] + self.parts[rest] if rest else self.parts[stem]
+            rest = x[len(stem) :]
+            if rest not in parts:
+                parts[rest] = np.array(self.encode(rest.decode()), "<u4").tobytes()
+            self[word] = parts[stem] + parts[rest]
         self.unknown = set()
 
+    def _together(self, stems: list[bytes]) -> None:
+        ids = np.array(self.encode(b" ".join(stems).decode()), "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(stems):  # a letter that this version of the library doesn't take for one
+            self.parts.update((x, np.array(self.encode(x.decode()), "<u4").tobytes()) for x in stems)
+            return
+        raw, begin = ids.tobytes(), 0
+        for stem, end in zip(stems, (4 * cuts).tolist()):
+            self.parts[stem] = raw[begin:end]
+            begin = end
+
+
+def _letters(stem: bytes) -> bool:
+    text = stem.decode()
+    return text.isalpha() and max(text) < BEYOND and DOTTED not in text
+
 
 def _load(name: str) -> tuple:
     if name not in _LOADED:
