@@ -106,3 +106,25 @@ def test_gradients_are_those_of_the_loss():
             down = loss()
             x[at] = old
             assert abs((up - down) / 2e-3 - g[k][at]) < 2e-3 + 0.03 * abs(g[k][at]), k
+
+
+def test_pieces_are_texts_of_their_own():
+    """Every byte of a text that is taken apart is in one piece; gradients are those of the pieces as texts, which share its weight."""
+    rng = np.random.default_rng(6)
+    net, y = Q.Network(), np.array([0, 1, 1])
+    texts = [rng.integers(32, 127, n, dtype=np.uint8) for n in (901, 40, 1500)]
+    for length in (16, 38, 238):
+        for t in (*texts, rng.integers(0, 256, (1 << 18) + 777, dtype=np.uint8)):
+            n = max(1, len(t) // length)
+            cut = [t[k * length : (k + 1) * length if k < n - 1 else len(t)] for k in range(n)]
+            assert sum(map(len, cut)) == len(t) and max(map(len, cut)) < max(2 * length, len(t) / n + 1)
+            tops, sizes, where = net.pool_pieces(t, length)
+            want = [net.pool_at(c) for c in cut]
+            assert all(len(w[0]) == 1 for w in want) and np.allclose(tops, np.concatenate([w[0] for w in want])) and sizes.tolist() == [w[1][0] for w in want]
+            assert np.array_equal(where, np.concatenate([w[2] + k * length // Q.STRIDE for k, w in enumerate(want)]))
+    with ThreadPoolExecutor(2) as pool:
+        lone = [t[k : k + 100] if k < 800 else t[k:] for t in texts[:1] for k in range(0, 900, 100)]
+        got = Q.gradients(net, texts, y, pool, [100, 0, 0])
+        z = [Q.gradients(net, [t, *texts[1:]], y, pool) for t in lone]
+    for k in net.p:
+        assert np.allclose(got[k], sum(g[k] for g in z) / len(z), atol=1e-5), k

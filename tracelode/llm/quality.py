@@ -5,7 +5,8 @@ CHUNK bytes overlap by CHUNK - HOP; each filter is max-pooled over a chunk and r
 these and its length (so that few different responses in a short chunk aren't taken for repetition), and the means and maxima of all chunks' descriptions give one probability by logistic regression.
 
 Training uses the whole texts of at most PER_CLASS labelled documents of each class outside the held-out fold (crc32(doc_id as text)
-mod 5 = 0), drawn by a hash of the id; classes weigh the same. lang, source and doc_id are no inputs. Scoring covers every byte of
+mod 5 = 0), drawn by a hash of the id; classes weigh the same. SPLIT of the texts in a step are taken apart into consecutive pieces,
+all of them examples, which share the text's weight: no byte is left out, and neither class is the one with the short texts. lang, source and doc_id are no inputs. Scoring covers every byte of
 every text, as each training step does.
 
 Cases: null text is empty; a text shorter than a filter is padded with zero bytes; repeated rows get equal scores; ids without a
@@ -30,8 +31,8 @@ from tracelode.llm.labelled import sample
 FILTERS, WIDTH, STRIDE, CHUNK, HOP, HIDDEN = 48, 8, 2, 512, 256, 16
 PER_CLASS, EPOCHS, LEAST_STEPS, BATCH, RATE = 2500, 7, 500, 32, 0.004
 THRESHOLD = 0.3
-#: Part of the good documents that a step sees as a short cut of random place and length, so that short texts aren't taken for bad.
-CUT, SHORTEST, LONGEST = 0.3, 16, 240
+#: Part of the documents that a step sees as a row of short texts, their pieces of one random length, so that being short says nothing.
+SPLIT, SHORTEST, LONGEST = 0.3, 16, 240
 #: Threads that convolve the texts of one training step; the result doesn't depend on it.
 THREADS = 4
 
@@ -105,24 +106,47 @@ class Network:
             top, size = np.maximum(top[:-1], top[1:]), size[:-1] + size[1:]
         return top, size, where
 
-
-def gradients(net: Network, seen: list[np.ndarray], y: np.ndarray, pool: ThreadPoolExecutor) -> dict[str, np.ndarray]:
-    """Of the cross-entropy of these texts (bytes, padded to WIDTH at least), in which both classes weigh the same."""
-    tops, sizes, where = zip(*pool.map(net.pool_at, seen))
-    doc = np.cumsum([0, *map(len, tops[:-1])])
-    a, h, n, mean, top, z = net.head(np.concatenate(tops), np.concatenate(sizes), doc)
+    def pool_pieces(self, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As pool_at(), of consecutive pieces of this length (even, half a chunk at most), each as a text of its own; the last has
+        what is left, less than twice as much."""
+        n, half, m = max(1, len(data) // length), length // STRIDE, (length - WIDTH) // STRIDE + 1
+        group = max(1, (1 << 18) // length)
+        tops, where = [], []
+        for k in range(0, n - 1, group):
+            some = min(group, n - 1 - k)
+            y = self.convolve(data[k * length : (k + some) * length + WIDTH])[: some * half].reshape(some, half, FILTERS)[:, :m]
+            at = y.argmax(1)
+            tops.append(np.take_along_axis(y, at[:, None], axis=1)[:, 0])
+            where.append(at + (k + np.arange(some))[:, None] * half)
+        y = self.convolve(data[(n - 1) * length :])
+        at = y.argmax(0)
+        tops.append(np.take_along_axis(y, at[None], axis=0))
+        where.append(at[None] + (n - 1) * half)
+        return np.concatenate(tops), np.append(np.full(n - 1, m), len(y)), np.concatenate(where)
+
+
+def gradients(net: Network, seen: list[np.ndarray], y: np.ndarray, pool: ThreadPoolExecutor, lengths: list[int] | None = None) -> dict[str, np.ndarray]:
+    """Of the cross-entropy of these texts (bytes, padded to WIDTH at least), in which both classes weigh the same; lengths: of the
+    pieces that each text is taken apart into, which share its weight, 0 for the text as it is."""
+    lengths = lengths or [0] * len(seen)
+    tops, sizes, where = zip(*pool.map(lambda t, k: net.pool_pieces(t, k) if k else net.pool_at(t), seen, lengths))
+    chunks = np.array([len(t) for t in tops])
+    text = np.repeat(np.arange(len(seen)), chunks)
+    n = np.where(np.array(lengths) > 0, chunks, 1)
+    doc = np.concatenate([np.arange(k) + c for k, c in zip(n, np.cumsum([0, *chunks[:-1]]))])
+    a, h, size, mean, top, z = net.head(np.concatenate(tops), np.concatenate(sizes), doc)
     p = 1 / (1 + np.exp(-z))
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    dz = ((p - y) * weight).astype(np.float32)
+    weight = np.repeat(np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) / n, n)
+    dz = ((p - np.repeat(y, n)) * weight).astype(np.float32)
     both = np.concatenate([mean, top], axis=1)
-    of = np.repeat(np.arange(len(doc)), n[:, 0])
+    of = np.repeat(np.arange(len(doc)), size[:, 0])
     dboth = dz[:, None] * net.p["w2"]
-    dh = (dboth[:, :HIDDEN] / n)[of] + dboth[of, HIDDEN:] * (h == top[of])
+    dh = (dboth[:, :HIDDEN] / size)[of] + dboth[of, HIDDEN:] * (h == top[of])
     dpre = dh * (1 - h * h)
     da = ((dpre @ net.p["w1"].T) * (a > 0))[:, :FILTERS]
     # the bytes under each maximum, all texts in a row
     begin = np.cumsum([0, *map(len, seen[:-1])])
-    under = np.concatenate(where) * STRIDE + begin[of][:, None]
+    under = np.concatenate(where) * STRIDE + begin[text][:, None]
     data, lane = np.concatenate(seen), np.arange(FILTERS)
     filters = [np.bincount((data[under + k].astype(np.int64) * FILTERS + lane).ravel(), da.ravel(), 256 * FILTERS) for k in range(WIDTH)]
     return {"w2": both.T @ dz, "b2": dz.sum(keepdims=True), "w1": a.T @ dpre, "b1": dpre.sum(0), "bias": da.sum(0), "filters": np.stack(filters).reshape(WIDTH, 256, FILTERS).astype(np.float32)}
@@ -141,15 +165,8 @@ def train(rows: list[tuple[int, bytes]], share: float, seed: int = 7) -> Network
     with ThreadPoolExecutor(THREADS) as pool:
         for step in range(1, total + 1):
             some = np.concatenate([rng.choice(k, min(BATCH // 2, len(k)), replace=False) for k in by_class])
-            seen = []
-            for i in some:
-                t = texts[i]
-                if y[i] and rng.random() < CUT:
-                    length = int(rng.integers(SHORTEST, LONGEST))
-                    at = int(rng.integers(0, max(1, len(t) - length)))
-                    t = t[at : at + length]
-                seen.append(t)
-            g = gradients(net, seen, y[some], pool)
+            lengths = [STRIDE * int(rng.integers(SHORTEST // STRIDE, LONGEST // STRIDE)) if rng.random() < SPLIT else 0 for _ in some]
+            g = gradients(net, [texts[i] for i in some], y[some], pool, lengths)
             rate = RATE * min(1, 2 * (1 - step / total) + 0.05)
             for k, x in net.p.items():
                 m[k] += 0.1 * (g[k] - m[k])
