@@ -42,9 +42,15 @@ def brute(docs, items):
         w = (text or "").encode().split()
         return [X.core(x) for x in w], X.template(w, codes, np.array([0])).tolist()
 
+    def as_is(values, size):
+        return [tuple(x.lower() for x in values[p : p + size]) for p in range(len(values) - size + 1)] if size else []
+
+    texts = {text: prepared(text)[0] for _, text in items}
     for item, text in items:
         iv, it = prepared(text)
         size = min(len(it), X.WINDOW)
+        having = lambda w: sum(w in as_is(v, min(len(v), X.WINDOW)) for v in texts.values())
+        weight = [max(1, X.WEIGHT // having(w)) for w in as_is(iv, size)]
         for doc, body in docs:
             dv, dt = prepared(body)
             if 0 < size < X.LEAST:
@@ -62,7 +68,8 @@ def brute(docs, items):
                 if len(slots) == len({a for a, _ in slots}):
                     found.update(hit + same)
                     as_template.update(hit)
-            if len(wins) and (len(found) / len(wins) >= X.COVERAGE or templates and len(as_template) / len(templates) >= X.COVERAGE):
+            share = lambda some, of: sum(weight[p] for p in some) >= X.COVERAGE * sum(weight[p] for p in of)
+            if len(wins) and (share(found, wins) or templates and share(templates, wins) and share(as_template, templates)):
                 out.add((doc, item, len(found)))
     return out
 
@@ -83,6 +90,23 @@ def test_against_brute_force(spark):
     assert {(r.doc_id, r.item_id, r.matched) for r in run(spark, docs, items)} == brute(docs, items)
 
 
+def test_a_shared_prompt_is_no_evidence(spark):
+    """Items that share an instruction of 20 words and are otherwise words with digits, documents that have the instruction: none is
+    found, unless a document has an item's own part; pairs are looked for by the rare windows only."""
+    prompt = "read the following lines with care and then write down below which one of them does not belong to others"
+    own = lambda k: " ".join(f"x{k}y{j}" for j in range(20))
+    items = [(k, f"{prompt} {own(k)}") for k in range(300)]
+    docs = [(k, f"some text before {prompt} and words after it that say something else of day {k}") for k in range(300)] + [(1000 + k, f"{prompt} {own(10 * k)}") for k in range(5)]
+    assert sorted((r.doc_id, r.item_id) for r in run(spark, docs, items)) == [(1000 + k, 10 * k) for k in range(5)]
+    found = X._found(spark.createDataFrame(items, "item_id long, text string").selectExpr("item_id", "xxhash64(text) item_row", "text"), ["item_id", "item_row"], [X.WINDOW])
+    rare = X.weighed(found).filter("rare").collect()
+    assert {r.item_id for r in rare} == set(range(300)) and min(r.place for r in rare) >= 17
+    # every item the same but for its name and numbers: each way of asking is found for all of them
+    asked = lambda name, n: f"how many apples does {name} have left after giving {n} of them to a friend who had none before"
+    family = [(k, asked(f"N{'abcdefghij'[k]}", 10 + k)) for k in range(10)]
+    assert {r.item_id for r in run(spark, [(1, asked("Zoe", 77))], family)} == set(range(10))
+
+
 def test_planted_passages_are_found(spark):
     d = "/root/testdata/sf0.01"
     items = {r.item_id: " ".join(r.text.split()) for r in C.table(spark, d, "benchmark").collect()}

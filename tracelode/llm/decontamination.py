@@ -6,14 +6,17 @@ are hash-joined, once as templates, if LITERAL words or more are no placeholders
 names), so that no copy is missed for being full of numbers or in capitals, whose words all look like names.
 What stood in the slots is then compared: along one diagonal of an item in a document, each slot value of the item must always stand
 for the same value in the document, as it does in copies and in re-parameterised questions, but not in texts that share a phrase by
-chance. A document is contaminated by an item if such diagonals match COVERAGE of the item's windows, or as templates COVERAGE of those
-that are templates.
+chance. A window weighs the less the more items have it as it is (WEIGHT by their number), so that a prompt that many items share is
+no evidence of any of them. A document is contaminated by an item if such diagonals match COVERAGE of the weight of the item's
+windows, or as templates COVERAGE of the weight of those that are templates, if these are COVERAGE of the item.
 An item of fewer than LEAST words is found where a document has it, as it is, as a whole line: such a phrase within a line says
 nothing.
 
 Before the join a bitmap of CELLS bits, filled with the benchmark's windows and of that size whatever the tables, keeps windows that
-no item has inside the scan. The join itself is a join of two tables that Spark can split when one item is in very many documents;
-what it adds up is at most one document's windows of one item.
+no item has inside the scan. Pairs of a document and an item are then looked for by the item's rarest windows only, as many as leave
+less than COVERAGE to all others: whatever reaches COVERAGE has one of these. All windows are compared for such pairs. So windows that
+documents and items share by the thousand aren't joined, and nothing is lost. The joins are joins of two tables that Spark can split
+when one item is in very many documents; what is added up is at most one document's windows of one item.
 
 Cases: null texts have no words; items without a word match nothing; repeated documents and items are matched each (rows with the
 same doc_id and text count as one); an empty table of either kind gives no rows; null ids are carried; only doc_id, item_id and text
@@ -29,12 +32,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelode.llm import common as C
 
 WINDOW, LEAST, LITERAL, COVERAGE = 8, 5, 0.5, 0.5
+#: What a window weighs that one item has; integers, so that sums don't depend on their order.
+WEIGHT = 1_000_000
 CELLS, SHARD = 1 << 24, 1 << 17
 MEMO = 1 << 20
 UNITS = frozenset(
@@ -213,6 +218,35 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return out
 
 
+def _same(left: DataFrame, right: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The join by equal columns, nulls included, which are there once."""
+    other = right.withColumnsRenamed({c: f"_{c}" for c in columns})
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c.endswith("_id") else F.col(c) == F.col(f"_{c}") for c in columns]
+    return left.join(other, on).drop(*(f"_{c}" for c in columns))
+
+
+def weighed(theirs: DataFrame) -> DataFrame:
+    """The windows of items with the weight of their place, the sums of it over the item's places (total) and over those with a
+    template (of_templates), and whether they are among the rarest, by which pairs are looked for."""
+    item = ["item_id", "item_row"]
+    spread = theirs.groupBy("h").agg(F.count_distinct("item_row").alias("items"))
+    known = theirs.join(spread, "h")
+    at = Window.partitionBy(*item, "place")
+    known = known.withColumn("weight", F.max(F.expr(f"if(slotted, 0, greatest(1, {WEIGHT} div items))")).over(at)).withColumn("reach", F.max("items").over(at))
+    last = Window.partitionBy(*item).orderBy(F.desc("reach"), F.desc("place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    of_kind = Window.partitionBy(*item, "slotted")
+    last_template = of_kind.orderBy(F.desc("items"), F.desc("place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # each place has one window as it is, so these add up every place once
+    once = F.when(~F.col("slotted"), F.col("weight")).otherwise(0)
+    sums = {
+        "total": F.sum(once).over(Window.partitionBy(*item)), "of_templates": F.sum(F.when(F.col("slotted"), F.col("weight")).otherwise(0)).over(Window.partitionBy(*item)),
+        "left": F.sum(once).over(last), "left_templates": F.sum("weight").over(last_template),
+    }
+    known = known.withColumns(sums)
+    by_template = F.col("slotted") & (F.col("of_templates") >= COVERAGE * F.col("total")) & (F.col("left_templates") >= COVERAGE * F.col("of_templates"))
+    return known.withColumn("rare", (F.col("left") >= COVERAGE * F.col("total")) | by_template).drop("left", "left_templates", "reach", "items")
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, row, item_id, matched, n_windows, coverage, reparameterised) of documents and the items that they hold; row is a
     hash of the text. reparameterised: some slot's value differs."""
@@ -223,18 +257,23 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     theirs = C.stored(_found(items, ["item_id", "item_row"], list(range(1, WINDOW + 1))), "windows")
     sizes = sorted(r["size"] for r in theirs.select("size").distinct().collect())  # WINDOW values at most
     bits = spark.sparkContext.broadcast(bitmap(theirs))
-    mine = _found(docs, ["doc_id", "row"], sizes, bits).drop("size", "slotted").withColumnsRenamed({"place": "doc_place", "slots": "doc_slots"})
-    n = theirs.groupBy("item_id", "item_row").agg(F.count_distinct("place").alias("n_windows"), F.count_distinct(F.when(F.col("slotted"), F.col("place"))).alias("n_templates"))
-    pairs = mine.join(theirs, "h").filter("size(slots) = size(doc_slots)").withColumn("diagonal", F.col("doc_place") - F.col("place"))
-    pairs = pairs.withColumn("slots", F.expr("arrays_zip(slots, doc_slots)"))
+    mine = C.stored(_found(docs, ["doc_id", "row"], sizes, bits).drop("size", "slotted").withColumnsRenamed({"place": "doc_place", "slots": "doc_slots"}), "hits")
+    weights = C.stored(weighed(theirs), "weights")
+    n = weights.groupBy("item_id", "item_row").agg(F.count_distinct("place").alias("n_windows"), F.max("total").alias("total"), F.max("of_templates").alias("of_templates"))
+    of_item, of_doc = ("item_id", "item_row"), ("doc_id", "row")
+    candidates = mine.select("doc_id", "row", "h").distinct().join(weights.filter("rare").select(*of_item, "h").distinct(), "h").select(*of_doc, *of_item).distinct()
+    compared = _same(candidates, weights.select(*of_item, "h", "place", "slotted", "slots", "weight"), of_item)
+    pairs = _same(compared, mine, (*of_doc, "h")).filter("size(slots) = size(doc_slots)").withColumn("diagonal", F.col("doc_place") - F.col("place"))
+    pairs = pairs.withColumn("slots", F.expr("arrays_zip(slots, doc_slots)")).withColumn("place", F.struct("place", "weight"))
     key = ["doc_id", "row", "item_id", "item_row"]
     lines = pairs.groupBy(*key, "diagonal").agg(F.collect_set("place").alias("places"), F.collect_set(F.when(F.col("slotted"), F.col("place"))).alias("templates"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     lines = lines.filter("size(slots) = size(array_distinct(slots.slots))").withColumn("changed", F.expr("exists(slots, x -> x.slots <> x.doc_slots)"))
     distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
-    sums = lines.groupBy(*key).agg(distinct("places").alias("matched"), distinct("templates").alias("matched_templates"), F.every("changed").alias("reparameterised"))
+    weight = lambda c: F.aggregate(F.array_distinct(F.flatten(F.collect_list(c))), F.lit(0).cast("long"), lambda a, x: a + x.weight)
+    sums = lines.groupBy(*key).agg(distinct("places").alias("matched"), weight("places").alias("weight"), weight("templates").alias("weight_templates"), F.every("changed").alias("reparameterised"))
     both = sums.alias("s").join(n.alias("n"), F.expr("s.item_id <=> n.item_id and s.item_row = n.item_row"))
-    # of all windows, or of those that are templates, whichever is more
-    coverage = F.greatest(F.col("s.matched") / F.col("n.n_windows"), F.try_divide(F.col("s.matched_templates"), F.col("n.n_templates")))
+    # of all windows, or of those that are templates (if these tell enough of the item), whichever is more
+    coverage = F.greatest(F.col("s.weight") / F.col("n.total"), F.when(F.col("n.of_templates") >= COVERAGE * F.col("n.total"), F.try_divide(F.col("s.weight_templates"), F.col("n.of_templates"))))
     both = both.select("s.doc_id", "s.row", "s.item_id", "s.matched", "n.n_windows", coverage.alias("coverage"), "s.reparameterised")
     return both.filter(F.col("coverage") >= COVERAGE)
 
