@@ -1,6 +1,10 @@
 """Detectors on small texts: what fires, with which payload, place and certainty."""
 
 import hashlib
+import math
+import random
+import time
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -144,6 +148,14 @@ def test_no_python_and_no_shuffle(spark):
 def test_entropy(spark):
     got = spark.createDataFrame([("aab",), ("",), ("abcd",)], "s string").select(T.entropy(F.col("s"))).collect()
     assert [round(r[0], 6) for r in got] == [0.918296, 0, 2]
+    # thousands of different characters, line ends and characters beyond 16 bits, in time that doesn't depend on how many differ
+    rng = random.Random(1)
+    texts = ["".join(chr(0x4E00 + rng.randrange(8000)) for _ in range(200_000)), "a" * 200_000, "aab\n\n\r\U0001f600\U0001f600\u00e9\x00", "A a"]
+    begun = time.time()
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "s string").select(T.entropy(F.col("s"))).collect()]
+    assert time.time() - begun < 20
+    want = [-sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values()) for t in texts]
+    assert all(abs(a - b) < 1e-9 and a >= 0 for a, b in zip(got, want))
 
 
 def test_catalogue_names_are_unique():
