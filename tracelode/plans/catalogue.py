@@ -118,6 +118,7 @@ def any_case(word: str) -> str:
 GUARDS: dict[str, Callable[[Column], Column]] = {
     "hex": lambda s: s.rlike(f"{T.HEX}{{16}}"),
     "run": lambda s: s.rlike(f"{T.CRYPT}{{31}}"),
+    "short run": lambda s: s.rlike(f"{T.CRYPT}{{13}}"),
     "digits": lambda s: s.rlike("[0-9]"),
     "secret": lambda s: s.rlike("|".join(map(any_case, SECRET_WORDS))),
     "eyJ": lambda s: s.contains("eyJ"),
@@ -405,7 +406,7 @@ CATALOGUE: tuple[Detector, ...] = (
     _digest("sha384", 96, 15, 65, "SHA-384 digest"),
     Detector("sha512", ("sha512", "whirlpool"), ("crypto", "other"), 65, None, _sha512, "hex", runs=_whole_runs(128), about="128 hex digits"),
     Detector("CRC", ("CRC",), ("other",), 15, f"0x{H}{{1,16}}{_R}", _crc, "0x", about="0x and up to 16 hex digits"),
-    Detector("des-salt-unix", ("des-salt-unix",), ("crypto", "unix"), 80, None, _des, hits=_des_hits, about="exactly 13 characters of a crypt hash"),
+    Detector("des-salt-unix", ("des-salt-unix",), ("crypto", "unix"), 80, None, _des, "short run", hits=_des_hits, about="exactly 13 characters of a crypt hash"),
     _django("sha256-salt-django", "(?:sha256|sha1)", True, "[A-Za-z0-9./]", 64),
     _django("sha256-django", "(?:sha256|sha1)", False, "", 64),
     _django("sha384-salt-django", "sha384", True, "[A-Za-z0-9.]", 96),
