@@ -176,3 +176,25 @@ def test_stream(spark, tmp_path):
     (src / "c.txt").write_text(f"two {S40}\n")
     stream.start(found, "parquet", str(out), str(tmp_path / "cp"), once=True).awaitTermination()
     assert spark.read.parquet(str(out)).filter("type = 'sha1'").count() == 2
+
+
+def test_generator_scans_what_codecs_make_alike_once(spark):
+    """By brute force, each codec on its own; and a text of which most codecs make the same isn't scanned for each of them."""
+    texts = ["0" * 39 + "a", "", "é" + "b" * 40 + "é", "日本 " + "c" * 40, "+AGE-~{ \x1b$B", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    ways = [(n, d) for n in (*G.PYTHON_TEXT, *G.PYTHON_BYTES) for d in ("decode", "encode") if n not in G.COMPRESSED or d == "encode"]
+    want = sorted((i, n, d, made) for i, t in enumerate(texts) if t is not None for n, d in ways if (made := G._python(t, n, d)) is not None)
+    found = G.generated(df, ids=["id"]).filter(~F.col("codec").isin("base64", "hex", "rot13", "US-ASCII", "ISO-8859-1", "UTF-8")).collect()
+    assert sorted((r.id, r.codec, r.direction, r.text) for r in found) == want
+    digests = G.scan_generated(df, ids=["id"], detectors=["sha1"]).filter("codec in ('cp1252', 'gbk')")
+    assert sorted((r.id, r.codec, r.direction) for r in digests.collect() if r.id == 0) == [(0, c, d) for c in ("cp1252", "gbk") for d in ("decode", "encode")]
+    alike = G._python_texts(df.filter("id = 0"), "text", ["id"], ("decode", "encode")).collect()
+    assert len(alike) == len({r.text for r in alike}) < len(ways) / 4 and sum(len(r._ways) for r in alike) == sum(w[0] == 0 for w in want)
+
+
+def test_texts_of_codecs_are_held_within_bounds(monkeypatch):
+    ways = [(n, "decode") for n in G.PYTHON_TEXT]
+    whole = list(G._alike("abc", ways))
+    monkeypatch.setattr(G, "HELD", 4)
+    parts = list(G._alike("abc", ways))
+    assert len(parts) > len(whole) and sorted((i, t) for t, of in parts for i in of) == sorted((i, t) for t, of in whole for i in of)

@@ -1,7 +1,7 @@
 """The generator: texts as other codecs would read or write them, so that wrapped artefacts can be scanned.
 
-Of texts in cells: base64, hex, rot13 and the charsets that Spark knows are expressions; the others run in one Arrow UDF over Python's
-codecs, but for decompression, which gives its output in pieces as it comes, however much there is. What a codec can't decode or
+Of texts in cells: base64, hex, rot13 and the charsets that Spark knows are expressions; the others run over Arrow batches in Python's
+codecs, which give each different text once with those that make it, but for decompression, which gives its output in pieces as it comes, however much there is. What a codec can't decode or
 encode is left out. The list of codecs is fixed, so results don't depend on the interpreter.
 
 Of files of any size: each codec is a view (sources/pieces.py), so that what is decoded goes on across windows of bytes.
@@ -23,7 +23,6 @@ import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,23 +48,73 @@ PYTHON_TEXT = tuple(
 PYTHON_BYTES = ("bz2_codec", "quopri_codec", "uu_codec", "zlib_codec")
 #: Those whose output has no bound by their input's size.
 COMPRESSED = ("bz2_codec", "zlib_codec")
+DIRECTIONS = {"both": ("decode", "encode"), "decode": ("decode",), "encode": ("encode",)}
 #: Bytes of one step of decompression.
 STEP = 1 << 20
 
 
-def _python(data: pd.Series, codec: pd.Series, direction: pd.Series) -> pd.Series:
-    """What one codec makes of each text; null where it can't."""
+#: Characters of different texts that one row's codecs may make before they are handed on.
+HELD = 1 << 24
 
-    def one(s: str, name: str, way: str) -> str | None:
-        try:
-            raw = s.encode("latin-1", errors="replace")
-            if name in PYTHON_BYTES:
-                return (codecs.decode(raw, name) if way == "decode" else codecs.encode(raw, name)).decode("latin-1")
-            return raw.decode(name) if way == "decode" else s.encode(name).decode("latin-1")
-        except Exception:
-            return None
 
-    return pd.Series([one(*x) for x in zip(data, codec, direction)], dtype=object)
+def _python(s: str, name: str, way: str) -> str | None:
+    """What one codec makes of a text; None where it can't."""
+    try:
+        if way == "encode" and name not in PYTHON_BYTES:
+            return s.encode(name).decode("latin-1")
+        raw = s.encode("latin-1", errors="replace")
+        if name in PYTHON_BYTES:
+            return (codecs.decode(raw, name) if way == "decode" else codecs.encode(raw, name)).decode("latin-1")
+        return raw.decode(name)
+    except Exception:
+        return None
+
+
+def _alike(s: str, ways: Sequence[tuple[str, str]]) -> Iterator[tuple[str, list[int]]]:
+    """The different texts that codecs make of one, each with the places in `ways` of those that make it. What is held is bounded: a long
+    text's may come in several rows."""
+    held, size = {}, 0
+    for i, (name, way) in enumerate(ways):
+        made = _python(s, name, way)
+        if made is None:
+            continue
+        if made in held:
+            held[made].append(i)
+            continue
+        if size + len(made) > HELD:
+            yield from held.items()
+            held, size = {}, 0
+        held[made], size = [i], size + len(made)
+    yield from held.items()
+
+
+def _python_texts(df: DataFrame, text: str, ids: Sequence[str], wanted: Sequence[str]) -> DataFrame:
+    """ids, the array _ways of codecs and directions, and the text that these make, of all codecs in Python: most of them make the same of
+    a text, which is scanned once for all of them."""
+    ways = [(n, d) for n in (*PYTHON_TEXT, *PYTHON_BYTES) for d in wanted if n not in COMPRESSED or d == "encode"]
+    schema = ST.StructType([*(df.schema[c] for c in ids), ST.StructField("_of", ST.ArrayType(ST.IntegerType())), ST.StructField("text", ST.StringType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, of, made, size = [], [], [], 0
+
+            def out(rows: list[int], of: list[list[int]], made: list[str], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                own = [pa.array(of, pa.list_(pa.int32())), pa.array(made, pa.string())]
+                return pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(rows, pa.int64())) for c in ids), *own], [*ids, "_of", "text"])
+
+            for i, value in enumerate(batch["_text"]):
+                for found, places in _alike(value.as_py(), ways):
+                    rows.append(i), of.append(places), made.append(found)
+                    size += len(found)
+                    if size > HELD or len(rows) >= 10_000:
+                        yield out(rows, of, made)
+                        rows, of, made, size = [], [], [], 0
+            if rows:
+                yield out(rows, of, made)
+
+    made = df.filter(F.col(text).isNotNull()).select(*ids, F.col(text).alias("_text")).mapInArrow(each, schema)
+    named = F.expr(f"array({', '.join(f"named_struct('codec', '{n}', 'direction', '{d}')" for n, d in ways)})") if ways else F.array().cast("array<struct<codec: string, direction: string>>")
+    return made.select(*ids, F.transform("_of", lambda i: F.get(named, i)).alias("_ways"), F.lit(0).cast("long").alias("base_offset"), "text", F.lit(True).alias("last"))
 
 
 def decompressed(chunks: Iterable[bytes], name: str) -> Iterator[bytes]:
@@ -125,10 +174,9 @@ def _decompressed_cells(df: DataFrame, text: str, ids: Sequence[str]) -> DataFra
     return df.filter(F.col(text).isNotNull()).select(*ids, F.col(text).alias("_text")).mapInArrow(each, schema)
 
 
-def generated(df: DataFrame, text: str = "text", ids: Sequence[str] = (), mode: str = "both", exotic: bool = True) -> DataFrame:
-    """ids, codec, direction ('decode' or 'encode') and the text that comes of it, with base_offset and last: what is decompressed comes
-    in pieces. mode: decode, encode or both; others give none. The names of codecs are exploded first, so that a row holds what one
-    codec makes of one text."""
+def _native(df: DataFrame, text: str, ids: Sequence[str], mode: str, exotic: bool) -> DataFrame:
+    """What expressions make of texts, and what is decompressed (if exotic). The names of codecs are exploded first, so that a row holds
+    what one codec makes of one text."""
     s, codec = F.col(text), F.col("_codec")
     raw = F.encode(F.when(s.rlike(r"\A[\x00-\xFF]*\z"), s), "ISO-8859-1")
     latin: Column = s.rlike(r"\A[\x00-\xFF]*\z")
@@ -143,7 +191,7 @@ def generated(df: DataFrame, text: str = "text", ids: Sequence[str] = (), mode:
         "ISO-8859-1": (F.when(latin, s), F.when(latin, s)),
         "UTF-8": (F.when(latin & F.is_valid_utf8(raw.cast("string")), raw.cast("string")), F.decode(F.encode(s, "UTF-8"), "ISO-8859-1")),
     }
-    wanted = {"both": ("decode", "encode"), "decode": ("decode",), "encode": ("encode",)}.get(mode, ())
+    wanted = DIRECTIONS.get(mode, ())
 
     def rows(names: Sequence[str]) -> DataFrame:
         pairs = F.array(*[F.struct(F.lit(n).alias("_codec"), F.lit(d).alias("_direction")) for n in names for d in wanted if n not in COMPRESSED or d == "encode"])
@@ -154,17 +202,27 @@ def generated(df: DataFrame, text: str = "text", ids: Sequence[str] = (), mode:
         value = F.when((codec == name) & (F.col("_direction") == "decode"), decoded).when((codec == name) & (F.col("_direction") == "encode"), encoded)
         made = value if made is None else F.coalesce(made, value)
     out = rows(tuple(native)).select(*ids, codec.alias("codec"), F.col("_direction").alias("direction"), made.alias("text"))
-    if exotic:
-        out = out.unionByName(rows((*PYTHON_TEXT, *PYTHON_BYTES)).select(*ids, codec.alias("codec"), F.col("_direction").alias("direction"), F.pandas_udf(_python, "string")(s, codec, F.col("_direction")).alias("text")))
     out = out.filter(F.col("text").isNotNull()).select(*ids, "codec", "direction", F.lit(0).cast("long").alias("base_offset"), "text", F.lit(True).alias("last"))
     if exotic and "decode" in wanted:
         out = out.unionByName(_decompressed_cells(df, text, ids))
     return out
 
 
+def generated(df: DataFrame, text: str = "text", ids: Sequence[str] = (), mode: str = "both", exotic: bool = True) -> DataFrame:
+    """ids, codec, direction ('decode' or 'encode') and the text that comes of it, with base_offset and last: what is decompressed comes
+    in pieces. mode: decode, encode or both; others give none."""
+    out, wanted = _native(df, text, ids, mode, exotic), DIRECTIONS.get(mode, ())
+    return out.unionByName(_python_texts(df, text, ids, wanted).select(*ids, F.inline("_ways"), "base_offset", "text", "last")) if exotic else out
+
+
 def scan_generated(df: DataFrame, text: str = "text", ids: Sequence[str] = (), mode: str = "both", exotic: bool = True, **options) -> DataFrame:
-    """Findings in what every codec makes of the texts, with codec and direction."""
-    return scan(generated(df, text, ids, mode, exotic), "text", [*ids, "codec", "direction"], base_offset="base_offset", last="last", **options)
+    """Findings in what every codec makes of the texts, with codec and direction. What several codecs in Python make alike is scanned once."""
+    found = scan(_native(df, text, ids, mode, exotic), "text", [*ids, "codec", "direction"], base_offset="base_offset", last="last", **options)
+    if not exotic:
+        return found
+    alike = scan(_python_texts(df, text, ids, DIRECTIONS.get(mode, ())), "text", [*ids, "_ways"], base_offset="base_offset", last="last", **options)
+    others = [c for c in alike.columns if c not in (*ids, "_ways")]
+    return found.unionByName(alike.select(*ids, F.inline("_ways"), *others))
 
 
 # Files

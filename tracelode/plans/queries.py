@@ -353,7 +353,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("generator_python_codecs")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = codecs.scan_generated(_table(spark, sf_dir, "customer").select("c_custkey", F.sha1("c_name").alias("text")), ids=["c_custkey"], detectors=["sha1"])
+    found = codecs.scan_generated(readers.spread(_table(spark, sf_dir, "customer")).select("c_custkey", F.sha1("c_name").alias("text")), ids=["c_custkey"], detectors=["sha1"])
     return _flat(found, "c_custkey", "codec", "direction")
 
 
