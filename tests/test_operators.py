@@ -198,3 +198,25 @@ def test_texts_of_codecs_are_held_within_bounds(monkeypatch):
     monkeypatch.setattr(G, "HELD", 4)
     parts = list(G._alike("abc", ways))
     assert len(parts) > len(whole) and sorted((i, t) for t, of in parts for i in of) == sorted((i, t) for t, of in whole for i in of)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pages_are_looked_through_once(spark):
+    """Also by the filter of those without anything; the sign of four types is looked for once."""
+    df = spark.range(9).withColumn("text", F.concat(F.lit("x "), F.md5(F.col("id").cast("string"))))
+    plan = _plan(pages.verdicts(df, ids=["id"], filters="win"))
+    assert plan.count("(?<![0-9A-Fa-f])([0-9A-Fa-f]{32})(?![0-9A-Fa-f])") == 1
+
+
+def test_guards_of_pages_hide_nothing(spark, monkeypatch):
+    a, b, c = A32, S40, "ab./XYZ01" * 12
+    texts = [a, f"u:1:{a}:{B32}:::", f"u:1:*:{a}", f"{a}:*", f"{b}", f"*{b}", f"{b}{b}", f"0x0100{a}{a[:16]}", b[:16], "0x1", c[:13], c[:31], f"sha1$s${c[:64]}", f"sha384$${c[:96]}",
+             f"$5$saltsalt${c[:43]}", f"x$saltsalt${c[:22]}", f"$2a$10${c[:53]}", f"{B32}:{a}", f"{B32}:{a[:16]}", f"{a[:8]}-{a[:4]}-{a[:4]}-{a[:4]}-{a[:12]}", "QUJD", "", "none"]
+    df = spark.createDataFrame([(i, f"{before}{t}{after}") for i, (t, before, after) in enumerate((t, x, y) for t in texts for x in ("", "\n ") for y in ("", " .\n"))] + [(-1, None)], "id int, text string")
+    found = lambda: pages.verdicts(df, ids=["id"], filters="db,unix,web,win,other", uuids=True).collect()
+    guarded = found()
+    monkeypatch.setattr(pages, "GUARDS", {k: lambda s: s.isNotNull() for k in pages.GUARDS})
+    assert len(guarded) > 40 and guarded == found()

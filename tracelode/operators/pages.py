@@ -1,6 +1,7 @@
 """Page verdicts: for each page of memory (or any text), which types are there with which confidence, first match only.
 
-No entropy is used here; a type is put into one of three lists by its shape. Categories are given as a string or a list.
+No entropy is used here; a type is put into one of three lists by its shape. Categories are given as a string or a list. The catalogue's
+guards spare pages without a trace of a type its pattern, and each pattern is looked for once.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
-from tracelode.plans.catalogue import CRC_FAMILIES, UUID_VERSIONS
+from tracelode.plans.catalogue import CRC_FAMILIES, GUARDS, UUID_VERSIONS
 
 H, C, W = T.HEX, T.CRYPT, T.WORD
 L, R = T.NO_WORD_BEFORE, T.NO_WORD_AFTER
@@ -28,6 +29,11 @@ class Sign:
     there: Column
     level: Column
     details: Column | None
+    guard: str | None = None
+
+
+#: 32 hex digits and no more, the sign of four types.
+HEX32 = f"(?<!{H})({H}{{32}})(?!{H})"
 
 
 def _level(*rules: tuple[Column, str], otherwise: str) -> Column:
@@ -42,23 +48,23 @@ def _signs(s: Column, filters: tuple[str, ...]) -> list[Sign]:
     upper = s.rlike(r"\A[A-Z0-9]*\z")
     lower = s.rlike(r"\A[a-z0-9$]*\z")
     say = lambda label, *v: F.concat_ws(" ", F.lit(label), *v)
-    hex32 = f"(?<!{H})({H}{{32}})(?!{H})"
+    hex32 = F.col("_hex32")
     certain = "confident" if set(filters) & {"web", "other"} else "likely"
     account = rf"\A(?:{W}+:[0-9]+:)?"
     out = [
-        Sign(("md5",), None, s.rlike(hex32), F.lit(certain), say("MD5 digest:", get(hex32))),
-        Sign(("md4",), None, s.rlike(hex32), F.lit("possible"), say("MD4 digest:", get(hex32))),
+        Sign(("md5",), None, hex32 != "", F.lit(certain), say("MD5 digest:", hex32)),
+        Sign(("md4",), None, hex32 != "", F.lit("possible"), say("MD4 digest:", hex32)),
     ]
 
-    def add(types: tuple[str, ...] | str, category: str, pattern: str, level: Column, details: Column | None = None) -> None:
-        out.append(Sign((types,) if isinstance(types, str) else types, category, s.rlike(pattern), level, details))
+    def add(types: tuple[str, ...] | str, category: str, pattern: str, level: Column, details: Column | None = None, guard: str = "hex") -> None:
+        out.append(Sign((types,) if isinstance(types, str) else types, category, s.rlike(pattern), level, details, guard))
 
     for name, size, right in (("mssql2005", 48, R), ("mssql2000", 88, "")):
         p = f"{L}(?:0x0100)?{H}{{{size}}}{right}"
         body = F.regexp_replace(get(p, 0), r"\A0x0100", "")
         add(name, "db", p, _level((s.rlike(f"{L}0x0100{H}{{{size}}}{R}"), "confident"), otherwise="likely"), say("Microsoft SQL Server, salt and hashes:", F.substring(body, 1, 8), F.substring(body, 9, 80)))
     for name in ("lm", "ntlm"):
-        add(name, "win", hex32, _level((upper, "confident"), otherwise="likely"), say(name.upper() + " hash:", get(hex32)))
+        out.append(Sign((name,), "win", hex32 != "", _level((upper, "confident"), otherwise="likely"), say(name.upper() + " hash:", hex32)))
     star = rf"\*({H}{{40}}){R}"
     add("MySQL4+", "db", star, F.lit("likely"), say("MySQL 4 or later:", get(star)))
     bare = F.regexp_replace(s, r"\n\z", "")
@@ -79,33 +85,33 @@ def _signs(s: Column, filters: tuple[str, ...]) -> list[Sign]:
     family = F.lit("of no known length")
     for k, name in CRC_FAMILIES.items():
         family = F.when(F.length(s) - 2 == k, F.lit(name)).otherwise(family)
-    add("CRC", "other", f"0x{H}{{1,16}}{R}", F.lit("possible"), say("Checksum", family))
+    add("CRC", "other", f"0x{H}{{1,16}}{R}", F.lit("possible"), say("Checksum", family), "0x")
     des = f"(?<![A-Za-z0-9./$])({C}{{2}})({C}{{11}})(?!{C})"
     shadow = rf"\A{W}+:{C}{{13}}(?::[0-9]*){{2}}(?::[^\n]*?){{2}}:[^\n]*\n?\z"
-    add("des-salt-unix", "unix", des, F.lit("confident") if filters == ("unix",) else _level((s.rlike(shadow), "confident"), otherwise="possible"), say("Unix DES, salt and hash:", get(des), get(des, 2)))
+    add("des-salt-unix", "unix", des, F.lit("confident") if filters == ("unix",) else _level((s.rlike(shadow), "confident"), otherwise="possible"), say("Unix DES, salt and hash:", get(des), get(des, 2)), "short run")
     for name, algorithm, salt, size in (("sha256-salt-django", "(?:sha256|sha1)", "[A-Za-z0-9./]+", 64), ("sha256-django", "(?:sha256|sha1)", "", 64), ("sha384-salt-django", "sha384", "[A-Za-z0-9.]+", 96), ("sha384-django", "sha384", "", 96)):
         p = rf"\A{algorithm}\$({salt})\$({C}{{{size}}})\n?\z"
-        add(name, "web", p, _level((lower, "confident"), otherwise="likely"), say("Django account:", get(p), get(p, 2)))
+        add(name, "web", p, _level((lower, "confident"), otherwise="likely"), say("Django account:", get(p), get(p, 2)), "sha")
     for name, mark, salt, size, before in (("sha256-salt-unix", r"\$5\$", "8,16", 43, ""), ("sha512-salt-unix", r"\$6\$", "8,16", 86, ""), ("apr1-salt-unix", r"\$apr1\$", "8", 22, ""), ("md5-salt-unix", "", "8", 22, "(?<![A-Za-z0-9.])")):
         p = rf"{before}{mark}({C}{{{salt}}})\$({C}{{{size}}})(?!{C})"
-        add(name, "unix", p, F.lit("confident"), say("Unix account, salt and hash:", get(p), get(p, 2)))
+        add(name, "unix", p, F.lit("confident"), say("Unix account, salt and hash:", get(p), get(p, 2)), "$")
     run = f"(?<![A-Za-z0-9.])({C}{{31}})(?![A-Za-z0-9.=/])"
     for name, mark in (("md5-wordpress", "P"), ("md5-phpBB3", "H")):
         rules = [(s.rlike(rf"\A\${mark}\${C}{{31}}\n?\z"), "confident"), *([(s.startswith("$"), "likely")] if filters == ("web",) else [])]
-        add(name, "web", run, _level(*rules, otherwise="possible"), say("Portable hash:", get(run)))
+        add(name, "web", run, _level(*rules, otherwise="possible"), say("Portable hash:", get(run)), "run")
     for version, size, start in ((2, 32, r"\A"), (1, 16, "(?<![A-Za-z0-9.])")):
         p = rf"{start}([a-z0-9./]{{32}}):({C}{{{size}}})(?!{C})"
-        add(f"md5-salt-joomla{version}", "web", p, F.lit("confident"), say("Joomla account, hash and salt:", get(p), get(p, 2)))
+        add(f"md5-salt-joomla{version}", "web", p, F.lit("confident"), say("Joomla account, hash and salt:", get(p), get(p, 2)), "run")
         q = rf"{start}([a-z0-9./]{{32}})(?!{C})"
-        out.append(Sign((f"md5-joomla{version}",), "web", s.rlike(q) & ~s.rlike(p), F.lit("likely"), say("Joomla account, hash:", get(q))))
+        out.append(Sign((f"md5-joomla{version}",), "web", s.rlike(q) & ~s.rlike(p), F.lit("likely"), say("Joomla account, hash:", get(q)), "run"))
     blow = rf"(?<=\$2\$|\$2a\$)({C}{{2}})\$({C}{{53}})(?!{C})"
-    add("blowfish-salt-unix", "unix", blow, F.lit("confident"), say("Unix Blowfish account, salt and hash:", get(blow), get(blow, 2)))
+    add("blowfish-salt-unix", "unix", blow, F.lit("confident"), say("Unix Blowfish account, salt and hash:", get(blow), get(blow, 2)), "$")
     uuid = f"(?<!{H})({H}{{8}}-{H}{{4}}-({H}){H}{{3}}-({H}){H}{{3}}-{H}{{12}})(?!{H})"
     kind = F.lit("version 1, 2 or unknown")
     for v in ("3", "4", "5"):
         here = (get(uuid, 2) == v) & (F.lower(get(uuid, 3)).isin("8", "9", "a", "b") if v == "4" else F.lit(True))
         kind = F.when(here, F.lit(f"version {v}, {UUID_VERSIONS[v]}")).otherwise(kind)
-    add("uuid", "uuid", uuid, F.lit("confident"), say("UUID", kind))
+    add("uuid", "uuid", uuid, F.lit("confident"), say("UUID", kind), "-")
     return out
 
 
@@ -117,8 +123,13 @@ def verdicts(pages: DataFrame, text: str = "text", ids: Sequence[str] = (), filt
     names = tuple(x for x in filters.replace(" ", "").split(",") if x) if isinstance(filters, str) else tuple(filters)
     s = F.col(text)
     signs = [x for x in _signs(s, names) if x.category is None or x.category in names or x.category == "uuid" and uuids]
-    found = [F.when(x.there, F.struct(F.lit(t).alias("type"), x.level.alias("level"), (x.details if x.details is not None else F.lit(None).cast("string")).alias("details"))) for x in signs for t in x.types]
-    rows = pages.filter(s.isNotNull()).select(*ids, F.filter(F.array(*found), lambda x: x.isNotNull()).alias("_found")).filter(F.size("_found") > 0)
+    guards = sorted({"hex", *(x.guard for x in signs if x.guard)})
+    there = lambda x: F.col(f"_guards.`{x.guard}`") & x.there if x.guard else x.there
+    found = [F.when(there(x), F.struct(F.lit(t).alias("type"), x.level.alias("level"), (x.details if x.details is not None else F.lit(None).cast("string")).alias("details"))) for x in signs for t in x.types]
+    rows = pages.filter(s.isNotNull()).withColumn("_guards", F.struct(*[GUARDS[g](s).alias(g) for g in guards]))
+    rows = rows.withColumn("_hex32", F.when(F.col("_guards.hex"), F.regexp_extract(s, HEX32, 1)))
+    # exploded, since Spark would else look for everything twice: below the projections too, to leave out pages without anything
+    rows = rows.select(*ids, F.explode_outer(F.array(F.filter(F.array(*found), lambda x: x.isNotNull()))).alias("_found")).filter(F.size("_found") > 0)
     of = lambda level: F.transform(F.filter("_found", lambda x: x["level"] == level), lambda x: x["type"])
     told = F.filter("_found", lambda x: x["details"].isNotNull())
     return rows.select(*ids, *[of(level).alias(level) for level in LEVELS], F.map_from_arrays(F.transform(told, lambda x: x["type"]), F.transform(told, lambda x: x["details"])).alias("details"))

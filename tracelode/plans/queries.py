@@ -319,7 +319,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT key AS c_custkey, CASE WHEN key % 2 = 0 THEN 'lm,ntlm' ELSE '' END AS confident, CASE WHEN key % 2 = 0 THEN 'md5' ELSE 'md5,lm,ntlm' END AS likely, 'md4' AS possible FROM d""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("CASE WHEN c_custkey % 2 = 0 THEN upper(md5(c_name)) ELSE 'x ' || md5(c_name) || ' ' || sha1(c_name) END")
-    found = pages.verdicts(_table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), ids=["c_custkey"], filters="win")
+    found = pages.verdicts(readers.spread(_table(spark, sf_dir, "customer")).select("c_custkey", text.alias("text")), ids=["c_custkey"], filters="win")
     return found.select("c_custkey", *[F.concat_ws(",", level).alias(level) for level in pages.LEVELS])
 
 
@@ -337,7 +337,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT c_custkey, upper(md5(c_name)) AS h FROM customer WHERE c_custkey % 5 IN (1, 3))""")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests across the edge of two pages, which the first one reads over, in the pages of some processes."""
-    memory = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 5).alias("pid"), F.concat(F.lit("proc"), F.col("c_custkey") % 5).alias("pname"), F.lit(8192).cast("bigint").alias("vpage"), F.concat(F.repeat(F.lit(". "), F.lit(2040)), F.upper(F.md5("c_name")), F.lit(" .")).cast("binary").alias("content"))
+    memory = readers.spread(_table(spark, sf_dir, "customer")).select("c_custkey", (F.col("c_custkey") % 5).alias("pid"), F.concat(F.lit("proc"), F.col("c_custkey") % 5).alias("pname"), F.lit(8192).cast("bigint").alias("vpage"), F.concat(F.repeat(F.lit(". "), F.lit(2040)), F.upper(F.md5("c_name")), F.lit(" .")).cast("binary").alias("content"))
     found = pages.verdicts(pages.of_processes(readers.pages(memory), name="proc1", pid=3), ids=["c_custkey", "vpage"], filters="win")
     return pages.shown(found).select("c_custkey", "vpage", "line")
 
