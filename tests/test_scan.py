@@ -229,3 +229,45 @@ LINES = [
 def test_all_findings_of_lines(spark):
     for (line, want), found in zip(LINES, run(spark, [x for x, _ in LINES])):
         assert sorted((r.type, r.certainty) for r in found) == sorted(want), line
+
+
+def test_entropy_only_where_it_matters(spark, monkeypatch):
+    """The certainty is the same if the entropy of every hit is worked out."""
+    import dataclasses
+    import hashlib
+    import importlib
+
+    module = importlib.import_module("tracelode.operators.scan")
+    a, b, c = hashlib.md5(b"a").hexdigest(), hashlib.sha1(b"b").hexdigest(), hashlib.sha512(b"c").hexdigest()
+    flat = ["0" * n for n in (16, 32, 40, 48, 80, 88)]
+    texts = [a, a.upper(), "*" + b.upper(), "x*" + b, b, "x*" + "A" * 40, c[:48], "0x0100" + c[:48], c[:88], c[:80], f"u:1:*:{a.upper()}", f"*:{a}", "sessionid=" + c, "sessionid=aaaa", "id=" + c, f"{a}:{b[:16]}", c[:13], *flat, "*" + flat[2]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    found = lambda: sorted((r.id, r.type, r.location, r.certainty) for r in module.scan(df, ids=["id"], filters=module.DEFAULT + ("secrets",), extended=True).collect())
+    lazy, of = found(), module.active
+    assert sum(d.needs is not None for _, d in of(module.Options())) > 15
+    monkeypatch.setattr(module, "active", lambda *x: [(i, dataclasses.replace(d, needs=None)) for i, d in of(*x)])
+    assert lazy == found()
+
+
+def test_des_runs_and_base64_by_brute_force(spark):
+    """Words of 13 characters without a $ before, at their places; no text is searched for what is in none of some ranges."""
+    import base64
+    import random
+    import re
+
+    from tracelode.functions import text as T
+    from tracelode.operators.scan import scan
+    from tracelode.plans.catalogue import CATALOGUE
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["abcdefghijklm", "a", "./A9", "$", " ", "é", "\n", "😀"]) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    found = sorted((r.id, "".join(r.payload)) for r in scan(df, ids=["id"], detectors=["des-salt-unix"]).collect())
+    assert found == sorted((i, m) for i, t in enumerate(texts) for m in re.findall(r"(?<![A-Za-z0-9./$])[A-Za-z0-9./]{13}(?![A-Za-z0-9./])", t)) and found
+    des, cookie = (next(d for d in CATALOGUE if d.name == n) for n in ("des-salt-unix", "web-cookie"))
+    assert des.hits is None and "[^A-Z" not in des.pattern and r"[^;\s]" not in cookie.pattern
+    wrapped = [base64.b64encode(t.encode()).decode() for t in texts] + [" Q-U_J D\n", "QUJ", "", "é"]
+    made = spark.createDataFrame([(t,) for t in wrapped], "t string").select("t", T.base64_text(F.col("t")).alias("text"), T.base64_length_ok(F.col("t")).alias("ok")).collect()
+    for t, text, ok in made:
+        bare = re.sub(r"[^A-Za-z0-9+/=]", "", t)
+        assert text == (base64.b64decode(bare).decode("latin-1") if len(bare) % 4 == 0 else None) and ok == (len(re.sub(r"=", "", bare)) % 4 == 0)

@@ -109,15 +109,20 @@ def hex_runs(s: str, least: int) -> Column:
     return F.expr(_split(s, f"{HEX}{{{least},}}+", _let(beside, "by", f"transform({_PLACED}, (x, i) -> {run})"), f"cast(array() AS {RUN})"))
 
 
+def _only(s: Column, allowed: str) -> Column:
+    """The characters of a class; most texts have no others, which one pass tells much faster than a search for its complement."""
+    return F.when(s.rlike(rf"\A[{allowed}]*+\z"), s).otherwise(F.regexp_replace(s, f"[^{allowed}]", ""))
+
+
 def base64_length_ok(s: Column) -> Column:
     """Whether a lenient decoder accepts it: characters outside the alphabet don't count, the rest must come in fours."""
-    return F.length(F.regexp_replace(s, "[^A-Za-z0-9+/]", "")) % 4 == 0
+    return F.length(_only(s, "A-Za-z0-9+/")) % 4 == 0
 
 
 def base64_text(s: Column) -> Column:
-    """Decoded leniently, one character per byte; null where the padding is wrong. Other characters are dropped first."""
-    clean = F.regexp_replace(s, "[^A-Za-z0-9+/=]", "")
-    return F.when(F.length(clean) % 4 == 0, F.decode(F.unbase64(clean), "ISO-8859-1"))
+    """Decoded leniently, one character per byte; null where the padding is wrong. Other characters are dropped first, once."""
+    decoded = F.transform(F.array(_only(s, "A-Za-z0-9+/=")), lambda clean: F.when(F.length(clean) % 4 == 0, F.decode(F.unbase64(clean), "ISO-8859-1")))
+    return F.element_at(decoded, 1)
 
 
 def printable(s: Column) -> Column:

@@ -90,7 +90,9 @@ def scan(
     # "outer", since Spark would else look for all hits once more, to leave out texts without any before they are exploded
     rows = rows.select(*carried, base.alias("_base"), F.explode_outer(all_hits).alias("_hit")).filter(F.col("_hit").isNotNull())
     rows = rows.withColumn("_part", _by_detector(chosen, lambda d: d.scored(F.col("_hit.m")) if d.scored else None, F.col("_hit.m")))
-    rows = rows.withColumn("_random", T.random_looking(F.col("_part"))).withColumn("_upper", T.upper_or_digits(F.col("_part")))
+    rows = rows.withColumn("_upper", T.upper_or_digits(F.col("_part")))
+    needed = _by_detector(chosen, lambda d: d.needs(F.col("_hit.m"), F.col("_upper")) if d.needs else None, F.lit(True))
+    rows = rows.withColumn("_random", F.when(needed, T.random_looking(F.col("_part"))).otherwise(F.lit(False)))
     found = _by_detector(chosen, lambda d: _findings(d, options), F.array().cast(FINDING))
     out = rows.select(*carried, "_base", "_hit", F.explode_outer(found).alias("_f")).filter(F.col("_f.certainty") >= min_certainty)
     shift = F.lit(0) if strict else F.col("_base")

@@ -64,9 +64,15 @@ class Detector:
     hits: Callable[[str, Options], str] | None = None  # SQL of the text -> SQL of array<struct<m, at, extra>>
     anchored: bool = False  # only where a text begins
     whole: bool = False  # only if it is all of a text
+    needs: Callable[[Column, Column], Column] | None = None  # match, whether its part is upper case -> whether the certainty depends on its entropy; always if None
     about: str = ""
 
 
+def never(m: Column, upper: Column) -> Column:
+    """The certainty doesn't depend on entropy."""
+    return F.lit(False)
+
+
 H, C, W = T.HEX, T.CRYPT, T.WORD
 _L, _R = T.NO_WORD_BEFORE, T.NO_WORD_AFTER
 
@@ -101,7 +107,7 @@ def _digest(name: str, size: int, base: int, boosted: int, label: str) -> Detect
     def emits(x: Hit, o: Options) -> list[Emit]:
         return [Emit(name, [x.m], _scored(base, (x.random, boosted)) if boosted > base else F.lit(base), _say(label + ": {}", x.m))]
 
-    return Detector(name, (name,), ("crypto", "other"), boosted, None, emits, "hex", runs=_whole_runs(size), about=f"{size} hex digits")
+    return Detector(name, (name,), ("crypto", "other"), boosted, None, emits, "hex", runs=_whole_runs(size), needs=None if boosted > base else never, about=f"{size} hex digits")
 
 
 #: Words that make a line worth reading, and beginnings that speak against a secret.
@@ -119,6 +125,7 @@ GUARDS: dict[str, Callable[[Column], Column]] = {
     "hex": lambda s: s.rlike(f"{T.HEX}{{16}}"),
     "run": lambda s: s.rlike(f"{T.CRYPT}{{31}}"),
     "short run": lambda s: s.rlike(f"{T.CRYPT}{{13}}"),
+    "des run": lambda s: s.rlike(_DES_RUN),
     "digits": lambda s: s.rlike("[0-9]"),
     "secret": lambda s: s.rlike("|".join(map(any_case, SECRET_WORDS))),
     "eyJ": lambda s: s.contains("eyJ"),
@@ -170,9 +177,13 @@ def _secret(x: Hit, o: Options) -> list[Emit]:
 SESSION_COOKIES = ("_utm", "apsession", "sessionid", "web_session")
 
 
+def _known_cookie(m: Column) -> Column:
+    return F.lower(_part(m, r"\A;?([^=]+)=")).rlike("|".join(SESSION_COOKIES))
+
+
 def _cookie(x: Hit, o: Options) -> list[Emit]:
     name, value = _part(x.m, r"\A;?([^=]+)="), x.part
-    known = F.lower(name).rlike("|".join(SESSION_COOKIES)) & x.random
+    known = _known_cookie(x.m) & x.random
     return [Emit("web-cookie", [name, value], _scored(45, (known, 85)), _say("Cookie {} with value {}", name, value))]
 
 
@@ -244,7 +255,7 @@ def _mssql(name: str, size: int, label: str) -> Detector:
         bare, headed = f"(NOT r.left AND {fits(size)})", f"(r.header AND startswith(r.m, '0100') AND {fits(size + 4)})"
         return f"transform(filter({runs}, r -> {bare} OR {headed}), r -> if({bare}, struct(substring(r.m, 1, {size}) AS m, r.at AS at), struct(concat('0x', substring(r.m, 1, {size + 4})) AS m, r.at - 2 AS at)))"
 
-    return Detector(name, (name,), ("db", "crypto", "secrets"), 95, None, emits, "hex", lambda m: F.regexp_replace(m, r"\A0x0100", ""), runs=found, about=f"optional 0x0100 header, {size} hex digits")
+    return Detector(name, (name,), ("db", "crypto", "secrets"), 95, None, emits, "hex", lambda m: F.regexp_replace(m, r"\A0x0100", ""), runs=found, needs=lambda m, upper: ~m.startswith("0x") if size == 48 else F.lit(False), about=f"optional 0x0100 header, {size} hex digits")
 
 
 def _lm(x: Hit, o: Options) -> list[Emit]:
@@ -318,10 +329,8 @@ def _crc(x: Hit, o: Options) -> list[Emit]:
 # Unix and web accounts
 
 
-def _des_hits(s: str, o: Options) -> str:
-    """Runs of exactly 13 characters, no $ before: found with the character before them, which the text is given at its start too."""
-    found = T.matches_sql(f"concat(' ', {s})", f"[^A-Za-z0-9./$]{C}{{13}}(?!{C})")
-    return f"transform({found}, y -> struct(substring(y.m, 2, 13) AS m, y.at AS at, '' AS extra))"
+#: Exactly 13 characters, no $ before. What stands before is looked back at: matched as what is none of these, it takes Java ten times as long.
+_DES_RUN = rf"(?<![A-Za-z0-9./$]){C}{{13}}(?!{C})"
 
 
 def _des(x: Hit, o: Options) -> list[Emit]:
@@ -337,7 +346,7 @@ def _django(name: str, algorithm: str, salted: bool, salt: str, size: int) -> De
         when = ~s.contains("/") if o.strict and salted else None
         return [Emit(name, [s, h] if salted else [h], F.lit(65), _say("Django account, salt {}, hash {}", s, h), when)]
 
-    return Detector(name, (name,), ("crypto", "web"), 65, shape, emits, "sha", whole=True, about=f"the whole text is {algorithm}, a salt or none, and {size} characters")
+    return Detector(name, (name,), ("crypto", "web"), 65, shape, emits, "sha", whole=True, needs=never, about=f"the whole text is {algorithm}, a salt or none, and {size} characters")
 
 
 def _crypt(name: str, mark: str, salt: str, size: int, base: int, boosted: int, categories: tuple[str, ...], label: str, before: str = "") -> Detector:
@@ -345,14 +354,14 @@ def _crypt(name: str, mark: str, salt: str, size: int, base: int, boosted: int,
         s, h = _part(x.m, rf"({C}+)\${C}{{{size}}}\z"), x.part
         return [Emit(name, [s, h], _scored(base, (x.random, boosted)) if boosted > base else F.lit(base), _say(label + ", salt {}, hash {}", s, h))]
 
-    return Detector(name, (name,), categories, boosted, rf"{before}{mark}{C}{{{salt}}}\${C}{{{size}}}(?!{C})", emits, "$", lambda m: F.right(m, F.lit(size)), about=f"{label}: salt of {salt}, hash of {size}")
+    return Detector(name, (name,), categories, boosted, rf"{before}{mark}{C}{{{salt}}}\${C}{{{size}}}(?!{C})", emits, "$", lambda m: F.right(m, F.lit(size)), needs=None if boosted > base else never, about=f"{label}: salt of {salt}, hash of {size}")
 
 
 _RUN = "(?<![A-Za-z0-9.])"
 
 
 def _run31(name: str, label: str) -> Detector:
-    return Detector(name, (name,), ("crypto", "web"), 45, f"{_RUN}{C}{{31}}(?![A-Za-z0-9.=/])", lambda x, o: [Emit(name, [x.m], F.lit(45), _say(label + ": {}", x.m))], "run", about="31 characters of a crypt hash")
+    return Detector(name, (name,), ("crypto", "web"), 45, f"{_RUN}{C}{{31}}(?![A-Za-z0-9.=/])", lambda x, o: [Emit(name, [x.m], F.lit(45), _say(label + ": {}", x.m))], "run", needs=never, about="31 characters of a crypt hash")
 
 
 def _joomla(version: int) -> Callable[[Column, Column, Options], list[Emit]]:
@@ -383,20 +392,20 @@ def _uuid(x: Hit, o: Options) -> list[Emit]:
 _ID, _NAME = "[A-Za-z0-9_-]", r"[A-Za-z0-9_:|\-$&%#@]"
 #: Names, lengths, alphabets, marks, categories and certainties define the types; they are stated as they must be.
 CATALOGUE: tuple[Detector, ...] = (
-    Detector("jwt", ("jwt",), ("web", "crypto", "secrets"), 85, rf"(?<!{_ID}){_ID}++\.{_ID}++\.{_ID}*+", _jwt, "eyJ", about="three dotted base64url parts, the last may be empty"),
+    Detector("jwt", ("jwt",), ("web", "crypto", "secrets"), 85, rf"(?<!{_ID}){_ID}++\.{_ID}++\.{_ID}*+", _jwt, "eyJ", needs=never, about="three dotted base64url parts, the last may be empty"),
     Detector("secret", ("secret",), ("crypto", "secrets"), 85, None, _secret, "secret", hits=_secret_hits, about="parts of lines that mention a password, key or security"),
-    Detector("web-cookie", ("web-cookie",), ("web", "crypto"), 85, rf"(?:;|(?<!{_NAME})){_NAME}++=[^;\s]++", _cookie, "=", lambda m: _part(m, r"\A[^=]+=([\s\S]*)\z"), about="name=value"),
+    Detector("web-cookie", ("web-cookie",), ("web", "crypto"), 85, rf"(?:;|(?<!{_NAME})){_NAME}++=[^; \t\n\x0B\f\r]++", _cookie, "=", lambda m: _part(m, r"\A[^=]+=([\s\S]*)\z"), needs=lambda m, upper: _known_cookie(m), about="name=value"),
     Detector("md5", ("md4", "md5"), ("web", "unix", "crypto", "other"), 80, None, _md5, "hex", runs=_md5_runs, about="32 hex digits, also within longer runs"),
-    Detector("URL", ("URL",), ("web", "personal", "other"), 90, rf"(?<![A-Za-z0-9])[A-Za-z0-9]++://{C}+{T.EDGE}", _url, "://", about="scheme://host/path"),
-    Detector("phone", ("phone",), ("web", "personal", "other"), 55, f"[^0-9]{_LONG}|{_AREA}|{_SHORT}[^0-9]", _phone, "digits", about="ten digits after, or seven before, something else; area code in brackets"),
-    Detector("credit", ("credit",), ("personal",), 45, f"{_L}[0-9](?:[ -]*+[0-9]){{12,15}}{_R}", _credit, "digits", about="13 to 16 digits with blanks or dashes"),
+    Detector("URL", ("URL",), ("web", "personal", "other"), 90, rf"(?<![A-Za-z0-9])[A-Za-z0-9]++://{C}+{T.EDGE}", _url, "://", needs=never, about="scheme://host/path"),
+    Detector("phone", ("phone",), ("web", "personal", "other"), 55, f"[^0-9]{_LONG}|{_AREA}|{_SHORT}[^0-9]", _phone, "digits", needs=never, about="ten digits after, or seven before, something else; area code in brackets"),
+    Detector("credit", ("credit",), ("personal",), 45, f"{_L}[0-9](?:[ -]*+[0-9]){{12,15}}{_R}", _credit, "digits", needs=never, about="13 to 16 digits with blanks or dashes"),
     _mssql("mssql2005", 48, "Microsoft SQL Server 2005"),
     _mssql("mssql2000", 88, "Microsoft SQL Server 2000"),
-    Detector("lm", ("lm", "ntlm"), ("win", "crypto", "secrets"), 80, None, _lm, "hex", runs=lambda runs: f"filter({runs}, r -> r.n = 32)", about="exactly 32 hex digits"),
-    Detector("MySQL4+", ("MySQL4+",), ("db", "crypto", "secrets"), 80, None, _mysql4, "hex", lambda m: F.regexp_replace(m, r"\A\*", ""), runs=_mysql4_runs, about="40 hex digits, optionally after *"),
-    Detector("MySQL323", ("MySQL323",), ("db", "crypto", "secrets"), 40, None, _mysql323, "hex", runs=_whole_runs(16), about="16 hex digits"),
-    Detector("base64", ("base64",), ("other",), 80, None, _base64, "base64", hits=_base64_hits, whole=True, about="the whole text is padded base64"),
-    Detector("SAM(*:ntlm)", ("SAM(*:ntlm)",), ("win", "crypto"), 85, rf"\A{_ACCOUNT}\*?:{H}{{32}}(?!{H})", _sam_ntlm, "hex", lambda m: F.right(m, F.lit(32)), anchored=True, about="account without LM hash"),
+    Detector("lm", ("lm", "ntlm"), ("win", "crypto", "secrets"), 80, None, _lm, "hex", runs=lambda runs: f"filter({runs}, r -> r.n = 32)", needs=lambda m, upper: upper, about="exactly 32 hex digits"),
+    Detector("MySQL4+", ("MySQL4+",), ("db", "crypto", "secrets"), 80, None, _mysql4, "hex", lambda m: F.regexp_replace(m, r"\A\*", ""), runs=_mysql4_runs, needs=lambda m, upper: m.startswith("*") & upper, about="40 hex digits, optionally after *"),
+    Detector("MySQL323", ("MySQL323",), ("db", "crypto", "secrets"), 40, None, _mysql323, "hex", runs=_whole_runs(16), needs=never, about="16 hex digits"),
+    Detector("base64", ("base64",), ("other",), 80, None, _base64, "base64", hits=_base64_hits, whole=True, needs=never, about="the whole text is padded base64"),
+    Detector("SAM(*:ntlm)", ("SAM(*:ntlm)",), ("win", "crypto"), 85, rf"\A{_ACCOUNT}\*?:{H}{{32}}(?!{H})", _sam_ntlm, "hex", lambda m: F.right(m, F.lit(32)), anchored=True, needs=lambda m, upper: upper, about="account without LM hash"),
     Detector("SAM(lm:*)", ("SAM(lm:*)",), ("win", "crypto", "secrets"), 85, rf"\A{_ACCOUNT}{H}{{32}}:\*", _sam_lm, "hex", lambda m: _part(m, rf"({H}{{32}}):\*\z"), anchored=True, about="account without NTLM hash"),
     Detector("SAM(lm:ntlm)", ("SAM(lm:ntlm)",), ("win", "crypto", "secrets"), 90, rf"\A{_ACCOUNT}{H}{{32}}:{H}{{32}}{_R}", _sam_both, "hex", lambda m: _part(m, rf"({H}{{32}}):{H}{{32}}\z"), anchored=True, about="account with both hashes"),
     _digest("RipeMD320", 80, 10, 10, "RIPEMD-320 digest"),
@@ -405,8 +414,8 @@ CATALOGUE: tuple[Detector, ...] = (
     _digest("sha256", 64, 15, 65, "SHA-256 digest"),
     _digest("sha384", 96, 15, 65, "SHA-384 digest"),
     Detector("sha512", ("sha512", "whirlpool"), ("crypto", "other"), 65, None, _sha512, "hex", runs=_whole_runs(128), about="128 hex digits"),
-    Detector("CRC", ("CRC",), ("other",), 15, f"0x{H}{{1,16}}{_R}", _crc, "0x", about="0x and up to 16 hex digits"),
-    Detector("des-salt-unix", ("des-salt-unix",), ("crypto", "unix"), 80, None, _des, "short run", hits=_des_hits, about="exactly 13 characters of a crypt hash"),
+    Detector("CRC", ("CRC",), ("other",), 15, f"0x{H}{{1,16}}{_R}", _crc, "0x", needs=never, about="0x and up to 16 hex digits"),
+    Detector("des-salt-unix", ("des-salt-unix",), ("crypto", "unix"), 80, _DES_RUN, _des, "des run", needs=never, about="exactly 13 characters of a crypt hash"),
     _django("sha256-salt-django", "(?:sha256|sha1)", True, "[A-Za-z0-9./]", 64),
     _django("sha256-django", "(?:sha256|sha1)", False, "", 64),
     _django("sha384-salt-django", "sha384", True, "[A-Za-z0-9.]", 96),
@@ -417,10 +426,10 @@ CATALOGUE: tuple[Detector, ...] = (
     _crypt("md5-salt-unix", "", "8", 22, 45, 80, ("crypto", "unix"), "Unix MD5 account", _RUN),
     _run31("md5-wordpress", "WordPress account, hash"),
     _run31("md5-phpBB3", "phpBB 3 account, hash"),
-    Detector("md5-joomla2", ("md5-salt-joomla2", "md5-joomla2"), ("crypto", "web"), 85, rf"{_RUN}{C}{{32}}(?::{C}{{32}})?(?!{C})", _joomla(2), "run", about="32 characters, optionally : and 32 more (extended only)"),
-    Detector("md5-joomla1", ("md5-salt-joomla1", "md5-joomla1"), ("crypto", "web"), 85, rf"{_RUN}{C}{{32}}(?::{C}{{16}})?(?!{C})", _joomla(1), "run", about="32 characters, optionally : and 16 more"),
+    Detector("md5-joomla2", ("md5-salt-joomla2", "md5-joomla2"), ("crypto", "web"), 85, rf"{_RUN}{C}{{32}}(?::{C}{{32}})?(?!{C})", _joomla(2), "run", needs=never, about="32 characters, optionally : and 32 more (extended only)"),
+    Detector("md5-joomla1", ("md5-salt-joomla1", "md5-joomla1"), ("crypto", "web"), 85, rf"{_RUN}{C}{{32}}(?::{C}{{16}})?(?!{C})", _joomla(1), "run", needs=never, about="32 characters, optionally : and 16 more"),
     _crypt("blowfish-salt-unix", "", "2", 53, 55, 85, ("crypto", "unix"), "Unix Blowfish account", r"(?<=\$2\$|\$2a\$)"),
-    Detector("uuid", ("uuid",), ("other",), 75, rf"(?<!{H}){H}{{8}}-{H}{{4}}-{H}{{4}}-{H}{{4}}-{H}{{12}}(?!{H})", _uuid, "-", about="8-4-4-4-12 hex digits"),
+    Detector("uuid", ("uuid",), ("other",), 75, rf"(?<!{H}){H}{{8}}-{H}{{4}}-{H}{{4}}-{H}{{4}}-{H}{{12}}(?!{H})", _uuid, "-", needs=never, about="8-4-4-4-12 hex digits"),
 )
 
 
