@@ -333,3 +333,10 @@ def _hexed(tmp_path):
     path = tmp_path / "h.txt"
     path.write_text("note " + "563DE3D2F07D0747BBE4BA2697AE33AA".encode().hex() + " z")
     return path
+
+
+def test_pieces_go_to_spark_together():
+    """In lists of bounded length and size, not one by one."""
+    rows = [(0, "a" * n) for n in (1, 5, P.TOGETHER_SIZE, 3, 4)] + [(1, "b")] * 3 * P.TOGETHER
+    lists = list(P._together(iter(rows), lambda row: len(row[1])))
+    assert [r for x in lists for r in x] == rows and [len(x) for x in lists] == [3, *[P.TOGETHER] * 3, 2]

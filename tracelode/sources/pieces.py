@@ -183,13 +183,30 @@ def dealt(rows: DataFrame, window: int, *names: str) -> DataFrame:
     return windows.repartition(tasks, "source", *names, F.floor(F.col("k") / IN_A_ROW)).sortWithinPartitions("source", *names, "k")
 
 
+#: Rows, and characters of their texts, that go to Spark together.
+TOGETHER, TOGETHER_SIZE = 4096, 1 << 22
+
+
+def _together(rows: Iterator[tuple], size: Callable[[tuple], int]) -> Iterator[list[tuple]]:
+    """Rows in lists of bounded length and size: a batch for each would cost more than what is in it."""
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if len(held) >= TOGETHER or total >= TOGETHER_SIZE:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def read(listed: DataFrame, views: Callable[[str], Callable[..., View]], names: list[tuple[str, bool]], window: int = WINDOW, span: int = SPAN, unit: int = 1) -> DataFrame:
     """source, view, base_offset, text and last of all pieces of files (source, length), in each of the named views. names: the views and
     whether they are measured; views: what makes one, by name; unit: a multiple of all views' units."""
     window = max(1, window // unit) * unit
     spark = listed.sparkSession
 
-    def each(batches: Iterator[pa.RecordBatch], act: Callable[[View, Cutter, int], tuple | None], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch], act: Callable[[View, Cutter, int], dict | None]) -> Iterator[dict]:
         now, view, cutter = None, None, None
         for batch in batches:
             columns = [batch[c].to_pylist() for c in ("source", "length", "view", "k", "before") if c in batch.schema.names]
@@ -201,7 +218,11 @@ def read(listed: DataFrame, views: Callable[[str], Callable[..., View]], names:
                     view.before[k] = before[0]
                 row = act(view, cutter, k)
                 if row is not None:
-                    yield pa.RecordBatch.from_pylist([{"source": source, "length": length, "view": name, "k": k} | row], schema)
+                    yield {"source": source, "length": length, "view": name, "k": k} | row
+
+    def each(batches: Iterator[pa.RecordBatch], act: Callable[[View, Cutter, int], dict | None], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for rows in _together(found(batches, act), lambda row: len(row.get("text", ""))):
+            yield pa.RecordBatch.from_arrays([pa.array([row[f.name] for row in rows], f.type) for f in schema], schema=schema)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("source", pa.string()), ("view", pa.string()), ("base_offset", pa.int64()), ("text", pa.string()), ("last", pa.bool_())])
@@ -230,20 +251,26 @@ def read(listed: DataFrame, views: Callable[[str], Callable[..., View]], names:
 def of_content(content: DataFrame, view: Callable[..., View], ids: tuple[str, ...] = ("source",), window: int = WINDOW, span: int = SPAN) -> DataFrame:
     """ids, base_offset, text and last of the pieces of the binary column `content`, one piece after the other."""
     names = (*ids, "base_offset", "text", "last")
+
+    def found(values: pa.Array) -> Iterator[tuple[int, int, str, bool]]:
+        for i, value in enumerate(values):
+            data = value.as_py()
+            if data:
+                made = view(lambda at, n, data=data: data[at : at + n], len(data), window)
+                cutter = Cutter(made, span)
+                for k in range(made.windows):
+                    piece = cutter.piece(k)
+                    if piece:
+                        yield i, piece[0], piece[1], piece[2]
+
     schema = ", ".join(f"`{c}` {content.schema[c].dataType.simpleString()}" for c in ids)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, value in enumerate(batch["content"]):
-                if value.as_py():
-                    data = value.as_py()
-                    made = view(lambda at, n, data=data: data[at : at + n], len(data), window)
-                    cutter = Cutter(made, span)
-                    for k in range(made.windows):
-                        found = cutter.piece(k)
-                        if found:
-                            own = [pa.array([x], t) for x, t in zip(found, (pa.int64(), pa.string(), pa.bool_()))]
-                            yield pa.RecordBatch.from_arrays([*(batch[c].slice(i, 1) for c in ids), *own], list(names))
+            for rows in _together(found(batch["content"]), lambda row: len(row[2])):
+                places, *own = zip(*rows)
+                own = [pa.array(x, t) for x, t in zip(own, (pa.int64(), pa.string(), pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(places, pa.int64())) for c in ids), *own], list(names))
 
     return content.select(*ids, "content").mapInArrow(each, f"{schema}, base_offset long, text string, last boolean")
 
