@@ -345,7 +345,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("generator_decode_native", f"SELECT c_custkey, codec, sha1(c_name) AS payload FROM customer, (SELECT unnest(['base64', 'hex', 'rot13']) AS codec) WHERE codec <> 'rot13' OR translate(sha1(c_name), '{codecs.LETTERS}', '{codecs.ROTATED}') = sha1(c_name)")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests wrapped in base64 and hex, found in what the codecs make of them."""
-    names = _table(spark, sf_dir, "customer").withColumn("h", F.concat(F.sha1("c_name"), F.lit(".")))
+    names = readers.spread(_table(spark, sf_dir, "customer")).withColumn("h", F.concat(F.sha1("c_name"), F.lit(".")))
     wrapped = names.select("c_custkey", F.explode(F.array(F.struct(F.lit("base64").alias("by"), F.base64(F.col("h").cast("binary")).alias("text")), F.struct(F.lit("hex").alias("by"), F.lower(F.hex("h")).alias("text")))).alias("x")).select("c_custkey", "x.*")
     found = codecs.scan_generated(wrapped, ids=["c_custkey", "by"], mode="decode", exotic=False, detectors=["sha1"])
     return found.filter("codec = by").select("c_custkey", "codec", F.element_at("payload", 1).alias("payload"))
