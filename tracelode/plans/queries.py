@@ -454,7 +454,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _written(spark: SparkSession, sf_dir: str, name: str, line: str) -> str:
     """A folder of text files with a line for each customer."""
     home = lines.folder(spark, name)
-    _table(spark, sf_dir, "customer").select(F.expr(line)).write.text(home)
+    readers.spread(_table(spark, sf_dir, "customer")).select(F.expr(line)).write.text(home)
     return home
 
 
