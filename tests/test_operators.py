@@ -220,3 +220,11 @@ def test_guards_of_pages_hide_nothing(spark, monkeypatch):
     guarded = found()
     monkeypatch.setattr(pages, "GUARDS", {k: lambda s: s.isNotNull() for k in pages.GUARDS})
     assert len(guarded) > 40 and guarded == found()
+
+
+def test_overlaps_are_removed_without_sorting(spark):
+    text = spark.createDataFrame([("a", bytearray((S40 + " ").encode() * 20))], "source string, content binary")
+    found = scan(readers.windows(text, 500, 300), ids=["source"], base_offset="base_offset", detectors=["sha1"])
+    once = report.without_overlaps(found).select("source", "payload", "location")
+    assert found.count() > 20 and sorted(r.location for r in once.collect()) == [41 * i for i in range(20)]
+    assert "SortAggregate" not in once._jdf.queryExecution().executedPlan().toString()

@@ -22,8 +22,9 @@ def rollup(findings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def without_overlaps(findings: DataFrame, source: Sequence[str] = ("source",)) -> DataFrame:
-    """One row for each source, type, place, size and keyword: what overlapping windows found twice."""
-    return findings.dropDuplicates([*source, "type", "location", "size", "keyword"])
+    """One row for each source, type, place, size and keyword: what overlapping windows found twice. The payload follows from these and is
+    a key too, since Spark would have to sort the findings to take the first one's."""
+    return findings.dropDuplicates([*source, "type", "location", "size", "keyword", *(c for c in ("payload",) if c in findings.columns)])
 
 
 def as_view(findings: DataFrame, name: str = "findings") -> DataFrame:
