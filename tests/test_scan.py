@@ -271,3 +271,22 @@ def test_des_runs_and_base64_by_brute_force(spark):
     for t, text, ok in made:
         bare = re.sub(r"[^A-Za-z0-9+/=]", "", t)
         assert text == (base64.b64decode(bare).decode("latin-1") if len(bare) % 4 == 0 else None) and ok == (len(re.sub(r"=", "", bare)) % 4 == 0)
+
+
+def test_hex_digits_are_counted_by_bits(spark):
+    """With the very sums of entropy, also of long runs and of letters of both cases; such hits, and no others, leave the characters alone."""
+    rng = random.Random(9)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "0123456789ABCDEFabcdef", "01", "f", "0", "23456789ab"]
+    texts = [("".join(rng.choices(a, k=n)),) for n in [*range(1, 34), 40, 47, 48, 56, 63, 64, 65, 80, 96, 127, 128, 129, 200] for a in alphabets]
+    df = spark.createDataFrame([*texts, ("",), (None,)], "s string").repartition(4)
+    seen = T.with_random_looking(df, "s", F.lit(True), "r").withColumn("want", F.coalesce(T.random_looking(F.col("s")), F.lit(False))).cache()
+    assert seen.count() == len(texts) + 2 and seen.filter("r <=> want").count() == len(texts) + 2 and 0 < seen.filter("r").count() < len(texts)
+    short = [t for (t,) in texts if len(t) <= T.MOST_HEX and t in (t.lower(), t.upper())]
+    assert sorted(r.s for r in seen.filter("r_hex IS NOT NULL").collect()) == sorted(short)
+    summed = seen.filter("r_hex IS NOT NULL").withColumn("bits", T._bits(F.length("s"), F.col("r_sums")))
+    assert summed.filter(F.col("bits") == T.entropy(F.col("s"))).count() == len(short)
+    other = T.with_random_looking(df, "s", F.lit(False), "r")
+    assert other.filter("r_hex IS NOT NULL").count() == 0
+    found = spark.createDataFrame([("d41d8cd98f00b204e9800998ecf8427e",)], "text string")
+    plan = scan(found, detectors=["md5"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" in plan and "_random_hex" in plan

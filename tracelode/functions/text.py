@@ -6,8 +6,9 @@ Offsets are those of the column's characters; text decoded from bytes as ISO-885
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Strictly more bits per character than this counts as random-looking.
@@ -21,19 +22,58 @@ MATCHES = "array<struct<m: string, at: int>>"
 BLOCK = 256
 
 
+def _bits(length: Column, sums: Column) -> Column:
+    """Entropy from the sum of c * log2(c) over the counts c of the characters, in their order (sums of doubles depend on it)."""
+    return F.greatest(F.lit(0.0), F.log2(length) - sums / length)
+
+
 def entropy(s: Column) -> Column:
     """Shannon entropy in bits per character; 0 for the empty string. The characters are sorted, so that each is one run, and only the
     runs are summed up: the time doesn't depend on how many characters differ."""
     runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(s, "")), ""), F.lit(r"(?s)(.)\1*+"), F.lit(0))
     counts = F.transform(runs, lambda r: F.length(r).cast("double"))
     sums = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log2(c))
-    return F.when(F.length(s) > 0, F.greatest(F.lit(0.0), F.log2(F.length(s)) - sums / F.length(s))).otherwise(F.lit(0.0))
+    return F.when(F.length(s) > 0, _bits(F.length(s), sums)).otherwise(F.lit(0.0))
 
 
 def random_looking(s: Column) -> Column:
     return entropy(s) > RANDOM
 
 
+#: As many hex digits as are counted by bits: two words of 64 bits for each of a digit's four bits.
+MOST_HEX = 128
+
+
+def with_hex_sums(rows: DataFrame, s: str, out: str) -> DataFrame:
+    """rows with out: the sum of c * log2(c) over the counts c of the values of the hex digits s (MOST_HEX at most; null: null). 16 digits
+    are read as one number, and bit j of 64 digits is gathered in one word, so that the digits of one value are the bits set in a conjunction
+    of four words. The lambda at the beginning, as the one in entropy, keeps the method that Spark generates for this small enough to be compiled."""
+    ones, words, name = F.lit(0x1111111111111111), range(MOST_HEX // 64), (out + "_{}_{}").format
+    kept, length = rows.columns, F.length(s)
+    numbers = F.transform(F.sequence(F.lit(0), F.floor((length - 1) / 16).cast("int")), lambda k: F.conv(F.substring(s, 16 * k + 1, F.lit(16)), 16, -10).cast("bigint"))
+    bit = lambda k, j: F.shiftleft(F.shiftrightunsigned(name("number", k), j).bitwiseAND(ones), k % 4)
+    is_set = lambda j, w, v: F.col(name(f"bit{j}", w)) if v else F.bitwise_not(name(f"bit{j}", w))
+    count = lambda v: reduce(Column.__add__, [F.bit_count(F.col(name(f"low{v % 4}", w)).bitwiseAND(F.col(name(f"high{v // 4}", w)))) for w in words])
+    rows = rows.withColumn(out, numbers)
+    rows = rows.withColumns({name("number", k): F.coalesce(F.get(out, F.lit(k)), F.lit(0).cast("bigint")) for k in range(MOST_HEX // 16)})
+    rows = rows.withColumns({name(f"bit{j}", w): reduce(Column.bitwiseOR, [bit(4 * w + i, j) for i in range(4)]) for w in words for j in range(4)})
+    rows = rows.withColumns({name(f"{half}{v}", w): is_set(j, w, v & 1).bitwiseAND(is_set(j + 1, w, v & 2)) for w in words for j, half in ((0, "low"), (2, "high")) for v in range(4)})
+    absent = F.lit(MOST_HEX) - length  # digits that aren't there read as 0
+    rows = rows.select(*kept, (count(0) - absent).cast("double").alias(name("count", 0)), *[count(v).cast("double").alias(name("count", v)) for v in range(1, 16)])
+    sums = reduce(lambda acc, c: acc + c * F.log2(F.greatest(c, F.lit(1.0))), [F.col(name("count", v)) for v in range(16)], F.lit(0.0))
+    return rows.select(*kept, sums.alias(out))
+
+
+def with_random_looking(rows: DataFrame, s: str, hexes: Column, out: str) -> DataFrame:
+    """rows with out: whether the column s looks random (null: no). Where `hexes` holds, s has hex digits only; these are counted by
+    bits, unless they are more than MOST_HEX or letters of both cases, since then a value isn't a character."""
+    s_, short, sums = F.col(s), f"{out}_hex", f"{out}_sums"
+    rows = rows.withColumn(short, F.when(hexes & F.length(s).between(1, MOST_HEX) & ((s_ == F.lower(s)) | (s_ == F.upper(s))), s_))
+    rows = with_hex_sums(rows, short, sums)
+    by_bits = _bits(F.length(short), F.col(sums))
+    return rows.withColumn(out, F.when(F.col(short).isNotNull(), by_bits > RANDOM).when(s_.isNotNull(), random_looking(s_)).otherwise(F.lit(False)))
+
+
 def upper_or_digits(s: Column) -> Column:
     return s.rlike(r"\A[A-Z0-9]*\z")
 

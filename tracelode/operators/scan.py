@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
-from tracelode.plans.catalogue import DEFAULT, GUARDS, LEAST_RUN, Detector, Hit, Options, active
+from tracelode.plans.catalogue import DEFAULT, GUARDS, LEAST_RUN, Detector, Hit, Options, active, never
 
 HIT = "array<struct<det: int, n: int, m: string, at: int, extra: string>>"
 FINDING = "array<struct<type: string, payload: array<string>, certainty: int, details: string, keyword: string>>"
@@ -43,7 +43,7 @@ def _findings(d: Detector, options: Options) -> Column:
     for e in d.emits(x, options):
         one = F.struct(F.lit(e.type).alias("type"), F.array(*e.payload).alias("payload"), e.certainty.cast("int").alias("certainty"), e.details.alias("details"), (e.keyword if e.keyword is not None else F.lit(None).cast("string")).alias("keyword"))
         each.append(F.when(e.when, one) if e.when is not None else one)
-    return F.filter(F.array(*each), lambda x: x.isNotNull()).cast(FINDING)
+    return F.array(*each)
 
 
 def _by_detector(chosen: list[tuple[int, Detector]], value: Callable[[Detector], Column | None], otherwise: Column) -> Column:
@@ -92,9 +92,16 @@ def scan(
     rows = rows.withColumn("_part", _by_detector(chosen, lambda d: d.scored(F.col("_hit.m")) if d.scored else None, F.col("_hit.m")))
     rows = rows.withColumn("_upper", T.upper_or_digits(F.col("_part")))
     needed = _by_detector(chosen, lambda d: d.needs(F.col("_hit.m"), F.col("_upper")) if d.needs else None, F.lit(True))
-    rows = rows.withColumn("_random", F.when(needed, T.random_looking(F.col("_part"))).otherwise(F.lit(False)))
-    found = _by_detector(chosen, lambda d: _findings(d, options), F.array().cast(FINDING))
-    out = rows.select(*carried, "_base", "_hit", F.explode_outer(found).alias("_f")).filter(F.col("_f.certainty") >= min_certainty)
+    runs = [i for i, d in chosen if d.runs is not None and d.needs is not never]
+    if runs:
+        rows = T.with_random_looking(rows.withColumn("_scored", F.when(needed, F.col("_part"))), "_scored", F.col("_hit.det").isin(*runs), "_random")
+    else:
+        rows = rows.withColumn("_random", F.when(needed, T.random_looking(F.col("_part"))).otherwise(F.lit(False)))
+    # a projection of its own, since a generator's expressions are interpreted; a lambda in it makes Spark cut its code into methods that
+    # are small enough to be compiled, however many detectors there are. Findings that aren't are null, and go with the uncertain ones
+    none = F.filter(F.array().cast(FINDING), lambda f: f.isNotNull())
+    rows = rows.select(*carried, "_base", "_hit", _by_detector(chosen, lambda d: _findings(d, options), none).alias("_found"))
+    out = rows.select(*carried, "_base", "_hit", F.explode_outer("_found").alias("_f")).filter(F.col("_f.certainty") >= min_certainty)
     shift = F.lit(0) if strict else F.col("_base")
     columns = [
         F.col("_f.type").alias("type"), F.col("_f.payload").alias("payload"), (F.col("_hit.at") + shift).cast("bigint").alias("location"), F.length("_hit.m").alias("size"), F.col("_f.certainty").alias("certainty"),
